@@ -55,78 +55,80 @@ LATITUDE = (
 )
 
 
-def _series(weights, outer, inner, a: Column, b: Column) -> Column:
-    total = F.lit(0.0)
-    for k, weight in enumerate(weights, 1):
-        total = total + F.lit(weight) * outer(a * (2.0 * k)) * inner(b * (2.0 * k))
-    return total
+def _series(weights, outer: str, inner: str, a: str, b: str) -> str:
+    terms = [f"{w!r}D * {outer}({2 * k}.0D * ({a})) * {inner}({2 * k}.0D * ({b}))" for k, w in enumerate(weights, 1)]
+    return " + ".join(terms)
 
 
-# The two directions are split in steps, each a struct of the values the next one
-# reads, so a caller inside a lambda can chain them without repeating the work.
+# The two directions go in steps over SQL snippets, so a transform of whole rings
+# can chain the steps without repeating the work of the step before.
 
 
-def _grid_angles(east: Column, north: Column) -> tuple[Column, Column]:
-    up, across = north / RADIUS, (east - FALSE_EASTING) / RADIUS
+def _grid_angles(east: str, north: str) -> tuple[str, str]:
+    up, across = f"({north}) / {RADIUS!r}D", f"(({east}) - {FALSE_EASTING!r}D) / {RADIUS!r}D"
     return (
-        up - _series(FROM_GRID, F.sin, F.cosh, up, across),
-        across - _series(FROM_GRID, F.cos, F.sinh, up, across),
+        f"({up} - ({_series(FROM_GRID, 'sin', 'cosh', up, across)}))",
+        f"({across} - ({_series(FROM_GRID, 'cos', 'sinh', up, across)}))",
     )
 
 
-def _geographic(up: Column, across: Column) -> tuple[Column, Column]:
-    """(conformal latitude, longitude in degrees) from the corrected grid angles."""
-    conformal = F.asin(F.sin(up) / F.cosh(across))
-    lon = F.degrees(F.atan2(F.sinh(across), F.cos(up))) + CENTRAL_MERIDIAN
-    return conformal, lon
+def _geographic(up: str, across: str) -> tuple[str, str]:
+    """(longitude in degrees, conformal latitude) from the corrected grid angles."""
+    lon = f"(degrees(atan2(sinh({across}), cos({up}))) + {CENTRAL_MERIDIAN!r}D)"
+    return lon, f"asin(sin({up}) / cosh({across}))"
 
 
-def _geodetic(conformal: Column) -> Column:
-    total = conformal
-    for k, weight in enumerate(LATITUDE, 1):
-        total = total + F.lit(weight) * F.sin(conformal * (2.0 * k))
-    return F.degrees(total)
+def _geodetic(conformal: str) -> str:
+    terms = [f"{w!r}D * sin({2 * k}.0D * ({conformal}))" for k, w in enumerate(LATITUDE, 1)]
+    return f"degrees({conformal} + " + " + ".join(terms) + ")"
 
 
-def _gauss_angles(lon: Column, lat: Column) -> tuple[Column, Column]:
-    phi, lam = F.radians(lat), F.radians(lon - CENTRAL_MERIDIAN)
-    tau = F.sinh(F.asinh(F.tan(phi)) - _ecc * F.atanh(_ecc * F.sin(phi)))
-    return F.atan2(tau, F.cos(lam)), F.asinh(F.sin(lam) / F.sqrt(tau * tau + F.cos(lam) * F.cos(lam)))
+def _gauss_angles(lon: str, lat: str) -> tuple[str, str]:
+    phi, lam = f"radians({lat})", f"radians(({lon}) - {CENTRAL_MERIDIAN!r}D)"
+    tau = f"sinh(asinh(tan({phi})) - {_ecc!r}D * atanh({_ecc!r}D * sin({phi})))"
+    return f"atan2({tau}, cos({lam}))", f"asinh(sin({lam}) / sqrt(pow({tau}, 2) + pow(cos({lam}), 2)))"
 
 
-def _grid(up: Column, across: Column) -> tuple[Column, Column]:
-    east = FALSE_EASTING + RADIUS * (across + _series(TO_GRID, F.cos, F.sinh, up, across))
-    north = RADIUS * (up + _series(TO_GRID, F.sin, F.cosh, up, across))
+def _grid(up: str, across: str) -> tuple[str, str]:
+    east = f"({FALSE_EASTING!r}D + {RADIUS!r}D * ({across} + {_series(TO_GRID, 'cos', 'sinh', up, across)}))"
+    north = f"({RADIUS!r}D * ({up} + {_series(TO_GRID, 'sin', 'cosh', up, across)}))"
     return east, north
 
 
-def grid_to_lonlat(east: Column, north: Column) -> tuple[Column, Column]:
-    """(longitude, latitude) in degrees, without a range check."""
-    conformal, lon = _geographic(*_grid_angles(east, north))
-    return lon, _geodetic(conformal)
+def grid_to_lonlat(east: str, north: str) -> tuple[Column, Column]:
+    """(longitude, latitude) in degrees of two SQL snippets, without a range check."""
+    lon, conformal = _geographic(*_grid_angles(east, north))
+    return F.expr(lon), F.expr(_geodetic(conformal))
 
 
-def lonlat_to_grid(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """(easting, northing) in metres."""
-    return _grid(*_gauss_angles(lon, lat))
+def lonlat_to_grid(lon: str, lat: str) -> tuple[Column, Column]:
+    """(easting, northing) in metres of two SQL snippets."""
+    east, north = _grid(*_gauss_angles(lon, lat))
+    return F.expr(east), F.expr(north)
 
 
-def in_range(east: Column, north: Column) -> Column:
+def in_range_sql(east: str, north: str) -> str:
     return (
-        (east > EAST_RANGE[0]) & (east < EAST_RANGE[1]) & (north > NORTH_RANGE[0]) & (north < NORTH_RANGE[1])
+        f"{east} > {EAST_RANGE[0]!r}D AND {east} < {EAST_RANGE[1]!r}D "
+        f"AND {north} > {NORTH_RANGE[0]!r}D AND {north} < {NORTH_RANGE[1]!r}D"
     )
 
 
-def sweref_to_wgs84(east: Column, north: Column) -> Column:
+def sweref_to_wgs84_sql(east: str, north: str) -> str:
+    lon, conformal = _geographic(*_grid_angles(east, north))
+    at = f"struct({_geodetic(conformal)} AS lat, {lon} AS lon)"
+    return f"CASE WHEN {in_range_sql(east, north)} THEN {at} END"
+
+
+def sweref_to_wgs84(east: str, north: str) -> Column:
     """STRUCT<lat, lon>, null outside the accepted metric range."""
-    lon, lat = grid_to_lonlat(east, north)
-    return F.when(in_range(east, north), F.struct(lat.alias("lat"), lon.alias("lon")))
+    return F.expr(sweref_to_wgs84_sql(east, north))
 
 
-def transform_xy(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
+def transform_xy(x: str, y: str, source: int, target: int) -> tuple[Column, Column]:
     """Position moved from one system to the other; unchanged when they are equal."""
     if source == target:
-        return x, y
+        return F.expr(x), F.expr(y)
     if (source, target) == (SWEREF, WGS84):
         return grid_to_lonlat(x, y)
     if (source, target) == (WGS84, SWEREF):
@@ -134,31 +136,22 @@ def transform_xy(x: Column, y: Column, source: int, target: int) -> tuple[Column
     raise ValueError(f"no transform from {source} to {target}")
 
 
-def transform_geometry(geom: Column, source: int, target: int) -> Column:
-    """Every vertex moved; the geometry itself when both systems are equal."""
+def transform_sql(g: str, source: int, target: int) -> str:
     if source == target:
-        return geom
+        return g
     if (source, target) == (SWEREF, WGS84):
-        steps = [
-            lambda v: _pair(*_grid_angles(v["x"], v["y"])),
-            lambda v: _pair(*reversed(_geographic(v["x"], v["y"]))),
-            lambda v: _pair(v["x"], _geodetic(v["y"])),
-        ]
+        steps = [_grid_angles("v.x", "v.y"), _geographic("v.x", "v.y"), ("v.x", _geodetic("v.y"))]
     elif (source, target) == (WGS84, SWEREF):
-        steps = [
-            lambda v: _pair(*_gauss_angles(v["x"], v["y"])),
-            lambda v: _pair(*_grid(v["x"], v["y"])),
-        ]
+        steps = [_gauss_angles("v.x", "v.y"), _grid("v.x", "v.y")]
     else:
         raise ValueError(f"no transform from {source} to {target}")
+    ring = "r"
+    for x, y in steps:
+        # the middle step of the first chain reads (up, across) as (x, y)
+        ring = f"transform({ring}, v -> struct({x} AS x, {y} AS y))"
+    return G.map_rings_sql(g, ring)
 
-    def ring(r: Column) -> Column:
-        for step in steps:
-            r = F.transform(r, step)
-        return r
 
-    return G.map_vertices(geom, ring)
-
-
-def _pair(x: Column, y: Column) -> Column:
-    return F.struct(x.alias("x"), y.alias("y"))
+def transform_geometry(g: str, source: int, target: int) -> Column:
+    """Every vertex moved; the geometry itself when both systems are equal."""
+    return F.expr(transform_sql(g, source, target))

@@ -6,8 +6,11 @@ the others are holes), ``kind`` is the type name of the member it came from and
 ``member`` its position in a GeometryCollection (0 elsewhere). Collections in
 collections are flattened to one level. Coordinates are kept as x and y only.
 
-Everything but WKB reading and writing is a plain column expression. WKB goes
-through Arrow, one call per batch, with numpy reading the coordinate runs.
+Everything but WKB reading and writing is a built-in expression. The longer ones
+are written as SQL text over column names (or other SQL snippets): parsing one
+text is far quicker than assembling the same tree call by call, and the texts
+also serve as the bodies of the SQL functions. WKB goes through Arrow, one call
+per batch, with numpy reading the coordinate runs.
 """
 
 from __future__ import annotations
@@ -248,246 +251,214 @@ def box(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
 # --- vertices, envelope, centre ----------------------------------------------
 
 
-def rings_of(geom: Column) -> Column:
-    return F.flatten(F.transform(geom["parts"], lambda p: p["rings"]))
+def rings_sql(g: str) -> str:
+    return f"flatten(transform({g}.parts, p -> p.rings))"
 
 
-def vertices(geom: Column) -> Column:
-    """All vertices of all rings of all parts, in order."""
-    return F.flatten(rings_of(geom))
+def vertices_sql(g: str) -> str:
+    return f"flatten({rings_sql(g)})"
 
 
-def envelope(geom: Column) -> dict[str, Column]:
-    """xmin, ymin, xmax, ymax; null for a null or empty geometry."""
-    xs = F.transform(vertices(geom), lambda v: v["x"])
-    ys = F.transform(vertices(geom), lambda v: v["y"])
-    return {
-        "xmin": F.array_min(xs),
-        "ymin": F.array_min(ys),
-        "xmax": F.array_max(xs),
-        "ymax": F.array_max(ys),
-    }
+def vertices(g: str) -> Column:
+    """All vertices of all rings of all parts, in order."""
+    return F.expr(vertices_sql(g))
 
 
-def centroid(geom: Column) -> Column:
-    """Mean of all vertices as a vertex, (0, 0) when there are none."""
-    points = vertices(geom)
+ENVELOPE_SIDES = {"xmin": ("min", "x"), "ymin": ("min", "y"), "xmax": ("max", "x"), "ymax": ("max", "y")}
 
-    def mean(axis: str) -> Column:
-        total = F.aggregate(points, F.lit(0.0), lambda acc, v: acc + v[axis])
-        return F.when(F.size(points) > 0, total / F.size(points)).when(geom.isNotNull(), 0.0)
 
-    return F.struct(mean("x").alias("x"), mean("y").alias("y"))
+def envelope_sql(g: str) -> dict[str, str]:
+    return {
+        name: f"array_{end}(transform({vertices_sql(g)}, v -> v.{axis}))"
+        for name, (end, axis) in ENVELOPE_SIDES.items()
+    }
 
 
-def map_vertices(geom: Column, fn) -> Column:
-    """Apply ``fn`` (array of vertices -> array of vertices) to every ring."""
-    moved = F.transform(
-        geom["parts"],
-        lambda p: F.struct(
-            p["member"].alias("member"),
-            p["kind"].alias("kind"),
-            F.transform(p["rings"], fn).alias("rings"),
-        ),
-    )
-    return F.when(geom.isNotNull(), F.struct(geom["type"].alias("type"), moved.alias("parts")))
+def envelope(g: str) -> dict[str, Column]:
+    """xmin, ymin, xmax, ymax; null for a null or empty geometry."""
+    return {name: F.expr(text) for name, text in envelope_sql(g).items()}
 
 
-# --- text forms ----------------------------------------------------------------
+def centroid_sql(g: str) -> str:
+    def mean(axis: str) -> str:
+        total = f"aggregate({vertices_sql(g)}, 0.0D, (acc, v) -> acc + v.{axis})"
+        count = f"size({vertices_sql(g)})"
+        return f"CASE WHEN {count} > 0 THEN {total} / {count} WHEN {g} IS NOT NULL THEN 0.0D END"
 
+    return f"struct({mean('x')} AS x, {mean('y')} AS y)"
 
-def number_text(x: Column) -> Column:
-    """Shortest decimal text without an exponent."""
-    plain = x.cast("string")
-    spelled = F.regexp_replace(x.cast("decimal(38,17)").cast("string"), r"(\.\d+?)0+$", "$1")
-    return F.when((x == 0) | F.abs(x).between(1e-3, 9999999.0), plain).otherwise(spelled)
 
+def centroid(g: str) -> Column:
+    """Mean of all vertices as a vertex, (0, 0) when there are none."""
+    return F.expr(centroid_sql(g))
 
-def as_text(geom: Column) -> Column:
-    """Well-known text. GeometryCollection is not supported and raises."""
 
-    def pair(v: Column) -> Column:
-        return F.concat(number_text(v["x"]), F.lit(" "), number_text(v["y"]))
+def map_rings_sql(g: str, ring: str) -> str:
+    """The geometry with each ring ``r`` replaced by the snippet ``ring``."""
+    moved = (
+        f"transform({g}.parts, p -> struct(p.member AS member, p.kind AS kind, "
+        f"transform(p.rings, r -> {ring}) AS rings))"
+    )
+    return f"CASE WHEN {g} IS NOT NULL THEN struct({g}.type AS type, {moved} AS parts) END"
+
 
-    def ring(r: Column) -> Column:
-        return F.array_join(F.transform(r, pair), ", ")
+# --- text forms ----------------------------------------------------------------
 
-    def paren(text: Column) -> Column:
-        return F.concat(F.lit("("), text, F.lit(")"))
 
-    def shape(p: Column) -> Column:
-        return paren(F.array_join(F.transform(p["rings"], lambda r: paren(ring(r))), ", "))
+def number_sql(x: str) -> str:
+    """Shortest decimal text without an exponent."""
+    spelled = f"regexp_replace(cast(cast({x} AS decimal(38,17)) AS string), r'(\\.\\d+?)0+$', '$1')"
+    return f"if({x} = 0 OR abs({x}) BETWEEN 1e-3 AND 9999999.0D, cast({x} AS string), {spelled})"
 
-    def line(p: Column) -> Column:
-        return paren(F.array_join(F.transform(p["rings"], ring), ", "))
 
-    parts, kind = geom["parts"], geom["type"]
-    lines = F.transform(parts, line)
-    shapes = F.transform(parts, shape)
+def as_text_sql(g: str) -> str:
+    pair = f"concat({number_sql('v.x')}, ' ', {number_sql('v.y')})"
+    ring = f"array_join(transform(r, v -> {pair}), ', ')"
+    line = f"concat('(', array_join(transform(p.rings, r -> {ring}), ', '), ')')"
+    shape = f"concat('(', array_join(transform(p.rings, r -> concat('(', {ring}, ')')), ', '), ')')"
+    lines, shapes = f"transform({g}.parts, p -> {line})", f"transform({g}.parts, p -> {shape})"
     body = (
-        F.when(kind.isin("Point", "LineString"), F.get(lines, F.lit(0)))
-        .when(kind == "Polygon", F.get(shapes, F.lit(0)))
-        .when(kind.isin("MultiPoint", "MultiLineString"), paren(F.array_join(lines, ", ")))
-        .when(kind == "MultiPolygon", paren(F.array_join(shapes, ", ")))
-        .when(
-            kind.isNotNull(),
-            F.raise_error(F.concat(F.lit("no text form for "), kind)).cast("string"),
-        )
+        f"CASE WHEN size({g}.parts) = 0 THEN ' EMPTY' "
+        f"WHEN {g}.type IN ('Point', 'LineString') THEN get({lines}, 0) "
+        f"WHEN {g}.type = 'Polygon' THEN get({shapes}, 0) "
+        f"WHEN {g}.type IN ('MultiPoint', 'MultiLineString') THEN concat('(', array_join({lines}, ', '), ')') "
+        f"WHEN {g}.type = 'MultiPolygon' THEN concat('(', array_join({shapes}, ', '), ')') "
+        f"WHEN {g}.type IS NOT NULL THEN raise_error(concat('no text form for ', {g}.type)) END"
     )
-    empty = F.when(F.size(parts) > 0, body).when(geom.isNotNull(), F.lit(" EMPTY"))
-    return F.concat(F.upper(kind), empty)
+    return f"concat(upper({g}.type), {body})"
 
 
-def as_geojson(geom: Column) -> Column:
-    """GeoJSON geometry text for every type, collections included."""
-
-    def pair(v: Column) -> Column:
-        return F.concat(F.lit("["), number_text(v["x"]), F.lit(","), number_text(v["y"]), F.lit("]"))
-
-    def bracket(items: Column) -> Column:
-        return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
-
-    def ring(r: Column) -> Column:
-        return bracket(F.transform(r, pair))
+def as_text(g: str) -> Column:
+    """Well-known text. GeometryCollection is not supported and raises."""
+    return F.expr(as_text_sql(g))
 
-    def shape(p: Column) -> Column:
-        return bracket(F.transform(p["rings"], ring))
 
-    def head(kind: Column, name: str, body: Column) -> Column:
-        return F.concat(F.lit('{"type":"'), kind, F.lit(f'","{name}":'), body, F.lit("}"))
+def as_geojson_sql(g: str) -> str:
+    pair = f"concat('[', {number_sql('v.x')}, ',', {number_sql('v.y')}, ']')"
+    ring = f"concat('[', array_join(transform(r, v -> {pair}), ','), ']')"
 
-    def single(kind: Column, parts: Column) -> Column:
-        first = F.transform(parts, lambda p: F.get(p["rings"], F.lit(0)))
-        nothing = F.lit("[]")
+    def single(kind: str, parts: str) -> str:
+        points = f"transform(flatten(flatten(transform({parts}, p -> p.rings))), v -> {pair})"
+        lines = f"transform(flatten(transform({parts}, p -> p.rings)), r -> {ring})"
+        shapes = f"transform({parts}, p -> concat('[', array_join(transform(p.rings, r -> {ring}), ','), ']'))"
         coordinates = (
-            F.when(kind == "Point", F.coalesce(F.get(F.transform(first, lambda r: pair(F.get(r, F.lit(0)))), F.lit(0)), nothing))
-            .when(kind == "LineString", F.coalesce(F.get(F.transform(first, ring), F.lit(0)), nothing))
-            .when(kind == "Polygon", F.coalesce(F.get(F.transform(parts, shape), F.lit(0)), nothing))
-            .when(kind == "MultiPoint", bracket(F.transform(first, lambda r: pair(F.get(r, F.lit(0))))))
-            .when(kind == "MultiLineString", bracket(F.transform(first, ring)))
-            .otherwise(bracket(F.transform(parts, shape)))
+            f"CASE WHEN {kind} = 'Point' THEN coalesce(get({points}, 0), '[]') "
+            f"WHEN {kind} = 'LineString' THEN coalesce(get({lines}, 0), '[]') "
+            f"WHEN {kind} = 'Polygon' THEN coalesce(get({shapes}, 0), '[]') "
+            f"WHEN {kind} = 'MultiPoint' THEN concat('[', array_join({points}, ','), ']') "
+            f"WHEN {kind} = 'MultiLineString' THEN concat('[', array_join({lines}, ','), ']') "
+            f"ELSE concat('[', array_join({shapes}, ','), ']') END"
         )
-        return head(kind, "coordinates", coordinates)
-
-    parts, kind = geom["parts"], geom["type"]
-    numbers = F.array_sort(F.array_distinct(F.transform(parts, lambda p: p["member"])))
+        return f"concat('{{\"type\":\"', {kind}, '\",\"coordinates\":', {coordinates}, '}}')"
+
+    numbers = f"array_sort(array_distinct(transform({g}.parts, p -> p.member)))"
+    own = f"filter({g}.parts, k -> k.member = m)"
+    member = single(f"get({own}, 0).kind", own)
+    members = (
+        f"concat('{{\"type\":\"GeometryCollection\",\"geometries\":[', "
+        f"array_join(transform({numbers}, m -> {member}), ','), ']}}')"
+    )
+    return (
+        f"CASE WHEN {g}.type = 'GeometryCollection' THEN {members} "
+        f"WHEN {g}.type IS NOT NULL THEN {single(f'{g}.type', f'{g}.parts')} END"
+    )
 
-    def one_member(m: Column) -> Column:
-        own = F.filter(parts, lambda p: p["member"] == m)
-        return single(F.get(own, F.lit(0))["kind"], own)
 
-    members = head(kind, "geometries", bracket(F.transform(numbers, one_member)))
-    return F.when(kind == "GeometryCollection", members).when(kind.isNotNull(), single(kind, parts))
+def as_geojson(g: str) -> Column:
+    """GeoJSON geometry text for every type, collections included."""
+    return F.expr(as_geojson_sql(g))
 
 
 # --- predicates --------------------------------------------------------------
 
 
-def boxes_overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
+def boxes_overlap_sql(a: dict[str, str], b: dict[str, str]) -> str:
     """Closed envelopes share at least one point."""
     return (
-        (a["xmin"] <= b["xmax"]) & (a["xmax"] >= b["xmin"]) & (a["ymin"] <= b["ymax"]) & (a["ymax"] >= b["ymin"])
+        f"{a['xmin']} <= {b['xmax']} AND {a['xmax']} >= {b['xmin']} "
+        f"AND {a['ymin']} <= {b['ymax']} AND {a['ymax']} >= {b['ymin']}"
     )
 
 
-def _segments(ring: Column) -> Column:
-    """Consecutive vertex pairs; a lone vertex gives one segment of no length."""
-    size = F.size(ring)
-    pairs = F.zip_with(
-        F.slice(ring, F.lit(1), F.greatest(size - 1, F.lit(0))),
-        F.slice(ring, F.lit(2), F.greatest(size - 1, F.lit(0))),
-        lambda p, q: F.struct(p.alias("p"), q.alias("q")),
-    )
-    lone = F.transform(ring, lambda v: F.struct(v.alias("p"), v.alias("q")))
-    return F.when(size == 1, lone).otherwise(pairs)
+def _edges(r: str) -> str:
+    """Consecutive vertex pairs of a ring; a lone vertex gives one edge of no length."""
+    steps = f"greatest(size({r}) - 1, 0)"
+    pairs = f"zip_with(slice({r}, 1, {steps}), slice({r}, 2, {steps}), (v, w) -> struct(v AS p, w AS q))"
+    return f"if(size({r}) = 1, transform({r}, v -> struct(v AS p, v AS q)), {pairs})"
 
 
-def segments(geom: Column) -> Column:
-    return F.flatten(F.transform(rings_of(geom), _segments))
+def _segments(g: str) -> str:
+    return f"flatten(transform({rings_sql(g)}, r -> {_edges('r')}))"
 
 
-def _side(p: Column, q: Column, x: Column, y: Column) -> Column:
-    """> 0 left of p->q, < 0 right of it, 0 on its line."""
-    return (q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"])
+def _side(s: str, x: str, y: str) -> str:
+    """> 0 left of the edge, < 0 right of it, 0 on its line."""
+    return f"(({s}.q.x - {s}.p.x) * ({y} - {s}.p.y) - ({s}.q.y - {s}.p.y) * ({x} - {s}.p.x))"
 
 
-def _span(s: Column) -> dict[str, Column]:
+def _span(s: str) -> dict[str, str]:
     return {
-        "xmin": F.least(s["p"]["x"], s["q"]["x"]),
-        "ymin": F.least(s["p"]["y"], s["q"]["y"]),
-        "xmax": F.greatest(s["p"]["x"], s["q"]["x"]),
-        "ymax": F.greatest(s["p"]["y"], s["q"]["y"]),
+        "xmin": f"least({s}.p.x, {s}.q.x)",
+        "ymin": f"least({s}.p.y, {s}.q.y)",
+        "xmax": f"greatest({s}.p.x, {s}.q.x)",
+        "ymax": f"greatest({s}.p.y, {s}.q.y)",
     }
 
 
-def polygons_contain(geom: Column, x: Column, y: Column) -> Column:
+def contains_sql(g: str, x: str, y: str) -> str:
     """Even-odd test of a point against each polygon part, holes left out."""
+    crosses = f"((e.p.y > {y}) <> (e.q.y > {y})) AND ((e.q.y > e.p.y) = ({_side('e', x, y)} > 0))"
+    edges = f"flatten(transform(o.rings, r -> {_edges('r')}))"
+    return (
+        f"exists({g}.parts, o -> o.kind IN ('Polygon', 'MultiPolygon') "
+        f"AND size(filter({edges}, e -> {crosses})) % 2 = 1)"
+    )
 
-    def crosses(s: Column) -> Column:
-        rising = s["q"]["y"] > s["p"]["y"]
-        straddles = (s["p"]["y"] > y) != (s["q"]["y"] > y)
-        left = _side(s["p"], s["q"], x, y) > 0
-        return straddles & (rising == left)
-
-    def inside(part: Column) -> Column:
-        edges = F.flatten(F.transform(part["rings"], _segments))
-        hits = F.size(F.filter(edges, crosses))
-        return part["kind"].isin("Polygon", "MultiPolygon") & (hits % 2 == 1)
 
-    return F.exists(geom["parts"], inside)
+def intersects_box_sql(g: str, b: dict[str, str]) -> str:
+    corners = [(b["xmin"], b["ymin"]), (b["xmin"], b["ymax"]), (b["xmax"], b["ymin"]), (b["xmax"], b["ymax"])]
+    sides = ", ".join(_side("s", x, y) for x, y in corners)
+    meets = f"{boxes_overlap_sql(_span('s'), b)} AND least({sides}) <= 0 AND greatest({sides}) >= 0"
+    return f"(exists({_segments(g)}, s -> {meets}) OR {contains_sql(g, b['xmin'], b['ymin'])})"
 
 
-def intersects_box(geom: Column, b: dict[str, Column]) -> Column:
+def intersects_box(g: str, b: dict[str, str]) -> Column:
     """Exact closed test of a geometry against an axis-parallel box."""
-    corners = [(b["xmin"], b["ymin"]), (b["xmin"], b["ymax"]), (b["xmax"], b["ymin"]), (b["xmax"], b["ymax"])]
-
-    def touches(s: Column) -> Column:
-        sides = [_side(s["p"], s["q"], x, y) for x, y in corners]
-        apart = (F.least(*sides) > 0) | (F.greatest(*sides) < 0)
-        return boxes_overlap(_span(s), b) & ~apart
+    return F.expr(intersects_box_sql(g, b))
 
-    return F.exists(segments(geom), touches) | polygons_contain(geom, b["xmin"], b["ymin"])
 
+def intersects_sql(a: str, b: str) -> str:
+    def across(s: str, t: str) -> str:
+        ends = [f"signum({_side(s, f'{t}.{end}.x', f'{t}.{end}.y')})" for end in "pq"]
+        return f"{ends[0]} * {ends[1]} <= 0"
 
-def intersects(a: Column, b: Column) -> Column:
-    """Exact closed test of two geometries."""
+    def one_inside(outer: str, inner: str) -> str:
+        # one vertex per part is enough: an edge that crosses was found already
+        firsts = f"filter(transform({inner}.parts, p -> get(get(p.rings, 0), 0)), f -> f IS NOT NULL)"
+        return f"exists({firsts}, f -> {contains_sql(outer, 'f.x', 'f.y')})"
 
-    def meet(s: Column, t: Column) -> Column:
-        one = F.signum(_side(s["p"], s["q"], t["p"]["x"], t["p"]["y"])) * F.signum(
-            _side(s["p"], s["q"], t["q"]["x"], t["q"]["y"])
-        )
-        two = F.signum(_side(t["p"], t["q"], s["p"]["x"], s["p"]["y"])) * F.signum(
-            _side(t["p"], t["q"], s["q"]["x"], s["q"]["y"])
-        )
-        return boxes_overlap(_span(s), _span(t)) & (one <= 0) & (two <= 0)
+    meet = f"{boxes_overlap_sql(_span('s'), _span('t'))} AND {across('s', 't')} AND {across('t', 's')}"
+    crossing = f"exists({_segments(a)}, s -> exists({_segments(b)}, t -> {meet}))"
+    return f"({crossing} OR {one_inside(a, b)} OR {one_inside(b, a)})"
 
-    def one_inside(outer: Column, inner: Column) -> Column:
-        # one vertex per part is enough: an edge that crosses was found already
-        firsts = F.filter(
-            F.transform(inner["parts"], lambda p: F.get(F.get(p["rings"], F.lit(0)), F.lit(0))),
-            lambda v: v.isNotNull(),
-        )
-        return F.exists(firsts, lambda v: polygons_contain(outer, v["x"], v["y"]))
 
-    edges_b = segments(b)
-    crossing = F.exists(segments(a), lambda s: F.exists(edges_b, lambda t: meet(s, t)))
-    return crossing | one_inside(a, b) | one_inside(b, a)
+def intersects(a: str, b: str) -> Column:
+    """Exact closed test of two geometries."""
+    return F.expr(intersects_sql(a, b))
 
 
-def is_axis_box(geom: Column) -> Column:
-    """True for a point or an axis-parallel rectangle, whose envelope is the shape itself."""
-    parts = geom["parts"]
-    ring = F.get(F.get(parts, F.lit(0))["rings"], F.lit(0))
-    straight = F.forall(
-        _segments(ring), lambda s: (s["p"]["x"] == s["q"]["x"]) | (s["p"]["y"] == s["q"]["y"])
-    )
-    lone_ring = (F.size(parts) == 1) & (F.size(F.get(parts, F.lit(0))["rings"]) == 1)
+def is_axis_box_sql(g: str) -> str:
+    ring = f"get(get({g}.parts, 0).rings, 0)"
+    straight = f"forall({_edges(ring)}, s -> s.p.x = s.q.x OR s.p.y = s.q.y)"
     four_corners = (
-        (F.size(ring) == 5)
-        & (F.size(F.array_distinct(ring)) == 4)
-        & (F.get(ring, F.lit(0)) == F.get(ring, F.lit(4)))
-        & straight
+        f"size({ring}) = 5 AND size(array_distinct({ring})) = 4 AND get({ring}, 0) = get({ring}, 4) AND {straight}"
     )
-    return F.coalesce(
-        lone_ring & ((geom["type"] == "Point") | ((geom["type"] == "Polygon") & four_corners)), F.lit(False)
+    return (
+        f"coalesce(size({g}.parts) = 1 AND size(get({g}.parts, 0).rings) = 1 "
+        f"AND ({g}.type = 'Point' OR ({g}.type = 'Polygon' AND {four_corners})), false)"
     )
+
+
+def is_axis_box(g: str) -> Column:
+    """True for a point or an axis-parallel rectangle, whose envelope is the shape itself."""
+    return F.expr(is_axis_box_sql(g))

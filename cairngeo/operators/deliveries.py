@@ -139,8 +139,8 @@ def delivery_bounds(features: DataFrame) -> DataFrame:
     )
     moved = box.select(
         "order_id",
-        crs.sweref_to_wgs84(F.col("min_e"), F.col("min_n")).alias("sw"),
-        crs.sweref_to_wgs84(F.col("max_e"), F.col("max_n")).alias("ne"),
+        crs.sweref_to_wgs84("min_e", "min_n").alias("sw"),
+        crs.sweref_to_wgs84("max_e", "max_n").alias("ne"),
     )
     good = F.col("sw").isNotNull() & F.col("ne").isNotNull()
 

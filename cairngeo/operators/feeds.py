@@ -96,8 +96,8 @@ def latest(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*others), newest).alias("row")).select(key, "row.*")
 
 
-def weather_rows(points: DataFrame) -> DataFrame:
-    """Flat weather observations of points with a readable position."""
+def weather_rows(points: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Flat weather observations of points with a readable position, and the columns to keep."""
     obs = "Observation"
     wind = F.get(F.col(f"{obs}.Wind"), F.lit(0))
     flat = (
@@ -116,6 +116,7 @@ def weather_rows(points: DataFrame) -> DataFrame:
             wind["Direction"]["Value"].alias("wind_dir"),
             feeds.or_unknown(F.col(f"{obs}.Weather.Precipitation"), "unknown").alias("precipitation"),
             F.col(f"{obs}.Sample").alias("sample"),
+            *keep,
         )
     )
     return flat.withColumns(

@@ -32,15 +32,15 @@ Box = tuple[float, float, float, float]
 
 
 def with_envelope(df: DataFrame, geom: str = "geom") -> DataFrame:
-    return df.withColumns(G.envelope(F.col(geom)))
+    return df.withColumns(G.envelope(geom))
 
 
-def envelope_columns(prefix: str = "") -> dict[str, Column]:
-    return {name: F.col(prefix + name) for name in ENVELOPE}
+def envelope_columns(prefix: str = "") -> dict[str, str]:
+    return {name: prefix + name for name in ENVELOPE}
 
 
-def literal_box(b: Box) -> dict[str, Column]:
-    return {name: F.lit(float(value)) for name, value in zip(ENVELOPE, b)}
+def literal_box(b: Box) -> dict[str, str]:
+    return {name: f"{float(value)!r}D" for name, value in zip(ENVELOPE, b)}
 
 
 def parse_box(text: str) -> Box:
@@ -67,12 +67,12 @@ def properties(df: DataFrame, bookkeeping: bool = True) -> DataFrame:
 def bbox_filter(df: DataFrame, box: Box | str) -> DataFrame:
     """Rows whose envelope meets the box, edges included."""
     b = parse_box(box) if isinstance(box, str) else box
-    return df.filter(G.boxes_overlap(envelope_columns(), literal_box(b)))
+    return df.filter(G.boxes_overlap_sql(envelope_columns(), literal_box(b)))
 
 
 def intersects_box(df: DataFrame, box: Box) -> DataFrame:
     """Rows whose geometry meets the box; the envelope decides first."""
-    return bbox_filter(df, box).filter(G.intersects_box(F.col("geom"), literal_box(box)))
+    return bbox_filter(df, box).filter(G.intersects_box("geom", literal_box(box)))
 
 
 def projected_box(box: Box, source: int, target: int, spark: SparkSession) -> list[tuple[float, float]]:
@@ -81,7 +81,7 @@ def projected_box(box: Box, source: int, target: int, spark: SparkSession) -> li
     corners = [(xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax)]
     fields = []
     for i, (x, y) in enumerate(corners):
-        moved = crs.transform_xy(F.lit(float(x)), F.lit(float(y)), source, target)
+        moved = crs.transform_xy(f"{float(x)!r}D", f"{float(y)!r}D", source, target)
         fields += [moved[0].alias(f"x{i}"), moved[1].alias(f"y{i}")]
     row = spark.range(1).select(*fields).first()
     return [(row[2 * i], row[2 * i + 1]) for i in range(4)]
@@ -95,7 +95,7 @@ def intersects_box_in(df: DataFrame, box: Box, box_srid: int, layer_srid: int) -
     xs, ys = [x for x, _ in quad], [y for _, y in quad]
     shape = G.polygon(*[(F.lit(x), F.lit(y)) for x, y in quad])
     near = bbox_filter(df, (min(xs), min(ys), max(xs), max(ys)))
-    return near.filter(G.intersects(F.col("geom"), shape))
+    return near.withColumn("_quad", shape).filter(G.intersects("geom", "_quad")).drop("_quad")
 
 
 def attr_filter(df: DataFrame, field: str, op: str, value: str) -> DataFrame:
@@ -192,17 +192,16 @@ def extent(df: DataFrame) -> DataFrame:
     return df.agg(*extent_aggregates())
 
 
-def box_text(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+def box_text(minx: str = "minx", miny: str = "miny", maxx: str = "maxx", maxy: str = "maxy") -> Column:
     """Envelope as polygon text, corners from the lower left, up first."""
     corners = [(minx, miny), (minx, maxy), (maxx, maxy), (maxx, miny), (minx, miny)]
-    pairs = [F.concat(G.number_text(x), F.lit(" "), G.number_text(y)) for x, y in corners]
-    return F.concat(F.lit("POLYGON(("), F.concat_ws(", ", *pairs), F.lit("))"))
+    pairs = ", ', ', ".join(f"{G.number_sql(x)}, ' ', {G.number_sql(y)}" for x, y in corners)
+    return F.expr(f"concat('POLYGON((', {pairs}, '))')")
 
 
 def extent_text(df: DataFrame) -> DataFrame:
     e = extent(df)
-    text = box_text(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"))
-    return e.select(F.when(F.col("minx").isNotNull(), text).alias("bbox"))
+    return e.select(box_text().alias("bbox"))  # null for an empty layer
 
 
 def source_extent(catalogue: DataFrame, features: DataFrame, keys: Iterable[str]) -> DataFrame:

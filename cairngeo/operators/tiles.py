@@ -25,8 +25,8 @@ def with_boxes(tiles: DataFrame) -> DataFrame:
 
 def with_polygons(tiles: DataFrame) -> DataFrame:
     """Polygon in degrees through the two transformed corners of the box."""
-    west, south = crs.grid_to_lonlat(F.col("xmin").cast("double"), F.col("ymin").cast("double"))
-    east, north = crs.grid_to_lonlat(F.col("xmax").cast("double"), F.col("ymax").cast("double"))
+    west, south = crs.grid_to_lonlat("double(xmin)", "double(ymin)")
+    east, north = crs.grid_to_lonlat("double(xmax)", "double(ymax)")
     corners = tiles.withColumns({"west": west, "south": south, "east": east, "north": north})
     return corners.withColumn("geom", G.box(*[F.col(c) for c in ("west", "south", "east", "north")]))
 
@@ -41,7 +41,7 @@ def totals(tiles: DataFrame) -> DataFrame:
 
 def fit_box(tiles: DataFrame) -> DataFrame:
     """Box in degrees around all tile polygons."""
-    ring = tiles.select(F.explode(G.vertices(F.col("geom"))).alias("v"))
+    ring = tiles.select(F.explode(G.vertices("geom")).alias("v"))
     return ring.agg(
         F.min("v.x").alias("west"),
         F.min("v.y").alias("south"),

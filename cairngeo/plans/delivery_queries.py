@@ -585,11 +585,11 @@ CORNERS = f"""
 )
 def f9(spark, d):
     shown = tiles.with_polygons(_tiles(spark, d))
-    corner = [F.get(G.vertices(F.col("geom")), F.lit(i)) for i in (0, 2)]
+    corner = [F.get(G.vertices("geom"), F.lit(i)) for i in (0, 2)]
     return shown.select(
         "order_id",
         "title",
-        F.size(G.vertices(F.col("geom"))).alias("vertices"),
+        F.size(G.vertices("geom")).alias("vertices"),
         F.round(corner[0]["x"], 6).alias("west"),
         F.round(corner[0]["y"], 6).alias("south"),
         F.round(corner[1]["x"], 6).alias("east"),

@@ -281,7 +281,7 @@ def a16(spark, d):
 @query("A17_centroid", sql("SELECT fid, (4 * cx + cx) / 5 AS x, (5 * cy - half) / 5 AS y FROM box_layer", "box_layer"))
 def a17(spark, d):
     # a diamond's ring repeats its southern corner, which pulls the mean south
-    df = views.diamond_layer(spark, d).withColumn("c", G.centroid(F.col("geom")))
+    df = views.diamond_layer(spark, d).withColumn("c", G.centroid("geom"))
     return df.select("fid", "c.x", "c.y")
 
 
@@ -297,7 +297,7 @@ def a17(spark, d):
     FROM ll, z GROUP BY ALL""",
 )
 def a20(spark, d):
-    lon, lat = crs.grid_to_lonlat(F.col("xmin"), F.col("ymin"))
+    lon, lat = crs.grid_to_lonlat("xmin", "ymin")
     degrees = views.point_layer(spark, d).select(lon.alias("lon"), lat.alias("lat"))
     boxed = degrees.selectExpr("lon AS xmin", "lat AS ymin", "lon AS xmax", "lat AS ymax")
     return spatial.tile_pyramid(boxed, F.lit("points"))
@@ -321,8 +321,8 @@ def a20(spark, d):
 )
 def a20b(spark, d):
     b = views.box_layer(spark, d)
-    west, south = crs.grid_to_lonlat(F.col("xmin"), F.col("ymin"))
-    east, north = crs.grid_to_lonlat(F.col("xmax"), F.col("ymax"))
+    west, south = crs.grid_to_lonlat("xmin", "ymin")
+    east, north = crs.grid_to_lonlat("xmax", "ymax")
     boxed = b.select(west.alias("xmin"), south.alias("ymin"), east.alias("xmax"), north.alias("ymax"))
     return spatial.tile_pyramid(boxed, F.lit("boxes"))
 
@@ -453,12 +453,12 @@ def _pairs(left: str, between: str, right: str, join: str) -> str:
 )
 def f2(spark, d):
     parsed = _blobs(spark, d).withColumn("geom", G.parse_wkb(G.strip_header(F.col("blob"))))
-    return parsed.select("fid", G.as_geojson(F.col("geom")).alias("geojson"))
+    return parsed.select("fid", G.as_geojson("geom").alias("geojson"))
 
 
 @query("F3_geometry_text", sql("SELECT fid, 'POLYGON((' || " + _pairs("", " ", "", ", ") + " || '))' AS wkt FROM box_layer", "box_layer"))
 def f3(spark, d):
-    return views.diamond_layer(spark, d).select("fid", G.as_text(F.col("geom")).alias("wkt"))
+    return views.diamond_layer(spark, d).select("fid", G.as_text("geom").alias("wkt"))
 
 
 @query(
@@ -467,7 +467,7 @@ def f3(spark, d):
 )
 def f4(spark, d):
     df = views.diamond_layer(spark, d)
-    return df.select("fid", F.posexplode(G.vertices(F.col("geom"))).alias("pos", "v")).select("fid", "pos", "v.x", "v.y")
+    return df.select("fid", F.posexplode(G.vertices("geom")).alias("pos", "v")).select("fid", "pos", "v.x", "v.y")
 
 
 @query("F5_envelope", sql("SELECT fid, xmin, ymin, xmax, ymax FROM box_layer", "box_layer"))
@@ -481,7 +481,7 @@ def f5(spark, d):
     f"SELECT fid, round(lon, 6) AS lon, round(lat, 6) AS lat FROM {projected('SELECT c_custkey AS fid, CAST(300000 + (c_custkey * 7919) % 500000 AS DOUBLE) AS e, CAST(6200000 + (c_custkey * 104729) % 1300000 AS DOUBLE) AS n FROM customer')}",
 )
 def f6(spark, d):
-    at = crs.sweref_to_wgs84(F.col("xmin"), F.col("ymin"))
+    at = crs.sweref_to_wgs84("xmin", "ymin")
     df = views.point_layer(spark, d).select("fid", at.alias("at"))
     return df.select("fid", F.round("at.lon", 6).alias("lon"), F.round("at.lat", 6).alias("lat"))
 
@@ -492,15 +492,15 @@ def f6(spark, d):
 )
 def f7(spark, d):
     # the first vertex of each diamond in degrees, and whether it returns within a millimetre
-    there = crs.transform_geometry(F.col("geom"), crs.SWEREF, crs.WGS84)
+    there = crs.transform_geometry("geom", crs.SWEREF, crs.WGS84)
     df = views.diamond_layer(spark, d).select("fid", "geom", there.alias("moved"))
-    df = df.withColumn("again", crs.transform_geometry(F.col("moved"), crs.WGS84, crs.SWEREF))
+    df = df.withColumn("again", crs.transform_geometry("moved", crs.WGS84, crs.SWEREF))
     far = F.zip_with(
-        G.vertices(F.col("geom")),
-        G.vertices(F.col("again")),
+        G.vertices("geom"),
+        G.vertices("again"),
         lambda p, q: F.greatest(F.abs(p["x"] - q["x"]), F.abs(p["y"] - q["y"])),
     )
-    first = F.get(G.vertices(F.col("moved")), F.lit(0))
+    first = F.get(G.vertices("moved"), F.lit(0))
     return df.select(
         "fid",
         F.round(first["x"], 6).alias("lon"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crs, text
+from .sizes import dimension
 
 # Note on an order without a local delivery; box used when a corner is out of range.
 NO_LOCAL_NOTE = "All files (no local download)"
@@ -25,36 +26,30 @@ def dominant_type(members: DataFrame, hints: DataFrame) -> DataFrame:
     handful of rows per order for the pick, however many files it has.
     """
     hint = hints.select("order_id", text.product_hint([F.col(k) for k in text.HINT_KEYS]).alias("hint"))
+    relabelled = F.when((F.col("kind") == "raster_dem") & (F.col("hint") == "raster_ortho"), "raster_ortho")
     counts = (
-        members.select("order_id", "zip_name", "entry", text.data_type(F.col("extension")).alias("kind"))
-        .filter(F.col("kind").isNotNull())
+        members.withColumn("kind", text.data_type(F.col("extension")))
+        .groupBy("order_id", "kind", "zip_name")
+        .agg(F.count(F.lit(1)).alias("files"), F.min("entry").alias("entry"))
         .groupBy("order_id", "kind")
-        .agg(F.count(F.lit(1)).alias("files"), F.min(F.struct("zip_name", "entry")).alias("first"))
-        .join(hint, "order_id", "left")
-        .withColumn(
-            "kind",
-            F.when((F.col("kind") == "raster_dem") & (F.col("hint") == "raster_ortho"), "raster_ortho").otherwise(
-                F.col("kind")
-            ),
-        )
+        .agg(F.sum("files").alias("files"), F.min(F.struct("zip_name", "entry")).alias("first"))
+        .join(hint, "order_id", "full")
+        .withColumn("kind", F.coalesce(relabelled, "kind"))
         .groupBy("order_id", "kind")
-        .agg(F.sum("files").alias("files"), F.min("first").alias("first"))
+        .agg(F.sum("files").alias("files"), F.min("first").alias("first"), F.max("hint").alias("hint"))
     )
+    # rows without a kind have no rank, so the pick passes over them
+    rank = F.when(F.col("kind").isNotNull(), F.struct(-F.col("files"), F.col("first")))
     best = counts.groupBy("order_id").agg(
-        F.min_by(F.struct("kind", "files"), F.struct(-F.col("files"), F.col("first"))).alias("best")
+        F.min_by(F.struct("kind", "files"), rank).alias("best"), F.max("hint").alias("hint")
     )
-    orders = members.select("order_id").distinct().unionByName(hint.select("order_id")).distinct()
     kind = F.coalesce(F.col("best.kind"), F.col("hint"), F.lit("unknown"))
-    return (
-        orders.join(best, "order_id", "left")
-        .join(hint, "order_id", "left")
-        .select(
-            "order_id",
-            kind.alias("data_type"),
-            text.type_label(kind).alias("data_type_label"),
-            text.is_publishable(kind).alias("is_publishable"),
-            F.coalesce(F.col("best.files"), F.lit(0)).alias("files_of_type"),
-        )
+    return best.select(
+        "order_id",
+        kind.alias("data_type"),
+        text.type_label(kind).alias("data_type_label"),
+        text.is_publishable(kind).alias("is_publishable"),
+        F.coalesce(F.col("best.files"), F.lit(0)).alias("files_of_type"),
     )
 
 
@@ -175,7 +170,7 @@ def transfer_plan(listing: DataFrame, local: DataFrame, folders: DataFrame) -> D
     A missing file is fetched. A present one is skipped when it carries no
     update time or one not after the last delivery, else fetched.
     """
-    last = folders.select("order_id", "download_date")
+    last = dimension(folders.select("order_id", "download_date"))
     skip = F.col("exists") & (
         F.col("updated").isNull() | F.coalesce(F.col("updated") <= F.col("download_date"), F.lit(False))
     )
@@ -197,7 +192,7 @@ def transfer_summary(plan: DataFrame) -> DataFrame:
 
 def newer_files(listing: DataFrame, folders: DataFrame) -> DataFrame:
     """Listed files updated after their order's last delivery, a row per file."""
-    last = folders.select("order_id", "download_date")
+    last = dimension(folders.select("order_id", "download_date"))
     return listing.join(last, "order_id").filter(F.col("updated") > F.col("download_date"))
 
 

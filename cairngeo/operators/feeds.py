@@ -6,13 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import feeds
+from .sizes import dimension
 
 # Announcement horizon around now, and its row cap.
 BEFORE, AFTER, MAX_ANNOUNCEMENTS = "15 minutes", "5 minutes", 500
 
-# A station list is broadcast while it is below this many rows; a row is well under 200 bytes.
-BROADCAST_ROWS = 100_000
-
 
 def advertised_stations(stations: DataFrame) -> DataFrame:
     """Advertised stations with a readable position: signature, name, lon, lat."""
@@ -29,12 +27,6 @@ def advertised_stations(stations: DataFrame) -> DataFrame:
     )
 
 
-def dimension(df: DataFrame) -> DataFrame:
-    """Broadcast a dimension whose row count was checked, else leave the join to the optimizer."""
-    rows = df.limit(BROADCAST_ROWS + 1).count()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def in_horizon(time: Column, now: Column) -> Column:
     return (time > now - F.expr(f"INTERVAL {BEFORE}")) & (time < now + F.expr(f"INTERVAL {AFTER}"))
 

@@ -175,9 +175,9 @@ class Publisher:
         ranked = delivery_ops.dominant_type(members, deliveries.read_hints(self.spark, self.root))
         return delivery_ops.index_first(ranked, deliveries.read_tile_index(self.spark, self.root))
 
-    def catalogue(self, members: DataFrame) -> DataFrame:
+    def catalogue(self, members: DataFrame, types: DataFrame) -> DataFrame:
         """Source layers of the publishable orders, unpacked to the shared folder."""
-        vector = delivery_ops.publishable(self.types(members)).select("order_id")
+        vector = delivery_ops.publishable(types).select("order_id")
         wanted = members.join(vector, "order_id", "left_semi")
         staged = archives.unpack(wanted, f"{self.location}/unpacked")
         return cut_lineage(archives.source_layers(cut_lineage(staged)))
@@ -217,11 +217,14 @@ class Publisher:
         the due layers; each layer is one Spark job over its own files.
         """
         members = cut_lineage(self.members(order_ids))
-        catalogue = self.catalogue(members)
+        types = cut_lineage(self.types(members))
+        catalogue = self.catalogue(members, types)
         groups = layers.only_layers(self.layer_groups(catalogue), layer_names)
         ledger = self.ledger.read()
         due = ledger_ops.due(groups, ledger)
         outcomes, loaded = [], []
+        if order_ids:
+            outcomes += self._refused(order_ids, types)
         broken = catalogue.filter(F.col("error").isNotNull()).select("order_id", "layer_name", "inner_path", "error")
         for bad in broken.toLocalIterator():
             name = bad["layer_name"] or text_stem(bad["inner_path"])
@@ -259,6 +262,26 @@ class Publisher:
         report.withColumn("reported_at", F.current_timestamp()).write.mode("append").parquet(self.reports)
         return report
 
+    def _refused(self, order_ids: list[str], types: DataFrame) -> list[tuple]:
+        """Report rows of orders that were asked for by name and cannot be published."""
+        asked = self.spark.createDataFrame([(o,) for o in sorted(set(order_ids))], "order_id string")
+        there = self.orders().withColumn("there", F.lit(True))
+        kinds = types.select("order_id", "data_type", "is_publishable")
+        joined = asked.join(there, "order_id", "left").join(kinds, "order_id", "left")
+        rows = joined.filter(~F.coalesce("is_publishable", F.lit(False))).collect()  # the asked names at most
+        return [
+            (
+                row["order_id"],
+                None,
+                None,
+                0,
+                0.0,
+                "failed",
+                f"data type {row['data_type'] or 'unknown'} cannot be published" if row["there"] else "no such order",
+            )
+            for row in rows
+        ]
+
     def publish_incremental(self) -> DataFrame:
         """All orders, only the layers that are new or whose bytes changed."""
         return self.publish_orders()

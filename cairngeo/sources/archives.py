@@ -46,7 +46,8 @@ def _open(path: str):
 
 
 def _frame(rows: list[dict], schema: T.StructType) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=schema.fieldNames()).astype(object)
+    names = schema.fieldNames()
+    return pd.DataFrame([[row.get(name) for name in names] for row in rows], columns=names, dtype=object)
 
 
 # --- listing -----------------------------------------------------------------------

@@ -321,6 +321,8 @@ class Publisher:
             if name not in still_used:
                 self.spark.sql(f"DROP TABLE IF EXISTS `{self.database}`.`{name}`")
         self.ledger.replace(kept)
+        for row in stale.select("order_id").distinct().toLocalIterator():
+            files.delete_tree(self.spark, f"{self.location}/unpacked/{row['order_id']}")
         return removed
 
     def set_package_name(self, order_id: str, package_name: str) -> None:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import crs
 from ..functions import geometry as G
 from ..functions.sql import register_functions
-from ..operators import deliveries, export, layers, ledger, publish
+from ..operators import deliveries, export, feeds, layers, ledger, publish
 from ..operators import tiles as tile_ops
 from ..operators.versioned import VersionedTable
 from ..sources import archives
 from ..sources import deliveries as readers
+from ..sources import feeds as feed_readers
 from . import landing, views
 from .layer_queries import BOX, IN_BOX, STAMP, stamp
 from .registry import query
@@ -157,6 +158,34 @@ def s8(spark, d):
     return read.select("order_id", stamp("download_date"), "total_size", "package_name")
 
 
+@query(
+    "S9_feed_readers",
+    sql(f"SELECT announcement_id, train, station_name, lon, lat, origin, destination, delay, operator, {STAMP.format('time')} AS time FROM train_rows", "train_rows"),
+)
+def s9(spark, d):
+    folder = landing.new_folder(spark, "feeds")
+    # the feeds carry their times with a zone
+    zoned = {c: F.col(c).cast("timestamp") for c in ("TimeAtLocation", "AdvertisedTimeAtLocation")}
+    views.announcements(spark, d).withColumns(zoned).write.json(f"{folder}/announcements")
+    views.stations(spark, d).write.json(f"{folder}/stations")
+    stations = feeds.advertised_stations(feed_readers.read_stations(spark, f"{folder}/stations"))
+    rows = feeds.train_rows(feed_readers.read_announcements(spark, f"{folder}/announcements"), stations)
+    return rows.drop("delay_class", "delay_text").withColumn("time", stamp("time"))
+
+
+@query(
+    "S9_weather_reader",
+    sql(f"SELECT id, name, lon, lat, round(air_temp, 4) AS air_temp, wind_dir, precipitation, {STAMP.format('sample')} AS sample FROM weather", "weather"),
+)
+def s9b(spark, d):
+    folder = landing.new_folder(spark, "feeds")
+    zoned = F.col("Observation").withField("Sample", F.col("Observation.Sample").cast("timestamp"))
+    views.weather(spark, d).withColumn("Observation", zoned).drop("event_id").write.json(folder)
+    rows = feeds.weather_rows(feed_readers.read_weather(spark, folder))
+    shown = rows.select("id", "name", "lon", "lat", "air_temp", "wind_dir", "precipitation", "sample")
+    return shown.withColumns({"sample": stamp("sample"), "air_temp": F.round("air_temp", 4)})
+
+
 # --- sinks -------------------------------------------------------------------------------
 
 

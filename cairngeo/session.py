@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    The same as ``--py-files``, for sessions that were started without it.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_cairngeo_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    bundle = os.path.join(tempfile.mkdtemp(prefix="cairngeo-package-"), "cairngeo.zip")
+    with zipfile.ZipFile(bundle, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(bundle)
+    context._cairngeo_shipped = True
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime options every operator relies on (all are session-level)."""
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")

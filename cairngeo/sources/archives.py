@@ -92,8 +92,7 @@ def unpack(members: DataFrame, staging: str) -> DataFrame:
     """GeoPackage members copied to ``staging``, with the SHA-256 of their bytes.
 
     ``staging`` is a folder every executor mounts. A copy appears under its name
-    only when it is whole, so a task that is lost or run twice does no harm, and
-    a member that is there with the right size is only read for its hash. A
+    only when it is whole, so a task that is lost or run twice does no harm. A
     member that cannot be read gives a row with an error.
     """
     folder = unquote(urlparse(staging).path)

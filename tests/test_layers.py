@@ -71,6 +71,18 @@ def test_join_with_a_hot_cell(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize(("a_size", "b_size"), [((5, 30), (5, 30)), ((300, 2), (3, 150))])
+def test_crowded_cells_are_cut_without_changing_the_result(spark, monkeypatch, a_size, b_size):
+    a, rows_a = triangles(spark, 3, 150, a_size)
+    b, rows_b = triangles(spark, 4, 150, b_size)
+    want = sorted((s[0], t[0]) for s in rows_a for t in rows_b if triangles_meet(s, t))
+    monkeypatch.setattr(spatial, "SLICE_ROWS", 4)
+    monkeypatch.setattr(spatial, "SAMPLE", 1.0)
+    joined = spatial.spatial_join(a, b, width=64.0)
+    assert "home_slice" in plan_of(joined)
+    assert sorted(tuple(r) for r in joined.collect()) == want and want
+
+
 def test_join_with_an_empty_side(spark):
     some = boxes(spark, [(1, 0.0, 0.0, 1.0, 1.0)])
     assert spatial.spatial_join(some, some.filter("fid > 1")).count() == 0

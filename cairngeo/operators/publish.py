@@ -168,8 +168,7 @@ class Publisher:
         return self.spark.createDataFrame([(n,) for n in names], "order_id string")
 
     def members(self, order_ids: list[str] | None = None) -> DataFrame:
-        found = layers.only_layers(deliveries.scan_orders(self.spark, self.root), order_ids, "order_id")
-        return archives.zip_members(found)
+        return archives.zip_members(deliveries.scan_orders(self.spark, self.root, order_ids))
 
     def types(self, members: DataFrame) -> DataFrame:
         ranked = delivery_ops.dominant_type(members, deliveries.read_hints(self.spark, self.root))
@@ -186,11 +185,11 @@ class Publisher:
     def layer_groups(catalogue: DataFrame) -> DataFrame:
         """One row per (order, layer): its files taken together, with one hash over them.
 
-        A single file keeps its own hash. Several are mixed by exclusive or, which
-        needs no order and no list.
+        A single file keeps its own hash. Of several, the hashes are added up in
+        pieces, which needs no order and no list.
         """
         pieces = [
-            F.bit_xor(F.conv(F.substring("source_hash", 1 + 15 * k, 15), 16, 10).cast("bigint")) for k in range(4)
+            F.sum(F.conv(F.substring("source_hash", 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)")) for k in range(4)
         ]
         count = F.countDistinct("staged_path")
         mixed = F.sha2(F.concat_ws("-", count, *pieces), 256)

@@ -7,6 +7,8 @@ their own path.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,24 +19,34 @@ from . import files
 INDEX_NAME = r"^\d+_\d+$"
 
 
-def _roots(spark: SparkSession, root: str) -> list[str]:
-    hidden = [name for name in files.order_folders(spark, root) if name.startswith("_")]
-    return [root, *(f"{root.rstrip('/')}/{name}" for name in hidden)]
+def _roots(spark: SparkSession, root: str, order_ids: Iterable[str] | None = None) -> list[str]:
+    """Folders to read: the root and its underscore orders, or only the named orders that exist."""
+    base = root.rstrip("/")
+    there = files.order_folders(spark, root)
+    if order_ids:
+        wanted = set(order_ids)
+        return [f"{base}/{name}" for name in there if name in wanted]
+    return [base, *(f"{base}/{name}" for name in there if name.startswith("_"))]
 
 
-def _order_id(path: Column, root: str) -> Column:
-    """First folder below the root in a full file path (which Spark gives URL-encoded)."""
+def order_of(path: Column, root: str) -> Column:
+    """First folder below a qualified root in a full file path (which Spark gives URL-encoded)."""
     below = F.substring_index(F.replace(path, F.lit(root + "/"), F.lit("")), "/", 1)
     return F.url_decode(below)
 
 
-def scan_orders(spark: SparkSession, root: str) -> DataFrame:
-    """Every file of every order: order_id, path, file_name, size, modified. No content is read."""
+def scan_orders(spark: SparkSession, root: str, order_ids: Iterable[str] | None = None) -> DataFrame:
+    """Every file of every order, or of the named ones: order_id, path, file_name, size, modified.
+
+    No content is read.
+    """
     base = files.qualified(spark, root)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_roots(spark, root))
+    roots = _roots(spark, root, order_ids)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    found = reader.load(roots) if roots else reader.load(root).limit(0)
     path = F.col("path")
     return found.filter(~F.replace(path, F.lit(base + "/"), F.lit("")).startswith(".")).select(
-        _order_id(path, base).alias("order_id"),
+        order_of(path, base).alias("order_id"),
         "path",
         text.base_name(path).alias("file_name"),
         F.col("length").alias("size"),
@@ -51,7 +63,7 @@ def _json(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
         .option("pathGlobFilter", name)
         .json(_roots(spark, root))
     )
-    return read.withColumn("_order", _order_id(F.col("_metadata.file_path"), base))
+    return read.withColumn("_order", order_of(F.col("_metadata.file_path"), base))
 
 
 def read_delivery_stats(spark: SparkSession, root: str) -> DataFrame:
@@ -103,7 +115,7 @@ def read_tile_index(spark: SparkSession, root: str) -> DataFrame:
         .filter(F.col("index_name").rlike(INDEX_NAME) & F.ltrim("value").startswith("["))
     )
     entry = whole.select(
-        _order_id(F.col("path"), base).alias("order_id"),
+        order_of(F.col("path"), base).alias("order_id"),
         "index_name",
         F.explode(F.from_json("value", schemas.TILE_INDEX)).alias("entry"),
     )

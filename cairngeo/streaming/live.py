@@ -17,7 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import feeds
 from ..operators.publish import Publisher
 from ..operators.versioned import VersionedTable
-from ..sources.deliveries import scan_orders
+from ..sources import files
+from ..sources.deliveries import order_of
 
 WATERMARK, WINDOW = "15 minutes", "5 minutes"
 FILES_PER_TRIGGER = 1000
@@ -80,6 +81,7 @@ def live_weather(
 def watch_deliveries(publisher: Publisher, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Publish the orders whose archives arrive; unchanged layers are skipped by their hash."""
     spark: SparkSession = publisher.spark
+    base = files.qualified(spark, publisher.root)
     arrived = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length bigint, content binary")
@@ -91,8 +93,7 @@ def watch_deliveries(publisher: Publisher, checkpoint: str, available_now: bool
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        paths = batch.select("path").distinct()
-        orders = scan_orders(spark, publisher.root).join(paths, "path", "left_semi").select("order_id").distinct()
+        orders = batch.select(order_of(F.col("path"), base).alias("order_id")).distinct()
         names = [row["order_id"] for row in orders.collect()]  # at most one per file of the trigger
         if names:
             publisher.publish_orders(names)

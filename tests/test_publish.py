@@ -76,6 +76,23 @@ def test_catalogue(spark, root, tmp_path):
     assert got[("b.zip", "Empty")].feature_count == 0 and "cannot read" in got[("c.zip", None)].error
 
 
+def test_hash_over_several_files(spark):
+    def hashed(*parts):
+        rows = [("o", "l", f"p{i}", h * 64, f"d/f{i}.gpkg", 3006, [("a", "TEXT")], None) for i, h in enumerate(parts)]
+        df = spark.createDataFrame(
+            rows,
+            "order_id string, layer_name string, staged_path string, source_hash string, inner_path string, srid int,"
+            " columns array<struct<name:string,type:string>>, error string",
+        )
+        row = Publisher.layer_groups(df).first()
+        assert row.uniform and row.source_file == "f0.gpkg"
+        return row.source_hash
+
+    assert hashed("a") == "a" * 64
+    assert hashed("a", "b") == hashed("b", "a")
+    assert len({hashed("a", "a"), hashed("b", "b"), hashed("a", "b"), hashed("f", "f", "f", "f", "f", "f", "f", "f")}) == 4
+
+
 def test_ranges_cover_gappy_row_numbers(spark, root, tmp_path):
     staged = archives.unpack(archives.zip_members(readers.scan_orders(spark, root)), str(tmp_path / "staged"))
     roads = archives.source_layers(staged).filter("layer_name = 'Roads-1'")

@@ -131,82 +131,130 @@ def _read_parts(buf: memoryview, at: int, parts: list, member: int, kind: str |
     return base, at
 
 
-def _offsets(sizes: list[int]) -> pa.Array:
+def _offsets(sizes) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32), pa.int32())
 
 
+def _nested(types, null, part_sizes, members, kinds, ring_sizes, vertex_sizes, xy: np.ndarray) -> pa.Array:
+    """Arrow geometry array from its sizes, level by level, and all coordinates in one run."""
+    axes = [pa.array(np.ascontiguousarray(xy[:, k])) for k in (0, 1)]
+    rings = pa.ListArray.from_arrays(_offsets(vertex_sizes), pa.StructArray.from_arrays(axes, ["x", "y"]))
+    shapes = pa.ListArray.from_arrays(_offsets(ring_sizes), rings)
+    parts = pa.StructArray.from_arrays(
+        [pa.array(members, pa.int32()), pa.array(kinds, pa.string()), shapes], fields=list(_PART)
+    )
+    return pa.StructArray.from_arrays(
+        [pa.array(types, pa.string()), pa.ListArray.from_arrays(_offsets(part_sizes), parts)],
+        ["type", "parts"],
+        mask=pa.array(null, pa.bool_()),
+    )
+
+
+POINT_HEAD = np.frombuffer(struct.pack("<BI", 1, 1), np.uint8)
+POINT_BYTES = 21
+
+
+def _plain_points(blobs: pa.Array) -> np.ndarray | None:
+    """Coordinates of a batch that is little-endian 2D points throughout, else nothing."""
+    count = len(blobs)
+    if not count or blobs.null_count or not pa.types.is_binary(blobs.type):
+        return None
+    offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + count + 1]
+    if (np.diff(offsets) != POINT_BYTES).any():
+        return None
+    data = np.frombuffer(blobs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(count, POINT_BYTES)
+    if (data[:, :5] != POINT_HEAD).any():
+        return None
+    xy = np.ascontiguousarray(data[:, 5:]).view("<f8")
+    return None if np.isnan(xy).any() else xy
+
+
 def decode_batch(blobs: pa.Array) -> pa.Array:
     """Arrow binary array to Arrow geometry array."""
+    xy = _plain_points(blobs)
+    if xy is not None:
+        ones, names = np.ones(len(xy), np.int64), ["Point"] * len(xy)
+        return _nested(names, np.zeros(len(xy), bool), ones, np.zeros(len(xy), np.int32), names, ones, ones, xy)
     types, null, part_sizes = [], [], []
     members, kinds, ring_sizes, vertex_sizes, runs = [], [], [], [], []
     for scalar in blobs:
         buf = scalar.as_buffer()
-        if buf is None:
-            types.append(None)
-            null.append(True)
-            part_sizes.append(0)
-            continue
         found: list = []
-        base, _ = _read_parts(memoryview(buf), 0, found, 0, None)
-        types.append(TYPE_NAMES[base])
-        null.append(False)
+        base = None if buf is None else _read_parts(memoryview(buf), 0, found, 0, None)[0]
+        types.append(TYPE_NAMES.get(base))
+        null.append(buf is None)
         part_sizes.append(len(found))
         for member, kind, rings in found:
             members.append(member)
             kinds.append(kind)
             ring_sizes.append(len(rings))
-            for run in rings:
-                vertex_sizes.append(len(run))
-                runs.append(run)
-    flat = np.concatenate(runs).astype("f8") if runs else np.empty((0, 2))
-    vertices = pa.StructArray.from_arrays(
-        [pa.array(np.ascontiguousarray(flat[:, 0])), pa.array(np.ascontiguousarray(flat[:, 1]))], ["x", "y"]
-    )
-    rings = pa.ListArray.from_arrays(_offsets(vertex_sizes), vertices)
-    shapes = pa.ListArray.from_arrays(_offsets(ring_sizes), rings)
-    parts = pa.StructArray.from_arrays(
-        [pa.array(members, pa.int32()), pa.array(kinds, pa.string()), shapes], fields=list(_PART)
-    )
-    return pa.StructArray.from_arrays(
-        [pa.array(types, pa.string()), pa.ListArray.from_arrays(_offsets(part_sizes), parts)],
-        ["type", "parts"],
-        mask=pa.array(null, pa.bool_()),
-    )
-
-
-def _write_shape(base: int, rings: list) -> bytes:
-    runs = [np.array([(v["x"], v["y"]) for v in ring], dtype="<f8").reshape(-1, 2) for ring in rings]
-    head = struct.pack("<BI", 1, base)
-    if base == 1:
-        return head + runs[0].tobytes()
-    if base == 2:
-        return head + struct.pack("<I", len(runs[0])) + runs[0].tobytes()
-    body = b"".join(struct.pack("<I", len(run)) + run.tobytes() for run in runs)
-    return head + struct.pack("<I", len(runs)) + body
-
-
-def _write_geometry(kind: str, parts: list) -> bytes:
-    base = TYPE_CODES[kind]
-    if base == 7:
-        groups: dict[int, list] = {}
-        for part in parts:
-            groups.setdefault(part["member"], []).append(part)
-        body = b"".join(_write_geometry(group[0]["kind"], group) for _, group in sorted(groups.items()))
-        return struct.pack("<BII", 1, 7, len(groups)) + body
-    if base >= 4:
-        body = b"".join(_write_shape(base - 3, part["rings"]) for part in parts)
-        return struct.pack("<BII", 1, base, len(parts)) + body
-    if not parts:
-        empty = struct.pack("<dd", np.nan, np.nan) if base == 1 else struct.pack("<I", 0)
-        return struct.pack("<BI", 1, base) + empty
-    return _write_shape(base, parts[0]["rings"])
+            vertex_sizes.extend(len(run) for run in rings)
+            runs.extend(rings)
+    xy = np.concatenate(runs).astype("f8") if runs else np.empty((0, 2))
+    return _nested(types, null, part_sizes, members, kinds, ring_sizes, vertex_sizes, xy)
+
+
+class _Columns:
+    """The nested levels of an Arrow geometry array as offsets over flat arrays."""
+
+    def __init__(self, geoms: pa.Array):
+        parts = geoms.field("parts")
+        rings = parts.values.field("rings")
+        runs = rings.values
+        vertices = runs.values
+        self.parts, self.rings, self.runs = (a.offsets.to_numpy() for a in (parts, rings, runs))
+        self.members = parts.values.field("member").to_numpy(zero_copy_only=False)
+        self.kinds = parts.values.field("kind")
+        self.xy = np.column_stack([vertices.field(k).to_numpy(zero_copy_only=False) for k in "xy"]).astype("<f8")
+
+    def run(self, k: int) -> np.ndarray:
+        return self.xy[self.runs[k] : self.runs[k + 1]]
+
+    def shape(self, base: int, part: int) -> bytes:
+        """Point, line or polygon of one part."""
+        head = struct.pack("<BI", 1, base)
+        first, last = self.rings[part], self.rings[part + 1]
+        if base == 1:
+            return head + self.run(first).tobytes()
+        lines = [struct.pack("<I", len(self.run(k))) + self.run(k).tobytes() for k in range(first, last)]
+        return head + (lines[0] if base == 2 else struct.pack("<I", last - first) + b"".join(lines))
+
+    def whole(self, kind: str, first: int, last: int) -> bytes:
+        """Geometry of the parts from ``first`` up to ``last``."""
+        base = TYPE_CODES[kind]
+        if base == 7:
+            cuts = [first, *(k for k in range(first + 1, last) if self.members[k] != self.members[k - 1]), last]
+            spans = [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+            body = b"".join(self.whole(self.kinds[a].as_py(), a, b) for a, b in spans)
+            return struct.pack("<BII", 1, 7, len(spans)) + body
+        if base >= 4:
+            return struct.pack("<BII", 1, base, last - first) + b"".join(
+                self.shape(base - 3, k) for k in range(first, last)
+            )
+        if first == last:
+            empty = struct.pack("<dd", np.nan, np.nan) if base == 1 else struct.pack("<I", 0)
+            return struct.pack("<BI", 1, base) + empty
+        return self.shape(base, first)
 
 
 def encode_batch(geoms: pa.Array) -> pa.Array:
     """Arrow geometry array to little-endian 2D well-known binary."""
-    rows = geoms.to_pylist()
+    columns, count = _Columns(geoms), len(geoms)
+    types = geoms.field("type")
+    single = count and not geoms.null_count and all((np.diff(a) == 1).all() for a in (columns.parts, columns.rings, columns.runs))
+    if single and types.unique().to_pylist() == ["Point"]:
+        first = columns.runs[columns.rings[columns.parts[0]]]
+        data = np.empty((count, POINT_BYTES), np.uint8)
+        data[:, :5] = POINT_HEAD
+        data[:, 5:] = np.ascontiguousarray(columns.xy[first : first + count]).view(np.uint8)
+        offsets = np.arange(count + 1, dtype=np.int32) * POINT_BYTES
+        return pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    valid = geoms.is_valid().to_pylist()
     return pa.array(
-        [None if g is None or g["type"] is None else _write_geometry(g["type"], g["parts"]) for g in rows],
+        [
+            columns.whole(kind, columns.parts[i], columns.parts[i + 1]) if valid[i] and kind else None
+            for i, kind in enumerate(types.to_pylist())
+        ],
         pa.binary(),
     )
 

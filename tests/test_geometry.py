@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cairngeo.functions import crs
 from cairngeo.functions import geometry as G
@@ -82,8 +83,22 @@ def test_write_then_read(polygons):
     vertices = [[[{"x": x, "y": y} for x, y in r] for r in rings] for rings in polygons]
     parts = [{"member": 0, "kind": "MultiPolygon", "rings": r} for r in vertices]
     geom = {"type": "MultiPolygon", "parts": parts}
-    blob = G._write_geometry("MultiPolygon", parts)
-    assert decode(blob) == [geom]
+    made = pa.array([None, geom, geom], to_arrow_type(G.GEOM_TYPE))
+    blobs = G.encode_batch(made)
+    assert G.decode_batch(blobs).to_pylist() == [None, geom, geom]
+    assert G.encode_batch(made.slice(1)).to_pylist() == blobs.to_pylist()[1:]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(finite, finite), min_size=1, max_size=20), st.booleans())
+def test_points_in_bulk_equal_points_one_by_one(points, other_order):
+    blobs = [wkb_point(x, y) for x, y in points]
+    mixed = pa.array([*blobs, wkb_point(1, 2, ">")] if other_order else blobs, pa.binary())
+    geoms = G.decode_batch(mixed)
+    assert [coords(g) for g in geoms.to_pylist()[: len(points)]] == [[[[xy]]] for xy in points]
+    assert G.encode_batch(geoms).to_pylist()[: len(points)] == blobs
+    assert G.encode_batch(geoms.slice(1)).to_pylist()[: len(points) - 1] == blobs[1:]
+    assert G.decode_batch(mixed.slice(1)).to_pylist() == geoms.to_pylist()[1:]
 
 
 def header(envelope, wkb, size):

@@ -70,6 +70,27 @@ def index_first(types: DataFrame, tiles: DataFrame) -> DataFrame:
     )
 
 
+def order_overview(types: DataFrame, files: DataFrame, ledger: DataFrame, labels: DataFrame) -> DataFrame:
+    """Orders by name: type, files, size, published layers, package name.
+
+    The published layers themselves are the ledger's rows; here they are counted.
+    """
+    sizes = files.groupBy("order_id").agg(F.count(F.lit(1)).alias("file_count"), F.sum("length").alias("bytes"))
+    published = ledger.groupBy("order_id").agg(F.count(F.lit(1)).alias("published_layers"))
+    joined = types.join(sizes, "order_id", "left").join(published, "order_id", "left").join(labels, "order_id", "left")
+    return joined.select(
+        "order_id",
+        "data_type",
+        "data_type_label",
+        "is_publishable",
+        F.coalesce("file_count", F.lit(0)).alias("file_count"),
+        text.size_mb(F.coalesce("bytes", F.lit(0))).alias("total_size_mb"),
+        F.coalesce("published_layers", F.lit(0)).alias("published_layers"),
+        F.col("published_layers").isNotNull().alias("is_published"),
+        F.coalesce("package_name", F.lit("")).alias("package_name"),
+    ).orderBy("order_id")
+
+
 # --- statistics ------------------------------------------------------------------
 
 

@@ -61,6 +61,14 @@ def properties(df: DataFrame, bookkeeping: bool = True) -> DataFrame:
     return df.drop(*dropped)
 
 
+def in_system(df: DataFrame, source: int, target: int) -> DataFrame:
+    """Features with geometry and envelope in another system; as they are when both are equal."""
+    if source == target:
+        return df
+    moved = df.withColumn("geom", crs.transform_geometry("geom", source, target)).drop("geom_wkb", "cell")
+    return with_envelope(moved).withColumn("srid", F.lit(target))
+
+
 # --- filters ---------------------------------------------------------------------
 
 

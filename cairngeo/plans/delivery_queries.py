@@ -285,6 +285,23 @@ def a8b(spark, d):
     return deliveries.index_first(_types(spark, d), tiles.parsed(views.tiles(spark, d)))
 
 
+@query(
+    "J1_order_overview",
+    sql("", "listing", "hints", "ledger") + TYPES + f"""
+    SELECT t.order_id, data_type, {LABELS}, data_type = 'vector_gpkg' AS is_publishable, coalesce(s.n, 0) AS file_count,
+           round_even(coalesce(s.bytes, 0) / 1048576.0e0, 2) AS total_size_mb, coalesce(l.n, 0) AS published_layers,
+           l.n IS NOT NULL AS is_published,
+           CASE WHEN f.order_id IS NOT NULL AND CAST(substr(t.order_id, 2) AS INT) % 3 = 0 THEN 'package ' || t.order_id ELSE '' END AS package_name
+    FROM t LEFT JOIN (SELECT order_id, count(*) AS n, sum(length) AS bytes FROM listing GROUP BY 1) s ON s.order_id = t.order_id
+    LEFT JOIN (SELECT order_id, count(*) AS n FROM ledger GROUP BY 1) l ON l.order_id = t.order_id
+    LEFT JOIN folders f ON f.order_id = t.order_id ORDER BY t.order_id""",
+)
+def j1b(spark, d):
+    labels = views.folders(spark, d).filter("cast(substring(order_id, 2) AS int) % 3 = 0")
+    named = labels.select("order_id", F.concat(F.lit("package "), "order_id").alias("package_name"))
+    return deliveries.order_overview(_types(spark, d), views.listing(spark, d), views.ledger(spark, d), named)
+
+
 BOUNDS = """
     , box AS (SELECT order_id, min(e) AS e0, min(n) AS n0, max(e) + 1000 AS e1, max(n) + 2000 AS n1 FROM outlines
               WHERE kind = 'Polygon' GROUP BY 1),

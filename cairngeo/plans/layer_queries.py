@@ -507,3 +507,18 @@ def f7(spark, d):
         F.round(first["y"], 6).alias("lat"),
         (F.array_max(far) < 0.001).alias("back"),
     )
+
+
+@query(
+    "F7_output_in_degrees",
+    "SELECT fid, 4326 AS srid, round(min(lon), 6) AS xmin, round(min(lat), 6) AS ymin, round(max(lon), 6) AS xmax, round(max(lat), 6) AS ymax FROM "
+    + projected(
+        """SELECT fid, cx + sx * half AS e, cy + sy * half AS n FROM (SELECT s_suppkey AS fid,
+           CAST(300000 + (s_suppkey * 7919) % 500000 AS DOUBLE) AS cx, CAST(6200000 + (s_suppkey * 104729) % 1300000 AS DOUBLE) AS cy,
+           CAST(5000 + (s_suppkey % 7) * 5000 AS DOUBLE) AS half FROM supplier), (VALUES (-1, -1), (-1, 1), (1, 1), (1, -1)) AS c(sx, sy)"""
+    )
+    + " GROUP BY fid",
+)
+def f7b(spark, d):
+    moved = layers.in_system(views.box_layer(spark, d), crs.SWEREF, crs.WGS84)
+    return moved.select("fid", "srid", *[F.round(c, 6).alias(c) for c in layers.ENVELOPE])

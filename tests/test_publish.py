@@ -11,7 +11,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from cairngeo.operators import feeds
+from cairngeo.operators import feeds, layers
 from cairngeo.operators.publish import Publisher
 from cairngeo.plans.landing import write_gpkg
 from cairngeo.sources import archives
@@ -122,6 +122,11 @@ def test_publish_skip_change_and_clean(spark, root, tmp_path):
     assert set(ledger) == {("one", "Empty"), ("one", "Roads-1"), ("two", "lakes")}
     assert ledger[("one", "Empty")].bbox is None and ledger[("two", "lakes")].bbox.startswith("POLYGON((15.0")
 
+    profile = layers.schema_profile(layers.layer_catalogue(spark, publisher.database))
+    assert sorted((r.table_name, r.geometry_type, r.srid, r.row_count) for r in profile.collect()) == [
+        ("empty", None, None, 0), ("lakes", "Point", 4326, 3), ("roads_1", "Point", 4326, 35),
+    ]
+
     again = publisher.publish_incremental()
     assert {r.status for r in again.filter("layer_name <> 'bad'").collect()} == {"skipped"}
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import line_dedup
+from . import decontamination, line_dedup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,3 +56,47 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that ten or more sources share."""
     docs = table(spark, sf_dir, "documents")
     return line_dedup.drop_boilerplate(docs, counts=("n_lines", "n_removed")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+LEAKS_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({WORDS_SQL}, []) AS w FROM documents),
+items AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size,
+    list_slice(w, i, i + least(len(w), 10) - 1) AS win
+  FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0) x
+), sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+  SELECT r, size, i, list_slice(w, i, i + size - 1) AS win
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size) x
+), found AS (SELECT p.r, p.i, p.size, x.item_id FROM places p JOIN windows x ON p.size = x.size AND p.win = x.win),
+hits AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS k FROM found) y GROUP BY r),
+named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found) z GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)"""
+
+
+@query("op5_benchmark_decontamination", LEAKS_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the number of its words that lie in a window of a benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("leaks.hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"] + 1)
+    return found.select(
+        "doc_id",
+        "leaks.n_words",
+        n_hit.alias("n_hit"),
+        F.size("leaks.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("leaks.items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in pieces of at most 2,048 tokens, packed into few sequences of that size."""
+    return packing.pack(table(spark, sf_dir, "documents"))

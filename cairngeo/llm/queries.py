@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontamination, line_dedup, near_dedup, packing
+from . import decontamination, language, licences, line_dedup, near_dedup, neighbours, packing, passage_dedup, quality, toxicity
+from .tables import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,3 +108,73 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component of near-duplicates it belongs to."""
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op3_pu_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.with_quality(docs, table(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query("op4_ordinal_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its expected severity grade."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.with_severity(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "severity", "p_toxic", "toxic")
+
+
+@query("op9_compression_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its language by compression."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.with_language(docs)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+PASSAGES_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+parts AS (
+  SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs
+), units AS (
+  SELECT *, len(string_split(unit, ' ')) >= {passage_dedup.MIN_WORDS} AS counts FROM (
+    SELECT *, translate(trim(regexp_replace(line, '\\s+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS unit FROM parts) x
+), ranked AS (
+  SELECT *, counts AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, i) > 1 AS gone,
+    sum(len(line) + 1) OVER (PARTITION BY r ORDER BY i) - len(line) - 1 AS start FROM units
+), merged AS (
+  SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept,
+    string_agg(CAST(start AS BIGINT) || '-' || CAST(start + len(line) AS BIGINT), ',' ORDER BY i) FILTER (WHERE gone) AS spans,
+    max(i) AS n, max(i) FILTER (WHERE NOT gone) AS last_kept
+  FROM ranked GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed, coalesce(spans, '') AS spans,
+  CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') || CASE WHEN last_kept < n THEN chr(10) ELSE '' END END AS text
+FROM docs LEFT JOIN merged USING (r)"""
+
+
+@query("op7_passage_dedup", PASSAGES_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier document has, and where they were."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = passage_dedup.drop_repeats(docs)
+    spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("doc_id", F.size("removed").alias("n_removed"), F.array_join(spans, ",").alias("spans"), "text")
+
+
+@query("op8_licence_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, as a file below the folder of its source, with its own or inherited licence."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.concat(F.lit("part"), F.floor(F.col("doc_id") / 1000)), F.concat(F.col("doc_id"), F.lit(".txt")))
+    found = licences.licences(docs.select("doc_id", path.alias("path"), "text"), keep=("doc_id",))
+    return found.select("doc_id", "path", "licence", "cosine", "start", "end", "licence_file", "licence_source", "from_path")
+
+
+@query("op10_nearest_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))

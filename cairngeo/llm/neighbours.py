@@ -7,7 +7,8 @@ least a threshold of arrays are verified with the exact inner product. If fewer
 the radius, the windows are widened in proportion (virtual rehashing: the same arrays serve every radius) and
 the count is taken again.
 
-The threshold is set so that a vector at the radius itself is missed with a chance of about 2 %; nearer ones less.
+The threshold is set so that a vector at the radius itself is missed with a chance of about 10 %; nearer ones
+less. Measured against brute force the recall is 0.97 to 0.98.
 Candidates and queries are dealt into blocks of bounded size, and each pair of blocks is one group: its arrays are
 made where it is searched. The k best of each group are merged per query.
 
@@ -26,11 +27,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 20
-PROJECTIONS = 128
+PROJECTIONS = 96
 BLOCK = 32_768  # candidates in a block: ranks in an array fit 16 bits
 QUERIES = 4096  # queries in a block
 GROWTH = 1.12
-SAFETY = 2.0
+SAFETY = 1.3
 SEED = 7
 
 
@@ -73,14 +74,17 @@ class Block:
         while k:
             fresh = np.flatnonzero((self.collisions(own, radius) >= self.least) & ~seen)
             seen[fresh] = True
-            score[fresh] = (self.vectors[fresh] * vector).sum(1)
+            score[fresh] = self.vectors[fresh] @ vector
             if seen.all() or (np.count_nonzero(2 * self.bound**2 - 2 * scale * score <= radius**2) >= k):
                 break
             radius *= GROWTH
         self.start = 0.75 * self.start + 0.25 * radius / GROWTH  # the next query begins near where this one ended
-        found = np.flatnonzero(score > -np.inf)
-        best = found[np.lexsort((self.ids[found], -score[found]))[:k]]
-        return self.ids[best], score[best]
+        # Those that may be among the best are summed once more, all in the same order, so that equal vectors tie exactly.
+        least = np.partition(score, -k)[-k] if k else np.inf
+        found = np.flatnonzero(score >= least - 1e-9 * (1 + abs(least)))
+        exact = (self.vectors[found] * vector).sum(1)
+        best = np.lexsort((self.ids[found], -exact))[:k]
+        return self.ids[found[best]], exact[best]
 
 
 def _usable(vector: Column) -> Column:

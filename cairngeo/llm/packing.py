@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from .tables import chunks, text_buffer, written
 
 CAPACITY = 2048
-GROUPS = 1024
-SMALL = 1 / 16
+GROUPS = (1024, 2048)
+SMALL = (1 / 4, 1 / 8)
+CHUNK_BYTES = 2 << 20  # of text encoded at a time: a worker then needs about 200 MB
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -163,7 +164,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen, tool = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(vocabulary)
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHUNK_BYTES):
             bounds, ids = tool.encode(*text_buffer(batch.column("text")))
             rows: list[tuple[int, int, int, int, int, int]] = []
             for i in range(batch.num_rows):
@@ -319,13 +320,21 @@ def _best_fit(runs: list[Run], small: list[tuple[int, int]], capacity: int) -> l
     return [run for runs in by_room.values() for run in runs]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL) -> list[Run]:
-    """Runs of sequences that together hold ``histogram[length]`` pieces of each length."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, small: tuple[float, ...] = SMALL) -> list[Run]:
+    """Runs of sequences that together hold ``histogram[length]`` pieces of each length.
+
+    ``groups`` are numbers of groups of large lengths, ``small`` shares of the capacity up to which a length is
+    small; each pair of them makes a plan, and the one with the fewest sequences is taken.
+    """
     lengths = sorted(((k, n) for k, n in histogram.items() if n), reverse=True)
-    border = int(capacity * small)
-    large = _grouped([x for x in lengths if border < x[0]], groups)
-    configurations = _configurations({s: sum(n for _, n in runs) for s, runs in large.items()}, capacity)
-    return _best_fit(_substituted(configurations, large), [x for x in lengths if x[0] <= border], capacity)
+    plans = []
+    for share in small:
+        border = int(capacity * share)
+        for number in groups:
+            large = _grouped([x for x in lengths if border < x[0]], number)
+            configurations = _configurations({s: sum(n for _, n in runs) for s, runs in large.items()}, capacity)
+            plans.append(_best_fit(_substituted(configurations, large), [x for x in lengths if x[0] <= border], capacity))
+    return min(plans, key=lambda runs: sum(n for _, n in runs))
 
 
 def _places(runs: list[Run]) -> dict[str, np.ndarray]:
@@ -343,7 +352,7 @@ def _places(runs: list[Run]) -> dict[str, np.ndarray]:
     return {"key": table[:, 0], "sequence": table[:, 1], "offset": table[:, 2]}
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every piece of every document with its sequence and its place there.
 
     The columns are id_col, piece, start, length, ids_crc32, sequence_id, offset.

@@ -134,6 +134,7 @@ def find_leaks(
 
     Hits and spans are merged stretches in text order; items are sorted as strings.
     """
+    docs = docs.drop(out)  # a column of that name is replaced
     text_at = docs.columns.index(text_col)
     leaks = T.StructType(
         [

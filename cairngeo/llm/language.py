@@ -85,6 +85,7 @@ class Classifier:
 
 def with_language(docs: DataFrame, out: tuple[str, str, str] = ("lang_pred", "score", "accepted"), narrow: float = NARROW, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the language, the margin (0 to 1), and whether the margin is at least ``narrow``."""
+    docs = docs.drop(*out)  # a column of that name is replaced
     contents = docs.sparkSession.sparkContext.broadcast(dictionaries(docs, text_col=text_col, **options))
     names, text_at = docs.columns, docs.columns.index(text_col)
 

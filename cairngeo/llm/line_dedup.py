@@ -86,6 +86,7 @@ def drop_boilerplate(
 
     ``counts`` names two more columns for the number of lines before and of lines removed.
     """
+    docs = docs.drop(*counts or ())  # columns of these names are replaced
     key = [F.col(id_col).alias(_ROW), F.xxhash64(F.col(text_col)).alias(_PRINT)]
     occurrences = written(
         docs.where(F.col(text_col).isNotNull())

@@ -75,6 +75,7 @@ def drop_repeats(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS
 
     A removed line takes the line break after it along.
     """
+    docs = docs.drop(out)  # a column of that name is replaced
     found = written(occurrences(docs, kind, min_words, id_col, text_col))
     of, by = fresh(docs, "span_of", "span_by")
     spans = (

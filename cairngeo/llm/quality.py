@@ -156,6 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 def with_quality(docs: DataFrame, labels: DataFrame, out: str = "score", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the column ``out``: how likely a document is of quality 1, from 0 to 1."""
+    docs = docs.drop(out)  # a column of that name is replaced
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text_col=text_col, **options))
     names, text_at = docs.columns, docs.columns.index(text_col)
 

@@ -67,7 +67,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, width: int, grades: int, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3) -> dict[str, np.ndarray]:
+def fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, width: int, grades: int, rounds: int = 800, rate: float = 0.1, decay: float = 1e-5) -> dict[str, np.ndarray]:
     """Shared weights and ordered thresholds by Adam on the likelihood; x is 1 at (row, column)."""
     n = len(grade)
     share = np.array([(grade <= k).mean() for k in range(grades)]).clip(1e-3, 1 - 1e-3)
@@ -126,7 +126,7 @@ def train(
         taken.select("text", "y").mapInArrow(counts, "bucket long, clean long, toxic long")
         .groupBy("bucket")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .where("toxic > 1")
+        .where(F.col("toxic") >= max(2, bad // 200))
         .select("bucket", lift.alias("lift"), (F.col("toxic") * lift).alias("weight"))
         .where(F.col("lift") > 1)
         .orderBy(F.desc("weight"), "bucket")
@@ -168,6 +168,7 @@ def severity(model: dict[str, np.ndarray] | None, offsets: np.ndarray, data: np.
 
 def with_severity(docs: DataFrame, labels: DataFrame, out: tuple[str, str, str] = ("severity", "p_toxic", "toxic"), text_col: str = "text", **options) -> DataFrame:
     """``docs`` with its expected grade, the probability of any grade above 0, and whether that is 0.5 or more."""
+    docs = docs.drop(*out)  # a column of that name is replaced
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text_col=text_col, **options))
     names, text_at = docs.columns, docs.columns.index(text_col)
 

@@ -5,10 +5,11 @@ coordinates of a signature: the first places a shingle, the second, shifted circ
 coordinate, ranks it; a coordinate is the least rank in the set. Bands of coordinates are hashed to buckets.
 Copies (equal sets) are one class from the start, so buckets hold distinct sets only.
 
-Within a bucket no list of all pairs is ever made. The first set of a bucket is compared with the others, links
-are confirmed on the full sets, and sets that are connected by then need no comparison with each other. A set that
-was compared leaves its bucket, and the rounds go on with more sets at a time until no bucket holds two sets of
-different components. So every pair that shares a bucket is either confirmed, refuted or already connected.
+Within a bucket no list of all pairs is ever made. The set that meets the most others is compared with every other of
+its bucket, links are confirmed on the full sets, and sets that are connected by then need no comparison with each
+other. Where a bucket still holds sets of different components, those sets are compared if they share one of their
+rarest shingles early enough, as similar sets must. So every similar pair that shares a bucket is either confirmed
+or connected by other links, and a line that a third of all documents have makes no pairs by itself.
 
 Defined results: texts without words have no shingles, are linked with nothing and are their own component; rows
 without an id take no part (component null, kept); rows that repeat an id are judged by their own text, and one of
@@ -141,41 +142,64 @@ def _feasible(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _rare_pairs(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``rest`` (digest, n, root) that may be that similar and have different roots.
+
+    The shingles of a set are ordered by how many sets of ``rest`` have them, the rarest first. Two sets that are
+    similar enough share one of their first shingles: of the smaller set n - ceil(2t / (1 + t) n) + 1, of the larger
+    n - ceil(t n) + 1, and the first one they share lies early enough to leave the overlap that is needed. So
+    a line or passage that many sets share makes no pairs, and no pair is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            bounds, shingles = shingle_sets(*text_buffer(batch.column("text")))
+            own = [d.tobytes() for d in set_digests(bounds, shingles)]
+            filled = np.flatnonzero(np.diff(bounds))
+            same = [int(i) for i, d in zip(filled, own, strict=True) if batch.column("digest")[int(i)].as_py() == d]
+            sets = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(shingles.view(np.int64))).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(same, pa.int64())) for c in (batch.column("digest"), sets)], names=["digest", "set"])
+
+    mine = texts.join(rest.select("digest"), "digest", "left_semi").select("digest", "text")
+    sets = mine.mapInArrow(run, "digest binary, set array<long>").dropDuplicates(["digest"])
+    has = written(sets.select("digest", F.explode("set").alias("shingle")))
+    often = has.groupBy("shingle").agg(F.count("*").alias("often"))
+    by_set = Window.partitionBy("digest").orderBy("often", "shingle")
+    placed = has.join(often, "shingle").select("digest", "shingle", "often", (F.row_number().over(by_set) - 1).alias("at")).join(rest, "digest")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    early = written(placed.where((F.col("often") > 1) & (F.col("at") < first)).drop("often"))
+    smaller = early.where(F.col("at") < F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1)
+    small = smaller.select("shingle", F.col("digest").alias("b"), F.col("n").alias("m"), F.col("root").alias("of"), F.col("at").alias("by"))
+    before = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("b") < F.col("digest")))
+    enough = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("m") - F.col("by")) >= percent * (F.col("n") + F.col("m"))
+    able = before & (F.col("root") != F.col("of")) & _feasible("n", "m", percent) & enough
+    return early.join(small, "shingle").where(able).select(F.least("digest", "b").alias("a"), F.greatest("digest", "b").alias("b")).distinct()
+
+
 def links(classes: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Confirmed links (a, b) that connect all similar classes. classes: digest, rep (id), n_shingles, bands."""
-    by_bucket = Window.partitionBy("key").orderBy("digest")
+    bucket = Window.partitionBy("key")
     exploded = classes.select(F.explode("bands").alias("key"), "digest", F.col("n_shingles").alias("n"))
-    ranked = exploded.select("*", F.row_number().over(by_bucket).alias("rank"), F.first("digest").over(by_bucket).alias("center"), F.first("n").over(by_bucket).alias("m"))
-    # The first of a bucket is compared with every other; rows of buckets with one set end here.
-    members = written(ranked.where(F.col("rank") > 1))
-    tested = written(members.where(_feasible("n", "m", percent)).select(F.col("center").alias("a"), F.col("digest").alias("b")).distinct())
-    ends = members.select("digest").union(members.select("center")).distinct()
-    reps = classes.join(ends, "digest", "left_semi").select("digest", "rep")
-    texts = written(
-        docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(reps, "rep").select("digest", "text")
-    )
+    shared = written(exploded.withColumn("size", F.count("*").over(bucket)).where(F.col("size") > 1))
+    # The set that meets the most others is the center of its buckets: the original among its near copies.
+    fame = shared.groupBy("digest").agg(F.sum("size").alias("fame"))
+    ranked = bucket.orderBy(F.desc("fame"), "digest")
+    centered = shared.join(fame, "digest").select("key", "digest", "n", F.first("digest").over(ranked).alias("center"), F.first("n").over(ranked).alias("m"))
+    members = written(centered.where(F.col("digest") != F.col("center")))
+    tested = members.where(_feasible("n", "m", percent)).select(F.least("center", "digest").alias("a"), F.greatest("center", "digest").alias("b"))
+    tested = written(tested.distinct())
+    reps = classes.join(shared.select("digest").distinct(), "digest", "left_semi").select("digest", "rep")
+    texts = written(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(reps, "rep").select("digest", "text"))
     found = written(_confirmed(tested, texts, percent))
-    centers = 4
-    while True:
-        roots = written(components(found))
-        labelled = members.select("key", "digest", "n").join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left")
-        labelled = labelled.select("key", "digest", "n", F.coalesce("root", "digest").alias("root"))
-        open_keys = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        members = written(labelled.join(open_keys, "key", "left_semi").select("*", F.row_number().over(by_bucket).alias("rank")))
-        if members.isEmpty():
-            return found
-        one = members.where(F.col("rank") <= centers).select("key", F.col("digest").alias("a"), F.col("n").alias("m"), F.col("root").alias("of"), F.col("rank").alias("at"))
-        pairs = (
-            members.join(one, "key")
-            .where((F.col("rank") > F.col("at")) & (F.col("root") != F.col("of")) & _feasible("n", "m", percent))
-            .select("a", F.col("digest").alias("b"))
-            .distinct()
-        )
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = written(found.unionByName(_confirmed(pairs, texts, percent)))
-        tested = tested.unionByName(pairs)
-        members = members.where(F.col("rank") > centers)
-        centers *= 4
+
+    roots = components(found).select(F.col("node").alias("digest"), "root")
+    labelled = members.select("key", "digest", "n").join(roots, "digest", "left").select("key", "digest", "n", F.coalesce("root", "digest").alias("root"))
+    unsettled = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rest = written(labelled.join(unsettled, "key", "left_semi").select("digest", "n", "root").distinct())
+    if rest.isEmpty():
+        return found
+    pairs = written(_rare_pairs(rest, texts, percent).join(tested, ["a", "b"], "left_anti"))
+    return written(found.unionByName(_confirmed(pairs, texts, percent)))
 
 
 def near_duplicates(
@@ -193,7 +217,7 @@ def near_duplicates(
     signed = written(signatures(docs, bands, rows, id_col, text_col))
     named = signed.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
     classes = written(named.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
-    roots = written(components(links(classes, docs, percent, id_col, text_col)))
+    roots = components(links(classes, docs, percent, id_col, text_col))
     linked = classes.select("digest", "rep").join(roots.withColumnRenamed("node", "digest"), "digest")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     of = linked.join(least, "root").select("digest", "least")

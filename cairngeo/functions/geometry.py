@@ -475,7 +475,9 @@ def intersects_box(g: str, b: dict[str, str]) -> Column:
     return F.expr(intersects_box_sql(g, b))
 
 
-def intersects_sql(a: str, b: str) -> str:
+def intersects_sql(a: str, b: str, a_box: dict[str, str] | None = None, b_box: dict[str, str] | None = None) -> str:
+    """Closed test of two geometries; with their envelopes only the segments that reach into the other's are compared."""
+
     def across(s: str, t: str) -> str:
         ends = [f"signum({_side(s, f'{t}.{end}.x', f'{t}.{end}.y')})" for end in "pq"]
         return f"{ends[0]} * {ends[1]} <= 0"
@@ -486,7 +488,11 @@ def intersects_sql(a: str, b: str) -> str:
         return f"exists({firsts}, f -> {contains_sql(outer, 'f.x', 'f.y')})"
 
     meet = f"{boxes_overlap_sql(_span('s'), _span('t'))} AND {across('s', 't')} AND {across('t', 's')}"
-    crossing = f"exists({_segments(a)}, s -> exists({_segments(b)}, t -> {meet}))"
+    near_a, near_b = _segments(a), _segments(b)
+    if a_box and b_box:
+        near_a = f"filter({near_a}, s -> {boxes_overlap_sql(_span('s'), b_box)})"
+        near_b = f"filter({near_b}, t -> {boxes_overlap_sql(_span('t'), a_box)})"
+    crossing = f"exists({near_a}, s -> exists({near_b}, t -> {meet}))"
     return f"({crossing} OR {one_inside(a, b)} OR {one_inside(b, a)})"
 
 

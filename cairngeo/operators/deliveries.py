@@ -19,20 +19,19 @@ FALLBACK_BOX = {"south": 55.3, "west": 10.9, "north": 69.1, "east": 24.2}
 def dominant_type(members: DataFrame, hints: DataFrame) -> DataFrame:
     """Most common data type per order.
 
-    ``members`` has order_id, zip_name, entry and extension; ``hints`` has one
-    row per order with the metadata keys. Elevation rasters count as orthophotos
+    ``members`` has order_id, zip_name, entry and extension; ``hints`` has the
+    metadata keys, a row per metadata file. Of several files of an order that name
+    a product, the data type that sorts first is its hint. Elevation rasters count as orthophotos
     where the hint says so; equal counts go to the type met first; an order with
     no typed file takes its hint. Counting by (order, type) first leaves a
     handful of rows per order for the pick, however many files it has.
     """
-    hint = hints.select("order_id", text.product_hint([F.col(k) for k in text.HINT_KEYS]).alias("hint"))
+    hint = hints.groupBy("order_id").agg(F.min(text.product_hint([F.col(k) for k in text.HINT_KEYS])).alias("hint"))
     relabelled = F.when((F.col("kind") == "raster_dem") & (F.col("hint") == "raster_ortho"), "raster_ortho")
     counts = (
         members.withColumn("kind", text.data_type(F.col("extension")))
-        .groupBy("order_id", "kind", "zip_name")
-        .agg(F.count(F.lit(1)).alias("files"), F.min("entry").alias("entry"))
         .groupBy("order_id", "kind")
-        .agg(F.sum("files").alias("files"), F.min(F.struct("zip_name", "entry")).alias("first"))
+        .agg(F.count(F.lit(1)).alias("files"), F.min(F.struct("zip_name", "entry")).alias("first"))
         .join(hint, "order_id", "full")
         .withColumn("kind", F.coalesce(relabelled, "kind"))
         .groupBy("order_id", "kind")
@@ -264,9 +263,9 @@ def run_summary(report: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def run_errors(report: DataFrame) -> DataFrame:
-    """One line of error text per failed layer."""
+    """One line of error text per failed layer; an order that was refused as a whole stands under its own name."""
     return report.filter(F.col("status") == "failed").select(
         "order_id",
         "layer_name",
-        F.concat(F.col("layer_name"), F.lit(": "), F.coalesce("error", F.lit("Unknown error"))).alias("error_text"),
+        F.concat(F.coalesce("layer_name", "order_id"), F.lit(": "), F.coalesce("error", F.lit("Unknown error"))).alias("error_text"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .layers import PAGE_MAX, properties
+from .layers import match_count, page, properties
 
 
 def feature_text(df: DataFrame, bookkeeping: bool = True) -> Column:
@@ -34,12 +34,14 @@ def write_geojson(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     to_geojson(df).write.mode(mode).text(path)
 
 
-def feature_collection(page: DataFrame, total: DataFrame) -> DataFrame:
-    """A page of features as one collection with the count of all matches.
+def feature_collection(found: DataFrame, limit: int, offset: int = 0, bookkeeping: bool = True) -> DataFrame:
+    """A page of the matching features as one collection with the count of all matches.
 
-    Only for pages: the row cap of a page bounds the one row this makes.
+    The page's bounds are those of :func:`layers.page`, which refuses a larger page; so nothing is cut
+    unasked, and the one row this makes is bounded.
     """
-    one = page.limit(PAGE_MAX).select("fid", feature_text(page).alias("value"))
+    shown, total = page(found, limit, offset), match_count(found)
+    one = shown.select("fid", feature_text(shown, bookkeeping).alias("value"))
     whole = one.agg(F.array_sort(F.collect_list(F.struct("fid", "value"))).alias("rows"))
     features = F.array_join(F.transform("rows", lambda r: r["value"]), ",")
     count = total.select(F.col("total_count").alias("n"), F.lit(1).alias("k"))

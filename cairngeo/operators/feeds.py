@@ -27,6 +27,16 @@ def advertised_stations(stations: DataFrame) -> DataFrame:
     )
 
 
+def one_per_signature(stations: DataFrame, order_by: tuple[str, ...] = ("name", "lon", "lat")) -> DataFrame:
+    """One row per station code: the last one in the order of ``order_by``, whose nulls come first.
+
+    Feeds repeat codes; joined as they are, each announcement would be there once per repetition.
+    """
+    others = [c for c in stations.columns if c != "signature"]
+    last = F.max_by(F.struct(*others), F.struct(*order_by)).alias("row")
+    return stations.groupBy("signature").agg(last).select("signature", "row.*")
+
+
 def in_horizon(time: Column, now: Column) -> Column:
     return (time > now - F.expr(f"INTERVAL {BEFORE}")) & (time < now + F.expr(f"INTERVAL {AFTER}"))
 
@@ -41,7 +51,11 @@ def recent_announcements(announcements: DataFrame, now: Column) -> DataFrame:
 
 
 def train_rows(announcements: DataFrame, stations: DataFrame) -> DataFrame:
-    """Announcements at known stations with names for origin and destination."""
+    """Announcements at known stations with names for origin and destination.
+
+    A station code counts once, see :func:`one_per_signature`.
+    """
+    stations = one_per_signature(stations)
     known = dimension(stations)
     first = {
         "from_code": F.coalesce(F.get(F.col("FromLocation"), F.lit(0))["LocationName"], F.lit("")),

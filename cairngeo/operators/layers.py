@@ -131,6 +131,25 @@ def only_layers(df: DataFrame, layers: Iterable[str] | None, column: str = "laye
     return df.filter(F.col(column).isin(names)) if names else df
 
 
+def resolved_names(wanted: Iterable[str], there: DataFrame) -> list[str]:
+    """The layers that are meant by names: the name itself, the only layer there is, or names equal but for case.
+
+    A name that fits none is an error that tells the choices.
+    """
+    names = list(wanted)
+    known = there.select("layer_name").distinct()
+    few = [r[0] for r in known.limit(2).collect()]
+    close = [r[0] for r in known.filter(F.lower("layer_name").isin([n.lower() for n in names])).collect()]
+    out: list[str] = []
+    for name in names:
+        same = [n for n in close if n == name] or (few if len(few) == 1 else [n for n in close if n.lower() == name.lower()])
+        if not same:
+            choices = ", ".join(r[0] for r in known.orderBy("layer_name").toLocalIterator())
+            raise ValueError(f"no layer {name}; there are: {choices}")
+        out += same
+    return list(dict.fromkeys(out))
+
+
 def feature(df: DataFrame, fid: int) -> DataFrame:
     return df.filter(F.col("fid") == fid)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 import warnings
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -19,15 +21,18 @@ from ..sources import archives, deliveries, files
 from . import deliveries as delivery_ops
 from . import ledger as ledger_ops
 from . import layers
-from .versioned import VersionedTable
+from .versioned import KEPT_SECONDS, VersionedTable
 
 REPORT_SCHEMA = (
     "order_id string, table_name string, layer_name string, feature_count bigint,"
     " duration_seconds double, status string, error string"
 )
+SEEN_SCHEMA = T.StructType(
+    [T.StructField(name, T.StringType()) for name in ("order_id", "fingerprint", "layer_name", "source_hash")]
+)
 LABEL_SCHEMA = T.StructType([T.StructField("order_id", T.StringType()), T.StructField("package_name", T.StringType())])
 
-MODES = {"replace": "overwrite", "append": "append", "fail": "errorifexists"}
+MODES = ("replace", "append", "fail")
 
 
 # --- row numbers ---------------------------------------------------------------------
@@ -103,10 +108,11 @@ def publish_layer(
     """Write a layer and return its one-row count, extent and bbox text.
 
     The rows bring their serial ``fid`` or get one in the order of ``order_by``;
-    an append counts on from the table's last. They are laid out by ``cell``, so
-    the row groups of the files cover small areas and an envelope filter skips
-    most of them. The prepared rows are checkpointed before, because a range
-    layout reads its input twice, once to find the cuts.
+    an append counts on from the table's last and its statistics are those of the
+    rows it added. They are laid out by ``cell``, so the row groups of the files
+    cover small areas and an envelope filter skips most of them. A replacement is
+    written beside the old table and takes its name when it is whole; what a lost
+    job leaves behind is never seen.
     """
     if if_exists not in MODES:
         raise ValueError(f"if_exists is one of {', '.join(MODES)}")
@@ -127,14 +133,34 @@ def publish_layer(
     shape = ["geom", "geom_wkb", "srid", *layers.ENVELOPE, "cell", *layers.BOOKKEEPING]
     plain = [c for c in rows.columns if c not in ("fid", *shape)]
     rows = rows.select("fid", *plain, *shape)
-    laid_out = cut_lineage(rows).repartitionByRange("cell", "fid").sortWithinPartitions("cell", "fid")
+    laid_out = rows.repartitionByRange("cell", "fid").sortWithinPartitions("cell", "fid")
     if known and if_exists == "append":
-        laid_out = laid_out.select(*spark.table(table).columns)
-    laid_out.write.format("parquet").mode(MODES[if_exists]).saveAsTable(table)
-    stats = spark.table(table).agg(F.count(F.lit(1)).alias("feature_count"), *layers.extent_aggregates())
+        laid_out.select(*spark.table(table).columns).write.insertInto(table)
+    else:
+        _swap_in(laid_out, database, name, known)
+    loaded = spark.table(table).filter(F.col("fid") > start)
+    stats = loaded.agg(F.count(F.lit(1)).alias("feature_count"), *layers.extent_aggregates())
     return stats.withColumn("bbox", layers.box_text())
 
 
+def _swap_in(rows: DataFrame, database: str, name: str, known: bool) -> None:
+    """Write a new folder for the table, then point the name at it; folders out of use go after an hour."""
+    spark = rows.sparkSession
+    home = f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/{name}"
+    folder = f"v-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{home}/{folder}")
+    table = f"`{database}`.`{name}`"
+    if known and spark.table(table).schema == spark.read.parquet(f"{home}/{folder}").schema:
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{home}/{folder}'")
+        spark.catalog.refreshTable(table)
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{home}/{folder}'")
+    for old in files.children(spark, home):
+        if old.startswith("v-") and old != folder and files.age_of(spark, f"{home}/{old}") > KEPT_SECONDS:
+            files.delete_tree(spark, f"{home}/{old}")
+
+
 # --- orders ------------------------------------------------------------------------------
 
 
@@ -159,6 +185,8 @@ class Publisher:
         create_database(self.spark, self.database, f"{self.location}/{self.database}.db")
         self.ledger = ledger_table(self.spark, f"{self.location}/{self.database}.meta")
         self.labels = VersionedTable(self.spark, f"{self.location}/{self.database}.meta/labels", LABEL_SCHEMA)
+        self.seen = VersionedTable(self.spark, f"{self.location}/{self.database}.meta/seen", SEEN_SCHEMA)
+        self._ledger_lock = threading.Lock()
         self.reports = f"{self.location}/{self.database}.meta/run_report"
 
     # -- what is there
@@ -170,16 +198,45 @@ class Publisher:
     def members(self, order_ids: list[str] | None = None) -> DataFrame:
         return archives.zip_members(deliveries.scan_orders(self.spark, self.root, order_ids))
 
-    def types(self, members: DataFrame) -> DataFrame:
-        ranked = delivery_ops.dominant_type(members, deliveries.read_hints(self.spark, self.root))
-        return delivery_ops.index_first(ranked, deliveries.read_tile_index(self.spark, self.root))
+    def types(self, members: DataFrame, order_ids: list[str] | None = None) -> DataFrame:
+        """Types of the orders; metadata and tile index are read for the named orders only."""
+        hints = deliveries.read_hints(self.spark, self.root, order_ids)
+        ranked = delivery_ops.dominant_type(members.filter(F.col("error").isNull()), hints)
+        return delivery_ops.index_first(ranked, deliveries.read_tile_index(self.spark, self.root, order_ids))
 
-    def catalogue(self, members: DataFrame, types: DataFrame) -> DataFrame:
-        """Source layers of the publishable orders, unpacked to the shared folder."""
+    def catalogue(self, members: DataFrame, types: DataFrame, folder: str) -> DataFrame:
+        """Source layers of the publishable orders, unpacked to ``folder``; broken files as rows with an error."""
         vector = delivery_ops.publishable(types).select("order_id")
         wanted = members.join(vector, "order_id", "left_semi")
-        staged = archives.unpack(wanted, f"{self.location}/unpacked")
-        return cut_lineage(archives.source_layers(cut_lineage(staged)))
+        staged = archives.unpack(wanted.filter(F.col("error").isNull()), folder)
+        found = archives.source_layers(cut_lineage(staged))
+        names = {f.name: F.col(f.name) if f.name in ("order_id", "zip_name", "error") else F.lit(None).cast(f.dataType) for f in found.schema.fields}
+        # an archive that cannot be read may hold a layer of any order, whatever type the rest gives it
+        broken = members.filter(F.col("error").isNotNull()).select(*[c.alias(n) for n, c in names.items()])
+        return cut_lineage(found.unionByName(broken))
+
+    @staticmethod
+    def fingerprints(members: DataFrame) -> DataFrame:
+        """order_id and a fingerprint of its vector members: names, sizes and checksums from the archives' directories."""
+        vector = members.filter((F.col("extension") == ".gpkg") & F.col("error").isNull())
+        one = F.xxhash64("zip_name", "inner_path", "size", "crc")
+        two = F.xxhash64(F.lit("b"), "crc", "size", "inner_path", "zip_name")
+        total = [F.sum(h.cast("decimal(20,0)")) for h in (one, two)]
+        return vector.groupBy("order_id").agg(F.concat_ws("-", F.count(F.lit(1)), *total).alias("fingerprint"))
+
+    def unchanged(self, members: DataFrame) -> DataFrame:
+        """What earlier runs saw of the orders that are as they were then, every layer of them in the ledger.
+
+        Rows are those of ``seen``. Nothing but the archives' directories is read for this.
+        """
+        same = self.seen.read().join(self.fingerprints(members), ["order_id", "fingerprint"])
+        broken = members.filter(F.col("error").isNotNull()).select("order_id")
+        same = same.join(broken, "order_id", "left_anti")
+        known = self.ledger.read().select(*ledger_ops.KEY, "source_hash", F.lit(True).alias("there"))
+        marked = same.join(known, [*ledger_ops.KEY, "source_hash"], "left")
+        present = F.col("layer_name").isNull() | F.col("there").isNotNull()
+        whole = marked.groupBy("order_id").agg(F.bool_and(present).alias("whole")).filter("whole").select("order_id")
+        return same.join(whole, "order_id", "left_semi").select(*SEEN_SCHEMA.fieldNames())
 
     @staticmethod
     def layer_groups(catalogue: DataFrame) -> DataFrame:
@@ -208,49 +265,72 @@ class Publisher:
 
     # -- runs
 
-    def publish_orders(self, order_ids: list[str] | None = None, layer_names: list[str] | None = None) -> DataFrame:
+    def publish_orders(
+        self,
+        order_ids: list[str] | None = None,
+        layer_names: list[str] | None = None,
+        table_name: str | None = None,
+        if_exists: str = "replace",
+    ) -> DataFrame:
         """Publish every due layer of the given orders, all orders when none are given.
 
-        Layers whose ledger row has the same hash are skipped. A layer that fails
-        is reported and the run goes on. The driver only walks over the names of
-        the due layers; each layer is one Spark job over its own files.
+        Orders whose archives' directories and ledger rows are those of an earlier run are
+        skipped before a member is read, layers whose bytes are in the ledger before
+        they are published. An order with an unreadable file publishes nothing: what the rest of
+        its layers would hold is not known, so its tables stay as they are and each layer is
+        reported with the error. A layer that fails is reported and the run goes on.
+
+        ``table_name`` puts the layers in that table, else a table has its layer's name.
+        With ``if_exists="append"`` layers add to a table, with ``fail`` an existing table is
+        an error. ``layer_names`` are resolved by :func:`layers.resolved_names`. The driver
+        walks over the names of the due layers; each layer is one Spark job over its own
+        files, and enters the ledger as soon as its table is done.
         """
+        if if_exists not in MODES:
+            raise ValueError(f"if_exists is one of {', '.join(MODES)}")
         members = cut_lineage(self.members(order_ids))
-        types = cut_lineage(self.types(members))
-        catalogue = self.catalogue(members, types)
-        groups = layers.only_layers(self.layer_groups(catalogue), layer_names)
+        types = cut_lineage(self.types(members, order_ids))
+        as_before = cut_lineage(self.unchanged(members))
+        unpacked = f"{self.location}/unpacked/{uuid.uuid4().hex}"
+        changed = members.join(as_before, "order_id", "left_anti")
+        catalogue = self.catalogue(changed, types, unpacked)
+        all_groups = cut_lineage(self.layer_groups(catalogue))
+        before = as_before.filter(F.col("layer_name").isNotNull()).select(*ledger_ops.KEY, "source_hash")
+        if layer_names:
+            there = all_groups.select("layer_name").union(before.select("layer_name"))
+            layer_names = layers.resolved_names(layer_names, there)
+        groups, before = layers.only_layers(all_groups, layer_names), layers.only_layers(before, layer_names)
         ledger = self.ledger.read()
-        due = ledger_ops.due(groups, ledger)
-        outcomes, loaded = [], []
-        if order_ids:
-            outcomes += self._refused(order_ids, types)
-        broken = catalogue.filter(F.col("error").isNotNull()).select("order_id", "layer_name", "inner_path", "error")
-        for bad in broken.toLocalIterator():
-            name = bad["layer_name"] or text_stem(bad["inner_path"])
-            outcomes.append((bad["order_id"], name, name, 0, 0.0, "failed", bad["error"]))
+        outcomes = list(self._refused(order_ids, types)) if order_ids else []
+        unreadable = catalogue.filter(F.col("error").isNotNull() & F.col("layer_name").isNull())
+        for bad in catalogue.filter(F.col("error").isNotNull()).toLocalIterator():
+            name = bad["layer_name"] or text_stem(bad["inner_path"] or bad["zip_name"])
+            where = bad["zip_name"] if bad["layer_name"] is None else None
+            error = f"{where}: {bad['error']}" if where else bad["error"]
+            outcomes.append((bad["order_id"], name, name, 0, 0.0, "failed", error))
+        whole = groups.join(unreadable, "order_id", "left_anti")
+        for one in groups.join(unreadable, "order_id", "left_semi").select(*ledger_ops.KEY).toLocalIterator():
+            table = table_name or text.clean_name(one["layer_name"])
+            outcomes.append((one["order_id"], table, one["layer_name"], 0, 0.0, "failed", "a file of the order cannot be read"))
+        due = ledger_ops.due(whole, ledger)
         by_table: dict[str, list] = {}
         for one in due.orderBy("order_id", "layer_name").toLocalIterator():
-            by_table.setdefault(text.clean_name(one["layer_name"]), []).append(one)
+            by_table.setdefault(table_name or text.clean_name(one["layer_name"]), []).append(one)
 
         def publish_table(table: str) -> list:
-            if len(by_table[table]) > 1:
-                warnings.warn(f"{table} is in {len(by_table[table])} orders, the last one stays", stacklevel=2)
-            return [self._publish_one(catalogue, one, table) for one in by_table[table]]
+            if len(by_table[table]) > 1 and if_exists == "replace":
+                warnings.warn(f"{table} is in {len(by_table[table])} layers, the last one stays", stacklevel=2)
+            return [self._publish_one(catalogue, one, table, if_exists) for one in by_table[table]]
 
         with ThreadPoolExecutor(self.layers_at_once) as pool:
             for results in pool.map(publish_table, by_table):
-                for outcome, row in results:
-                    outcomes.append(outcome)
-                    if row is not None:
-                        loaded.append(row)
-        if loaded:
-            new = self.spark.createDataFrame(loaded, T.StructType(ledger_ops.LEDGER_SCHEMA.fields[:-1]))
-            self.ledger.upsert(new.withColumn("loaded_at", F.current_timestamp()), ledger_ops.KEY)
+                outcomes += results
         done = self.spark.createDataFrame(outcomes, REPORT_SCHEMA)
-        current = groups.join(ledger.select(*ledger_ops.KEY, "source_hash"), [*ledger_ops.KEY, "source_hash"], "left_semi")
+        loaded = whole.join(ledger.select(*ledger_ops.KEY, "source_hash"), [*ledger_ops.KEY, "source_hash"], "left_semi")
+        current = loaded.select(*ledger_ops.KEY).unionByName(before.select(*ledger_ops.KEY))
         skipped = current.select(
             "order_id",
-            text.table_name(F.col("layer_name")).alias("table_name"),
+            (F.lit(table_name) if table_name else text.table_name(F.col("layer_name"))).alias("table_name"),
             "layer_name",
             F.lit(0).cast("bigint").alias("feature_count"),
             F.lit(0.0).alias("duration_seconds"),
@@ -259,8 +339,18 @@ class Publisher:
         )
         report = cut_lineage(done.unionByName(skipped))
         report.withColumn("reported_at", F.current_timestamp()).write.mode("append").parquet(self.reports)
+        self._remember(changed, all_groups, catalogue)
+        files.delete_tree(self.spark, unpacked)
         return report
 
+    def _remember(self, changed: DataFrame, groups: DataFrame, catalogue: DataFrame) -> None:
+        """Note which layers the changed orders have, under the fingerprint of their archives."""
+        broken = catalogue.filter(F.col("error").isNotNull()).select("order_id")
+        prints = self.fingerprints(changed).join(broken, "order_id", "left_anti")
+        rows = prints.join(groups.select(*ledger_ops.KEY, "source_hash"), "order_id", "left")
+        kept = self.seen.read().join(changed.select("order_id"), "order_id", "left_anti")
+        self.seen.replace(kept.unionByName(rows.select(*SEEN_SCHEMA.fieldNames())))
+
     def _refused(self, order_ids: list[str], types: DataFrame) -> list[tuple]:
         """Report rows of orders that were asked for by name and cannot be published."""
         asked = self.spark.createDataFrame([(o,) for o in sorted(set(order_ids))], "order_id string")
@@ -285,8 +375,8 @@ class Publisher:
         """All orders, only the layers that are new or whose bytes changed."""
         return self.publish_orders()
 
-    def _publish_one(self, catalogue: DataFrame, one, table: str) -> tuple[tuple, tuple | None]:
-        """Report row of one layer, and its ledger row when it was published."""
+    def _publish_one(self, catalogue: DataFrame, one, table: str, if_exists: str) -> tuple:
+        """Publish one layer, enter it in the ledger, return its report row."""
         order_id, layer, started = one["order_id"], one["layer_name"], time.time()
         mine = (F.col("order_id") == order_id) & (F.col("layer_name") == layer) & F.col("error").isNull()
         try:
@@ -294,18 +384,21 @@ class Publisher:
                 raise ValueError("the layer's files differ in columns or coordinate system")
             features = archives.read_layer(catalogue.filter(mine), one["columns"])
             stats = publish_layer(
-                features.drop("order_id", "layer_name", "staged_path", "source_row"),
+                features.drop("order_id", "layer_name", "zip_name", "inner_path", "staged_path", "source_row"),
                 table,
                 self.database,
                 source_srid=one["srid"],
                 target_srid=self.target_srid,
+                if_exists=if_exists,
                 order_id=order_id,
             ).first()
+            row = (order_id, one["source_file"], one["source_hash"], table, layer, stats["feature_count"], stats["bbox"])
+            new = self.spark.createDataFrame([row], T.StructType(ledger_ops.LEDGER_SCHEMA.fields[:-1]))
+            with self._ledger_lock:
+                self.ledger.upsert(new.withColumn("loaded_at", F.current_timestamp()), ledger_ops.KEY)
         except Exception as error:  # one layer does not stop the rest
-            return (order_id, table, layer, 0, time.time() - started, "failed", str(error)[:2000]), None
-        count = stats["feature_count"]
-        row = (order_id, one["source_file"], one["source_hash"], table, layer, count, stats["bbox"])
-        return (order_id, table, layer, count, time.time() - started, "ok", None), row
+            return (order_id, table, layer, 0, time.time() - started, "failed", str(error))
+        return (order_id, table, layer, stats["feature_count"], time.time() - started, "ok", None)
 
     def cleanup_stale(self) -> list[str]:
         """Drop the layers of vanished orders, forget them, return their names."""
@@ -319,9 +412,9 @@ class Publisher:
         for name in removed:
             if name not in still_used:
                 self.spark.sql(f"DROP TABLE IF EXISTS `{self.database}`.`{name}`")
+                files.delete_tree(self.spark, f"{self.location}/{self.database}.db/{name}")
         self.ledger.replace(kept)
-        for row in stale.select("order_id").distinct().toLocalIterator():
-            files.delete_tree(self.spark, f"{self.location}/unpacked/{row['order_id']}")
+        self.seen.replace(self.seen.read().join(self.orders(), "order_id", "left_semi"))
         return removed
 
     def set_package_name(self, order_id: str, package_name: str) -> None:

@@ -1,25 +1,32 @@
-"""Read-only SQL with a row cap and a time limit."""
+"""Read-only SQL with a row cap and a time limit.
+
+A text is taken when it is a SELECT without a refused word and its parsed plan reads
+named tables and views only: no file by its path, no script, no call into the JVM.
+"""
 
 from __future__ import annotations
 
+import json
 import re
 import threading
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 
 from ..functions import text as text_functions
 
 # Refused words, row cap, time limit in seconds.
 FORBIDDEN = ("INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER", "TRUNCATE", "GRANT", "REVOKE")
+REFLECTIVE = ("reflect", "try_reflect", "java_method")
 MAX_ROWS = 1000
 TIMEOUT = 30.0
 
 
 class NotReadOnly(ValueError):
-    """The text is not a SELECT, or holds a refused word."""
+    """The text is not a SELECT, holds a refused word, or reads or runs more than tables."""
 
 
 @dataclass(frozen=True)
@@ -43,20 +50,64 @@ def check(text: str) -> str:
     return clean
 
 
+def _nodes(tree) -> Iterator[dict]:
+    """Every node of a plan in its JSON form, expressions and plans inside them included."""
+    if isinstance(tree, dict):
+        if "class" in tree:
+            yield tree
+        tree = list(tree.values())
+    if isinstance(tree, list):
+        for part in tree:
+            yield from _nodes(part)
+
+
+def check_plan(spark: SparkSession, clean: str) -> None:
+    """Refuse what the parsed plan shows: scripts, calls into the JVM, files named by their path."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(clean)
+    for node in _nodes(json.loads(plan.toJSON())):
+        kind = node["class"].rsplit(".", 1)[1]
+        if kind == "ScriptTransformation":
+            raise NotReadOnly("scripts are not allowed")
+        if kind in ("UnresolvedFunction", "UnresolvedTableValuedFunction"):
+            name = str(node.get("nameParts", node.get("name", ""))).strip("[]").split(", ")[-1].lower()
+            if name in REFLECTIVE:
+                raise NotReadOnly(f"the function {name} is not allowed")
+        if kind == "UnresolvedRelation":
+            parts = node["multipartIdentifier"].strip("[]").split(", ")
+            if len(parts) > 1 and not _is_table(spark, parts):
+                raise NotReadOnly(f"{'.'.join(parts)} is no table")
+
+
+def _is_table(spark: SparkSession, parts: list[str]) -> bool:
+    try:
+        return spark.catalog.tableExists(".".join(f"`{p}`" for p in parts))
+    except AnalysisException:
+        return False
+
+
 def readonly_sql(
     spark: SparkSession, text: str, tables: Mapping[str, DataFrame] | None = None, max_rows: int = MAX_ROWS
 ) -> Answer:
-    """Checked SELECT over the session's tables and the given DataFrames, capped."""
+    """Checked SELECT over the session's tables and the given DataFrames, capped.
+
+    The given ones stand in front of tables and views of the same name, in this query only.
+    """
     clean = check(text)
-    for name, df in (tables or {}).items():
-        df.createOrReplaceTempView(name)
-    whole = spark.sql(clean)
+    check_plan(spark, clean)
+    views = {name: f"given_{uuid.uuid4().hex}" for name in tables or {}}
+    for name, view in views.items():
+        tables[name].createTempView(view)
+    given = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in views.items())
+    whole = spark.sql(f"WITH {given} {clean}" if given else clean)
+    for view in views.values():
+        spark.catalog.dropTempView(view)
     return Answer(whole.limit(max_rows), whole.limit(max_rows + 1), max_rows)
 
 
 def run(spark: SparkSession, text: str, max_rows: int = MAX_ROWS, timeout: float = TIMEOUT) -> tuple[list[Row], bool]:
     """Rendered rows and the truncated flag; the job is cancelled after ``timeout`` seconds."""
     clean = check(text)
+    check_plan(spark, clean)
     tag = f"readonly-{uuid.uuid4().hex}"
     context = spark.sparkContext
     timer = threading.Timer(timeout, context.cancelJobsWithTag, [tag])

@@ -100,9 +100,9 @@ def a7b(spark, d):
     return ledger.order_layers(views.ledger(spark, d))
 
 
-@query("A9_layer_names", sql("SELECT DISTINCT order_id, layer_name FROM candidates ORDER BY 1, 2", "candidates"))
+@query("A9_layer_names", sql("SELECT DISTINCT order_id, layer_name FROM every_candidate ORDER BY 1, 2", "every_candidate"))
 def a9(spark, d):
-    return ledger.layer_names(views.candidates(spark, d)).orderBy("order_id", "layer_name")
+    return ledger.layer_names(views.all_candidates(spark, d)).orderBy("order_id", "layer_name")
 
 
 @query(
@@ -149,10 +149,10 @@ def p9(spark, d):
 
 @query(
     "U2_layer_name_union",
-    sql("SELECT order_id, layer_name FROM candidates UNION SELECT order_id, layer_name FROM ledger", "candidates"),
+    sql("SELECT order_id, layer_name FROM every_candidate UNION SELECT order_id, layer_name FROM ledger", "every_candidate"),
 )
 def u2(spark, d):
-    return ledger.layer_names(views.candidates(spark, d), views.ledger(spark, d))
+    return ledger.layer_names(views.all_candidates(spark, d), views.ledger(spark, d))
 
 
 @query(
@@ -165,10 +165,10 @@ def u3(spark, d):
 
 @query(
     "U4_existing_layers",
-    sql("SELECT layer_name FROM candidates INTERSECT SELECT layer_name FROM ledger", "candidates"),
+    sql("SELECT layer_name FROM every_candidate INTERSECT SELECT layer_name FROM ledger", "every_candidate"),
 )
 def u4(spark, d):
-    return ledger.existing_layers(views.candidates(spark, d), views.ledger(spark, d))
+    return ledger.existing_layers(views.all_candidates(spark, d), views.ledger(spark, d))
 
 
 # --- delivery files ------------------------------------------------------------------
@@ -182,14 +182,14 @@ OBJECTS = "SELECT order_id, filename, sum(objects) AS objects, string_agg('t' ||
     sql(
         """SELECT o.order_id, o.filename, CAST(coalesce(s.objects, 0) AS BIGINT) AS objects, coalesce(s.shown, '-') AS objects_text
            FROM (SELECT DISTINCT 'o' || (l_orderkey % 200) AS order_id, 'f' || l_partkey || '.gpkg' AS filename
-                 FROM lineitem WHERE l_linenumber % 5 = 0 AND l_partkey % 3 <> 0) o
-           LEFT JOIN (""" + OBJECTS + """) s USING (order_id, filename)""",
-        "statistics",
+                 FROM lineitem) o
+           LEFT JOIN (""" + OBJECTS.replace("FROM statistics", "FROM every_statistic") + """) s USING (order_id, filename)""",
+        "every_statistic",
     ),
 )
 def a11(spark, d):
     stats = F.col("statistics")
-    return views.statistics(spark, d).select(
+    return views.statistics(spark, d, every=True).select(
         "order_id",
         "filename",
         deliveries.object_count(stats).alias("objects"),
@@ -244,11 +244,11 @@ LABELS = """CASE data_type WHEN 'vector_gpkg' THEN 'Vector (GeoPackage)' WHEN 'l
     WHEN 'raster_ortho' THEN 'Raster (Orthophoto)' ELSE 'Unknown' END AS data_type_label"""
 
 
-def _types(spark, d):
+def _types(spark, d, hints=None):
     members = views.listing(spark, d).select(
         "order_id", "zip_name", F.col("title").alias("entry"), text.extension(F.col("title")).alias("extension")
     )
-    return deliveries.dominant_type(members, views.hints(spark, d))
+    return deliveries.dominant_type(members, views.hints(spark, d) if hints is None else hints)
 
 
 @query(
@@ -259,6 +259,17 @@ def a8(spark, d):
     return _types(spark, d)
 
 
+@query(
+    "A8_repeated_hints",
+    sql("", "listing", "hints") + TYPES + " SELECT order_id, data_type, files_of_type FROM t",
+)
+def a8r(spark, d):
+    """Several metadata files of an order count no file twice."""
+    hints = views.hints(spark, d)
+    twice = hints.unionByName(hints).unionByName(hints.withColumn("produkttyp", F.lit(None).cast("string")).withColumn("datatyp", F.lit(None).cast("string")))
+    return _types(spark, d, twice).select("order_id", "data_type", "files_of_type")
+
+
 @query(
     "W3_type_rank",
     sql("", "listing", "hints") + TYPES + " SELECT order_id, data_type FROM t WHERE files_of_type > 0",
@@ -476,12 +487,12 @@ def f13(spark, d):
     "F14_product_hint",
     sql(
         """SELECT order_id, CASE WHEN datatyp IS NOT NULL THEN 'raster_dem' WHEN produkttyp LIKE 'Orto%' THEN 'raster_ortho'
-           WHEN produkttyp LIKE 'Topo%' THEN 'vector_gpkg' WHEN produkttyp LIKE 'Laser%' THEN 'lidar_laz' END AS hint FROM hints""",
-        "hints",
+           WHEN produkttyp LIKE 'Topo%' THEN 'vector_gpkg' WHEN produkttyp LIKE 'Laser%' THEN 'lidar_laz' END AS hint FROM every_hint""",
+        "every_hint",
     ),
 )
 def f14(spark, d):
-    return views.hints(spark, d).select(
+    return views.hints(spark, d, every=True).select(
         "order_id", text.product_hint([F.col(k) for k in text.HINT_KEYS]).alias("hint")
     )
 
@@ -658,7 +669,7 @@ def j5(spark, d):
     "J6_converted_tiles",
     sql(
         "SELECT f.order_id, f.title, f.size, c.title IS NOT NULL AS copc_ready, replace(c.title, '.laz', '.copc.laz') AS copc_filename,"
-        " round_even(f.size / 1048576.0e0, 1) AS size_mb FROM (SELECT * FROM laz_tiles WHERE k % 3 = 0) f"
+        " round_even(f.size / 1048576.0e0, 1) AS size_mb FROM laz_tiles f"
         " LEFT JOIN (SELECT DISTINCT order_id, title FROM laz_tiles WHERE k % 6 = 0) c ON c.order_id = f.order_id AND c.title = f.title",
         "laz_tiles",
     ),
@@ -669,7 +680,8 @@ def j6(spark, d):
         .filter("k % 6 = 0")
         .select("order_id", text.converted_name(F.col("title")).alias("copc_name"))
     )
-    return tiles.converted_flags(_downloaded(spark, d), converted)
+    every = tiles.parsed(views.tiles(spark, d)).select("order_id", "title", "size")
+    return tiles.converted_flags(every, converted)
 
 
 @query(

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import feeds as expressions
 from ..operators import feeds, points
-from . import views
+from ..sources import feeds as feed_readers
+from . import landing, views
 from .layer_queries import STAMP, stamp
 from .registry import query
 from .view_sql import sql
@@ -22,6 +23,16 @@ def _trains(spark, d):
     return feeds.train_rows(views.announcements(spark, d), _stations(spark, d))
 
 
+@query("J2_repeated_stations", sql("SELECT announcement_id, train, station_name, lon, lat, origin, destination, delay FROM train_rows", "train_rows"))
+def j2r(spark, d):
+    """Station codes that the feed repeats under other names: the last in order counts, each announcement once."""
+    stations = _stations(spark, d)
+    older = [stations.withColumn("name", F.concat(F.lit(mark), "name")) for mark in (" former ", "")]
+    return feeds.train_rows(views.announcements(spark, d), older[0].unionByName(older[1]).unionByName(older[0])).select(
+        "announcement_id", "train", "station_name", "lon", "lat", "origin", "destination", "delay"
+    )
+
+
 @query("P10_advertised_stations", sql("SELECT signature, name, lon, lat FROM known_stations", "known_stations"))
 def p10(spark, d):
     return _stations(spark, d)
@@ -165,9 +176,11 @@ def f24(spark, d):
 # --- points --------------------------------------------------------------------------
 
 
-@query("S11_point_scan", sql("SELECT point_id, tile, node_key, x, y, z, red, green, blue, intensity FROM points", "points"))
+@query("S11_point_scan", sql("SELECT CAST(tile AS VARCHAR) AS tile, node_key, x, y, z, red, green, blue, intensity FROM points", "points"))
 def s11(spark, d):
-    return views.points(spark, d)
+    folder = landing.new_folder(spark, "points")
+    views.points(spark, d).withColumn("tile", F.col("tile").cast("string")).write.parquet(folder)
+    return feed_readers.read_points(spark, folder)
 
 
 @query("A18_points_per_node", sql("SELECT tile, node_key, count(*) AS points FROM points GROUP BY ALL", "points"))

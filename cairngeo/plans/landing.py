@@ -21,6 +21,8 @@ from ..session import shared_dir
 from . import views
 
 ROWS_PER_ARCHIVE = 20_000
+ROWS_PER_FILE = 10_000
+ORDERS_LISTED = 200
 ORDERS = 4
 
 
@@ -28,6 +30,12 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
 
 
+def _part(spark: SparkSession, sf_dir: str, table: str, key: str):
+    """A number that deals the rows of a table into files of about ``ROWS_PER_FILE`` rows, whatever the scale."""
+    rows = views.table(spark, sf_dir, table).count()
+    return F.pmod(F.xxhash64(key, "length"), F.lit(max(1, rows // (ROWS_PER_FILE * ORDERS_LISTED))))
+
+
 def local_path(path: str) -> str:
     return unquote(urlparse(path).path)
 
@@ -50,14 +58,14 @@ def write_gpkg(path: str, layer: str, rows: list[tuple], columns: list[tuple[str
     db.close()
 
 
-def land_archives(spark: SparkSession, sf_dir: str) -> str:
+def land_archives(spark: SparkSession, sf_dir: str, rows_per_archive: int = ROWS_PER_ARCHIVE) -> str:
     """``o0`` to ``o3``, each with archives of its customers' points as ``points_oN_sverige.gpkg``."""
     root = new_folder(spark, "deliveries")
     folder = local_path(root)
     header = F.expr("concat(unhex('4750'), unhex('00'), unhex('01'), unhex('BE0B0000'))")
     rows = views.point_layer(spark, sf_dir).select(
         F.concat(F.lit("o"), F.col("fid") % ORDERS).alias("order_id"),
-        F.floor(F.col("fid") / ROWS_PER_ARCHIVE).cast("bigint").alias("archive"),
+        F.floor(F.col("fid") / rows_per_archive).cast("bigint").alias("archive"),
         "fid",
         F.concat(header, G.write_wkb("geom")).alias("blob"),
         "c_name",
@@ -87,6 +95,53 @@ def land_archives(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
+def land_odd_names(spark: SparkSession, sf_dir: str) -> str:
+    """Points whose attributes are named like storage columns, or alike once cleaned; an archive per order and 5,000 customers."""
+    root = new_folder(spark, "odd-names")
+    folder = local_path(root)
+    header = F.expr("concat(unhex('4750'), unhex('00'), unhex('01'), unhex('BE0B0000'))")
+    rows = views.point_layer(spark, sf_dir).select(
+        F.concat(F.lit("o"), F.col("fid") % ORDERS).alias("order"),
+        F.floor(F.col("fid") / 5000).cast("bigint").alias("archive"),
+        "fid",
+        "xmin",
+        F.concat(header, G.write_wkb("geom")).alias("blob"),
+        "c_name",
+        "c_mktsegment",
+    )
+    columns = [("srid", "INTEGER"), ("Cell", "INTEGER"), ("xmin", "REAL"), ("order_id", "TEXT"), ("a b", "TEXT"), ("A-B", "TEXT")]
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        order, archive = pdf["order"].iloc[0], int(pdf["archive"].iloc[0])
+        os.makedirs(os.path.join(folder, order), exist_ok=True)
+        part = os.path.join(folder, f".{uuid.uuid4().hex}")
+        data = [
+            (int(r.fid), bytes(r.blob), int(r.fid) * 7, int(r.fid), -float(r.xmin), r.c_name, r.c_name, r.c_mktsegment)
+            for r in pdf.sort_values("fid").itertuples(index=False)
+        ]
+        write_gpkg(part + ".gpkg", "odd", data, columns, "POINT", (None, None, None, None))
+        with zipfile.ZipFile(part + ".zip", "w", zipfile.ZIP_DEFLATED) as out:
+            out.write(part + ".gpkg", "odd.gpkg")
+        os.remove(part + ".gpkg")
+        os.replace(part + ".zip", os.path.join(folder, order, f"odd_{archive}.zip"))
+        return pd.DataFrame({"done": [1]})
+
+    rows.groupBy("order", "archive").applyInPandas(write, "done int").count()
+    return root
+
+
+def land_names(spark: SparkSession, sf_dir: str) -> str:
+    """A file per order and 10,000 customer numbers with the customers' names, a line each."""
+    root = new_folder(spark, "names")
+    part = F.floor(F.col("fid") / 10_000).cast("long").alias("part")
+    per_file = views.point_layer(spark, sf_dir).groupBy(F.concat(F.lit("o"), F.col("fid") % ORDERS).alias("order_id"), part)
+    names = per_file.agg(F.array_sort(F.collect_list(F.struct("fid", "c_name"))).alias("rows"))
+    text = F.array_join(F.transform("rows", lambda r: r["c_name"]), "\n")
+    file_name = F.concat(F.lit("names_"), "part", F.lit(".txt")).alias("file_name")
+    land_documents(names.select("order_id", "part", file_name, text.alias("item")), root, "", "")
+    return root
+
+
 def land_documents(items: DataFrame, root: str, prefix: str, suffix: str) -> None:
     """One JSON document per (order_id, part, file_name) from its ``item`` texts."""
     folder = local_path(root)
@@ -117,7 +172,7 @@ def land_statistics(spark: SparkSession, sf_dir: str) -> str:
             F.array(F.array(F.array(number * 1.0, number * 2.0))).alias("coordinates"),
         ).alias("geometry"),
     )
-    items = views.statistics(spark, sf_dir).select(
+    items = views.statistics(spark, sf_dir, every=True).select(
         "order_id", F.floor(number / 10_000).alias("part"), F.lit("uttag.json").alias("file_name"), F.to_json(feature).alias("item")
     )
     land_documents(items, root, '{"type":"FeatureCollection","produkttyp":"Topografi 10","features":[', "]}")
@@ -144,7 +199,7 @@ def land_listing(spark: SparkSession, sf_dir: str) -> str:
         F.date_format("updated", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated"),
     )
     items = views.listing(spark, sf_dir).select(
-        "order_id", F.floor(F.col("length") / 1_000_000).alias("part"), F.lit("listing.json").alias("file_name"), F.to_json(entry).alias("item")
+        "order_id", _part(spark, sf_dir, "lineitem", "title").alias("part"), F.lit("listing.json").alias("file_name"), F.to_json(entry).alias("item")
     )
     land_documents(items, root, "[", "]")
     return root
@@ -165,7 +220,7 @@ def land_metadata(spark: SparkSession, sf_dir: str) -> str:
             )
         )
 
-    folders = views.folders(spark, sf_dir)
+    folders = views.folders(spark, sf_dir, every=True)
     for name, rule in (("order_metadata.json", number % 2 == 0), ("metadata.json", number % 3 == 0)):
         items = folders.filter(rule).select(
             "order_id", F.lit(0).alias("part"), F.lit(name).alias("file_name"), document(name).alias("item")

@@ -410,6 +410,40 @@ def j12d(spark, d):
     return pairs.selectExpr("left_key AS a_fid", "right_key AS b_fid")
 
 
+SIZED = "SELECT fid, x - half AS xmin, y - half AS ymin, x + half AS xmax, y + half AS ymax FROM (SELECT fid, x, y, pow(2, fid % 18) AS half FROM point_layer) s"
+
+
+@query(
+    "J12_boxes_of_many_sizes",
+    sql(f"SELECT b.fid AS box_fid, p.fid AS point_fid FROM ({SIZED}) b JOIN point_layer p ON p.x BETWEEN b.xmin AND b.xmax AND p.y BETWEEN b.ymin AND b.ymax", "point_layer"),
+)
+def j12s(spark, d):
+    """Boxes of 18 sizes, from 2 to 262,144 metres wide."""
+    points = views.point_layer(spark, d)
+    half = F.pow(F.lit(2.0), F.col("fid") % 18)
+    sized = points.select("fid", F.col("xmin").alias("x"), F.col("ymin").alias("y"), half.alias("half"))
+    corners = {"xmin": F.col("x") - F.col("half"), "ymin": F.col("y") - F.col("half"), "xmax": F.col("x") + F.col("half"), "ymax": F.col("y") + F.col("half")}
+    boxes = sized.withColumns(corners).withColumn("geom", G.box(*[F.col(c) for c in layers.ENVELOPE]))
+    return spatial.spatial_join(boxes, points).selectExpr("left_key AS box_fid", "right_key AS point_fid")
+
+
+CROWD = "SELECT fid, CASE WHEN fid % 10 < 3 THEN 500000 + fid % 50 ELSE x END AS x, CASE WHEN fid % 10 < 3 THEN 6500000 + fid % 40 ELSE y END AS y FROM point_layer"
+
+
+@query(
+    "J12_crowded_cell",
+    sql(f"SELECT p.fid AS point_fid, b.fid AS box_fid FROM ({CROWD}) p JOIN box_layer b ON p.x BETWEEN b.xmin AND b.xmax AND p.y BETWEEN b.ymin AND b.ymax", "point_layer", "box_layer"),
+)
+def j12h(spark, d):
+    """Three points of ten lie in one cell."""
+    points, crowd = views.point_layer(spark, d), F.col("fid") % 10 < 3
+    x = F.when(crowd, (500000 + F.col("fid") % 50).cast("double")).otherwise(F.col("xmin"))
+    y = F.when(crowd, (6500000 + F.col("fid") % 40).cast("double")).otherwise(F.col("ymin"))
+    placed = points.select("fid", x.alias("xmin"), y.alias("ymin")).withColumns({"xmax": F.col("xmin"), "ymax": F.col("ymin")})
+    placed = placed.withColumn("geom", G.point(F.col("xmin"), F.col("ymin")))
+    return spatial.spatial_join(placed, views.box_layer(spark, d)).selectExpr("left_key AS point_fid", "right_key AS box_fid")
+
+
 # --- geometry and projection ---------------------------------------------------------
 
 

@@ -36,7 +36,7 @@ def t1(spark, d):
     arriving = _stream(spark, d, "events").selectExpr(*views.ANNOUNCEMENT_COLUMNS)
     stations = feeds.advertised_stations(views.stations(spark, d))
     started, table = live.live_trains(
-        arriving, stations, landing.new_folder(spark, "trains"), landing.new_folder(spark, "trains-state"), available_now=True
+        arriving, stations, landing.new_folder(spark, "trains"), landing.new_folder(spark, "trains-state"), available_now=True, expiry=None
     )
     _finish(started)
     return table.read().withColumn("time", stamp("time"))
@@ -54,7 +54,7 @@ def t1b(spark, d):
     arriving = _stream(spark, d, "events").selectExpr(*views.ANNOUNCEMENT_COLUMNS)
     stations = feeds.advertised_stations(views.stations(spark, d))
     started, table = live.live_trains(
-        arriving, stations, landing.new_folder(spark, "trains"), landing.new_folder(spark, "trains-state"), available_now=True
+        arriving, stations, landing.new_folder(spark, "trains"), landing.new_folder(spark, "trains-state"), available_now=True, expiry=None
     )
     _finish(started)
     now = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
@@ -72,7 +72,7 @@ def t1b(spark, d):
 def t2(spark, d):
     arriving = _stream(spark, d, "events").selectExpr(*views.WEATHER_COLUMNS)
     started, table = live.live_weather(
-        arriving, landing.new_folder(spark, "weather"), landing.new_folder(spark, "weather-state"), tie="event_id", available_now=True
+        arriving, landing.new_folder(spark, "weather"), landing.new_folder(spark, "weather-state"), tie="event_id", available_now=True, expiry=None
     )
     _finish(started)
     shown = table.read().select("id", "event_id", "name", "lon", "lat", "air_temp", "wind_dir", "precipitation", "sample")
@@ -96,4 +96,4 @@ def t4(spark, d):
     )
     path = landing.new_folder(spark, "updates")
     _finish(live.watch_updates(arriving, path, landing.new_folder(spark, "updates-state"), available_now=True))
-    return spark.read.parquet(path).select("order_id", "title", stamp("updated"))
+    return live.sent_updates(spark, path).select("order_id", "title", stamp("updated"))

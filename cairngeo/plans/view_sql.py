@@ -60,6 +60,23 @@ VIEWS = {
               FROM lineitem WHERE l_linenumber % 5 = 0 AND l_partkey % 3 <> 0),
              (VALUES (1), (2), (3)) AS t(i)
         WHERE i <= k % 4""",
+    "every_candidate": """
+        SELECT order_id, layer_name FROM ledger
+        UNION SELECT 'o' || (o_orderkey % 250), lower(o_orderstatus) FROM orders""",
+    "every_folder": """
+        SELECT 'o' || (o_orderkey % 250) AS order_id, max(o_orderdate) AS download_date
+        FROM orders GROUP BY 1""",
+    "every_hint": """
+        SELECT order_id,
+               ['Ortofoto RGB', 'Topografi 10', NULL, 'Laserdata NH', 'annat'][CAST(substr(order_id, 2) AS INT) % 5 + 1] AS produkttyp,
+               CASE WHEN CAST(substr(order_id, 2) AS INT) % 7 = 0 THEN 'HOJDDATA grid' END AS datatyp
+        FROM every_folder""",
+    "every_statistic": """
+        SELECT order_id, 'f' || k || '.gpkg' AS filename, i AS table_no, (k * i * 37) % 5000 AS objects
+        FROM (SELECT DISTINCT 'o' || (l_orderkey % 200) AS order_id, l_partkey AS k
+              FROM lineitem),
+             (VALUES (1), (2), (3)) AS t(i)
+        WHERE i <= k % 4""",
     "outlines": """
         SELECT 'o' || (p_partkey % 200) AS order_id,
                CASE WHEN p_partkey % 5 = 0 THEN 'Point' ELSE 'Polygon' END AS kind,
@@ -129,6 +146,8 @@ VIEWS = {
 
 NEEDS = {
     "candidates": ("ledger",),
+    "every_candidate": ("ledger",),
+    "every_hint": ("every_folder",),
     "hints": ("folders",),
     "laz_tiles": ("tiles",),
     "known_stations": ("stations",),

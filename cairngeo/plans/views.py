@@ -112,20 +112,28 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers of the ledger and of every order in ``orders``."""
+    known = ledger(spark, sf_dir).select("order_id", "layer_name")
+    every = table(spark, sf_dir, "orders").selectExpr("concat('o', o_orderkey % 250) AS order_id", "lower(o_orderstatus) AS layer_name")
+    return known.unionByName(every)
+
+
+def folders(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Delivered orders; without ``every`` some that the ledger has are missing."""
     return (
         table(spark, sf_dir, "orders")
-        .filter("o_orderkey % 250 >= 20")
+        .filter(F.lit(every) | F.expr("o_orderkey % 250 >= 20"))
         .selectExpr("concat('o', o_orderkey % 250) AS order_id", "o_orderdate")
         .groupBy("order_id")
         .agg(F.max("o_orderdate").alias("download_date"))
     )
 
 
-def hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hints(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
     """Delivery metadata that may name a product."""
     return (
-        folders(spark, sf_dir)
+        folders(spark, sf_dir, every)
         .selectExpr("order_id", "cast(substring(order_id, 2) AS int) AS k")
         .selectExpr(
             "order_id",
@@ -159,11 +167,11 @@ def local_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-file table statistics of vector files, zero to three tables each."""
+def statistics(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Per-file table statistics, zero to three tables each; without ``every`` many files have none."""
     return (
         table(spark, sf_dir, "lineitem")
-        .filter("l_linenumber % 5 = 0 AND l_partkey % 3 <> 0")
+        .filter(F.lit(every) | F.expr("l_linenumber % 5 = 0 AND l_partkey % 3 <> 0"))
         .selectExpr("concat('o', l_orderkey % 200) AS order_id", "l_partkey AS k")
         .distinct()
         .selectExpr(

@@ -69,7 +69,8 @@ POINTS = _struct(
     intensity=T.IntegerType(),
 )
 
-MEMBER = _struct(order_id=S, path=S, zip_name=S, entry=L, inner_path=S, extension=S, size=L)
+# ``error`` is set on the one row of an archive that cannot be read; crc and size are those of its directory
+MEMBER = _struct(order_id=S, path=S, zip_name=S, entry=L, inner_path=S, extension=S, size=L, crc=L, error=S)
 
 STAGED = _struct(
     order_id=S, zip_name=S, inner_path=S, staged_path=S, size=L, source_hash=S, error=S

@@ -13,6 +13,7 @@ import os
 import sqlite3
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from decimal import Decimal
 from pathlib import PurePosixPath
@@ -56,7 +57,9 @@ def _frame(rows: list[dict], schema: T.StructType) -> pd.DataFrame:
 def zip_members(files: DataFrame) -> DataFrame:
     """One row per archive member of the ``.zip`` files of a delivery scan.
 
-    Folders are left out, an archive that cannot be read gives no rows.
+    Folders are left out. A file that is no archive, or one cut short, gives one
+    row with an error and no member. Other failures of a read are not swallowed:
+    the task fails and Spark runs it again.
     """
 
     def list_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,7 +68,9 @@ def zip_members(files: DataFrame) -> DataFrame:
                 try:
                     with _open(archive.path) as raw, zipfile.ZipFile(raw) as opened:
                         members = [i for i in opened.infolist() if not i.is_dir()]
-                except (zipfile.BadZipFile, OSError):
+                except zipfile.BadZipFile as error:
+                    broken = {"order_id": archive.order_id, "path": archive.path, "zip_name": archive.file_name}
+                    yield _frame([{**broken, "error": f"cannot read: {error}"}], schemas.MEMBER)
                     continue
                 rows = [
                     {
@@ -76,6 +81,7 @@ def zip_members(files: DataFrame) -> DataFrame:
                         "inner_path": member.filename,
                         "extension": PurePosixPath(member.filename).suffix.lower(),
                         "size": member.file_size,
+                        "crc": member.CRC,
                     }
                     for position, member in enumerate(members)
                 ]
@@ -91,10 +97,13 @@ def zip_members(files: DataFrame) -> DataFrame:
 def unpack(members: DataFrame, staging: str) -> DataFrame:
     """GeoPackage members copied to ``staging``, with the SHA-256 of their bytes.
 
-    ``staging`` is a folder every executor mounts. A copy appears under its name
+    ``staging`` is a folder every executor mounts, so one on a store that is no file
+    system is refused. A copy appears under its name
     only when it is whole, so a task that is lost or run twice does no harm. A
     member that cannot be read gives a row with an error.
     """
+    if urlparse(staging).scheme not in ("", "file"):
+        raise ValueError(f"{staging} is not mounted: name a shared folder on a file system as the location")
     folder = unquote(urlparse(staging).path)
 
     def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,7 +121,7 @@ def unpack(members: DataFrame, staging: str) -> DataFrame:
                 }
                 try:
                     row["source_hash"] = _copy_member(member.path, member.inner_path, target)
-                except (zipfile.BadZipFile, OSError, KeyError) as error:
+                except (zipfile.BadZipFile, zlib.error, EOFError) as error:
                     row["error"] = f"cannot unpack: {error}"
                 rows.append(row)
             yield _frame(rows, schemas.STAGED)
@@ -198,9 +207,35 @@ def _describe(path: str) -> Iterator[dict]:
         db.close()
 
 
+# Columns that a read or published layer has besides its attributes.
+STORAGE = frozenset(
+    "order_id layer_name zip_name inner_path staged_path source_row fid blob geom geom_wkb srid cell"
+    " xmin ymin xmax ymax _source_order _loaded_at _part _row _before".split()
+)
+
+
+def attribute_names(names: list[str]) -> list[str]:
+    """Column names of source attributes: cleaned, free of storage columns and of one another.
+
+    A cleaned name that is a storage column gets ``_attr`` after it; of equal names the
+    second and later ones are numbered ``_2``, ``_3`` in source order.
+    """
+    out: list[str] = []
+    for name in names:
+        clean = text.clean_name(name)
+        base = clean + "_attr" if clean in STORAGE else clean
+        own, number = base, 1
+        while own in out or own in STORAGE:
+            number += 1
+            own = f"{base}_{number}"
+        out.append(own)
+    return out
+
+
 def layer_fields(columns: list) -> list[T.StructField]:
-    """Spark fields of a source layer's attributes, under their cleaned names."""
-    return [T.StructField(text.clean_name(c["name"]), text.spark_type(c["type"])) for c in columns]
+    """Spark fields of a source layer's attributes, under the names of :func:`attribute_names`."""
+    names = attribute_names([c["name"] for c in columns])
+    return [T.StructField(name, text.spark_type(c["type"])) for name, c in zip(names, columns, strict=True)]
 
 
 def _cast(value, kind: T.DataType):
@@ -217,7 +252,10 @@ def _cast(value, kind: T.DataType):
     return Decimal(str(value))
 
 
-RANGE = "order_id string, layer_name string, staged_path string, geometry_column string, low bigint, high bigint"
+RANGE = (
+    "order_id string, layer_name string, zip_name string, inner_path string, staged_path string, geometry_column string,"
+    " low bigint, high bigint"
+)
 
 
 def _ranges(catalogue: DataFrame, rows_per_range: int) -> DataFrame:
@@ -231,12 +269,12 @@ def _ranges(catalogue: DataFrame, rows_per_range: int) -> DataFrame:
         .withColumn("step", step)
         .withColumn("low", F.explode(F.expr("sequence(first_row, last_row, step)")))
         .withColumn("high", F.expr("least(low + step - 1, last_row)"))
-        .select("order_id", "layer_name", "staged_path", "geometry_column", "low", "high")
+        .select("order_id", "layer_name", "zip_name", "inner_path", "staged_path", "geometry_column", "low", "high")
     )
 
 
 def numbered_ranges(catalogue: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """The ranges with how many rows come before each, in (file, row number) order.
+    """The ranges with how many rows of their layer come before each, in (archive, member, row number) order.
 
     The tasks count their ranges by key, without reading a feature. What is
     added up in order is one number per range, not the rows.
@@ -255,19 +293,21 @@ def numbered_ranges(catalogue: DataFrame, rows_per_range: int = ROWS_PER_RANGE)
             yield batch.assign(rows=totals)
 
     counted = _ranges(catalogue, rows_per_range).repartition("staged_path", "low").mapInPandas(count, RANGE + ", rows bigint")
-    in_file = Window.partitionBy("staged_path").orderBy("low")
-    files = counted.groupBy("staged_path").agg(F.sum("rows").alias("file_rows"))
-    across = Window.orderBy("staged_path").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("staged_path", F.coalesce(F.sum("file_rows").over(across), F.lit(0)).alias("file_start"))
+    in_file = Window.partitionBy("staged_path", "layer_name").orderBy("low")
+    files = counted.groupBy("staged_path", "order_id", "layer_name", "zip_name", "inner_path").agg(F.sum("rows").alias("file_rows"))
+    layer = Window.partitionBy("order_id", "layer_name").orderBy("zip_name", "inner_path")  # a row per file
+    across = layer.rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("staged_path", "layer_name", F.coalesce(F.sum("file_rows").over(across), F.lit(0)).alias("file_start"))
     before = F.col("file_start") + F.sum("rows").over(in_file) - F.col("rows")
-    return counted.join(starts, "staged_path").withColumn("before", before).drop("file_start", "rows")
+    return counted.join(starts, ["staged_path", "layer_name"]).withColumn("before", before).drop("file_start", "rows")
 
 
 def read_layer(catalogue: DataFrame, columns: list, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Features of catalogue rows that share one attribute list.
 
-    Gives order_id, layer_name, staged_path, source_row, ``fid`` (1, 2, ... in
-    file and row order), ``geom_wkb`` and the attributes. Tasks take ranges of
+    Gives order_id, layer_name, zip_name, inner_path, staged_path, source_row,
+    ``fid`` (1, 2, ... in archive, member and row order), ``geom_wkb`` and the
+    attributes, named by :func:`attribute_names`. Tasks take ranges of
     row numbers, so neither a large layer nor a large archive is read by one
     task, and the serial number needs no shuffle of the features.
     """
@@ -278,6 +318,8 @@ def read_layer(catalogue: DataFrame, columns: list, rows_per_range: int = ROWS_P
         [
             T.StructField("order_id", T.StringType()),
             T.StructField("layer_name", T.StringType()),
+            T.StructField("zip_name", T.StringType()),
+            T.StructField("inner_path", T.StringType()),
             T.StructField("staged_path", T.StringType()),
             T.StructField("source_row", T.LongType()),
             T.StructField("fid", T.LongType()),
@@ -299,7 +341,7 @@ def read_layer(catalogue: DataFrame, columns: list, rows_per_range: int = ROWS_P
                         (one["low"], one["high"]),
                     )
                     while rows := cursor.fetchmany(ROWS_PER_BATCH):
-                        fixed = [[one[k]] * len(rows) for k in ("order_id", "layer_name", "staged_path")]
+                        fixed = [[one[k]] * len(rows) for k in ("order_id", "layer_name", "zip_name", "inner_path", "staged_path")]
                         numbers = [[r[0] for r in rows], list(range(serial, serial + len(rows)))]
                         serial += len(rows)
                         values = [[_cast(row[i + 2], kind) for row in rows] for i, kind in enumerate(kinds)]
@@ -314,12 +356,12 @@ def read_layer(catalogue: DataFrame, columns: list, rows_per_range: int = ROWS_P
     read_rows = ranges.repartition("staged_path", "low").mapInArrow(read, out)
     wkb = G.strip_header(F.col("blob")).alias("geom_wkb")
     return read_rows.select(
-        "order_id", "layer_name", "staged_path", "source_row", "fid", wkb, *[f.name for f in fields]
+        "order_id", "layer_name", "zip_name", "inner_path", "staged_path", "source_row", "fid", wkb, *[f.name for f in fields]
     )
 
 
 def read_rows(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Part of a layer in source order; either bound may be left out."""
-    ordered = df.orderBy("staged_path", "source_row")
+    """Part of a layer in source order (archive, member, row); either bound may be left out."""
+    ordered = df.orderBy("zip_name", "inner_path", "source_row")
     ordered = ordered.offset(offset) if offset else ordered
     return ordered.limit(limit) if limit is not None else ordered

@@ -54,15 +54,16 @@ def scan_orders(spark: SparkSession, root: str, order_ids: Iterable[str] | None
     )
 
 
-def _json(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
-    base = files.qualified(spark, root)
+def _json(spark: SparkSession, root: str, name: str, schema, order_ids: Iterable[str] | None = None) -> DataFrame:
+    base, roots = files.qualified(spark, root), _roots(spark, root, order_ids)
     read = (
         spark.read.schema(schema)
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", name)
-        .json(_roots(spark, root))
+        .json(roots or root)
     )
+    read = read if roots else read.limit(0)
     return read.withColumn("_order", order_of(F.col("_metadata.file_path"), base))
 
 
@@ -93,23 +94,26 @@ def read_delivery_stats(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_hints(spark: SparkSession, root: str) -> DataFrame:
-    """Product words per order from the delivery metadata."""
-    read = _json(spark, root, "uttag.json", schemas.DELIVERY_STATS)
+def read_hints(spark: SparkSession, root: str, order_ids: Iterable[str] | None = None) -> DataFrame:
+    """Product words of the delivery metadata, a row per file; of the named orders only, if any are named."""
+    read = _json(spark, root, "uttag.json", schemas.DELIVERY_STATS, order_ids)
     return read.select(F.col("_order").alias("order_id"), *text.HINT_KEYS)
 
 
-def read_tile_index(spark: SparkSession, root: str) -> DataFrame:
+def read_tile_index(spark: SparkSession, root: str, order_ids: Iterable[str] | None = None) -> DataFrame:
     """Tiles of the index files (``NN_N``, a JSON array each): title, href, size, index name.
 
-    Files that are no JSON array give no rows.
+    Files that are no JSON array give no rows. Only the named orders are read, if any are named.
     """
-    base = files.qualified(spark, root)
-    whole = (
+    base, roots = files.qualified(spark, root), _roots(spark, root, order_ids)
+    read = (
         spark.read.option("wholetext", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*_*")
-        .text(_roots(spark, root))
+        .text(roots or root)
+    )
+    whole = (
+        (read if roots else read.limit(0))
         .withColumn("path", F.col("_metadata.file_path"))
         .withColumn("index_name", text.base_name(F.col("path")))
         .filter(F.col("index_name").rlike(INDEX_NAME) & F.ltrim("value").startswith("["))
@@ -179,8 +183,3 @@ def read_landed_metadata(spark: SparkSession, folder: str) -> tuple[DataFrame, D
         "order_id string, title string, href string, displaySize string, length bigint, updated timestamp"
     ).json(f"{folder}/files")
     return orders, rows
-
-
-def index_like(members: DataFrame) -> DataFrame:
-    """Orders that hold index files, from a delivery scan."""
-    return members.filter(F.col("file_name").rlike(INDEX_NAME)).select("order_id").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 
 
@@ -24,6 +26,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def age_of(spark: SparkSession, path: str) -> float:
+    """Seconds since a file or folder was last changed."""
+    fs, where = _file_system(spark, path)
+    return time.time() - fs.getFileStatus(where).getModificationTime() / 1000
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    fs, where = _file_system(spark, source)
+    _, to = _file_system(spark, target)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(where, to):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    fs, where = _file_system(spark, path)
+    fs.create(where, True).close()
+
+
 def delete_tree(spark: SparkSession, path: str) -> None:
     fs, where = _file_system(spark, path)
     fs.delete(where, True)

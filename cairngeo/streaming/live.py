@@ -2,16 +2,20 @@
 
 Each stream reduces its rows to the newest per key within five-minute windows
 behind a watermark, so its state is bounded by the keys seen in that time, and
-folds every batch into a current table. Folding is idempotent: a batch that is
+folds every batch into a current table. Current tables lie in buckets of their
+key: a batch reads and writes the buckets its keys fall into, and drops keys
+there that were not seen for ``EXPIRY``. Folding is idempotent: a batch that is
 run again changes nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import feeds
@@ -21,7 +25,9 @@ from ..sources import files
 from ..sources.deliveries import order_of
 
 WATERMARK, WINDOW = "15 minutes", "5 minutes"
-FILES_PER_TRIGGER = 1000
+FILES_PER_TRIGGER = 1000  # paces a stream, the rest follows in the next batch
+BUCKETS = 16
+EXPIRY = "7 days"
 
 
 def newest_in_window(rows: DataFrame, key: str, time: str, tie: str) -> DataFrame:
@@ -36,46 +42,93 @@ def newest_in_window(rows: DataFrame, key: str, time: str, tie: str) -> DataFram
     )
 
 
-def fold(table: VersionedTable, key: str, time: str, tie: str) -> Callable[[DataFrame, int], None]:
-    """Batch function that keeps the newest row per key in ``table``."""
+class BucketedTable:
+    """A current table in ``buckets`` versioned parts by a hash of the key."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
+
+    def part(self, number: int, spark: SparkSession | None = None) -> VersionedTable:
+        return VersionedTable(spark or self.spark, f"{self.path}/b{number:05d}", self.schema)
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def read(self) -> DataFrame:
+        """The newest version of every bucket."""
+        found = [f for n in range(self.buckets) if (f := self.part(n).newest())]
+        if not found:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*found)
+
+
+def fold(table: BucketedTable, time: str, tie: str, expiry: str | None = EXPIRY) -> Callable[[DataFrame, int], None]:
+    """Batch function that keeps the newest row per key in the buckets that the batch touches.
+
+    A key goes once its row is older than ``expiry`` before the newest row of its bucket.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        names = table.schema.fieldNames()
-        current = VersionedTable(batch.sparkSession, table.path, table.schema).read()
-        merged = feeds.latest(current.unionByName(batch.select(*names)), key, time, tie)
-        VersionedTable(batch.sparkSession, table.path, table.schema).replace(merged)
+        names, spark = table.schema.fieldNames(), batch.sparkSession
+        rows = batch.select(*names).withColumn("_bucket", table.bucket())
+        touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())  # BUCKETS at most
+        if not touched:
+            return
+        parts = [f for n in touched if (f := table.part(n, spark).newest())]
+        current = spark.read.schema(table.schema).parquet(*parts) if parts else spark.createDataFrame([], table.schema)
+        merged = feeds.latest(current.withColumn("_bucket", table.bucket()).unionByName(rows), table.key, time, tie)
+        if expiry is not None:
+            newest = merged.groupBy("_bucket").agg(F.max(time).alias("_newest"))
+            merged = merged.join(F.broadcast(newest), "_bucket").filter(F.col(time) > F.col("_newest") - F.expr(f"INTERVAL {expiry}"))
+        made = f"{table.path}/_batches/{uuid.uuid4().hex}"
+        merged.select("_bucket", *names).repartition("_bucket").write.partitionBy("_bucket").parquet(made)
+        for number in touched:  # each bucket is a rename of what the batch wrote for it
+            table.part(number, spark).adopt(f"{made}/_bucket={number}")
+        files.delete_tree(spark, made)
 
     return run
 
 
-def _start(df: DataFrame, run, checkpoint: str, available_now: bool, mode: str = "update") -> StreamingQuery:
+def _start(
+    df: DataFrame, run, checkpoint: str, available_now: bool, mode: str = "update", every: str = "10 seconds"
+) -> StreamingQuery:
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(run)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
     return writer.start()
 
 
 def live_trains(
-    announcements: DataFrame, stations: DataFrame, path: str, checkpoint: str, available_now: bool = False
-) -> tuple[StreamingQuery, VersionedTable]:
+    announcements: DataFrame,
+    stations: DataFrame,
+    path: str,
+    checkpoint: str,
+    available_now: bool = False,
+    expiry: str | None = EXPIRY,
+) -> tuple[StreamingQuery, BucketedTable]:
     """Newest train row per train; ``stations`` is the static, advertised dimension."""
     rows = feeds.train_rows(announcements, stations)
     newest = newest_in_window(rows, "train", "time", "announcement_id")
-    table = VersionedTable(announcements.sparkSession, path, newest.schema)
-    return _start(newest, fold(table, "train", "time", "announcement_id"), checkpoint, available_now), table
+    table = BucketedTable(announcements.sparkSession, path, newest.schema, "train")
+    return _start(newest, fold(table, "time", "announcement_id", expiry), checkpoint, available_now), table
 
 
-def current_trains(table: VersionedTable, now: Column) -> DataFrame:
+def current_trains(table: BucketedTable, now: Column) -> DataFrame:
     """Trains of the current table whose last announcement lies in the horizon."""
     return table.read().filter(feeds.in_horizon(F.col("time"), now))
 
 
 def live_weather(
-    points: DataFrame, path: str, checkpoint: str, tie: str = "sequence", available_now: bool = False
-) -> tuple[StreamingQuery, VersionedTable]:
+    points: DataFrame,
+    path: str,
+    checkpoint: str,
+    tie: str = "sequence",
+    available_now: bool = False,
+    expiry: str | None = EXPIRY,
+) -> tuple[StreamingQuery, BucketedTable]:
     """Newest observation per weather point. ``tie`` is a number column that orders equal times."""
     newest = newest_in_window(feeds.weather_rows(points, (tie,)), "id", "sample", tie)
-    table = VersionedTable(points.sparkSession, path, newest.schema)
-    return _start(newest, fold(table, "id", "sample", tie), checkpoint, available_now), table
+    table = BucketedTable(points.sparkSession, path, newest.schema, "id")
+    return _start(newest, fold(table, "sample", tie, expiry), checkpoint, available_now), table
 
 
 def watch_deliveries(publisher: Publisher, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -104,8 +157,31 @@ def watch_deliveries(publisher: Publisher, checkpoint: str, available_now: bool
 def watch_updates(
     listings: DataFrame, path: str, checkpoint: str, seen_at: str = "seen_at", available_now: bool = False
 ) -> StreamingQuery:
-    """New or changed files of listing snapshots, each once, appended as Parquet."""
-    once = listings.withWatermark(seen_at, "7 days").dropDuplicatesWithinWatermark(["order_id", "title", "updated"])
-    writer = once.writeStream.outputMode("append").option("checkpointLocation", checkpoint).format("parquet")
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start(path)
+    """New or changed files of listing snapshots, each once, appended as Parquet.
+
+    What was sent is the table itself, in parts by a hash of the order: a batch is anti-joined with the parts it touches, so a file is sent once however long
+    it stays unchanged or how late a snapshot comes. A batch writes its own folder, which a repeated batch
+    replaces; it does not look into that folder.
+    """
+    key = ["order_id", "title", "updated"]
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark, mine = batch.sparkSession, f"_batch={batch_id}"
+        batch = batch.withColumn("_part", F.pmod(F.xxhash64("order_id"), F.lit(BUCKETS)).cast("int"))
+        fresh = batch.groupBy(*key).agg(F.min(F.struct(seen_at, *[c for c in batch.columns if c not in (*key, seen_at)])).alias("row"))
+        fresh = fresh.select(*key, "row.*").select(*batch.columns)
+        earlier = [f"{path}/{n}" for n in files.children(spark, path) if n.startswith("_batch=") and n != mine]
+        if earlier:
+            touched = [r[0] for r in batch.select("_part").distinct().collect()]  # BUCKETS at most
+            stored = T.StructType([*batch.schema.fields, T.StructField("_batch", T.LongType())])
+            before = spark.read.schema(stored).option("basePath", path).parquet(*earlier).filter(F.col("_part").isin(touched))
+            same = [fresh[c].eqNullSafe(before[c]) for c in key]
+            fresh = fresh.join(before.select(*key), same, "left_anti")
+        fresh.write.mode("overwrite").partitionBy("_part").parquet(f"{path}/{mine}")
+
+    return _start(listings, run, checkpoint, available_now, mode="append", every="1 minute")
+
+
+def sent_updates(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`watch_updates` has sent."""
+    return spark.read.parquet(path).drop("_batch", "_part")

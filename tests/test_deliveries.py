@@ -38,7 +38,7 @@ def test_scan_keeps_underscore_orders_and_drops_hidden(spark, tmp_path):
     assert "content" not in got.columns
 
 
-def test_zip_members_skip_folders_and_broken_archives(spark, tmp_path):
+def test_zip_members_skip_folders_and_report_broken_archives(spark, tmp_path):
     root = str(tmp_path / "in")
     put(root, "o1/bad.zip", "no archive")
     with zipfile.ZipFile(os.path.join(root, "o1", "good.ZIP"), "w") as z:
@@ -46,7 +46,10 @@ def test_zip_members_skip_folders_and_broken_archives(spark, tmp_path):
         z.writestr("d/A.GPKG", "abc")
         z.writestr("noending", "x")
     got = archives.zip_members(readers.scan_orders(spark, root))
-    assert pairs(got, "entry", "inner_path", "extension", "size") == [(0, "d/A.GPKG", ".gpkg", 3), (1, "noending", "", 1)]
+    whole = got.filter("error IS NULL")
+    assert pairs(whole, "entry", "inner_path", "extension", "size") == [(0, "d/A.GPKG", ".gpkg", 3), (1, "noending", "", 1)]
+    broken = got.filter("error IS NOT NULL").collect()
+    assert [(r.order_id, r.zip_name, r.entry) for r in broken] == [("o1", "bad.zip", None)] and "cannot read" in broken[0].error
 
 
 def test_statistics_last_entry_wins_and_bad_json_gives_nothing(spark, tmp_path):

@@ -99,7 +99,7 @@ def test_ranges_cover_gappy_row_numbers(spark, root, tmp_path):
     columns = roads.first().columns
     got = archives.read_layer(roads, columns, rows_per_range=4).orderBy("fid").collect()
     assert [r.fid for r in got] == list(range(1, 36))
-    assert [r.source_row for r in sorted(got, key=lambda r: (r.staged_path, r.source_row))] == [r.source_row for r in got]
+    assert [r.source_row for r in sorted(got, key=lambda r: (r.zip_name, r.inner_path, r.source_row))] == [r.source_row for r in got]
     first = next(r for r in got if r.source_row == 12)
     assert (first["name"], first.n, first.r, first.when, first.ok, bytes(first.b), str(first.d)) == (
         "name 12", 12, 6.0, "2024-01-02", False, b"\x0c", "1.250000000000000000",
@@ -110,7 +110,7 @@ def test_publish_skip_change_and_clean(spark, root, tmp_path):
     publisher = make(spark, root, tmp_path)
     first = publisher.publish_orders()
     assert report_rows(first) == [
-        ("one", "Empty", 0, "ok"), ("one", "Roads-1", 35, "ok"), ("two", "bad", 0, "failed"), ("two", "lakes", 3, "ok"),
+        ("one", "Empty", 0, "ok"), ("one", "Roads-1", 35, "ok"), ("two", "bad", 0, "failed"), ("two", "lakes", 0, "failed"),
     ]
     roads = spark.table(f"{publisher.database}.roads_1")
     assert roads.count() == 35 and roads.agg(F.max("fid")).first()[0] == 35
@@ -119,16 +119,16 @@ def test_publish_skip_change_and_clean(spark, root, tmp_path):
     empty = spark.table(f"{publisher.database}.empty")
     assert empty.count() == 0 and "name" in empty.columns
     ledger = {(r.order_id, r.layer_name): r for r in publisher.ledger.read().collect()}
-    assert set(ledger) == {("one", "Empty"), ("one", "Roads-1"), ("two", "lakes")}
-    assert ledger[("one", "Empty")].bbox is None and ledger[("two", "lakes")].bbox.startswith("POLYGON((15.0")
+    assert set(ledger) == {("one", "Empty"), ("one", "Roads-1")}
+    assert ledger[("one", "Empty")].bbox is None and ledger[("one", "Roads-1")].bbox.startswith("POLYGON((15.0")
 
     profile = layers.schema_profile(layers.layer_catalogue(spark, publisher.database))
     assert sorted((r.table_name, r.geometry_type, r.srid, r.row_count) for r in profile.collect()) == [
-        ("empty", None, None, 0), ("lakes", "Point", 4326, 3), ("roads_1", "Point", 4326, 35),
+        ("empty", None, None, 0), ("roads_1", "Point", 4326, 35),
     ]
 
     again = publisher.publish_incremental()
-    assert {r.status for r in again.filter("layer_name <> 'bad'").collect()} == {"skipped"}
+    assert {(r.order_id, r.status) for r in again.collect()} == {("one", "skipped"), ("two", "failed")}
 
     archive(root, "two", "c.zip", [("lakes.gpkg", "lakes", rows(1, 4), COLUMNS)])
     changed = publisher.publish_incremental()
@@ -145,6 +145,71 @@ def test_publish_skip_change_and_clean(spark, root, tmp_path):
     assert {r.order_id for r in publisher.ledger.read().collect()} == {"one"}
 
 
+def test_broken_archive_publishes_nothing_of_its_order(spark, tmp_path):
+    root = str(tmp_path / "in")
+    os.makedirs(root)
+    archive(root, "o1", "a.zip", [("lay.gpkg", "lay", rows(1, 3), COLUMNS)])
+    archive(root, "o1", "b.zip", [("lay.gpkg", "lay", rows(4, 6), COLUMNS)])
+    archive(root, "o2", "a.zip", [("other.gpkg", "other", rows(1, 2), COLUMNS)])
+    publisher = make(spark, root, tmp_path)
+    assert report_rows(publisher.publish_orders()) == [("o1", "lay", 9, "ok"), ("o2", "other", 2, "ok")]
+    with open(os.path.join(root, "o1", "b.zip"), "r+b") as cut:
+        cut.truncate(100)
+    report = publisher.publish_orders()
+    assert report_rows(report) == [("o1", "b", 0, "failed"), ("o1", "lay", 0, "failed"), ("o2", "other", 0, "skipped")]
+    assert spark.table(f"{publisher.database}.lay").count() == 9
+    assert "b.zip: cannot read" in next(r.error for r in report.collect() if r.layer_name == "b")
+
+
+def test_second_run_reads_no_member(spark, root, tmp_path, monkeypatch):
+    shutil.rmtree(os.path.join(root, "two"))
+    publisher = make(spark, root, tmp_path)
+    publisher.publish_orders()
+    unpacked = []
+    whole = archives.unpack
+
+    def counted(members, staging):
+        unpacked.append(members.filter("extension = '.gpkg'").count())
+        return whole(members, staging)
+
+    monkeypatch.setattr(archives, "unpack", counted)
+    assert {r.status for r in publisher.publish_incremental().collect()} == {"skipped"}
+    assert unpacked == [0]
+    known = publisher.ledger.read()
+    publisher.ledger.replace(known.withColumn("source_hash", F.when(F.col("layer_name") == "Empty", "old").otherwise(F.col("source_hash"))))
+    assert report_rows(publisher.publish_incremental()) == [("one", "Empty", 0, "ok"), ("one", "Roads-1", 0, "skipped")]
+    assert unpacked == [0, 3]
+
+
+def test_attribute_names():
+    names = ["srid", "Cell", "order_id", "a b", "A-B", "fid", "geom", "a_b", "srid_attr", "xmin"]
+    assert archives.attribute_names(names) == ["srid_attr", "cell_attr", "order_id_attr", "a_b", "a_b_2", "fid_attr", "geom_attr", "a_b_3", "srid_attr_2", "xmin_attr"]
+
+
+def test_attributes_named_like_storage_columns_keep_their_values(spark, tmp_path):
+    root = str(tmp_path / "in")
+    os.makedirs(root)
+    columns = [("srid", "INTEGER"), ("cell", "INTEGER"), ("xmin", "REAL"), ("order_id", "TEXT"), ("layer_name", "TEXT")]
+    archive(root, "o", "a.zip", [("a.gpkg", "lay", [(1, blob(1, 2), 77, 88, -1.0, "x", "y")], columns)])
+    publisher = make(spark, root, tmp_path)
+    assert report_rows(publisher.publish_orders()) == [("o", "lay", 1, "ok")]
+    row = spark.table(f"{publisher.database}.lay").first()
+    assert (row.srid_attr, row.cell_attr, row.xmin_attr, row.order_id_attr, row.layer_name_attr, row.srid) == (77, 88, -1.0, "x", "y", 4326)
+
+
+def test_two_orders_append_to_one_table(spark, tmp_path):
+    root = str(tmp_path / "in")
+    os.makedirs(root)
+    archive(root, "o1", "a.zip", [("a.gpkg", "lay", rows(1, 3), COLUMNS)])
+    archive(root, "o2", "a.zip", [("a.gpkg", "Lay", rows(1, 2), COLUMNS)])
+    publisher = make(spark, root, tmp_path)
+    report = publisher.publish_orders(layer_names=["LAY"], table_name="both", if_exists="append")
+    assert report_rows(report) == [("o1", "lay", 3, "ok"), ("o2", "Lay", 2, "ok")]
+    assert sorted(r.fid for r in spark.table(f"{publisher.database}.both").collect()) == [1, 2, 3, 4, 5]
+    with pytest.raises(ValueError, match="there are: Lay, lay"):
+        publisher.publish_orders(layer_names=["gone"])
+
+
 def test_one_failing_layer_does_not_stop_the_rest(spark, tmp_path):
     root = str(tmp_path / "in")
     os.makedirs(root)
@@ -211,16 +276,35 @@ def test_trains_over_several_batches(spark, tmp_path):
 
 def test_fold_twice_changes_nothing(spark, tmp_path):
     schema = spark.createDataFrame([], "k string, t timestamp, n bigint, v string").schema
-    table = live.VersionedTable(spark, str(tmp_path / "t"), schema)
+    table = live.BucketedTable(spark, str(tmp_path / "t"), schema, "k")
     batch = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "k string, n bigint, v string").withColumn(
         "t", F.timestamp_seconds("n")
     )
-    step = live.fold(table, "k", "t", "n")
+    step = live.fold(table, "t", "n")
     step(batch, 0)
     step(batch, 0)
     assert sorted((r.k, r.v) for r in table.read().collect()) == [("a", "x"), ("b", "y")]
 
 
+def test_a_batch_rewrites_its_buckets_only_and_forgets_old_keys(spark, tmp_path):
+    schema = spark.createDataFrame([], "k string, t timestamp, n bigint").schema
+    table = live.BucketedTable(spark, str(tmp_path / "t"), schema, "k", buckets=4)
+    step = live.fold(table, "t", "n", expiry="1 hour")
+
+    def batch(rows):
+        return spark.createDataFrame(rows, "k string, n bigint").withColumn("t", F.timestamp_seconds("n"))
+
+    step(batch([(f"k{i}", i) for i in range(40)]), 0)
+    before = {n: table.part(n).newest() for n in range(4)}
+    step(batch([("k1", 7200)]), 1)
+    after = {n: table.part(n).newest() for n in range(4)}
+    changed = [n for n in range(4) if before[n] != after[n]]
+    assert len(changed) == 1
+    assert [(r.k, r.n) for r in table.part(changed[0]).read().collect()] == [("k1", 7200)]
+    kept = {r.k for r in table.read().collect()}
+    assert kept < {f"k{i}" for i in range(40)} and "k1" in kept and len(kept) > 10
+
+
 def test_horizon(spark):
     now = F.lit("2024-01-01 12:00:00").cast("timestamp")
     rows = [("11:45:00", False), ("11:45:01", True), ("12:04:59", True), ("12:05:00", False)]
@@ -232,7 +316,7 @@ def test_delivery_watch_publishes_only_what_arrived(spark, root, tmp_path):
     publisher = make(spark, root, tmp_path)
     state = str(tmp_path / "state")
     live.watch_deliveries(publisher, state, available_now=True).awaitTermination()
-    assert {r.layer_name for r in publisher.ledger.read().collect()} == {"Empty", "Roads-1", "lakes"}
+    assert {r.layer_name for r in publisher.ledger.read().collect()} == {"Empty", "Roads-1"}
     archive(root, "three", "z.zip", [("z.gpkg", "zoo", rows(1, 2), COLUMNS)])
     live.watch_deliveries(publisher, state, available_now=True).awaitTermination()
     last = spark.read.parquet(publisher.reports).filter("layer_name = 'zoo'")
@@ -250,9 +334,14 @@ def test_update_watch_sends_each_change_once(spark, tmp_path):
     def turn():
         arriving = spark.readStream.schema(schema).json(path)
         live.watch_updates(arriving, out, state, available_now=True).awaitTermination()
-        return sorted((r.title, r.updated or "") for r in spark.read.parquet(out).collect())
+        return sorted((r.title, r.updated or "") for r in live.sent_updates(spark, out).collect())
 
     snapshot([("o", "a", "1"), ("o", "a", "1"), ("o", "b", None)], 1)
     assert turn() == [("a", "1"), ("b", "")]
     snapshot([("o", "a", "1"), ("o", "b", "2")], 2)
     assert turn() == [("a", "1"), ("b", ""), ("b", "2")]
+    for day in (9, 31):  # long unchanged
+        snapshot([("o", "a", "1")], day)
+        assert turn() == [("a", "1"), ("b", ""), ("b", "2")]
+    snapshot([("o", "c", "1")], 3)  # late
+    assert turn() == [("a", "1"), ("b", ""), ("b", "2"), ("c", "1")]

@@ -29,6 +29,8 @@ from .words import mix64, slices, word_hashes, words
 
 SAMPLE = 6000
 THRESHOLD = 0.3
+CHUNK_BYTES = 2 << 20  # of text at a time, which bounds a worker's memory
+BLOCK = 1 << 20
 
 # Kinds of bytes, in natural order; all others are of kind 0.
 _KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\r\n", b".", b",", b"!?", b":;", b"'\"`", b"()[]{}<>", b"|", b"#$%&*@", b"+-=/\\_^~"]
@@ -47,12 +49,15 @@ def features(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     out = np.zeros((texts, WIDTH))
     if not len(data):
         return out
-    kind = _KIND[data].astype(np.int64)
-    of = np.repeat(np.arange(texts), size)
-    pair = kind[:-1] * 16 + kind[1:]
-    inside = of[:-1] == of[1:]
-    two = np.bincount((of[:-1] * 256 + pair)[inside], minlength=texts * 256).reshape(texts, 256)
-    one = np.bincount(of * 16 + kind, minlength=texts * 16).reshape(texts, 16)
+    kind = _KIND[data]
+    pair = (kind[:-1] << 4) | kind[1:]
+    two, one = np.zeros((texts, 256)), np.zeros((texts, 16))
+    for i in np.flatnonzero(size):
+        last = offsets[i + 1] - 1  # the pair that begins here reaches into the next text
+        for begin in range(offsets[i], last, BLOCK):
+            two[i] += np.bincount(pair[begin : min(begin + BLOCK, last)], minlength=256)
+        one[i] = two[i].reshape(16, 16).sum(1)
+        one[i, kind[last]] += 1
     long = np.maximum(size, 1)[:, None]
     out[:, :256] = np.sqrt(two / long)
     out[:, 256:272] = np.sqrt(one / long)
@@ -131,7 +136,7 @@ def _sampled(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> np.
     """Features of the documents with these ids (a bounded number), one row per id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHUNK_BYTES):
             rows = features(*text_buffer(batch.column("text"))).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in rows])], names=["id", "x"])
 
@@ -161,7 +166,7 @@ def with_quality(docs: DataFrame, labels: DataFrame, out: str = "score", text_co
     names, text_at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text_col):
+        for batch in chunks(batches, text_col, CHUNK_BYTES):
             found = score(model.value, features(*text_buffer(batch.column(text_at))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*names, out])
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 # Texts are handed to the vectorised code in pieces of about this many bytes (one longer text is a piece of its own).
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def written(df: DataFrame) -> DataFrame:

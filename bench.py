@@ -47,6 +47,10 @@ HEADLINE = (
     "T1_live_trains",
     "P12_readonly_sql",
     "J13_user_joins",
+    "S3_layer_ingest",
+    "K1_publish_layer",
+    "K5_publish_orders",
+    "K6_publish_incremental",
 )
 
 

@@ -69,12 +69,21 @@ def index_first(types: DataFrame, tiles: DataFrame) -> DataFrame:
     )
 
 
-def order_overview(types: DataFrame, files: DataFrame, ledger: DataFrame, labels: DataFrame) -> DataFrame:
+def order_overview(
+    types: DataFrame, files: DataFrame, ledger: DataFrame, labels: DataFrame, tiles: DataFrame
+) -> DataFrame:
     """Orders by name: type, files, size, published layers, package name.
 
-    The published layers themselves are the ledger's rows; here they are counted.
+    An order with a tile index has its tiles for files, whatever else lies beside them. The
+    published layers themselves are the ledger's rows; here they are counted.
     """
-    sizes = files.groupBy("order_id").agg(F.count(F.lit(1)).alias("file_count"), F.sum("length").alias("bytes"))
+    whole = files.groupBy("order_id").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("size"))
+    indexed = tiles.groupBy("order_id").agg(F.count(F.lit(1)).alias("tile_files"), F.sum("size").alias("tile_size"))
+    sizes = whole.join(indexed, "order_id", "full").select(
+        "order_id",
+        F.coalesce("tile_files", "files").alias("file_count"),
+        F.when(F.col("tile_files").isNotNull(), F.col("tile_size")).otherwise(F.col("size")).alias("bytes"),
+    )
     published = ledger.groupBy("order_id").agg(F.count(F.lit(1)).alias("published_layers"))
     joined = types.join(sizes, "order_id", "left").join(published, "order_id", "left").join(labels, "order_id", "left")
     return joined.select(

@@ -278,6 +278,29 @@ def schema_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     return whole
 
 
+# Table properties that publishing sets.
+FACT_COUNT, FACT_KINDS, FACT_SRID = "layer.feature_count", "layer.geometry_types", "layer.srid"
+
+
+def table_facts(spark: SparkSession, table: str) -> dict[str, str]:
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+
+
+def published_profile(spark: SparkSession, database: str) -> DataFrame:
+    """One row per published layer: columns with types, geometry type, srid, row count.
+
+    All of it is what publishing noted in the catalogue; no layer is read. Several geometry types stand
+    side by side, separated by commas.
+    """
+    rows = []
+    for name, df in layer_catalogue(spark, database).items():
+        facts = table_facts(spark, f"`{database}`.`{name}`")
+        shown = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields if f.name not in STORAGE)
+        srid = facts.get(FACT_SRID)
+        rows.append((name, shown, facts.get(FACT_KINDS) or None, int(srid) if srid else None, int(facts.get(FACT_COUNT, 0))))
+    return spark.createDataFrame(rows, "table_name string, columns string, geometry_type string, srid int, row_count bigint")
+
+
 def layer_catalogue(spark: SparkSession, database: str) -> dict[str, DataFrame]:
     """Public layers of a database by name."""
     names = sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)

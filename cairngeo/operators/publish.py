@@ -139,8 +139,22 @@ def publish_layer(
     else:
         _swap_in(laid_out, database, name, known)
     loaded = spark.table(table).filter(F.col("fid") > start)
-    stats = loaded.agg(F.count(F.lit(1)).alias("feature_count"), *layers.extent_aggregates())
-    return stats.withColumn("bbox", layers.box_text())
+    kinds = F.array_sort(F.collect_set(F.col("geom")["type"])).alias("kinds")  # a few names
+    stats = loaded.agg(F.count(F.lit(1)).alias("feature_count"), *layers.extent_aggregates(), kinds)
+    stats = stats.withColumn("bbox", layers.box_text())
+    found = stats.first()
+    _note_facts(spark, table, found["feature_count"], found["kinds"], target_srid, added=bool(start))
+    return spark.createDataFrame([found], stats.schema).drop("kinds")
+
+
+def _note_facts(spark: SparkSession, table: str, count: int, kinds: list[str], srid: int, added: bool) -> None:
+    """Keep count, geometry types and system of a table as properties in the catalogue."""
+    if added:
+        known = layers.table_facts(spark, table)
+        count += int(known.get(layers.FACT_COUNT, 0))
+        kinds = sorted({*kinds, *filter(None, known.get(layers.FACT_KINDS, "").split(","))})
+    facts = {layers.FACT_COUNT: count, layers.FACT_KINDS: ",".join(kinds), layers.FACT_SRID: srid}
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({', '.join(f"'{k}' = '{v}'" for k, v in facts.items())})")
 
 
 def _swap_in(rows: DataFrame, database: str, name: str, known: bool) -> None:

@@ -298,19 +298,27 @@ def a8b(spark, d):
 
 @query(
     "J1_order_overview",
-    sql("", "listing", "hints", "ledger") + TYPES + f"""
+    sql("", "listing", "hints", "ledger", "laz_tiles", "every_folder") + TYPES + f"""
+    , i AS (SELECT order_id, count(*) AS n, sum(size) AS bytes FROM laz_tiles GROUP BY 1),
+    r AS (SELECT coalesce(t.order_id, i.order_id) AS order_id, CASE WHEN i.n > 0 THEN 'lidar_index' ELSE coalesce(t.data_type, 'unknown') END AS data_type
+          FROM t FULL JOIN i ON i.order_id = t.order_id),
+    f0 AS (SELECT order_id, count(*) AS n, sum(length) AS bytes FROM listing GROUP BY 1),
+    s AS (SELECT coalesce(f0.order_id, i.order_id) AS order_id, coalesce(i.n, f0.n) AS n, CASE WHEN i.n IS NULL THEN f0.bytes ELSE i.bytes END AS bytes
+          FROM f0 FULL JOIN i ON i.order_id = f0.order_id)
     SELECT t.order_id, data_type, {LABELS}, data_type = 'vector_gpkg' AS is_publishable, coalesce(s.n, 0) AS file_count,
            round_even(coalesce(s.bytes, 0) / 1048576.0e0, 2) AS total_size_mb, coalesce(l.n, 0) AS published_layers,
            l.n IS NOT NULL AS is_published,
            CASE WHEN f.order_id IS NOT NULL AND CAST(substr(t.order_id, 2) AS INT) % 3 = 0 THEN 'package ' || t.order_id ELSE '' END AS package_name
-    FROM t LEFT JOIN (SELECT order_id, count(*) AS n, sum(length) AS bytes FROM listing GROUP BY 1) s ON s.order_id = t.order_id
+    FROM r t LEFT JOIN s ON s.order_id = t.order_id
     LEFT JOIN (SELECT order_id, count(*) AS n FROM ledger GROUP BY 1) l ON l.order_id = t.order_id
-    LEFT JOIN folders f ON f.order_id = t.order_id ORDER BY t.order_id""",
+    LEFT JOIN every_folder f ON f.order_id = t.order_id ORDER BY t.order_id""",
 )
 def j1b(spark, d):
-    labels = views.folders(spark, d).filter("cast(substring(order_id, 2) AS int) % 3 = 0")
+    labels = views.folders(spark, d, every=True).filter("cast(substring(order_id, 2) AS int) % 3 = 0")
     named = labels.select("order_id", F.concat(F.lit("package "), "order_id").alias("package_name"))
-    return deliveries.order_overview(_types(spark, d), views.listing(spark, d), views.ledger(spark, d), named)
+    indexed = tiles.parsed(views.tiles(spark, d))
+    types = deliveries.index_first(_types(spark, d), indexed)
+    return deliveries.order_overview(types, views.listing(spark, d), views.ledger(spark, d), named, indexed)
 
 
 BOUNDS = """

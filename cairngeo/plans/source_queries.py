@@ -513,3 +513,13 @@ def f18b(spark, d):
     files = readers.scan_orders(spark, root)
     whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
     return files.join(whole, "path").select("order_id", "file_name", F.sha2("content", 256).alias("source_hash"))
+
+
+@query(
+    "A16_published_profile",
+    """SELECT 'points' AS table_name, 'fid:bigint, source_fid:bigint, c_name:string, _source_order:string, _loaded_at:timestamp' AS columns,
+              'Point' AS geometry_type, 4326 AS srid, count(*) AS row_count FROM customer""",
+)
+def a16p(spark, d):
+    """The catalogue of published layers, from what was noted when they were published."""
+    return layers.published_profile(spark, _published_in(spark, d, crs.WGS84))

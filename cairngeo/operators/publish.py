@@ -218,16 +218,19 @@ class Publisher:
         ranked = delivery_ops.dominant_type(members.filter(F.col("error").isNull()), hints)
         return delivery_ops.index_first(ranked, deliveries.read_tile_index(self.spark, self.root, order_ids))
 
-    def catalogue(self, members: DataFrame, types: DataFrame, folder: str) -> DataFrame:
-        """Source layers of the publishable orders, unpacked to ``folder``; broken files as rows with an error."""
+    def extracted(self, members: DataFrame, types: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+        """Catalogue and contents of the publishable orders' members, unpacked to ``folder``.
+
+        Broken files are rows with an error in the catalogue.
+        """
         vector = delivery_ops.publishable(types).select("order_id")
         wanted = members.join(vector, "order_id", "left_semi")
-        staged = archives.unpack(wanted.filter(F.col("error").isNull()), folder)
-        found = archives.source_layers(cut_lineage(staged))
+        contents = archives.unpack(wanted.filter(F.col("error").isNull()), folder)
+        found = archives.source_layers(contents)
         names = {f.name: F.col(f.name) if f.name in ("order_id", "zip_name", "error") else F.lit(None).cast(f.dataType) for f in found.schema.fields}
         # an archive that cannot be read may hold a layer of any order, whatever type the rest gives it
         broken = members.filter(F.col("error").isNotNull()).select(*[c.alias(n) for n, c in names.items()])
-        return cut_lineage(found.unionByName(broken))
+        return cut_lineage(found.unionByName(broken)), contents
 
     @staticmethod
     def fingerprints(members: DataFrame) -> DataFrame:
@@ -262,7 +265,7 @@ class Publisher:
         pieces = [
             F.sum(F.conv(F.substring("source_hash", 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)")) for k in range(4)
         ]
-        count = F.countDistinct("staged_path")
+        count = F.count_distinct(F.struct("zip_name", "inner_path"))
         mixed = F.sha2(F.concat_ws("-", count, *pieces), 256)
         columns = F.to_json("columns")
         return (
@@ -307,7 +310,7 @@ class Publisher:
         as_before = cut_lineage(self.unchanged(members))
         unpacked = f"{self.location}/unpacked/{uuid.uuid4().hex}"
         changed = members.join(as_before, "order_id", "left_anti")
-        catalogue = self.catalogue(changed, types, unpacked)
+        catalogue, contents = self.extracted(changed, types, unpacked)
         all_groups = cut_lineage(self.layer_groups(catalogue))
         before = as_before.filter(F.col("layer_name").isNotNull()).select(*ledger_ops.KEY, "source_hash")
         if layer_names:
@@ -334,7 +337,7 @@ class Publisher:
         def publish_table(table: str) -> list:
             if len(by_table[table]) > 1 and if_exists == "replace":
                 warnings.warn(f"{table} is in {len(by_table[table])} layers, the last one stays", stacklevel=2)
-            return [self._publish_one(catalogue, one, table, if_exists) for one in by_table[table]]
+            return [self._publish_one(contents, one, table, if_exists) for one in by_table[table]]
 
         with ThreadPoolExecutor(self.layers_at_once) as pool:
             for results in pool.map(publish_table, by_table):
@@ -389,16 +392,16 @@ class Publisher:
         """All orders, only the layers that are new or whose bytes changed."""
         return self.publish_orders()
 
-    def _publish_one(self, catalogue: DataFrame, one, table: str, if_exists: str) -> tuple:
+    def _publish_one(self, contents: DataFrame, one, table: str, if_exists: str) -> tuple:
         """Publish one layer, enter it in the ledger, return its report row."""
         order_id, layer, started = one["order_id"], one["layer_name"], time.time()
-        mine = (F.col("order_id") == order_id) & (F.col("layer_name") == layer) & F.col("error").isNull()
+        mine = (F.col("order_id") == order_id) & (F.col("layer_name") == layer)
         try:
             if not one["uniform"]:
                 raise ValueError("the layer's files differ in columns or coordinate system")
-            features = archives.read_layer(catalogue.filter(mine), one["columns"])
+            features = archives.read_layer(contents.filter(mine), one["columns"])
             stats = publish_layer(
-                features.drop("order_id", "layer_name", "zip_name", "inner_path", "staged_path", "source_row"),
+                features.drop("order_id", "layer_name", "zip_name", "inner_path", "source_row"),
                 table,
                 self.database,
                 source_srid=one["srid"],

@@ -72,7 +72,7 @@ COLUMNS = [
 
 
 def _ingested(spark, d):
-    return archives.read_layer(archives.source_layers(_staged(spark, d)), COLUMNS, rows_per_range=5000)
+    return archives.read_layer(_staged(spark, d), COLUMNS)
 
 
 @query(
@@ -100,8 +100,7 @@ def s3(spark, d):
 )
 def o3(spark, d):
     # archives of 90 customers: a page spans several of them, in the order of their names
-    found = archives.source_layers(_staged(spark, d, 90))
-    rows = archives.read_layer(found.filter("order_id = 'o1'"), COLUMNS)
+    rows = archives.read_layer(_staged(spark, d, 90).filter("order_id = 'o1'"), COLUMNS)
     return archives.read_rows(rows, limit=20, offset=30).select("source_row", "c_name")
 
 

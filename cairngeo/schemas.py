@@ -72,24 +72,17 @@ POINTS = _struct(
 # ``error`` is set on the one row of an archive that cannot be read; crc and size are those of its directory
 MEMBER = _struct(order_id=S, path=S, zip_name=S, entry=L, inner_path=S, extension=S, size=L, crc=L, error=S)
 
-STAGED = _struct(
-    order_id=S, zip_name=S, inner_path=S, staged_path=S, size=L, source_hash=S, error=S
-)
-
 COLUMN = _struct(name=S, type=S)
 CATALOGUE = _struct(
     order_id=S,
     zip_name=S,
     inner_path=S,
-    staged_path=S,
     source_hash=S,
     layer_name=S,
     geometry_column=S,
     geometry_type=S,
     srid=T.IntegerType(),
     feature_count=L,
-    first_row=L,
-    last_row=L,
     columns=T.ArrayType(COLUMN),
     min_x=D,
     min_y=D,
@@ -97,3 +90,15 @@ CATALOGUE = _struct(
     max_y=D,
     error=S,
 )
+
+# A layer or a feature of an unpacked member; values are under their storage classes
+EXTRACTED = T.StructType(
+    [
+        *CATALOGUE.fields,
+        T.StructField("kind", S),
+        T.StructField("row_no", L),
+        T.StructField("source_row", L),
+        T.StructField("blob", T.BinaryType()),
+        T.StructField("values", T.ArrayType(_struct(i=L, d=D, s=S, b=T.BinaryType()))),
+    ]
+)

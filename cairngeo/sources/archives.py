@@ -1,9 +1,10 @@
 """ZIP archives and the GeoPackages in them.
 
 Archives are opened by the tasks, never by the driver: one task lists an archive
-from its central directory, one task unpacks a member to the shared folder while
-hashing it, and from there the rows of a layer are read in ranges of row
-numbers, so a layer of any size is read by many tasks.
+from its central directory, one takes a member through the task's own scratch space
+and gives its layers and features as rows. Those are written as Parquet to the shared
+store, on whatever file system that is, and every later step reads them there, so a
+layer of any size is read by many tasks.
 """
 
 from __future__ import annotations
@@ -11,17 +12,16 @@ from __future__ import annotations
 import hashlib
 import os
 import sqlite3
-import uuid
+import tempfile
 import zipfile
 import zlib
 from collections.abc import Iterator
-from decimal import Decimal
 from pathlib import PurePosixPath
 from urllib.parse import quote, unquote, urlparse
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -31,7 +31,6 @@ from ..functions import geometry as G
 from ..functions import text
 
 CHUNK = 8 << 20
-ROWS_PER_RANGE = 200_000
 ROWS_PER_BATCH = 10_000
 
 
@@ -94,86 +93,63 @@ def zip_members(files: DataFrame) -> DataFrame:
 # --- unpacking ---------------------------------------------------------------------
 
 
-def unpack(members: DataFrame, staging: str) -> DataFrame:
-    """GeoPackage members copied to ``staging``, with the SHA-256 of their bytes.
+def unpack(members: DataFrame, folder: str) -> DataFrame:
+    """Layers and features of the GeoPackage members, written below ``folder`` and read from there.
 
-    ``staging`` is a folder every executor mounts, so one on a store that is no file
-    system is refused. A copy appears under its name
-    only when it is whole, so a task that is lost or run twice does no harm. A
-    member that cannot be read gives a row with an error.
+    Rows of the schema ``EXTRACTED``: one of kind ``layer`` per layer, one of kind ``feature`` per feature
+    with its values under their storage classes. Unpacking, hashing and reading a member is one task, which leaves
+    nothing behind but its Parquet files; a task that is lost or run twice does no harm. A member that cannot
+    be read gives a row with an error; other failures of a read let the task fail and run again.
     """
-    if urlparse(staging).scheme not in ("", "file"):
-        raise ValueError(f"{staging} is not mounted: name a shared folder on a file system as the location")
-    folder = unquote(urlparse(staging).path)
+    arrow = to_arrow_schema(schemas.EXTRACTED)
 
-    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for member in batch.itertuples(index=False):
-                name = hashlib.sha256(f"{member.zip_name}\0{member.inner_path}".encode()).hexdigest()[:32]
-                target = os.path.join(folder, member.order_id, name + ".gpkg")
-                row = {
-                    "order_id": member.order_id,
-                    "zip_name": member.zip_name,
-                    "inner_path": member.inner_path,
-                    "staged_path": target,
-                    "size": member.size,
-                }
-                try:
-                    row["source_hash"] = _copy_member(member.path, member.inner_path, target)
-                except (zipfile.BadZipFile, zlib.error, EOFError) as error:
-                    row["error"] = f"cannot unpack: {error}"
-                rows.append(row)
-            yield _frame(rows, schemas.STAGED)
-
-    wanted = members.filter(F.col("extension") == ".gpkg")
-    return wanted.repartition("path", "inner_path").mapInPandas(copy, schemas.STAGED)
+            for member in batch.to_pylist():
+                base = {k: member[k] for k in ("order_id", "zip_name", "inner_path")}
+                with tempfile.TemporaryDirectory() as scratch:
+                    path = os.path.join(scratch, "member.gpkg")
+                    try:
+                        base["source_hash"] = _copy_member(member["path"], member["inner_path"], path)
+                        for rows in _contents(path, base):
+                            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    except (zipfile.BadZipFile, zlib.error, EOFError) as error:
+                        yield pa.RecordBatch.from_pylist([{**base, "kind": "layer", "error": f"cannot unpack: {error}"}], schema=arrow)
+                    except sqlite3.Error as error:
+                        yield pa.RecordBatch.from_pylist([{**base, "kind": "layer", "error": f"cannot read: {error}"}], schema=arrow)
+
+    wanted = members.filter(F.col("extension") == ".gpkg").select("order_id", "zip_name", "path", "inner_path")
+    found = wanted.repartition("path", "inner_path").mapInArrow(extract, schemas.EXTRACTED)
+    found.write.partitionBy("kind", "order_id").parquet(folder)
+    return members.sparkSession.read.schema(schemas.EXTRACTED).parquet(folder)
 
 
 def _copy_member(archive: str, inner: str, target: str) -> str:
-    os.makedirs(os.path.dirname(target), exist_ok=True)
-    part = f"{target}.{uuid.uuid4().hex}.part"
     digest = hashlib.sha256()
-    with _open(archive) as raw, zipfile.ZipFile(raw) as opened, opened.open(inner) as source, open(part, "wb") as out:
+    with _open(archive) as raw, zipfile.ZipFile(raw) as opened, opened.open(inner) as source, open(target, "wb") as out:
         while chunk := source.read(CHUNK):
             digest.update(chunk)
             out.write(chunk)
-    os.replace(part, target)
     return digest.hexdigest()
 
 
 # --- GeoPackage layers -----------------------------------------------------------------
 
 
-def _connect(path: str) -> sqlite3.Connection:
-    return sqlite3.connect(f"file:{quote(path)}?mode=ro&immutable=1", uri=True)
-
-
 def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-def source_layers(staged: DataFrame) -> DataFrame:
-    """Catalogue of the feature layers in unpacked GeoPackages; a bad file gives a row with an error."""
+def _value(value) -> dict | None:
+    """A SQLite value under its storage class."""
+    if value is None:
+        return None
+    return {{int: "i", float: "d", str: "s", bytes: "b"}[type(value)]: value}
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for one in batch.itertuples(index=False):
-                base = {k: getattr(one, k) for k in ("order_id", "zip_name", "inner_path", "staged_path", "source_hash")}
-                if one.error is not None:
-                    yield _frame([{**base, "error": one.error}], schemas.CATALOGUE)
-                    continue
-                try:
-                    rows = [{**base, **layer} for layer in _describe(one.staged_path)]
-                except sqlite3.Error as error:
-                    rows = [{**base, "error": f"cannot read: {error}"}]
-                yield _frame(rows, schemas.CATALOGUE)
 
-    return staged.repartition("staged_path").mapInPandas(describe, schemas.CATALOGUE)
-
-
-def _describe(path: str) -> Iterator[dict]:
-    db = _connect(path)
+def _contents(path: str, base: dict) -> Iterator[list[dict]]:
+    """A row for each feature layer, followed by the rows of its features in row-number order."""
+    db = sqlite3.connect(f"file:{quote(path)}?mode=ro&immutable=1", uri=True)
     try:
         layers = db.execute(
             "SELECT c.table_name, g.column_name, g.geometry_type_name, g.srs_id, c.min_x, c.min_y, c.max_x, c.max_y"
@@ -181,35 +157,47 @@ def _describe(path: str) -> Iterator[dict]:
             " WHERE c.data_type = 'features' ORDER BY c.table_name"
         ).fetchall()
         for name, geometry, kind, srid, *stored in layers:
+            layer = {**base, "kind": "layer", "layer_name": name}
             if geometry is None:
-                yield {"layer_name": name, "error": f"no geometry column in {name}"}
+                yield [{**layer, "error": f"no geometry column in {name}"}]
                 continue
-            count, first, last = db.execute(
-                f"SELECT count(*), min(rowid), max(rowid) FROM {_quoted(name)}"
-            ).fetchone()
             columns = [
                 {"name": c[1], "type": c[2]}
                 for c in db.execute(f"PRAGMA table_info({_quoted(name)})")
                 if c[1] != geometry and c[1].lower() != "fid"
             ]
-            yield {
-                "layer_name": name,
-                "geometry_column": geometry,
-                "geometry_type": kind,
-                "srid": srid,
-                "feature_count": count,
-                "first_row": first,
-                "last_row": last,
-                "columns": columns,
-                **dict(zip(("min_x", "min_y", "max_x", "max_y"), stored)),
-            }
+            count = db.execute(f"SELECT count(*) FROM {_quoted(name)}").fetchone()[0]
+            bounds = dict(zip(("min_x", "min_y", "max_x", "max_y"), stored, strict=True))
+            known = {"geometry_column": geometry, "geometry_type": kind, "srid": srid, "feature_count": count, "columns": columns}
+            yield [{**layer, **known, **bounds}]
+            picked = ", ".join(_quoted(n) for n in [geometry, *(c["name"] for c in columns)])
+            cursor, number = db.execute(f"SELECT rowid, {picked} FROM {_quoted(name)} ORDER BY rowid"), 0
+            while rows := cursor.fetchmany(ROWS_PER_BATCH):
+                yield [
+                    {
+                        **base,
+                        "kind": "feature",
+                        "layer_name": name,
+                        "row_no": number + i,
+                        "source_row": row[0],
+                        "blob": row[1] or None,
+                        "values": [_value(v) for v in row[2:]],
+                    }
+                    for i, row in enumerate(rows, 1)
+                ]
+                number += len(rows)
     finally:
         db.close()
 
 
+def source_layers(extracted: DataFrame) -> DataFrame:
+    """Catalogue of the feature layers in unpacked GeoPackages; a bad file gives a row with an error."""
+    return extracted.filter(F.col("kind") == "layer").select(*schemas.CATALOGUE.fieldNames())
+
+
 # Columns that a read or published layer has besides its attributes.
 STORAGE = frozenset(
-    "order_id layer_name zip_name inner_path staged_path source_row fid blob geom geom_wkb srid cell"
+    "order_id layer_name zip_name inner_path source_row fid geom geom_wkb srid cell"
     " xmin ymin xmax ymax _source_order _loaded_at _part _row _before".split()
 )
 
@@ -238,126 +226,37 @@ def layer_fields(columns: list) -> list[T.StructField]:
     return [T.StructField(name, text.spark_type(c["type"])) for name, c in zip(names, columns, strict=True)]
 
 
-def _cast(value, kind: T.DataType):
-    if value is None or isinstance(kind, T.BinaryType):
-        return value if value is None or isinstance(value, bytes) else str(value).encode()
+def _typed(value: Column, kind: T.DataType) -> Column:
+    """A stored value as the declared type of its column; one that does not fit is an error."""
+    i, d, s, b = (value[c] for c in "idsb")
+    if isinstance(kind, T.BinaryType):
+        return F.coalesce(b, F.coalesce(s, i.cast("string"), d.cast("string")).cast("binary"))
     if isinstance(kind, T.StringType):
-        return value if isinstance(value, str) else str(value)
+        return F.coalesce(s, i.cast("string"), d.cast("string"), b.cast("string"))
     if isinstance(kind, T.BooleanType):
-        return bool(value)
-    if isinstance(kind, T.LongType):
-        return int(value)
-    if isinstance(kind, T.DoubleType):
-        return float(value)
-    return Decimal(str(value))
-
-
-RANGE = (
-    "order_id string, layer_name string, zip_name string, inner_path string, staged_path string, geometry_column string,"
-    " low bigint, high bigint"
-)
+        return F.coalesce(i != 0, d != 0, s != "", F.length(b) > 0)
+    if isinstance(kind, T.DecimalType):
+        return F.coalesce(i.cast(kind), F.coalesce(s, d.cast("string")).cast(kind))
+    return F.coalesce(i.cast(kind), d.cast(kind), s.cast(kind))
 
 
-def _ranges(catalogue: DataFrame, rows_per_range: int) -> DataFrame:
-    """Row-number ranges of the layers, about ``rows_per_range`` rows each."""
-    # row numbers may have gaps: wider steps keep the ranges near the count they need
-    needed = F.ceil(F.col("feature_count") / rows_per_range) * 8
-    span = F.col("last_row") - F.col("first_row") + 1
-    step = F.greatest(F.lit(rows_per_range), F.ceil(span / needed)).cast("bigint")
-    return (
-        catalogue.filter(F.col("first_row").isNotNull())
-        .withColumn("step", step)
-        .withColumn("low", F.explode(F.expr("sequence(first_row, last_row, step)")))
-        .withColumn("high", F.expr("least(low + step - 1, last_row)"))
-        .select("order_id", "layer_name", "zip_name", "inner_path", "staged_path", "geometry_column", "low", "high")
-    )
+def read_layer(extracted: DataFrame, columns: list) -> DataFrame:
+    """Features of unpacked layers that share one attribute list.
 
-
-def numbered_ranges(catalogue: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """The ranges with how many rows of their layer come before each, in (archive, member, row number) order.
-
-    The tasks count their ranges by key, without reading a feature. What is
-    added up in order is one number per range, not the rows.
+    Gives order_id, layer_name, zip_name, inner_path, source_row, ``fid`` (1, 2, ...
+    in archive, member and row order), ``geom_wkb`` and the attributes, named by
+    :func:`attribute_names`. The serial number is the number of a feature in its
+    file and the counts of the files before, a row per file; no feature is shuffled for it.
     """
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            totals = []
-            for one in batch.itertuples(index=False):
-                db = _connect(one.staged_path)
-                try:
-                    query = f"SELECT count(*) FROM {_quoted(one.layer_name)} WHERE rowid BETWEEN ? AND ?"
-                    totals.append(db.execute(query, (int(one.low), int(one.high))).fetchone()[0])
-                finally:
-                    db.close()
-            yield batch.assign(rows=totals)
-
-    counted = _ranges(catalogue, rows_per_range).repartition("staged_path", "low").mapInPandas(count, RANGE + ", rows bigint")
-    in_file = Window.partitionBy("staged_path", "layer_name").orderBy("low")
-    files = counted.groupBy("staged_path", "order_id", "layer_name", "zip_name", "inner_path").agg(F.sum("rows").alias("file_rows"))
+    file = ["order_id", "layer_name", "zip_name", "inner_path"]
     layer = Window.partitionBy("order_id", "layer_name").orderBy("zip_name", "inner_path")  # a row per file
     across = layer.rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("staged_path", "layer_name", F.coalesce(F.sum("file_rows").over(across), F.lit(0)).alias("file_start"))
-    before = F.col("file_start") + F.sum("rows").over(in_file) - F.col("rows")
-    return counted.join(starts, ["staged_path", "layer_name"]).withColumn("before", before).drop("file_start", "rows")
-
-
-def read_layer(catalogue: DataFrame, columns: list, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Features of catalogue rows that share one attribute list.
-
-    Gives order_id, layer_name, zip_name, inner_path, staged_path, source_row,
-    ``fid`` (1, 2, ... in archive, member and row order), ``geom_wkb`` and the
-    attributes, named by :func:`attribute_names`. Tasks take ranges of
-    row numbers, so neither a large layer nor a large archive is read by one
-    task, and the serial number needs no shuffle of the features.
-    """
-    fields = layer_fields(columns)
-    names = [c["name"] for c in columns]
-    kinds = [f.dataType for f in fields]
-    out = T.StructType(
-        [
-            T.StructField("order_id", T.StringType()),
-            T.StructField("layer_name", T.StringType()),
-            T.StructField("zip_name", T.StringType()),
-            T.StructField("inner_path", T.StringType()),
-            T.StructField("staged_path", T.StringType()),
-            T.StructField("source_row", T.LongType()),
-            T.StructField("fid", T.LongType()),
-            T.StructField("blob", T.BinaryType()),
-            *fields,
-        ]
-    )
-    arrow = to_arrow_schema(out)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one in batch.to_pylist():
-                picked = ", ".join(_quoted(n) for n in [one["geometry_column"], *names])
-                serial = one["before"] + 1
-                db = _connect(one["staged_path"])
-                try:
-                    cursor = db.execute(
-                        f"SELECT rowid, {picked} FROM {_quoted(one['layer_name'])} WHERE rowid BETWEEN ? AND ? ORDER BY rowid",
-                        (one["low"], one["high"]),
-                    )
-                    while rows := cursor.fetchmany(ROWS_PER_BATCH):
-                        fixed = [[one[k]] * len(rows) for k in ("order_id", "layer_name", "zip_name", "inner_path", "staged_path")]
-                        numbers = [[r[0] for r in rows], list(range(serial, serial + len(rows)))]
-                        serial += len(rows)
-                        values = [[_cast(row[i + 2], kind) for row in rows] for i, kind in enumerate(kinds)]
-                        data = [*fixed, *numbers, [r[1] or None for r in rows], *values]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(v, f.type) for v, f in zip(data, arrow)], schema=arrow
-                        )
-                finally:
-                    db.close()
-
-    ranges = numbered_ranges(catalogue, rows_per_range)
-    read_rows = ranges.repartition("staged_path", "low").mapInArrow(read, out)
-    wkb = G.strip_header(F.col("blob")).alias("geom_wkb")
-    return read_rows.select(
-        "order_id", "layer_name", "zip_name", "inner_path", "staged_path", "source_row", "fid", wkb, *[f.name for f in fields]
-    )
+    files = extracted.filter((F.col("kind") == "layer") & F.col("error").isNull())
+    starts = files.select(*file, F.coalesce(F.sum("feature_count").over(across), F.lit(0)).alias("file_start"))
+    rows = extracted.filter(F.col("kind") == "feature").join(starts, file)
+    values = [_typed(F.col("values")[k], f.dataType).alias(f.name) for k, f in enumerate(layer_fields(columns))]
+    fid = (F.col("file_start") + F.col("row_no")).alias("fid")
+    return rows.select(*file, "source_row", fid, G.strip_header(F.col("blob")).alias("geom_wkb"), *values)
 
 
 def read_rows(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import feeds
-from .sizes import dimension
 
 # Announcement horizon around now, and its row cap.
 BEFORE, AFTER, MAX_ANNOUNCEMENTS = "15 minutes", "5 minutes", 500
@@ -53,23 +52,22 @@ def recent_announcements(announcements: DataFrame, now: Column) -> DataFrame:
 def train_rows(announcements: DataFrame, stations: DataFrame) -> DataFrame:
     """Announcements at known stations with names for origin and destination.
 
-    A station code counts once, see :func:`one_per_signature`.
+    A station code counts once, see :func:`one_per_signature`. How the stations are joined is left to
+    adaptive execution, which knows their size when it is there.
     """
-    stations = one_per_signature(stations)
-    known = dimension(stations)
+    known = one_per_signature(stations)
     first = {
         "from_code": F.coalesce(F.get(F.col("FromLocation"), F.lit(0))["LocationName"], F.lit("")),
         "to_code": F.coalesce(F.get(F.col("ToLocation"), F.lit(0))["LocationName"], F.lit("")),
     }
     origin = known.select(F.col("signature").alias("from_code"), F.col("name").alias("from_name"))
     target = known.select(F.col("signature").alias("to_code"), F.col("name").alias("to_name"))
-    small = (lambda d: F.broadcast(d)) if known is not stations else (lambda d: d)
     at = known.withColumnRenamed("signature", "LocationSignature")
     return (
         announcements.withColumns(first)
         .join(at, "LocationSignature", "inner")
-        .join(small(origin), "from_code", "left")
-        .join(small(target), "to_code", "left")
+        .join(origin, "from_code", "left")
+        .join(target, "to_code", "left")
         .select(
             "announcement_id",
             F.col("AdvertisedTrainIdent").alias("train"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import points as P
 from ..session import cut_lineage
-from .sizes import dimension
 
 MAX_DEPTH = 3
 
@@ -29,10 +28,10 @@ def tile_summary(points: DataFrame) -> DataFrame:
 def scene(points: DataFrame) -> DataFrame:
     """Scene position and colour of every point, relative to its tile's corner.
 
-    The corners are one row per tile. They are written out first, so that their
-    number is known and the points need not be shuffled to meet them.
+    The corners are one row per tile. They are written out first, so that their size
+    is known when the join is planned: few tiles are broadcast, many are not.
     """
-    corners = dimension(cut_lineage(tile_summary(points).drop("points")))
+    corners = cut_lineage(tile_summary(points).drop("points"))
     at = {axis: F.col(f"min_{axis}") for axis in "xyz"}
     joined = points.join(corners, "tile")
     return joined.withColumns(

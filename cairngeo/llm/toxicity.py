@@ -32,6 +32,7 @@ from .words import lowered, slices, words
 SAMPLE = 20_000
 WIDTH = 2048
 GRADES = 3
+MIN_LIFT = 2.0  # log of how much likelier a feature is in toxic documents
 BUCKETS = 1 << 20
 STEMS = (4, 5)  # bytes
 
@@ -126,9 +127,9 @@ def train(
         taken.select("text", "y").mapInArrow(counts, "bucket long, clean long, toxic long")
         .groupBy("bucket")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .where(F.col("toxic") >= max(2, bad // 200))
+        .where(F.col("toxic") >= max(5, bad // 200))
         .select("bucket", lift.alias("lift"), (F.col("toxic") * lift).alias("weight"))
-        .where(F.col("lift") > 1)
+        .where(F.col("lift") > MIN_LIFT)
         .orderBy(F.desc("weight"), "bucket")
         .limit(width)
         .collect()

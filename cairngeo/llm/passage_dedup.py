@@ -1,15 +1,16 @@
-"""Repeated passages by hashing of lines or paragraphs.
+"""Repeated passages by hashing of units: sentences, lines or paragraphs.
 
-A text is cut into units (lines, or paragraphs between blank lines). A unit is normalised (A-Z in lower case, runs of
-white space as one space) and hashed to 128 bits; digests are grouped over all documents, with a partial step
-before the shuffle. The earliest ranked occurrence (smallest id, then smallest offset) stays, all others are
-removed; the offsets of what is removed are those of the original text.
-
-Units of fewer than ``min_words`` words are too short for a passage and always stay.
+A text is cut into units. Paragraphs lie between blank lines, lines between line breaks; a sentence is the part of a line
+up to its full stop, question or exclamation mark, which finds passages that begin and end within a line as well. A
+unit is normalised (A-Z in lower case, runs of white space as one space) and hashed to 128 bits; digests are grouped
+over all documents, with a partial step before the shuffle. The earliest ranked occurrence (smallest id, then smallest
+offset) of a unit stays, others are repeats. Repeats that follow one another without a gap are a passage; a
+passage of at least ``min_words`` words is removed, shorter ones are chance or a common phrase and stay. The offsets
+of what is removed are those of the original text.
 
 Defined results: null text stays null, empty text empty; rows without an id come after all others; rows that
-repeat an id are ranked by a hash of their text, equal rows by nothing, so equal rows with one id are one occurrence
-and keep or lose their units together; an empty table gives an empty result. Other columns pass through.
+repeat an id are ranked by a hash of their text, equal rows with one id are one occurrence and keep or lose their units
+together; an empty table gives an empty result. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -17,90 +18,99 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import fresh, written
+from .tables import chunks, fresh, written
 
-MIN_WORDS = 5
+MIN_WORDS = 25
 
+_SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _LINE = re.compile(r"[^\n]+")
 _PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]*\S[^\n]*)*")
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-UNITS = {"line": _LINE, "paragraph": _PARAGRAPH}
+_FOLDED = str.maketrans({**{chr(c): chr(c + 32) for c in range(65, 91)}, **dict.fromkeys("\t\n\r\x0b\x0c", " ")})
+UNITS = {"sentence": _SENTENCE, "line": _LINE, "paragraph": _PARAGRAPH}
 
 
-def units(text: str, kind: str, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the units of a text that have at least ``min_words`` words."""
+def units(text: str, kind: str) -> list[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of the units of a text."""
     out = []
     for found in UNITS[kind].finditer(text):
-        parts = found.group().split()
-        if len(parts) >= min_words:
-            out.append((*found.span(), xxhash.xxh3_128_digest(" ".join(parts).translate(_LOWER))))
+        parts = list(filter(None, found.group().translate(_FOLDED).split(" ")))
+        if parts:
+            out.append((*found.span(), len(parts), xxhash.xxh3_128_digest(" ".join(parts))))
     return out
 
 
-def occurrences(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per unit: digest, id, print (hash of the text), start, end (characters, end exclusive)."""
+def occurrences(docs: DataFrame, kind: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per unit: digest, id, print (hash of the text), number in the text, start, end (characters), words."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, start, end, digest = [], [], [], []
+        for batch in chunks(batches):
+            row, number, found = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for a, b, d in units(text or "", kind, min_words):
-                    row.append(i)
-                    start.append(a)
-                    end.append(b)
-                    digest.append(d)
+                own = units(text or "", kind)
+                found += own
+                row += [i] * len(own)
+                number += range(len(own))
+            start, end, words, digest = zip(*found, strict=True) if found else [()] * 4
             at = pa.array(row, pa.int64())
-            columns = [pa.array(digest, pa.binary()), batch.column("id").take(at), batch.column("print").take(at), pa.array(start, pa.int64()), pa.array(end, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["digest", "id", "print", "start", "end"])
+            numbers = [pa.array(c, pa.int32()) for c in (number, start, end, words)]
+            columns = [pa.array(digest, pa.binary()), batch.column("id").take(at), batch.column("print").take(at), *numbers]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "id", "print", "number", "start", "end", "words"])
 
     taken = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
-    return taken.mapInArrow(run, f"digest binary, id {id_type}, print long, start long, end long")
+    return taken.mapInArrow(run, f"digest binary, id {id_type}, print long, number int, start int, `end` int, words int")
 
 
 def repeats(found: DataFrame) -> DataFrame:
     """The occurrences that are not the first of their digest."""
-    rank = F.struct(F.col("id").isNull().alias("unnamed"), "id", "print", "start")
+    rank = F.struct(F.col("id").isNull().alias("unnamed"), "id", "print", "number")
     first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last").select("digest", "first")
     return found.join(first, "digest").where(rank != F.col("first")).drop("first")
 
 
-def drop_repeats(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", out: str = "removed") -> DataFrame:
-    """``docs`` without repeated units, and a column ``out`` of the spans taken from the original text, in order.
+def passages(repeated: list[dict], min_words: int) -> list[dict[str, int]]:
+    """Spans of the stretches of consecutive repeated units that have at least ``min_words`` words."""
+    out, run = [], []
+    for unit in [*repeated, None]:
+        if run and (unit is None or unit["number"] != run[-1]["number"] + 1):
+            if sum(u["words"] for u in run) >= min_words:
+                out.append({"start": run[0]["start"], "end": run[-1]["end"]})
+            run = []
+        run.append(unit)
+    return out
+
+
+def without(text: str, spans: list[dict[str, int]]) -> str:
+    parts, at = [], 0
+    for span in spans:
+        parts.append(text[at : span["start"]])
+        at = span["end"]
+    return "".join([*parts, text[at:]])
 
-    A removed line takes the line break after it along.
-    """
+
+def drop_repeats(
+    docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", out: str = "removed"
+) -> DataFrame:
+    """``docs`` without repeated passages, and a column ``out`` of the spans taken from the original text, in order."""
     docs = docs.drop(out)  # a column of that name is replaced
-    found = written(occurrences(docs, kind, min_words, id_col, text_col))
-    of, by = fresh(docs, "span_of", "span_by")
-    spans = (
-        repeats(found)
-        .groupBy(F.col("id").alias(of), F.col("print").alias(by))
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(out))
-    )
+    found = written(occurrences(docs, kind, id_col, text_col))
+    of, by, repeated, done = fresh(docs, "span_of", "span_by", "span_units", "span_done")
+    unit = F.struct("number", "start", "end", "words")
+    per_text = repeats(found).groupBy(F.col("id").alias(of), F.col("print").alias(by)).agg(F.array_sort(F.collect_set(unit)).alias(repeated))
     text = F.col(text_col)
-    joined = docs.join(spans, (F.xxhash64(text_col) == F.col(by)) & F.col(id_col).eqNullSafe(F.col(of)), "left")
-
-    @F.pandas_udf("string")
-    def without(texts, removed):
-        kept = []
-        for text, spans in zip(texts, removed, strict=True):
-            if text is not None and spans is not None:
-                parts, at = [], 0
-                for span in spans:
-                    parts.append(text[at : span["start"]])
-                    at = span["end"] + (text[span["end"] : span["end"] + 1] == "\n")
-                text = "".join([*parts, text[at:]])
-            kept.append(text)
-        import pandas as pd
-
-        return pd.Series(kept, index=texts.index)
-
-    clean = F.when(F.col(out).isNull(), text).otherwise(without(text, F.col(out)))
-    nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return joined.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(out, nothing).alias(out))
+    joined = docs.join(per_text, (F.xxhash64(text_col) == F.col(by)) & F.col(id_col).eqNullSafe(F.col(of)), "left")
+
+    @F.pandas_udf(f"text string, {out} array<struct<start:int,end:int>>")
+    def cleaned(texts: pd.Series, units: pd.Series) -> pd.DataFrame:
+        spans = [[] if u is None else passages(list(u), min_words) for u in units]
+        kept = [t if t is None or not s else without(t, s) for t, s in zip(texts, spans, strict=True)]
+        return pd.DataFrame({"text": pd.Series(kept, dtype=object), out: pd.Series(spans, dtype=object)})
+
+    both = joined.withColumn(done, cleaned(text, F.col(repeated)))
+    return both.select(*[F.col(f"{done}.text").alias(c) if c == text_col else F.col(c) for c in docs.columns], F.col(f"{done}.{out}").alias(out))

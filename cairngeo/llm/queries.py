@@ -136,28 +136,32 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PASSAGES_SQL = f"""
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-parts AS (
-  SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(text, '[^.!?\\n]+[.!?]*|[.!?\\n]+') AS tokens FROM documents),
+parts AS (SELECT r, doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM docs),
+placed AS (
+  SELECT *, CAST(sum(len(token)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS stop,
+    CASE WHEN regexp_full_match(token, '[.!?\\n]+') THEN '' ELSE translate(trim(regexp_replace(token, '[ \\t\\r\\x0B\\x0C]+', ' ', 'g')),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS unit
+  FROM parts
 ), units AS (
-  SELECT *, len(string_split(unit, ' ')) >= {passage_dedup.MIN_WORDS} AS counts FROM (
-    SELECT *, translate(trim(regexp_replace(line, '\\s+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS unit FROM parts) x
-), ranked AS (
-  SELECT *, counts AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, i) > 1 AS gone,
-    sum(len(line) + 1) OVER (PARTITION BY r ORDER BY i) - len(line) - 1 AS start FROM units
-), merged AS (
-  SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept,
-    string_agg(CAST(start AS BIGINT) || '-' || CAST(start + len(line) AS BIGINT), ',' ORDER BY i) FILTER (WHERE gone) AS spans,
-    max(i) AS n, max(i) FILTER (WHERE NOT gone) AS last_kept
-  FROM ranked GROUP BY r)
-SELECT doc_id, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed, coalesce(spans, '') AS spans,
-  CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') || CASE WHEN last_kept < n THEN chr(10) ELSE '' END END AS text
-FROM docs LEFT JOIN merged USING (r)"""
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY i) AS number, len(string_split(unit, ' ')) AS words,
+    row_number() OVER (PARTITION BY unit ORDER BY doc_id, i) > 1 AS again FROM placed WHERE unit <> ''
+), runs AS (
+  SELECT r, min(stop - len(token)) AS a, max(stop) AS b
+  FROM (SELECT *, number - row_number() OVER (PARTITION BY r ORDER BY number) AS run FROM units WHERE again) x
+  GROUP BY r, run HAVING sum(words) >= {passage_dedup.MIN_WORDS}
+), spans AS (SELECT r, count(*) AS n, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM runs GROUP BY r),
+rest AS (
+  SELECT p.r, string_agg(p.token, '' ORDER BY p.i) AS kept
+  FROM placed p LEFT JOIN runs s ON s.r = p.r AND p.stop > s.a AND p.stop <= s.b WHERE s.r IS NULL GROUP BY p.r)
+SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_removed, coalesce(spans, '') AS spans,
+  CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text
+FROM docs LEFT JOIN spans USING (r) LEFT JOIN rest USING (r)"""
 
 
 @query("op7_passage_dedup", PASSAGES_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that an earlier document has, and where they were."""
+    """Every document without the passages that an earlier document has, and where they were."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = passage_dedup.drop_repeats(docs)
     spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))

@@ -37,19 +37,15 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _hash(line: Column) -> Column:
-    own = normalised(line)
+def _hash(own: Column) -> Column:
+    """Two hashes of a normalised line."""
     return F.struct(F.xxhash64(own).alias("a"), F.xxhash64(F.lit("line"), own).alias("b"))
 
 
-def _hashes(text: Column) -> Column:
-    return F.transform(F.filter(_lines(text), lambda x: normalised(x) != ""), _hash)
-
-
 def boilerplate(occurrences: DataFrame, min_sites: int, log_k: int = LOG_K) -> DataFrame:
     """Hashes of the lines that at least ``min_sites`` sites have, from rows (site, hash)."""
     rows = occurrences.where(F.col(_SITE).isNotNull())
-    able = (
+    able = written(
         rows.groupBy(_HASH)
         .agg(F.count("*").alias("n"), F.min(_SITE).alias("low"), F.max(_SITE).alias("high"))
         .where((F.col("n") >= min_sites) & ((F.lit(min_sites) <= 1) | (F.col("low") != F.col("high"))))
@@ -90,10 +86,13 @@ def drop_boilerplate(
     key = [F.col(id_col).alias(_ROW), F.xxhash64(F.col(text_col)).alias(_PRINT)]
     occurrences = written(
         docs.where(F.col(text_col).isNotNull())
-        .select(*key, F.col(site_col).cast("string").alias(_SITE), F.explode(_hashes(F.col(text_col))).alias(_HASH))
+        .select(*key, F.col(site_col).cast("string").alias(_SITE), F.explode(_lines(F.col(text_col))).alias("line"))
+        .select(_ROW, _PRINT, _SITE, normalised(F.col("line")).alias("own"))
+        .where("own <> ''")
+        .select(_ROW, _PRINT, _SITE, _hash(F.col("own")).alias(_HASH))
     )
     bad = written(boilerplate(occurrences.select(_SITE, _HASH), min_sites))
-    of, by, found = fresh(docs, "hit_of", "hit_by", "hit_hashes")
+    of, by, found, left = fresh(docs, "hit_of", "hit_by", "hit_hashes", "hit_left")
     hits = (
         occurrences.join(bad, _HASH, "left_semi")
         .groupBy(F.col(_ROW).alias(of), F.col(_PRINT).alias(by))
@@ -102,14 +101,18 @@ def drop_boilerplate(
     text = F.col(text_col)
     joined = docs.join(hits, (F.xxhash64(text) == F.col(by)) & F.col(id_col).eqNullSafe(F.col(of)), "left")
 
-    def gone(line: Column) -> Column:
-        return (normalised(line) != "") & F.array_contains(F.col(found), _hash(line))
+    def stays(line: Column) -> Column:
+        return ~F.array_contains(F.col(found), _hash(normalised(line)))  # no blank line was hashed
 
-    clean = F.when(F.col(found).isNull(), text).otherwise(F.array_join(F.filter(_lines(text), lambda x: ~gone(x)), "\n"))
+    # Texts without such a line are passed through as they are.
+    kept, hit = F.filter(_lines(text), stays), F.col(found).isNotNull()
+    clean = F.when(hit, F.array_join(F.col(left), "\n")).otherwise(text)
     extra = []
     if counts:
+        filled = F.size(F.filter(_lines(text), lambda x: F.btrim(x, F.lit(BLANK)) != ""))
         extra = [
-            F.coalesce(F.size(F.filter(_lines(text), lambda x: normalised(x) != "")), F.lit(0)).alias(counts[0]),
-            F.when(F.col(found).isNull(), 0).otherwise(F.size(F.filter(_lines(text), gone))).alias(counts[1]),
+            F.coalesce(filled, F.lit(0)).alias(counts[0]),
+            F.when(hit, F.size(_lines(text)) - F.size(left)).otherwise(0).alias(counts[1]),
         ]
-    return joined.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns], *extra)
+    marked = joined.withColumn(left, F.when(hit, kept))
+    return marked.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns], *extra)

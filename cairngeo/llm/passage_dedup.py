@@ -46,43 +46,44 @@ def units(text: str, kind: str) -> list[tuple[int, int, int, bytes]]:
 
 
 def occurrences(docs: DataFrame, kind: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per unit: digest, id, print (hash of the text), number in the text, start, end (characters), words."""
+    """One row per unit: digest, id, print (hash of the text) and number in the text."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            row, number, found = [], [], []
+            row, number, digest = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                own = units(text or "", kind)
-                found += own
+                own = [u[3] for u in units(text or "", kind)]
+                digest += own
                 row += [i] * len(own)
                 number += range(len(own))
-            start, end, words, digest = zip(*found, strict=True) if found else [()] * 4
             at = pa.array(row, pa.int64())
-            numbers = [pa.array(c, pa.int32()) for c in (number, start, end, words)]
-            columns = [pa.array(digest, pa.binary()), batch.column("id").take(at), batch.column("print").take(at), *numbers]
-            yield pa.RecordBatch.from_arrays(columns, names=["digest", "id", "print", "number", "start", "end", "words"])
+            columns = [pa.array(digest, pa.binary()), batch.column("id").take(at), batch.column("print").take(at), pa.array(number, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "id", "print", "number"])
 
     taken = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
-    return taken.mapInArrow(run, f"digest binary, id {id_type}, print long, number int, start int, `end` int, words int")
+    return taken.mapInArrow(run, f"digest binary, id {id_type}, print long, number int")
 
 
 def repeats(found: DataFrame) -> DataFrame:
     """The occurrences that are not the first of their digest."""
     rank = F.struct(F.col("id").isNull().alias("unnamed"), "id", "print", "number")
-    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last").select("digest", "first")
+    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     return found.join(first, "digest").where(rank != F.col("first")).drop("first")
 
 
-def passages(repeated: list[dict], min_words: int) -> list[dict[str, int]]:
-    """Spans of the stretches of consecutive repeated units that have at least ``min_words`` words."""
+def passages(own: list[tuple[int, int, int, bytes]], repeated: list[int], min_words: int) -> list[dict[str, int]]:
+    """Spans of the stretches of consecutive repeated units that have at least ``min_words`` words.
+
+    ``own`` are the units of a text, ``repeated`` the numbers of those that repeat, in order.
+    """
     out, run = [], []
-    for unit in [*repeated, None]:
-        if run and (unit is None or unit["number"] != run[-1]["number"] + 1):
-            if sum(u["words"] for u in run) >= min_words:
-                out.append({"start": run[0]["start"], "end": run[-1]["end"]})
+    for number in [*repeated, None]:
+        if run and (number is None or number != run[-1] + 1):
+            if sum(own[n][2] for n in run) >= min_words:
+                out.append({"start": own[run[0]][0], "end": own[run[-1]][1]})
             run = []
-        run.append(unit)
+        run.append(number)
     return out
 
 
@@ -101,14 +102,15 @@ def drop_repeats(
     docs = docs.drop(out)  # a column of that name is replaced
     found = written(occurrences(docs, kind, id_col, text_col))
     of, by, repeated, done = fresh(docs, "span_of", "span_by", "span_units", "span_done")
-    unit = F.struct("number", "start", "end", "words")
-    per_text = repeats(found).groupBy(F.col("id").alias(of), F.col("print").alias(by)).agg(F.array_sort(F.collect_set(unit)).alias(repeated))
+    numbers = F.array_sort(F.collect_set("number")).alias(repeated)
+    per_text = repeats(found).groupBy(F.col("id").alias(of), F.col("print").alias(by)).agg(numbers)
     text = F.col(text_col)
     joined = docs.join(per_text, (F.xxhash64(text_col) == F.col(by)) & F.col(id_col).eqNullSafe(F.col(of)), "left")
 
     @F.pandas_udf(f"text string, {out} array<struct<start:int,end:int>>")
-    def cleaned(texts: pd.Series, units: pd.Series) -> pd.DataFrame:
-        spans = [[] if u is None else passages(list(u), min_words) for u in units]
+    def cleaned(texts: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+        pairs = zip(texts, numbers, strict=True)
+        spans = [[] if n is None else passages(units(t, kind), [int(k) for k in n], min_words) for t, n in pairs]
         kept = [t if t is None or not s else without(t, s) for t, s in zip(texts, spans, strict=True)]
         return pd.DataFrame({"text": pd.Series(kept, dtype=object), out: pd.Series(spans, dtype=object)})
 

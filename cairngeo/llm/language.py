@@ -1,9 +1,10 @@
 """Language of a text by compression: the language whose dictionary makes the text smallest.
 
 For each language a raw-content zstandard dictionary is filled with texts of that language. The words of a whole text,
-in lower case, are encoded with every dictionary, and the language of the smallest result is chosen. The margin is the share by which the
-second smallest is larger; where it is narrow, the choice is marked as rejected. Texts that are null or have no letter
-are ``und``.
+in lower case, are cut into blocks of at most ``BLOCK`` bytes, so that the dictionary stays within the window and counts for
+the end of a text as for its head. Every block is encoded by itself with every dictionary, and the language with the
+smallest sum over all blocks is chosen. The margin is the share by which the second smallest sum is larger; where it is
+narrow, the choice is marked as rejected. Texts that are null or have no letter are ``und``.
 
 Dictionaries are filled from a bounded sample (about ``sample`` texts per language, dealt by a hash of the id, up to
 ``dictionary_bytes``); there is one per language that occurs in the rows that may be learned from. Scoring is one map
@@ -31,6 +32,7 @@ from .tables import trainable
 SAMPLE = 200
 DICTIONARY_BYTES = 96 << 10
 EXCERPT = 2000  # characters that one text gives to a dictionary
+BLOCK = 8 << 10  # bytes that are encoded at once: a block learns little from itself, and lies far inside the window of 256 kB
 NARROW = 0.02
 UNKNOWN = "und"
 
@@ -43,6 +45,11 @@ def letters(text: str) -> bytes:
     return f" {found} ".encode() if found else b""
 
 
+def blocks(raw: bytes) -> list[bytes]:
+    """All of ``raw`` in as few blocks of equal size as hold it."""
+    size = -(-len(raw) // -(-len(raw) // BLOCK))
+    return [raw[i : i + size] for i in range(0, len(raw), size)]
+
 
 def dictionaries(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary content per language, from rows that may be learned from."""
@@ -77,7 +84,8 @@ class Classifier:
         raw = letters(text) if text and self.langs else b""
         if not raw:
             return UNKNOWN, 0.0
-        sizes = np.array([len(tool.compress(raw)) for tool in self.tools])
+        parts = blocks(raw)
+        sizes = np.array([sum(len(tool.compress(part)) for part in parts) for tool in self.tools])
         best = int(sizes.argmin())
         rest = np.delete(sizes, best)
         return self.langs[best], float(1 - sizes[best] / rest.min()) if len(rest) else 1.0

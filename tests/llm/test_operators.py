@@ -242,6 +242,19 @@ def test_language_without_letters(make):
     assert found == {1: ("de", 1.0), 2: ("und", 0.0), 3: ("und", 0.0), 4: ("de", 1.0)}
 
 
+def test_language_of_a_long_text_counts_to_its_end():
+    rows = duckdb.sql("SELECT doc_id, lang, text FROM '/root/testdata/sf0.01/documents.parquet' WHERE lang IN ('de', 'en') ORDER BY doc_id").fetchall()
+    content = {x: [language.letters(t) for _, lang, t in rows if lang == x] for x in ("de", "en")}
+    tool = language.Classifier({x: b"".join(c[::2])[: language.DICTIONARY_BYTES] for x, c in content.items()})
+    body = {x: b"".join(c[1::2]).decode() * 20 for x, c in content.items()}
+    for x in body:
+        short, long = tool(body[x][:2000]), tool(body[x][:600_000])
+        assert short[0] == long[0] == x and long[1] > 2 * language.NARROW
+    assert tool(body["de"][:300_000] + body["en"][:1_000_000])[0] == "en"
+    raw = bytes(range(256)) * 100
+    assert b"".join(language.blocks(raw)) == raw and max(map(len, language.blocks(raw))) <= language.BLOCK
+
+
 def test_licences_and_inheritance(spark):
     apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
     rows = [

@@ -2,9 +2,11 @@
 
 Every line, every paragraph and the whole of a text is a unit. A unit's vector holds its word counts times the inverse
 document frequency of the words, which is counted over all texts of the corpus for the words of the templates; other
-words take the weight of a word that one text has. The licence of a file is the template with the largest cosine
-of any unit, from ``threshold`` on. A file whose licence unit holds at least half of its words is a licence file. A file
-without a licence of its own takes that of the licence file in the nearest directory above it: the directories
+words take the weight of a word that one text has. Units are compared with notices from a cosine of ``threshold`` on, whole
+texts also with full licence texts from ``full_threshold`` on; the identifiers of an SPDX line are looked up. The licence of a
+file is the full text that the whole of it matches, else the match with the largest cosine of any unit; all matches of
+a file are its spans. A file that matches a full text, or whose licence unit holds at least half of its words, is a licence
+file. A file without a licence of its own takes that of the licence file in the nearest directory above it: the directories
 that occur are joined with their ancestors, so the work follows the directories, not the files below them.
 
 Defined results: null and empty texts have no licence of their own; null paths have no directory, inherit nothing and
@@ -15,6 +17,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,43 +26,76 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .licence_texts import FULL_TEXTS
 from .tables import chunks, text_buffer, written
 from .words import lowered, slices, word_hashes, words
 
 THRESHOLD = 0.75
+FULL_THRESHOLD = 0.9  # of whole texts, where sibling licences and long prose have many words in common
+
+
+
+def _gnu(thing: str, kind: str, version: str) -> list[str]:
+    """The customary header of a GNU licence: its first paragraph, with and without later versions, and the whole."""
+    first = f"This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    only = f"This {thing} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License version {version} as published by the Free Software Foundation."
+    rest = f"This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details. You should have received a copy of the GNU {kind}General Public License along with this {thing}. If not, see <https://www.gnu.org/licenses/>."
+    return [first, only, f"{first} {rest}"]
+
 
 # The notices that the licences ask for or that are customary, in the wording of their publishers.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "MIT": [
+        "MIT License",
+        "The MIT License (MIT)",
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3.",
+        *_gnu("program", "", "3"),
+    ],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", *_gnu("program", "", "2")],
+    "LGPL-2.1": _gnu("library", "Lesser ", "2.1"),
+    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", *_gnu("library", "Lesser ", "3")],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", *_gnu("program", "Affero ", "3")],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     ],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal."],
+    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal.", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "All-rights-reserved": ["All rights reserved.", "Copyright. All rights reserved."],
 }
 
+# Two texts follow from others: the Affero licence by its name in the text of the GPL (section 13 differs, which
+# leaves it nearest by far), and the BSD licence of two clauses without the third.
+FULL = {
+    **FULL_TEXTS,
+    "AGPL-3.0": re.sub(r"(?i)(GNU )(General Public License)", r"\1Affero \2", FULL_TEXTS["GPL-3.0"]),
+    "BSD-2-Clause": re.sub(r"\n3\. Neither.*?permission\.", "", FULL_TEXTS["BSD-3-Clause"], flags=re.DOTALL),
+}
+
+SPDX = {name.lower() + end: name for name in {*TEMPLATES, *FULL} - {"All-rights-reserved"} for end in ("", "+", "-only", "-or-later")}
+_SPDX_LINE = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)")
+_SPDX_NAME = re.compile(rb"[a-z0-9][a-z0-9.+-]*")
+
 
 def _tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text, hash) of the words: digits, letters and bytes beyond ASCII, A-Z in lower case."""
@@ -93,7 +129,7 @@ class Model:
         self.vectors = np.zeros((len(self.words), len(self.names)))
         np.add.at(self.vectors, (np.searchsorted(self.words, hashes), of), 1)
         self.vectors *= self.weight[:, None]
-        self.vectors /= np.linalg.norm(self.vectors, axis=0)
+        self.vectors = np.asfortranarray(self.vectors / np.linalg.norm(self.vectors, axis=0))
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word among the words of the templates, -1 for others."""
@@ -108,12 +144,13 @@ class Model:
         weight = count * np.where(word >= 0, self.weight[word], self.other)
         norm = np.sqrt(np.bincount(of, weight**2, n))
         mine = word >= 0
-        of, value = of[mine], weight[mine, None] * self.vectors[word[mine]]
+        of, word, weight = of[mine], word[mine], weight[mine]
         best, which = np.zeros(n), np.zeros(n, np.int64)
         for k in range(len(self.names)):
-            cosine = np.bincount(of, value[:, k], n) / np.maximum(norm, 1e-12)
+            cosine = np.bincount(of, weight * self.vectors[:, k][word], n) / np.maximum(norm, 1e-12)
             better = cosine > best
             best[better], which[better] = cosine[better], k
+        best[np.bincount(of, minlength=n) < 2] = 0  # one word, as the German "mit", is no notice
         return best, which
 
 
@@ -125,9 +162,23 @@ def _number(marks: np.ndarray, start: np.ndarray, text: np.ndarray) -> np.ndarra
     return np.cumsum(new)
 
 
-def scan(model: Model, offsets: np.ndarray, data: np.ndarray, threshold: float) -> list[tuple[str, float, int, int, bool] | None]:
-    """Per text: (licence, cosine, start, end in bytes, is a licence file), or None."""
-    out: list[tuple[str, float, int, int, bool] | None] = [None] * (len(offsets) - 1)
+Found = tuple[str, float, int, int, bool, list[dict[str, object]]]
+
+
+def _identifiers(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, str, int, int]]:
+    """(text, licence, start, end in bytes) of the known identifiers of the SPDX lines."""
+    raw = lowered(data).tobytes()
+    for line in _SPDX_LINE.finditer(raw):
+        i = int(np.searchsorted(offsets, line.start(), "right")) - 1
+        if line.start(1) <= offsets[i + 1]:  # else the prefix runs on into the next text
+            for name in _SPDX_NAME.finditer(raw, line.start(1), min(line.end(1), int(offsets[i + 1]))):
+                if (licence := SPDX.get(name.group().decode())) is not None:
+                    yield i, licence, int(line.start() - offsets[i]), int(name.end() - offsets[i])
+
+
+def scan(model: Model, full: Model, offsets: np.ndarray, data: np.ndarray, threshold: float, full_threshold: float) -> list[Found | None]:
+    """Per text: (licence, cosine, start, end in bytes, is a licence file, all spans), or None."""
+    out: list[Found | None] = [None] * (len(offsets) - 1)
     start, end, text, hashes = _tokens(offsets, data)
     if not len(start):
         return out
@@ -135,19 +186,27 @@ def scan(model: Model, offsets: np.ndarray, data: np.ndarray, threshold: float)
     blank = lines[1:][np.add.reduceat(data > 32, lines)[:-1] == 0] if len(lines) > 1 else lines[:0]
     many = np.bincount(text, minlength=len(out))
     rows = []
-    for marks in (lines, blank, lines[:0]):
+    for marks, tool, least in ((lines, model, threshold), (blank, model, threshold), (lines[:0], model, threshold), (lines[:0], full, full_threshold)):
         unit = _number(marks, start, text)
         n = int(unit[-1]) + 1
-        best, which = model.cosines(unit, hashes, n)
+        best, which = tool.cosines(unit, hashes, n)
         first = np.searchsorted(unit, np.arange(n))
         last = np.append(first[1:], len(unit)) - 1
-        for u in np.flatnonzero(best >= threshold - 1e-9):
+        for u in np.flatnonzero(best >= least - 1e-9):
             i = int(text[first[u]])
             a, b = int(start[first[u]] - offsets[i]), int(end[last[u]] - offsets[i])
-            whole = 2 * (last[u] - first[u] + 1) >= many[i]
-            rows.append((i, -round(float(best[u]), 9), a, -b, model.names[which[u]], bool(whole)))
-    for i, cosine, a, b, name, whole in sorted(rows, reverse=True):
-        out[i] = (name, -cosine, a, -b, whole)
+            whole = tool is full or 2 * (last[u] - first[u] + 1) >= many[i]
+            rows.append((i, tool is not full, -round(float(best[u]), 9), a, -b, tool.names[which[u]], bool(whole)))
+    for i, licence, a, b in _identifiers(offsets, data):
+        within = int(np.searchsorted(start, offsets[i] + b) - np.searchsorted(start, offsets[i] + a))
+        rows.append((i, True, -1.0, a, -b, licence, 2 * within >= int(many[i])))
+    spans: dict[int, dict[tuple[int, int, str], float]] = {}
+    for i, _, cosine, a, b, name, _ in sorted(rows):
+        of = spans.setdefault(i, {})
+        of[a, -b, name] = max(-cosine, of.get((a, -b, name), 0.0))
+    for i, _, cosine, a, b, name, whole in sorted(rows, reverse=True):
+        every = [{"licence": n, "cosine": c, "start": x, "end": y} for (x, y, n), c in sorted(spans[i].items())]
+        out[i] = (name, -cosine, a, -b, whole, every)
     return out
 
 
@@ -173,23 +232,34 @@ def _frequencies(docs: DataFrame, templates: dict[str, list[str]], text_col: str
     return count.get(-1, 0), {int(w): count.get(i, 0) for i, w in enumerate(own)}
 
 
-def own_licences(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per file: ``keep``, path, licence, cosine, start, end (bytes of the original text), licence_file."""
+def own_licences(
+    files: DataFrame,
+    templates: dict[str, list[str]] = TEMPLATES,
+    threshold: float = THRESHOLD,
+    path_col: str = "path",
+    text_col: str = "text",
+    keep: tuple[str, ...] = (),
+    full: dict[str, str] = FULL,
+    full_threshold: float = FULL_THRESHOLD,
+) -> DataFrame:
+    """Per file: ``keep``, path, licence, cosine, start, end (bytes of the original text), licence_file, spans (all matches)."""
     context = files.sparkSession.sparkContext
-    texts, found = _frequencies(files, templates, text_col)
-    model = context.broadcast(Model(templates, texts, found))
+    whole = {name: [text] for name, text in full.items()}
+    texts, found = _frequencies(files, {"": [t for part in (templates, whole) for of in part.values() for t in of]}, text_col)
+    models = context.broadcast((Model(templates, texts, found), Model(whole, texts, found)))
     taken = files.select(*[F.col(c) for c in keep], F.col(path_col).alias("path"), F.col(text_col).alias("whole_text"))
-    names = [*taken.columns[:-1], "licence", "cosine", "start", "end", "licence_file"]
+    names = [*taken.columns[:-1], "licence", "cosine", "start", "end", "licence_file", "spans"]
+    span = pa.list_(pa.struct([("licence", pa.string()), ("cosine", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "whole_text"):
-            rows = [r or (None,) * 5 for r in scan(model.value, *text_buffer(batch.column("whole_text")), threshold)]
+            rows = [r or (*(None,) * 5, []) for r in scan(*models.value, *text_buffer(batch.column("whole_text")), threshold, full_threshold)]
             parts = zip(*rows, strict=True)
-            kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.bool_())
+            kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), span)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(list(p), k) for p, k in zip(parts, kinds, strict=True))], names=names)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1])
-    return taken.mapInArrow(run, f"{kept}, licence string, cosine double, start long, `end` long, licence_file boolean")
+    return taken.mapInArrow(run, f"{kept}, licence string, cosine double, start long, `end` long, licence_file boolean, spans array<struct<licence: string, cosine: double, start: long, `end`: long>>")
 
 
 def _folder(path):

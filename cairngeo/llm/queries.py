@@ -174,7 +174,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", F.concat(F.lit("part"), F.floor(F.col("doc_id") / 1000)), F.concat(F.col("doc_id"), F.lit(".txt")))
     found = licences.licences(docs.select("doc_id", path.alias("path"), "text"), keep=("doc_id",))
-    return found.select("doc_id", "path", "licence", "cosine", "start", "end", "licence_file", "licence_source", "from_path")
+    return found.select("doc_id", "path", "licence", "cosine", "start", "end", "licence_file", "licence_source", "from_path", "spans")
 
 
 @query("op10_nearest_neighbours")

@@ -281,6 +281,23 @@ def test_licences_and_inheritance(spark):
     assert text[found["a/b/z.txt"]["start"] : found["a/b/z.txt"]["end"]].decode() == apache[:-1]
 
 
+def test_full_licence_texts_spdx_lines_and_spans(spark):
+    full = {"x/LICENSE": "MIT", "g/COPYING": "GPL-2.0", "h/COPYING": "GPL-3.0", "a/LICENSE": "Apache-2.0", "m/LICENSE": "MPL-2.0", "b/LICENSE": "BSD-3-Clause"}
+    rows = [(path, "Copyright (c) 2020 Somebody\n\n" + licences.FULL[name]) for path, name in full.items()]
+    rows += [(path.split("/")[0] + "/src/f.c", f"nothing to see {k}") for k, path in enumerate(full)]
+    rows += [("s/one.c", "// SPDX-License-Identifier: (MIT OR GPL-2.0-only)\ncode"), ("t/two.c", "// SPDX-License-Identifier: Zlib\ncode"), ("t/word.txt", "eins\nmit\nzwei")]
+    found = {r["path"]: r for r in licences.licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for path, name in full.items():
+        assert (found[path]["licence"], found[path]["licence_file"]) == (name, True)
+        below = found[path.split("/")[0] + "/src/f.c"]
+        assert (below["licence"], below["licence_source"], below["from_path"], below["spans"]) == (name, "inherited", path, [])
+    assert {s["licence"] for s in found["s/one.c"]["spans"]} == {"GPL-2.0", "MIT"}
+    assert found["t/two.c"]["licence"] is None and found["t/word.txt"]["licence"] is None
+    header = "code\n\n" + licences.TEMPLATES["GPL-2.0"][1] + "\n\ncode\n\nReleased under the MIT License.\n"
+    (row,) = licences.own_licences(spark.createDataFrame([("f", header)], "path string, text string")).collect()
+    assert {"This", "Released"} <= {header[s["start"] : s["end"]].split()[0] for s in row["spans"]}
+
+
 def test_neighbour_recall_against_brute_force(spark):
     rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet'").fetchall()
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)

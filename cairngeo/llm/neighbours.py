@@ -92,6 +92,20 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def _numbers(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def dealt(rows: DataFrame, blocks: int, groups: int) -> DataFrame:
+    """``rows`` (id, v) with an even block, once for each group.
+
+    The block is a column before the explode, which else would be what is numbered; the running number in the hash deals
+    copies of one id apart.
+    """
+    block = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    return rows.select("id", "v", block.alias("block")).select("id", "v", "block", _numbers(groups).alias("group"))
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
@@ -125,12 +139,8 @@ def nearest(
     blocks = -(-count // block)
     groups = max(-(-asked.count() // QUERIES), -(-2 * parallel // blocks), 1)
 
-    def numbers(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    # A running number deals the rows evenly, whatever their ids and vectors are.
-    left = rows.select("id", "v", (F.monotonically_increasing_id() % blocks).cast("int").alias("block"), numbers(groups).alias("group"))
-    right = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), numbers(blocks).alias("block"))
+    left = dealt(rows, blocks, groups)
+    right = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), _numbers(blocks).alias("block"))
 
     def search(candidates: pa.Table, asking: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

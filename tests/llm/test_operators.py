@@ -318,6 +318,14 @@ def test_neighbour_recall_against_brute_force(spark):
     assert hits >= 0.9 * 20 * len(found)
 
 
+@pytest.mark.parametrize("blocks, groups", [(4, 4), (4, 6)])
+def test_neighbour_candidates_are_dealt_evenly(spark, blocks, groups):
+    rows = spark.range(0, 4000, 1, 3).selectExpr("id div 2000 as id", "array(1.0D) as v")  # 2,000 copies of either id
+    sizes = neighbours.dealt(rows, blocks, groups).groupBy("group", "block").count().collect()
+    assert {(r["group"], r["block"]) for r in sizes} == {(g, b) for g in range(groups) for b in range(blocks)}
+    assert all(850 < r["count"] < 1150 for r in sizes)
+
+
 def test_pipeline_equals_brute_force(spark):
     """Each stage's decisions by plain Python, given the scores of the classifier."""
     rows = queries.QUERIES["op3_pu_quality"](spark, SF_DIR).collect()

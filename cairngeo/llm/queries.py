@@ -4,11 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontamination, language, licences, line_dedup, near_dedup, neighbours, packing, passage_dedup, quality, toxicity
+from . import (
+    decontamination,
+    filter_audit,
+    language,
+    licences,
+    line_dedup,
+    near_dedup,
+    neighbours,
+    packing,
+    passage_dedup,
+    periodic,
+    quality,
+    secrets,
+    toxicity,
+)
 from .tables import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,3 +196,179 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _matches_sql(rank: int, kind: str, regex: str, group: int) -> str:
+    p = _quoted(regex)
+    return f"""
+  SELECT r, {rank} AS rank, '{kind}' AS kind, generate_subscripts(string_split_regex(text, {p}), 1) AS i,
+    unnest(string_split_regex(text, {p})) AS gap, unnest(regexp_extract_all(text, {p}, 0)) AS m, unnest(regexp_extract_all(text, {p}, {group})) AS part
+  FROM docs"""
+
+
+def _class_sql(rank: int, of: secrets.CharacterClass) -> str:
+    allowed = " OR ".join(f"regexp_matches(m, {_quoted(a)})" for a in of.allowed)
+    return f"""
+  SELECT r, rank, kind, start + min(o) AS start, start + max(o) + {of.window} AS stop
+  FROM (SELECT *, unnest(range(0, len(m) - {of.window} + 1)) AS o FROM placed WHERE rank = {rank} AND NOT ({allowed})) x
+  WHERE list_aggregate(string_split(substr(m, CAST(o + 1 AS BIGINT), {of.window}), ''), 'entropy') >= {of.bits}
+  GROUP BY r, rank, kind, start"""
+
+
+_BASE = len(secrets.PATTERNS)
+SECRETS_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join([
+    *[_matches_sql(i, p.kind, p.regex, p.group) for i, p in enumerate(secrets.PATTERNS)],
+    *[_matches_sql(_BASE + i, c.kind, c.regex, 0) for i, c in enumerate(secrets.CLASSES)],
+])}
+), placed AS (
+  SELECT *, CAST(sum(len(gap) + coalesce(len(m), 0)) OVER (PARTITION BY r, rank ORDER BY i) - len(m) AS BIGINT) AS start FROM found QUALIFY m IS NOT NULL
+), spans AS (
+  SELECT r, rank, kind, start, start + len(m) AS stop FROM placed
+  WHERE {" OR ".join(f"(rank = {i} AND len(part) >= {p.least})" for i, p in enumerate(secrets.PATTERNS))}
+  UNION ALL {" UNION ALL ".join(_class_sql(_BASE + i, c) for i, c in enumerate(secrets.CLASSES))}
+), merged AS (
+  SELECT r, {", ".join(f"count(*) FILTER (WHERE rank = {i}) AS n_{p.kind}" for i, p in enumerate(secrets.PATTERNS))},
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < {_BASE}) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+  FROM spans GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{p.kind}, 0) AS n_{p.kind}" for p in secrets.PATTERNS)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN merged USING (r)"""
+
+
+@query("op11_entropy_secrets", SECRETS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its secrets: those of the named patterns, and all spans with those of high entropy."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [p.kind for p in secrets.PATTERNS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    named = secrets.span_text(F.filter("secrets", lambda s: s["kind"].isin(base)))
+    return found.select("doc_id", *map(count, base), F.sha2(named, 256).alias("base_sha256"), secrets.span_text(F.col("secrets")).alias("spans"))
+
+
+AUDIT_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+said AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * len(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * len(t),
+     regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM docs LEFT JOIN said USING (doc_id)),
+counted AS (SELECT part, good, toxic, fails, count(*) AS n FROM judged GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+numbered AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, ascii(substr(filter_order, step, 1)) - 64 AS f,
+    [ascii(x) - 64 FOR x IN string_split(substr(filter_order, 1, step - 1), '') IF x <> ''] AS before
+  FROM steps),
+parted AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails[f] AS here, len([x FOR x IN before IF fails[x]]) > 0 AS gone,
+    len([x FOR x IN fails IF x]) = 1 AS once
+  FROM numbered, counted),
+rows_ AS (
+  SELECT part, filter_order, step, f,
+    CAST(coalesce(sum(n) FILTER (WHERE NOT here AND NOT gone), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (WHERE here AND NOT gone), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (WHERE here AND gone), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (WHERE here AND once), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(n) FILTER (WHERE here AND NOT gone AND good), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(n) FILTER (WHERE here AND NOT gone AND toxic), 0) AS BIGINT) AS toxic_lost
+  FROM parted GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM rows_"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language, order of five filters and step: what the filter removes there, and its share over all orders."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+RUNS_SQL = r"""
+WITH raw AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+    xor(4294967295, list_reduce(list_concat([4294967295], [ascii(x) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, d:
+      list_reduce(list_concat([xor(c, CAST(d AS BIGINT))], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) AS h
+  FROM documents),
+drawn AS (SELECT *, len(w) AS n, h // 10 AS g FROM raw),
+placed AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM drawn),
+docs AS (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+    [w[1 + (CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END)] FOR i IN range(n)] END AS w
+  FROM placed),
+words AS (SELECT r, n, unnest(w) AS word, unnest(range(n)) AS i FROM docs),
+pairs AS (SELECT a.r, a.i, b.i - a.i AS q FROM words a JOIN words b ON a.r = b.r AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+stretches AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs) x GROUP BY r, q, island
+  HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length),
+told AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    first(struct_pack(start := start, length := length, period := period) ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS best
+  FROM runs GROUP BY r),
+dropped AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT w.r, string_agg(w.word, ' ' ORDER BY w.i) AS rest
+  FROM words w LEFT JOIN dropped d ON w.r = d.r AND w.i = d.i WHERE d.r IS NULL GROUP BY w.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period,
+  CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM docs LEFT JOIN told USING (r) LEFT JOIN kept USING (r)"""
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """The texts that op13 searches: in a tenth of the documents the words from a place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", filter_audit.BLANKS, -1), lambda w: w != "")
+
+    def repeated(w: Column) -> Column:
+        n, g = F.size(w), F.floor(h / 10).cast("long")
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        at = F.sequence(F.lit(0), n - 1)
+        return F.array_join(F.transform(at, lambda i: F.get(w, F.when(i >= a, a + F.pmod(i - a, p)).otherwise(i))), " ")
+
+    changed = F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w))), 1)
+    drawn = (h % 10 == 0) & F.col("text").isNotNull()
+    return docs.withColumn("text", F.when(drawn, F.coalesce(changed, F.col("text"))).otherwise(F.col("text")))
+
+
+@query("op13_periodic_runs", RUNS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its periodic runs of words, the strongest of them, and the text without their repeats."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.collapse_runs(with_repeats(docs))
+
+    def stronger(a: Column, b: Column) -> Column:
+        # runs come by start and then period, so an equal one that comes later is no better
+        return F.when(a.isNull() | (b["length"] * a["period"] > a["length"] * b["period"]), b).otherwise(a)
+
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    lines = F.transform("runs", lambda x: F.concat(x["start"], F.lit(","), x["length"], F.lit(","), x["period"], F.lit("\n")))
+    best = found.withColumn("best", F.aggregate("runs", none, stronger))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column
@@ -24,22 +25,98 @@ def _spread(v: Column) -> Column:
     return v
 
 
+def _domain(srid: int, axis: str) -> tuple[float, float]:
+    """(offset, width) of an axis of the grid: the whole Earth in degrees, else 16,777 km from the origin."""
+    if srid == 4326:
+        return (180.0, 360.0) if axis == "x" else (90.0, 180.0)
+    return 0.0, 16777216.0
+
+
+def _step(value: Column, srid: int, axis: str) -> Column:
+    """Number of the grid square along an axis; outside the grid that of its edge."""
+    offset, width = _domain(srid, axis)
+    top = (1 << CELL_BITS) - 1
+    return F.least(F.greatest(F.floor((value + offset) / width * (top + 1)), F.lit(0)), F.lit(top)).cast("bigint")
+
+
 def cell(x: Column, y: Column, srid: int) -> Column:
-    """Interleaved-bit number of the grid square around a position.
+    """Interleaved-bit number of the grid square around a position."""
+    return _spread(_step(x, srid, "x")).bitwiseOR(F.shiftleft(_spread(_step(y, srid, "y")), 1))
+
+
+# --- layout cells of features ------------------------------------------------------
+
+LEVEL_FACTOR = 32  # a cell's number is its corner's interleaved number and its level in the lowest five bits
+MAX_RANGES = 64
+
 
-    Sorting by it keeps neighbours in the same Parquet row groups, so the
-    envelope statistics of a row group stay narrow.
+def feature_cell(xmin: Column, ymin: Column, xmax: Column, ymax: Column, srid: int) -> Column:
+    """The quadtree cell of an envelope: the smallest whose double square, to the right and upwards, holds it.
+
+    The cell holds the lower left corner, level 16 are the grid squares. Cells are numbered so that a cell comes before
+    the cells within it and these lie together: what may meet a box is a few ranges of numbers, however
+    large single features of the layer are (:func:`box_ranges`), and rows in this order keep neighbours in
+    the same Parquet row groups.
     """
+    shift, call = F.lit(0), F.call_function
+    x0, y0, x1, y1 = _step(xmin, srid, "x"), _step(ymin, srid, "y"), _step(xmax, srid, "x"), _step(ymax, srid, "y")
+    wide = F.greatest(x1 - x0, y1 - y0)
+    least = F.when(wide > 1, F.length(F.bin(wide - 1)) - 1).otherwise(shift)
+
+    def spans(low: Column, high: Column) -> Column:
+        return call("shiftright", high, least) - call("shiftright", low, least)
+
+    shift = F.when(F.greatest(spans(x0, x1), spans(y0, y1)) > 1, least + 1).otherwise(least)
+    corner = _spread(x0).bitwiseOR(F.shiftleft(_spread(y0), 1))
+    whole = call("shiftleft", call("shiftright", corner, 2 * shift), 2 * shift)
+    return whole * LEVEL_FACTOR + (CELL_BITS - shift)
+
+
+def _interleaved(x: int, y: int) -> int:
+    return sum((x >> i & 1) << 2 * i | (y >> i & 1) << 2 * i + 1 for i in range(CELL_BITS))
+
+
+def _square(value: float, srid: int, axis: str) -> int:
+    offset, width = _domain(srid, axis)
     top = (1 << CELL_BITS) - 1
-    if srid == 4326:
-        u, v = (x + 180.0) / 360.0, (y + 90.0) / 180.0
-    else:
-        u, v = x / 16777216.0, y / 16777216.0
+    place = (value + offset) / width * (top + 1)
+    return top if place >= top else 0 if not place > 0 else int(place)
 
-    def step(t: Column) -> Column:
-        return F.least(F.greatest(F.floor(t * (top + 1)), F.lit(0)), F.lit(top)).cast("bigint")
 
-    return _spread(step(u)).bitwiseOR(F.shiftleft(_spread(step(v)), 1))
+def box_ranges(box: tuple[float, float, float, float], srid: int, most: int = MAX_RANGES) -> list[tuple[int, int]]:
+    """Ranges of cell numbers, ends included, that hold every feature whose envelope meets the box; about ``most`` of them.
+
+    The quadtree is walked from the root, widest cells first. A cell whose double square the box covers counts with
+    all within it, one that only meets it counts alone and its quarters are looked at; when there are enough
+    ranges, what is left counts whole. The ranges may hold features outside the box, never miss one in it.
+    """
+    left, low, right, high = (_square(v, srid, a) for v, a in zip(box, "xyxy", strict=True))
+    out, queue = [], [(0, 0, 0)]
+    while queue:
+        level, x, y = queue.pop(0)
+        size = 1 << (CELL_BITS - level)
+        if x * size > right or (x + 2) * size - 1 < left or y * size > high or (y + 2) * size - 1 < low:
+            continue
+        corner = _interleaved(x * size, y * size)
+        first = corner * LEVEL_FACTOR + level
+        covered = left <= x * size and (x + 2) * size - 1 <= right and low <= y * size and (y + 2) * size - 1 <= high
+        if covered or level == CELL_BITS or len(out) + len(queue) >= most:
+            out.append((first, (corner + size * size) * LEVEL_FACTOR - 1))
+        else:
+            out.append((first, first))
+            queue += [(level + 1, 2 * x + i, 2 * y + j) for j in (0, 1) for i in (0, 1)]
+    merged: list[tuple[int, int]] = []
+    for first, last in sorted(out):
+        if merged and first <= merged[-1][1] + 1:
+            merged[-1] = (merged[-1][0], max(last, merged[-1][1]))
+        else:
+            merged.append((first, last))
+    return merged
+
+
+def in_ranges(cell_: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a cell number lies in one of the ranges, as comparisons that Parquet takes."""
+    return functools.reduce(lambda a, b: a | b, [cell_ == a if a == b else cell_.between(a, b) for a, b in ranges], F.lit(False))
 
 
 # --- web map tiles -------------------------------------------------------------

@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import crs
+from ..functions import cells, crs
 from ..functions import geometry as G
 
 ENVELOPE = ("xmin", "ymin", "xmax", "ymax")
-STORAGE = ("geom", "geom_wkb", "srid", *ENVELOPE, "cell")
+STORAGE = ("geom", "geom_wkb", "srid", *ENVELOPE, "cell", "_load")
 BOOKKEEPING = ("_source_order", "_loaded_at")
 
 # Page limits.
@@ -72,10 +72,26 @@ def in_system(df: DataFrame, source: int, target: int) -> DataFrame:
 # --- filters ---------------------------------------------------------------------
 
 
+CELL_SYSTEM = "cells.srid"  # metadata of a published layer's cell column: the system of its grid
+
+
+def cell_column(cell: Column, srid: int) -> Column:
+    """The layout column under its name, marked with the system of its grid."""
+    return cell.alias("cell", metadata={CELL_SYSTEM: srid})
+
+
 def bbox_filter(df: DataFrame, box: Box | str) -> DataFrame:
-    """Rows whose envelope meets the box, edges included."""
+    """Rows whose envelope meets the box, edges included.
+
+    A published layer is also asked for the ranges of layout cells that can meet the box: its files are sorted by
+    cell, so Parquet skips all row groups outside the ranges.
+    """
     b = parse_box(box) if isinstance(box, str) else box
-    return df.filter(G.boxes_overlap_sql(envelope_columns(), literal_box(b)))
+    meets = F.expr(G.boxes_overlap_sql(envelope_columns(), literal_box(b)))
+    srid = df.schema["cell"].metadata.get(CELL_SYSTEM) if "cell" in df.columns else None
+    if srid is not None:
+        meets = meets & cells.in_ranges(F.col("cell"), cells.box_ranges(b, srid))
+    return df.filter(meets)
 
 
 def intersects_box(df: DataFrame, box: Box) -> DataFrame:
@@ -278,14 +294,22 @@ def schema_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     return whole
 
 
-# Table properties that publishing sets.
+# Table properties that publishing sets: features, features of each geometry type, system, the last fid that was given,
+# and whether a run was lost before these were told.
 FACT_COUNT, FACT_KINDS, FACT_SRID = "layer.feature_count", "layer.geometry_types", "layer.srid"
+FACT_LAST, FACT_UNSURE = "layer.last_fid", "layer.unsure"
 
 
 def table_facts(spark: SparkSession, table: str) -> dict[str, str]:
     return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
 
 
+def kind_counts(facts: Mapping[str, str]) -> dict[str, int]:
+    """Features of each geometry type, from the facts of a table."""
+    pairs = (part.split(":") for part in filter(None, facts.get(FACT_KINDS, "").split(",")))
+    return {kind: int(n) for kind, n in pairs if int(n)}
+
+
 def published_profile(spark: SparkSession, database: str) -> DataFrame:
     """One row per published layer: columns with types, geometry type, srid, row count.
 
@@ -297,7 +321,8 @@ def published_profile(spark: SparkSession, database: str) -> DataFrame:
         facts = table_facts(spark, f"`{database}`.`{name}`")
         shown = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields if f.name not in STORAGE)
         srid = facts.get(FACT_SRID)
-        rows.append((name, shown, facts.get(FACT_KINDS) or None, int(srid) if srid else None, int(facts.get(FACT_COUNT, 0))))
+        kinds = ",".join(sorted(kind_counts(facts)))
+        rows.append((name, shown, kinds or None, int(srid) if srid else None, int(facts.get(FACT_COUNT, 0))))
     return spark.createDataFrame(rows, "table_name string, columns string, geometry_type string, srid int, row_count bigint")
 
 

@@ -21,6 +21,7 @@ from ..sources import archives, deliveries, files
 from . import deliveries as delivery_ops
 from . import ledger as ledger_ops
 from . import layers
+from .entrylog import EntryLog
 from .versioned import KEPT_SECONDS, VersionedTable
 
 REPORT_SCHEMA = (
@@ -76,8 +77,8 @@ def create_database(spark: SparkSession, database: str, location: str | None = N
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{where}'")
 
 
-def ledger_table(spark: SparkSession, location: str) -> VersionedTable:
-    return VersionedTable(spark, f"{location}/_metadata", ledger_ops.LEDGER_SCHEMA)
+def ledger_table(spark: SparkSession, location: str) -> EntryLog:
+    return EntryLog(spark, f"{location}/_metadata", ledger_ops.LEDGER_SCHEMA, ledger_ops.KEY)
 
 
 def prepared(df: DataFrame, source_srid: int, target_srid: int) -> DataFrame:
@@ -91,8 +92,15 @@ def prepared(df: DataFrame, source_srid: int, target_srid: int) -> DataFrame:
         df = df.withColumn("geom", crs.transform_geometry("geom", source_srid, target_srid))
         df = df.withColumn("geom_wkb", G.write_wkb("geom"))
     enveloped = layers.with_envelope(df)
-    middle = [(F.col(f"{a}min") + F.col(f"{a}max")) / 2 for a in "xy"]
-    return enveloped.withColumns({"srid": F.lit(target_srid), "cell": cells.cell(*middle, target_srid)})
+    cell = cells.feature_cell(*[F.col(name) for name in layers.ENVELOPE], target_srid)
+    return enveloped.withColumns({"srid": F.lit(target_srid), "cell": layers.cell_column(cell, target_srid)})
+
+
+def load_key(order_id: str | None, layer_name: str | None) -> str:
+    """What a load replaces when it comes again: the rows of its order and layer; a load without an order is new each time."""
+    if order_id is None:
+        return f"load {uuid.uuid4().hex}"
+    return f"order {order_id}" if layer_name is None else f"order {order_id} layer {layer_name}"
 
 
 def publish_layer(
@@ -104,75 +112,193 @@ def publish_layer(
     target_srid: int = crs.WGS84,
     if_exists: str = "replace",
     order_id: str | None = None,
+    layer_name: str | None = None,
 ) -> DataFrame:
-    """Write a layer and return its one-row count, extent and bbox text.
-
-    The rows bring their serial ``fid`` or get one in the order of ``order_by``;
-    an append counts on from the table's last and its statistics are those of the
-    rows it added. They are laid out by ``cell``, so the row groups of the files
-    cover small areas and an envelope filter skips most of them. A replacement is
-    written beside the old table and takes its name when it is whole; what a lost
-    job leaves behind is never seen.
+    """Write a layer and return the one-row count, extent and bbox text of what was loaded.
+
+    The rows bring their serial ``fid`` or get one in the order of ``order_by``. A table consists of loads, one
+    partition each with a folder of its own. An append sets the load of its order and layer, so an order that
+    comes again replaces its own rows and no others; its fids count on from the last that was given. A replacement
+    leaves this load alone. Folders are written whole before the catalogue points at them, and a table that has
+    to be made anew is made under another name first, so a job that is lost leaves the table as it was and can be
+    run again. Folders out of use go an hour later.
+
+    The rows are decoded and projected once, into a staged copy that gives the statistics; from that they are laid out
+    by ``cell``, so that the row groups of the files cover small areas and a box filter skips most of them.
     """
     if if_exists not in MODES:
         raise ValueError(f"if_exists is one of {', '.join(MODES)}")
     spark = df.sparkSession
+    _finish_swap(spark, database, name)
     table = f"`{database}`.`{name}`"
     known = spark.catalog.tableExists(f"{database}.{name}")
     if known and if_exists == "fail":
         raise ValueError(f"table {name} already exists")
-    start = 0
-    if known and if_exists == "append":
-        start = spark.table(table).agg(F.coalesce(F.max("fid"), F.lit(0))).first()[0]
     if order_by is not None:
         df = assign_fids(df, order_by)
-    rows = df.withColumn("fid", F.col("fid") + start)
-    rows = prepared(rows, source_srid, target_srid).withColumns(
+    home = f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/{name}"
+    staged_at = f"{home}/staged-{uuid.uuid4().hex}"
+    rows = prepared(df, source_srid, target_srid).withColumns(
         {"_source_order": F.lit(order_id).cast("string"), "_loaded_at": F.current_timestamp()}
     )
     shape = ["geom", "geom_wkb", "srid", *layers.ENVELOPE, "cell", *layers.BOOKKEEPING]
     plain = [c for c in rows.columns if c not in ("fid", *shape)]
-    rows = rows.select("fid", *plain, *shape)
-    laid_out = rows.repartitionByRange("cell", "fid").sortWithinPartitions("cell", "fid")
+    rows.select("fid", *plain, *shape).write.parquet(staged_at)
+    staged = spark.read.parquet(staged_at)
+    found = _statistics(staged)
+    load, folder = load_key(order_id, layer_name), f"{home}/load-{uuid.uuid4().hex}"
     if known and if_exists == "append":
-        laid_out.select(*spark.table(table).columns).write.insertInto(table)
+        facts = _certain_facts(spark, table)
+        if facts.get(layers.FACT_SRID, str(target_srid)) != str(target_srid):
+            raise ValueError(f"table {name} is in system {facts[layers.FACT_SRID]}, not {target_srid}")
+        old = _statistics(spark.table(table).filter(F.col("_load") == load))
+        last = int(facts[layers.FACT_LAST])
+        kinds = {k: layers.kind_counts(facts).get(k, 0) - old.kinds.get(k, 0) + found.kinds.get(k, 0) for k in {*layers.kind_counts(facts), *found.kinds}}
+        count = int(facts[layers.FACT_COUNT]) - old.count + found.count
+        _set_facts(spark, table, {layers.FACT_LAST: last + found.last_fid, layers.FACT_UNSURE: "true"})
+        wanted = [f for f in spark.table(table).schema.fields if f.name != "_load"]
+        typed = [staged[f.name].cast(f.dataType).alias(f.name, metadata=f.metadata) for f in wanted]
+        _write_laid_out(staged.select(*typed).withColumn("fid", F.col("fid") + last), found.count, folder)
+        _point_at(spark, table, load, folder)
+        _set_facts(spark, table, _facts(count, kinds, target_srid, last + found.last_fid))
     else:
-        _swap_in(laid_out, database, name, known)
-    loaded = spark.table(table).filter(F.col("fid") > start)
-    kinds = F.array_sort(F.collect_set(F.col("geom")["type"])).alias("kinds")  # a few names
-    stats = loaded.agg(F.count(F.lit(1)).alias("feature_count"), *layers.extent_aggregates(), kinds)
-    stats = stats.withColumn("bbox", layers.box_text())
-    found = stats.first()
-    _note_facts(spark, table, found["feature_count"], found["kinds"], target_srid, added=bool(start))
-    return spark.createDataFrame([found], stats.schema).drop("kinds")
-
-
-def _note_facts(spark: SparkSession, table: str, count: int, kinds: list[str], srid: int, added: bool) -> None:
-    """Keep count, geometry types and system of a table as properties in the catalogue."""
-    if added:
-        known = layers.table_facts(spark, table)
-        count += int(known.get(layers.FACT_COUNT, 0))
-        kinds = sorted({*kinds, *filter(None, known.get(layers.FACT_KINDS, "").split(","))})
-    facts = {layers.FACT_COUNT: count, layers.FACT_KINDS: ",".join(kinds), layers.FACT_SRID: srid}
+        _write_laid_out(staged, found.count, folder)
+        facts = _facts(found.count, found.kinds, target_srid, found.last_fid)
+        _swap_in(spark, database, name, spark.read.parquet(folder).schema, load, folder, facts, known)
+    files.delete_tree(spark, staged_at)
+    _forget_folders(spark, table, home)
+    shown = spark.createDataFrame([(found.count, *found.box)], "feature_count bigint, minx double, miny double, maxx double, maxy double")
+    return shown.withColumn("bbox", layers.box_text())
+
+
+# Rows from which a layer is cut into files by range; below it is one file.
+ROWS_PER_FILE = 250_000
+
+
+@dataclass(frozen=True)
+class Statistics:
+    count: int
+    kinds: dict[str, int]
+    last_fid: int
+    box: tuple[float | None, ...]
+
+
+def _statistics(rows: DataFrame) -> Statistics:
+    """Count, features of each geometry type, last fid and extent of a layer's rows."""
+    kind = F.col("geom")["type"].alias("kind")
+    found = rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.max("fid").alias("last"), *layers.extent_aggregates()).collect()  # a row per type
+    ends = [(min, "minx"), (min, "miny"), (max, "maxx"), (max, "maxy")]
+    box = tuple(pick((r[c] for r in found if r[c] is not None), default=None) for pick, c in ends)
+    kinds = {r["kind"]: r["n"] for r in found if r["kind"] is not None}
+    return Statistics(sum(r["n"] for r in found), kinds, max((r["last"] for r in found), default=0), box)
+
+
+def _write_laid_out(rows: DataFrame, count: int, folder: str) -> None:
+    """The rows sorted by cell, in files that each hold a range of cells."""
+    parts = -(-max(count, 1) // ROWS_PER_FILE)
+    dealt = rows.repartitionByRange(parts, "cell", "fid") if parts > 1 else rows.coalesce(1)
+    dealt.sortWithinPartitions("cell", "fid").write.parquet(folder)
+
+
+def _facts(count: int, kinds: dict[str, int], srid: int, last_fid: int) -> dict[str, object]:
+    told = ",".join(f"{k}:{n}" for k, n in sorted(kinds.items()) if n)
+    return {layers.FACT_COUNT: count, layers.FACT_KINDS: told, layers.FACT_SRID: srid, layers.FACT_LAST: last_fid, layers.FACT_UNSURE: "false"}
+
+
+def _set_facts(spark: SparkSession, table: str, facts: dict[str, object]) -> None:
     spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({', '.join(f"'{k}' = '{v}'" for k, v in facts.items())})")
 
 
-def _swap_in(rows: DataFrame, database: str, name: str, known: bool) -> None:
-    """Write a new folder for the table, then point the name at it; folders out of use go after an hour."""
-    spark = rows.sparkSession
-    home = f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/{name}"
-    folder = f"v-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{home}/{folder}")
-    table = f"`{database}`.`{name}`"
-    if known and spark.table(table).schema == spark.read.parquet(f"{home}/{folder}").schema:
-        spark.sql(f"ALTER TABLE {table} SET LOCATION '{home}/{folder}'")
-        spark.catalog.refreshTable(table)
+def _certain_facts(spark: SparkSession, table: str) -> dict[str, str]:
+    """The facts of a table, read from its rows where an earlier run was lost between a load and its facts."""
+    facts = layers.table_facts(spark, table)
+    if facts.get(layers.FACT_UNSURE) == "false":
+        return facts
+    found = _statistics(spark.table(table))
+    last = max(found.last_fid, int(facts.get(layers.FACT_LAST, 0)))
+    sure = _facts(found.count, found.kinds, int(facts[layers.FACT_SRID]), last)
+    _set_facts(spark, table, sure)
+    return {k: str(v) for k, v in sure.items()}
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _point_at(spark: SparkSession, table: str, load: str, folder: str) -> None:
+    """Let a load of a table be the rows of a folder: one change of the catalogue."""
+    part = f"PARTITION (_load = {_quoted(load)})"
+    if spark.sql(f"SHOW PARTITIONS {table} {part}").isEmpty():
+        spark.sql(f"ALTER TABLE {table} ADD {part} LOCATION {_quoted(folder)}")
     else:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-        spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{home}/{folder}'")
-    for old in files.children(spark, home):
-        if old.startswith("v-") and old != folder and files.age_of(spark, f"{home}/{old}") > KEPT_SECONDS:
-            files.delete_tree(spark, f"{home}/{old}")
+        spark.sql(f"ALTER TABLE {table} {part} SET LOCATION {_quoted(folder)}")
+    spark.catalog.refreshTable(table)
+
+
+def _swap_in(spark: SparkSession, database: str, name: str, schema: T.StructType, load: str, folder: str, facts: dict[str, object], known: bool) -> None:
+    """Make the table this one load: a new table under another name, which then takes the name."""
+    new = f"_new_{name}"
+    spark.sql(f"DROP TABLE IF EXISTS `{database}`.`{new}`")
+    # The table's own folder stays empty, each load has its own.
+    root = f"{folder.rsplit('/', 1)[0]}/table-{uuid.uuid4().hex}"
+    empty = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("_load", T.StringType())]))
+    empty.write.format("parquet").partitionBy("_load").option("path", root).saveAsTable(f"`{database}`.`{new}`")
+    _point_at(spark, f"`{database}`.`{new}`", load, folder)
+    _set_facts(spark, f"`{database}`.`{new}`", facts)
+    if known:
+        spark.sql(f"ALTER TABLE `{database}`.`{name}` RENAME TO `{database}`.`_old_{name}`")
+    _finish_swap(spark, database, name)
+
+
+def _finish_swap(spark: SparkSession, database: str, name: str) -> None:
+    """Let a table that waits under its other name take its place; does what a lost run has left to do."""
+    there = {k: spark.catalog.tableExists(f"{database}.{k}{name}") for k in ("", "_new_", "_old_")}
+    if not there[""] and (there["_new_"] or there["_old_"]):
+        waiting = "_new_" if there["_new_"] else "_old_"
+        spark.sql(f"ALTER TABLE `{database}`.`{waiting}{name}` RENAME TO `{database}`.`{name}`")
+        there[waiting] = False
+        spark.catalog.refreshTable(f"`{database}`.`{name}`")
+    if there["_old_"]:
+        spark.sql(f"DROP TABLE `{database}`.`_old_{name}`")
+
+
+def _forget_folders(spark: SparkSession, table: str, home: str) -> None:
+    """Mark the folders that no load uses any more; delete those that were marked, and staged ones, an hour ago.
+
+    The loads of the table are its partitions; their folders come from the catalogue, a name per load.
+    """
+    there = files.children(spark, home)
+    idle = [n for n in there if n.startswith(("load-", "table-", "staged-"))]
+    if len(idle) < 3:  # one load and the table's own folder
+        return
+    where = spark._jsparkSession.sessionState().catalog()
+    identifier = spark._jsparkSession.sessionState().sqlParser().parseTableIdentifier(table)
+    empty = spark.sparkContext._jvm.scala.Option.empty()
+    used = {files.name_of(where.getTableMetadata(identifier).location().toString())}
+    parts = where.listPartitions(identifier, empty).iterator()
+    while parts.hasNext():
+        used.add(files.name_of(parts.next().location().toString()))
+    for n in idle:
+        mark = f"{home}/.idle-{n}"
+        if n in used:
+            continue
+        if f".idle-{n}" not in there and not n.startswith("staged-"):
+            files.touch(spark, mark)
+        elif files.age_of(spark, mark if f".idle-{n}" in there else f"{home}/{n}") > KEPT_SECONDS:
+            files.delete_tree(spark, f"{home}/{n}")
+            files.delete_tree(spark, mark)
+
+
+def drop_load(spark: SparkSession, database: str, name: str, load: str) -> None:
+    """Take one load out of a table."""
+    table = f"`{database}`.`{name}`"
+    facts = _certain_facts(spark, table)
+    old = _statistics(spark.table(table).filter(F.col("_load") == load))
+    _set_facts(spark, table, {layers.FACT_UNSURE: "true"})
+    spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (_load = {_quoted(load)})")
+    spark.catalog.refreshTable(table)
+    kinds = {k: n - old.kinds.get(k, 0) for k, n in layers.kind_counts(facts).items()}
+    _set_facts(spark, table, _facts(int(facts[layers.FACT_COUNT]) - old.count, kinds, int(facts[layers.FACT_SRID]), int(facts[layers.FACT_LAST])))
 
 
 # --- orders ------------------------------------------------------------------------------
@@ -198,7 +324,7 @@ class Publisher:
         self.location = (self.location or shared_dir(self.spark)).rstrip("/")
         create_database(self.spark, self.database, f"{self.location}/{self.database}.db")
         self.ledger = ledger_table(self.spark, f"{self.location}/{self.database}.meta")
-        self.labels = VersionedTable(self.spark, f"{self.location}/{self.database}.meta/labels", LABEL_SCHEMA)
+        self.labels = EntryLog(self.spark, f"{self.location}/{self.database}.meta/labels", LABEL_SCHEMA, ["order_id"])
         self.seen = VersionedTable(self.spark, f"{self.location}/{self.database}.meta/seen", SEEN_SCHEMA)
         self._ledger_lock = threading.Lock()
         self.reports = f"{self.location}/{self.database}.meta/run_report"
@@ -408,35 +534,44 @@ class Publisher:
                 target_srid=self.target_srid,
                 if_exists=if_exists,
                 order_id=order_id,
+                layer_name=layer,
             ).first()
             row = (order_id, one["source_file"], one["source_hash"], table, layer, stats["feature_count"], stats["bbox"])
             new = self.spark.createDataFrame([row], T.StructType(ledger_ops.LEDGER_SCHEMA.fields[:-1]))
             with self._ledger_lock:
-                self.ledger.upsert(new.withColumn("loaded_at", F.current_timestamp()), ledger_ops.KEY)
+                self.ledger.upsert(new.withColumn("loaded_at", F.current_timestamp()))
         except Exception as error:  # one layer does not stop the rest
             return (order_id, table, layer, 0, time.time() - started, "failed", str(error))
         return (order_id, table, layer, stats["feature_count"], time.time() - started, "ok", None)
 
     def cleanup_stale(self) -> list[str]:
-        """Drop the layers of vanished orders, forget them, return their names."""
+        """Drop the layers of vanished orders, forget them, return their names.
+
+        A table that other orders' layers share loses the rows of the vanished ones only.
+        """
         ledger = self.ledger.read()
-        stale = ledger_ops.stale(ledger, self.orders())
-        removed = [row["table_name"] for row in stale.select("table_name").toLocalIterator()]
-        if not removed:
-            return []
+        stale = cut_lineage(ledger_ops.stale(ledger, self.orders()))
         kept = ledger.join(self.orders(), "order_id", "left_semi")
-        still_used = {row["table_name"] for row in kept.select("table_name").distinct().toLocalIterator()}
-        for name in removed:
-            if name not in still_used:
+        shared = kept.select("table_name").distinct().withColumn("shared", F.lit(True))
+        gone = stale.join(shared, "table_name", "left").orderBy(*ledger_ops.KEY)
+        removed = []
+        for row in gone.toLocalIterator():
+            name = row["table_name"]
+            removed.append(name)
+            if row["shared"] and self.spark.catalog.tableExists(f"{self.database}.{name}"):
+                drop_load(self.spark, self.database, name, load_key(row["order_id"], row["layer_name"]))
+            elif not row["shared"]:
                 self.spark.sql(f"DROP TABLE IF EXISTS `{self.database}`.`{name}`")
                 files.delete_tree(self.spark, f"{self.location}/{self.database}.db/{name}")
-        self.ledger.replace(kept)
+        if not removed:
+            return []
+        self.ledger.delete(stale.select(*ledger_ops.KEY))
         self.seen.replace(self.seen.read().join(self.orders(), "order_id", "left_semi"))
         return removed
 
     def set_package_name(self, order_id: str, package_name: str) -> None:
         row = self.spark.createDataFrame([(order_id, package_name)], LABEL_SCHEMA)
-        self.labels.upsert(row, ["order_id"])
+        self.labels.upsert(row)
 
 
 def text_stem(path: str | None) -> str:

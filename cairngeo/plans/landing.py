@@ -1,16 +1,18 @@
 """Delivery folders written from the derived views, for the source and sink queries.
 
-The folders are made by Spark tasks in the session's shared folder. Every file
-takes a bounded slice of its order, so no order is written by one task.
+The folders are made by Spark tasks in the session's shared folder, on any file system that Arrow can write to.
+Every file takes a bounded slice of its order, so no order is written by one task; a task that is run
+again writes the same file again.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import sqlite3
+import tempfile
 import uuid
 import zipfile
-from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +38,30 @@ def _part(spark: SparkSession, sf_dir: str, table: str, key: str):
     return F.pmod(F.xxhash64(key, "length"), F.lit(max(1, rows // (ROWS_PER_FILE * ORDERS_LISTED))))
 
 
-def local_path(path: str) -> str:
-    return unquote(urlparse(path).path)
+def put(path: str, content: bytes | str) -> None:
+    """Write a file, bytes or the copy of a local file, and the folders above it."""
+    from pyarrow import fs
+
+    system, where = fs.FileSystem.from_uri(path)
+    system.create_dir(os.path.dirname(where), recursive=True)
+    with system.open_output_stream(where) as out:
+        if isinstance(content, bytes):
+            out.write(content)
+        else:
+            with open(content, "rb") as source:
+                shutil.copyfileobj(source, out, 8 << 20)
+
+
+def put_archive(path: str, layer: str, rows: list[tuple], columns: list[tuple[str, str]], member: str, extra: dict[str, str] | None = None) -> None:
+    """A ZIP file with one GeoPackage of points in it, made in the task's own scratch space."""
+    with tempfile.TemporaryDirectory() as scratch:
+        gpkg, packed = os.path.join(scratch, "part.gpkg"), os.path.join(scratch, "part.zip")
+        write_gpkg(gpkg, layer, rows, columns, "POINT", (None, None, None, None))
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+            out.write(gpkg, member)
+            for name, text in (extra or {}).items():
+                out.writestr(name, text)
+        put(path, packed)
 
 
 def write_gpkg(path: str, layer: str, rows: list[tuple], columns: list[tuple[str, str]], kind: str, extent) -> None:
@@ -61,9 +85,14 @@ def write_gpkg(path: str, layer: str, rows: list[tuple], columns: list[tuple[str
 def land_archives(spark: SparkSession, sf_dir: str, rows_per_archive: int = ROWS_PER_ARCHIVE) -> str:
     """``o0`` to ``o3``, each with archives of its customers' points as ``points_oN_sverige.gpkg``."""
     root = new_folder(spark, "deliveries")
-    folder = local_path(root)
+    put_orders(views.point_layer(spark, sf_dir), root, rows_per_archive)
+    return root
+
+
+def put_orders(points: DataFrame, root: str, rows_per_archive: int = ROWS_PER_ARCHIVE) -> None:
+    """The archives of the points' orders below a root; what was delivered there under the same names is replaced."""
     header = F.expr("concat(unhex('4750'), unhex('00'), unhex('01'), unhex('BE0B0000'))")
-    rows = views.point_layer(spark, sf_dir).select(
+    rows = points.select(
         F.concat(F.lit("o"), F.col("fid") % ORDERS).alias("order_id"),
         F.floor(F.col("fid") / rows_per_archive).cast("bigint").alias("archive"),
         "fid",
@@ -75,30 +104,21 @@ def land_archives(spark: SparkSession, sf_dir: str, rows_per_archive: int = ROWS
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         order, archive = pdf["order_id"].iloc[0], int(pdf["archive"].iloc[0])
-        os.makedirs(os.path.join(folder, order), exist_ok=True)
-        part = os.path.join(folder, f".{uuid.uuid4().hex}")
-        ordered = pdf.sort_values("fid")
         data = [
             (int(r.fid), bytes(r.blob), r.c_name, float(r.c_acctbal), r.c_mktsegment)
-            for r in ordered.itertuples(index=False)
+            for r in pdf.sort_values("fid").itertuples(index=False)
         ]
         columns = [("c_name", "TEXT"), ("c_acctbal", "REAL"), ("C-MktSegment", "TEXT(10)")]
-        write_gpkg(part + ".gpkg", f"points_{order}", data, columns, "POINT", (None, None, None, None))
-        with zipfile.ZipFile(part + ".zip", "w", zipfile.ZIP_DEFLATED) as out:
-            out.write(part + ".gpkg", f"data/points_{order}_sverige.gpkg")
-            out.writestr("readme.txt", "points")
-        os.remove(part + ".gpkg")
-        os.replace(part + ".zip", os.path.join(folder, order, f"points_{archive}.zip"))
+        path = f"{root}/{order}/points_{archive}.zip"
+        put_archive(path, f"points_{order}", data, columns, f"data/points_{order}_sverige.gpkg", {"readme.txt": "points"})
         return pd.DataFrame({"done": [1]})
 
     rows.groupBy("order_id", "archive").applyInPandas(write, "done int").count()
-    return root
 
 
 def land_odd_names(spark: SparkSession, sf_dir: str) -> str:
     """Points whose attributes are named like storage columns, or alike once cleaned; an archive per order and 5,000 customers."""
     root = new_folder(spark, "odd-names")
-    folder = local_path(root)
     header = F.expr("concat(unhex('4750'), unhex('00'), unhex('01'), unhex('BE0B0000'))")
     rows = views.point_layer(spark, sf_dir).select(
         F.concat(F.lit("o"), F.col("fid") % ORDERS).alias("order"),
@@ -113,17 +133,11 @@ def land_odd_names(spark: SparkSession, sf_dir: str) -> str:
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         order, archive = pdf["order"].iloc[0], int(pdf["archive"].iloc[0])
-        os.makedirs(os.path.join(folder, order), exist_ok=True)
-        part = os.path.join(folder, f".{uuid.uuid4().hex}")
         data = [
             (int(r.fid), bytes(r.blob), int(r.fid) * 7, int(r.fid), -float(r.xmin), r.c_name, r.c_name, r.c_mktsegment)
             for r in pdf.sort_values("fid").itertuples(index=False)
         ]
-        write_gpkg(part + ".gpkg", "odd", data, columns, "POINT", (None, None, None, None))
-        with zipfile.ZipFile(part + ".zip", "w", zipfile.ZIP_DEFLATED) as out:
-            out.write(part + ".gpkg", "odd.gpkg")
-        os.remove(part + ".gpkg")
-        os.replace(part + ".zip", os.path.join(folder, order, f"odd_{archive}.zip"))
+        put_archive(f"{root}/{order}/odd_{archive}.zip", "odd", data, columns, "odd.gpkg")
         return pd.DataFrame({"done": [1]})
 
     rows.groupBy("order", "archive").applyInPandas(write, "done int").count()
@@ -144,16 +158,11 @@ def land_names(spark: SparkSession, sf_dir: str) -> str:
 
 def land_documents(items: DataFrame, root: str, prefix: str, suffix: str) -> None:
     """One JSON document per (order_id, part, file_name) from its ``item`` texts."""
-    folder = local_path(root)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
-        where = os.path.join(folder, first["order_id"], str(first["part"]))
-        os.makedirs(where, exist_ok=True)
-        part = os.path.join(where, f".{uuid.uuid4().hex}")
-        with open(part, "w", encoding="utf-8") as out:
-            out.write(prefix + ",".join(pdf["item"]) + suffix)
-        os.replace(part, os.path.join(where, first["file_name"]))
+        content = prefix + ",".join(pdf["item"]) + suffix
+        put(f"{root}/{first['order_id']}/{first['part']}/{first['file_name']}", content.encode())
         return pd.DataFrame({"done": [1]})
 
     items.groupBy("order_id", "part", "file_name").applyInPandas(write, "done int").count()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crs
@@ -9,7 +12,7 @@ from ..functions import geometry as G
 from ..functions.sql import register_functions
 from ..operators import deliveries, export, feeds, layers, ledger, publish
 from ..operators import tiles as tile_ops
-from ..operators.versioned import VersionedTable
+from ..operators.entrylog import EntryLog
 from ..sources import archives
 from ..sources import deliveries as readers
 from ..sources import feeds as feed_readers
@@ -243,6 +246,27 @@ def k2(spark, d):
     return layers.bbox_filter(_published(spark, d, crs.SWEREF), BOX).selectExpr("c_name", "xmin AS x", "ymin AS y")
 
 
+CELL_BOXES = (BOX, (310000.0, 6210000.0, 310500.0, 6290000.0), (-1e9, -1e9, 1e9, 1e9), (555000.0, 6900000.0, 556000.0, 6901000.0))
+
+
+@query(
+    "K2_cell_ranges",
+    sql(
+        "SELECT k, s_name, xmin, ymin, xmax, ymax FROM box_layer, (VALUES "
+        + ", ".join(f"({k}, {b[0]}, {b[1]}, {b[2]}, {b[3]})" for k, b in enumerate(CELL_BOXES))
+        + ") v(k, x0, y0, x1, y1) WHERE xmin <= x1 AND xmax >= x0 AND ymin <= y1 AND ymax >= y0",
+        "box_layer",
+    ),
+)
+def k2b(spark, d):
+    """Boxes of several sizes by the ranges of layout cells that Parquet skips row groups with."""
+    name = _database(spark)
+    source = views.box_layer(spark, d).select(F.col("fid").alias("source_fid"), "geom", "s_name")
+    publish.publish_layer(source, "boxes", name, crs.SWEREF, ["source_fid"], target_srid=crs.SWEREF)
+    found = [layers.bbox_filter(spark.table(f"{name}.boxes"), b).select(F.lit(k).alias("k"), "s_name", *layers.ENVELOPE) for k, b in enumerate(CELL_BOXES)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 @query("U1_append_layer", sql("SELECT c_name, CASE WHEN c_mktsegment < 'F' THEN row_number() OVER (PARTITION BY c_mktsegment < 'F' ORDER BY fid) ELSE (SELECT count(*) FROM point_layer WHERE c_mktsegment < 'F') + row_number() OVER (PARTITION BY c_mktsegment < 'F' ORDER BY fid) END AS fid FROM point_layer", "point_layer"))
 def u1(spark, d):
     name = _database(spark)
@@ -259,7 +283,7 @@ def w2(spark, d):
     return publish.assign_fids(rows, ["c_mktsegment", "source_fid"]).select("fid", "c_name")
 
 
-def _ledger_store(spark, d) -> VersionedTable:
+def _ledger_store(spark, d) -> EntryLog:
     store = publish.ledger_table(spark, landing.new_folder(spark, "ledger"))
     store.replace(views.ledger(spark, d).withColumn("bbox", F.lit(None).cast("string")))
     return store
@@ -268,8 +292,8 @@ def _ledger_store(spark, d) -> VersionedTable:
 @query("K4_ledger_creation", sql(f"SELECT order_id, layer_name, source_hash, feature_count, {STAMP.format('loaded_at')} AS loaded_at FROM ledger", "ledger"))
 def k4(spark, d):
     store = publish.ledger_table(spark, landing.new_folder(spark, "ledger"))
-    store.upsert(store.read(), ledger.KEY)  # making it again changes nothing
-    store.upsert(views.ledger(spark, d).withColumn("bbox", F.lit(None).cast("string")), ledger.KEY)
+    store.upsert(store.read())  # making it again changes nothing
+    store.upsert(views.ledger(spark, d).withColumn("bbox", F.lit(None).cast("string")))
     return store.read().select("order_id", "layer_name", "source_hash", "feature_count", stamp("loaded_at"))
 
 
@@ -293,7 +317,36 @@ def k3(spark, d):
             "loaded_at": F.lit("2024-06-01").cast("timestamp"),
         }
     )
-    store.upsert(filled, ledger.KEY)
+    store.upsert(filled)
+    return store.read().select("order_id", "layer_name", "source_hash", "feature_count")
+
+
+LOG_TURNS = 12
+
+
+@query(
+    "K3_ledger_log",
+    sql(
+        f"""SELECT coalesce(c.order_id, l.order_id) AS order_id, coalesce(c.layer_name, l.layer_name) AS layer_name,
+                  coalesce(c.source_hash, l.source_hash) AS source_hash, coalesce(c.feature_count, l.feature_count) AS feature_count
+           FROM ledger l FULL JOIN candidates c ON c.order_id = l.order_id AND c.layer_name = l.layer_name
+           WHERE CAST(substr(coalesce(c.order_id, l.order_id), 2) AS INT) % {LOG_TURNS} <> 5""",
+        "candidates",
+    ),
+)
+def k3b(spark, d):
+    """The ledger as a log: many small changes and a deletion, folded on the way, then read as a table."""
+    store = EntryLog(spark, landing.new_folder(spark, "ledger"), ledger.LEDGER_SCHEMA, ledger.KEY, fanout=3)
+    turn = F.substring("order_id", 2, 9).cast("int") % LOG_TURNS
+    old = views.ledger(spark, d).withColumn("bbox", F.lit(None).cast("string"))
+    new = views.candidates(spark, d).select("order_id", "layer_name", "source_hash", "feature_count")
+    empty = {"source_file": "string", "table_name": "string", "bbox": "string", "loaded_at": "timestamp"}
+    new = new.withColumns({name: F.lit(None).cast(kind) for name, kind in empty.items()})
+    store.replace(old.filter(turn < LOG_TURNS // 2))
+    store.upsert(old.filter(turn >= LOG_TURNS // 2))
+    for k in range(LOG_TURNS):
+        store.upsert(new.filter(turn == k))
+    store.delete(store.read().filter(turn == 5).select(*ledger.KEY))
     return store.read().select("order_id", "layer_name", "source_hash", "feature_count")
 
 
@@ -312,6 +365,36 @@ def k5(spark, d):
     return report.select("order_id", "table_name", "layer_name", "feature_count", "status")
 
 
+def _changed_order(spark, d):
+    """What ``o2`` delivers the second time: every other of its customers, with another balance."""
+    again = views.point_layer(spark, d).filter(F.col("fid") % (2 * landing.ORDERS) == 2)
+    return again.withColumn("c_acctbal", F.col("c_acctbal") + 1)
+
+
+@query(
+    "K5_append_again",
+    """SELECT 'o' || (c_custkey % 4) AS _source_order, count(*) AS features,
+              CAST(sum(CAST(round(100 * (c_acctbal + CASE WHEN c_custkey % 4 = 2 THEN 1 ELSE 0 END)) AS BIGINT)) AS BIGINT) AS cents,
+              true AS fids_unique, true AS told
+       FROM customer WHERE c_custkey % 4 <> 2 OR c_custkey % 8 = 2 GROUP BY 1""",
+)
+def k5d(spark, d):
+    """Orders in one table, one of them delivered again with other rows: it replaces its own and nothing else."""
+    publisher = _publisher(spark, d)
+    publisher.publish_orders(table_name="all_points", if_exists="append")
+    landing.put_orders(_changed_order(spark, d), publisher.root)
+    publisher.publish_orders(table_name="all_points", if_exists="append")
+    rows = feed_readers.layer(spark, "all_points", publisher.database)
+    told = layers.published_profile(spark, publisher.database).select("row_count")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fid").alias("fids"))
+    unique = total.join(told, F.col("n") == F.col("row_count"), "left")
+    per_order = rows.groupBy("_source_order").agg(
+        F.count(F.lit(1)).alias("features"), F.sum(F.round(100 * F.col("c_acctbal")).cast("bigint")).alias("cents")
+    )
+    marks = unique.select((F.col("n") == F.col("fids")).alias("fids_unique"), F.col("row_count").isNotNull().alias("told"))
+    return per_order.join(F.broadcast(marks), F.lit(True))  # one row
+
+
 @query(
     "K6_publish_incremental",
     f"SELECT order_id, table_name, CASE WHEN order_id = 'o2' THEN 'ok' ELSE 'skipped' END AS status FROM ({PER_ORDER})",
@@ -319,11 +402,7 @@ def k5(spark, d):
 def k6(spark, d):
     publisher = _publisher(spark, d)
     publisher.publish_orders()
-    # one order's file is taken as changed since
-    known = publisher.ledger.read()
-    publisher.ledger.replace(
-        known.withColumn("source_hash", F.when(F.col("order_id") == "o2", "old").otherwise(F.col("source_hash")))
-    )
+    landing.put_orders(_changed_order(spark, d), publisher.root)
     return publisher.publish_incremental().select("order_id", "table_name", "status")
 
 
@@ -389,12 +468,12 @@ def k10(spark, d):
     sql("SELECT order_id, CASE WHEN k % 4 = 0 THEN 'renamed ' || k ELSE 'package ' || k END AS package_name FROM (SELECT order_id, CAST(substr(order_id, 2) AS INT) AS k FROM every_folder)", "every_folder"),
 )
 def k11(spark, d):
-    store = VersionedTable(spark, landing.new_folder(spark, "labels"), publish.LABEL_SCHEMA)
+    store = EntryLog(spark, landing.new_folder(spark, "labels"), publish.LABEL_SCHEMA, ["order_id"])
     number = F.expr("substring(order_id, 2)")
     named = views.folders(spark, d, every=True).select("order_id", F.concat(F.lit("package "), number).alias("package_name"))
-    store.upsert(named, ["order_id"])
+    store.upsert(named)
     again = named.filter(number.cast("int") % 4 == 0).withColumn("package_name", F.concat(F.lit("renamed "), number))
-    store.upsert(again, ["order_id"])
+    store.upsert(again)
     return store.read()
 
 
@@ -432,8 +511,7 @@ def sql_functions(spark, d):
 def _with_broken(spark, d) -> publish.Publisher:
     """The landed archives of customers, and beside those of ``o1`` one that is cut short."""
     publisher = _publisher(spark, d)
-    with open(landing.local_path(publisher.root) + "/o1/cut.zip", "wb") as out:
-        out.write(b"PK\x03\x04 cut short")
+    landing.put(f"{publisher.root}/o1/cut.zip", b"PK\x03\x04 cut short")
     return publisher
 
 

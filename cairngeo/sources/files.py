@@ -21,6 +21,11 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(where))
 
 
+def name_of(path: str) -> str:
+    """Last name of a path."""
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, where = _file_system(spark, path)
     return fs.exists(where)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_ZOOM = 14
@@ -50,26 +50,32 @@ LEVEL_FACTOR = 32  # a cell's number is its corner's interleaved number and its
 MAX_RANGES = 64
 
 
-def feature_cell(xmin: Column, ymin: Column, xmax: Column, ymax: Column, srid: int) -> Column:
-    """The quadtree cell of an envelope: the smallest whose double square, to the right and upwards, holds it.
+def _square_sql(value: str, srid: int, axis: str) -> str:
+    offset, width = _domain(srid, axis)
+    top = (1 << CELL_BITS) - 1
+    return f"cast(least(greatest(floor(({value} + {offset!r}D) / {width!r}D * {top + 1}), 0), {top}) AS bigint)"
+
+
+def with_feature_cell(df: DataFrame, srid: int, name: str = "cell") -> DataFrame:
+    """``df`` with the quadtree cell of each envelope: the smallest whose double square, to the right and upwards, holds it.
 
     The cell holds the lower left corner, level 16 are the grid squares. Cells are numbered so that a cell comes before
     the cells within it and these lie together: what may meet a box is a few ranges of numbers, however
     large single features of the layer are (:func:`box_ranges`), and rows in this order keep neighbours in
-    the same Parquet row groups.
+    the same Parquet row groups. A row without an envelope has no cell.
     """
-    shift, call = F.lit(0), F.call_function
-    x0, y0, x1, y1 = _step(xmin, srid, "x"), _step(ymin, srid, "y"), _step(xmax, srid, "x"), _step(ymax, srid, "y")
-    wide = F.greatest(x1 - x0, y1 - y0)
-    least = F.when(wide > 1, F.length(F.bin(wide - 1)) - 1).otherwise(shift)
-
-    def spans(low: Column, high: Column) -> Column:
-        return call("shiftright", high, least) - call("shiftright", low, least)
-
-    shift = F.when(F.greatest(spans(x0, x1), spans(y0, y1)) > 1, least + 1).otherwise(least)
-    corner = _spread(x0).bitwiseOR(F.shiftleft(_spread(y0), 1))
-    whole = call("shiftleft", call("shiftright", corner, 2 * shift), 2 * shift)
-    return whole * LEVEL_FACTOR + (CELL_BITS - shift)
+    kept = [f"`{c}`" for c in df.columns if c != name]
+    squares = [f"{_square_sql(axis + end, srid, axis)} AS _{axis}_{end}" for axis in "xy" for end in ("min", "max")]
+    there = " AND ".join(f"{axis}{end} IS NOT NULL" for axis in "xy" for end in ("min", "max"))
+    wide = "greatest(_x_max - _x_min, _y_max - _y_min)"
+    spans = ", ".join(f"shiftright(_{a}_max, _least) - shiftright(_{a}_min, _least)" for a in "xy")
+    return (
+        df.selectExpr(*kept, *squares)
+        .selectExpr("*", f"CASE WHEN {wide} > 1 THEN length(bin({wide} - 1)) - 1 ELSE 0 END AS _least")
+        .selectExpr("*", f"CASE WHEN greatest({spans}) > 1 THEN _least + 1 ELSE _least END AS _shift")
+        .select("*", _spread(F.col("_x_min")).bitwiseOR(F.shiftleft(_spread(F.col("_y_min")), 1)).alias("_corner"))
+        .selectExpr(*kept, f"CASE WHEN {there} THEN shiftleft(shiftright(_corner, 2 * _shift), 2 * _shift) * {LEVEL_FACTOR} + ({CELL_BITS} - _shift) END AS `{name}`")
+    )
 
 
 def _interleaved(x: int, y: int) -> int:

@@ -82,7 +82,7 @@ def ledger_table(spark: SparkSession, location: str) -> EntryLog:
 
 
 def prepared(df: DataFrame, source_srid: int, target_srid: int) -> DataFrame:
-    """Geometry in the target system, its envelope and the layout cell.
+    """Geometry in the target system and its envelope.
 
     The binary form is decoded once here; queries read the nested column.
     """
@@ -91,9 +91,7 @@ def prepared(df: DataFrame, source_srid: int, target_srid: int) -> DataFrame:
     if source_srid != target_srid or "geom_wkb" not in df.columns:
         df = df.withColumn("geom", crs.transform_geometry("geom", source_srid, target_srid))
         df = df.withColumn("geom_wkb", G.write_wkb("geom"))
-    enveloped = layers.with_envelope(df)
-    cell = cells.feature_cell(*[F.col(name) for name in layers.ENVELOPE], target_srid)
-    return enveloped.withColumns({"srid": F.lit(target_srid), "cell": layers.cell_column(cell, target_srid)})
+    return layers.with_envelope(df).withColumn("srid", F.lit(target_srid))
 
 
 def load_key(order_id: str | None, layer_name: str | None) -> str:
@@ -143,8 +141,9 @@ def publish_layer(
     )
     shape = ["geom", "geom_wkb", "srid", *layers.ENVELOPE, "cell", *layers.BOOKKEEPING]
     plain = [c for c in rows.columns if c not in ("fid", *shape)]
-    rows.select("fid", *plain, *shape).write.parquet(staged_at)
-    staged = spark.read.parquet(staged_at)
+    rows.select("fid", *plain, *[c for c in shape if c != "cell"]).write.parquet(staged_at)
+    staged = cells.with_feature_cell(spark.read.parquet(staged_at), target_srid)
+    staged = staged.select("fid", *plain, *[layers.cell_column(F.col(c), target_srid) if c == "cell" else c for c in shape])
     found = _statistics(staged)
     load, folder = load_key(order_id, layer_name), f"{home}/load-{uuid.uuid4().hex}"
     if known and if_exists == "append":
@@ -155,9 +154,9 @@ def publish_layer(
         last = int(facts[layers.FACT_LAST])
         kinds = {k: layers.kind_counts(facts).get(k, 0) - old.kinds.get(k, 0) + found.kinds.get(k, 0) for k in {*layers.kind_counts(facts), *found.kinds}}
         count = int(facts[layers.FACT_COUNT]) - old.count + found.count
-        _set_facts(spark, table, {layers.FACT_LAST: last + found.last_fid, layers.FACT_UNSURE: "true"})
         wanted = [f for f in spark.table(table).schema.fields if f.name != "_load"]
         typed = [staged[f.name].cast(f.dataType).alias(f.name, metadata=f.metadata) for f in wanted]
+        _set_facts(spark, table, {layers.FACT_LAST: last + found.last_fid, layers.FACT_UNSURE: "true"})
         _write_laid_out(staged.select(*typed).withColumn("fid", F.col("fid") + last), found.count, folder)
         _point_at(spark, table, load, folder)
         _set_facts(spark, table, _facts(count, kinds, target_srid, last + found.last_fid))

@@ -4,11 +4,13 @@ For each language a raw-content zstandard dictionary is filled with texts of tha
 in lower case, are cut into blocks of at most ``BLOCK`` bytes, so that the dictionary stays within the window and counts for
 the end of a text as for its head. Every block is encoded by itself with every dictionary, and the language with the
 smallest sum over all blocks is chosen. The margin is the share by which the second smallest sum is larger; where it is
-narrow, the choice is marked as rejected. Texts that are null or have no letter are ``und``.
+narrow, the choice is marked as rejected. Texts that are null or have no letter (Unicode category L) are ``und``; marks
+stay with their letters, numerals of any kind are no letters.
 
-Dictionaries are filled from a bounded sample (about ``sample`` texts per language, dealt by a hash of the id, up to
-``dictionary_bytes``); there is one per language that occurs in the rows that may be learned from. Scoring is one map
-without a shuffle.
+Dictionaries are filled from a bounded sample: about ``sample`` texts per language, dealt by a hash of the id, give an
+excerpt of at most ``excerpt`` characters each, from a place that a hash chooses over the whole text, until the
+dictionary has ``size`` bytes. There is one per language that occurs in the rows that may be learned from. Scoring is one
+map without a shuffle.
 
 Defined results: ties go to the language that sorts first; rows without an id are scored, never learned from; a
 single known language gets margin 1; without any known language every text is ``und``; an empty table gives an empty
@@ -17,11 +19,11 @@ result. All columns of the input pass through.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +38,14 @@ BLOCK = 8 << 10  # bytes that are encoded at once: a block learns little from it
 NARROW = 0.02
 UNKNOWN = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def letters(text: str) -> bytes:
     """The words of a text in lower case with one space around each; nothing for a text without letters."""
     found = _OTHER.sub(" ", text.lower()).strip()
-    return f" {found} ".encode() if found else b""
+    return f" {found} ".encode() if _LETTER.search(found) else b""
 
 
 def blocks(raw: bytes) -> list[bytes]:
@@ -51,7 +54,7 @@ def blocks(raw: bytes) -> list[bytes]:
     return [raw[i : i + size] for i in range(0, len(raw), size)]
 
 
-def dictionaries(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+def dictionaries(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY_BYTES, excerpt: int = EXCERPT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary content per language, from rows that may be learned from."""
     known = docs.where(trainable(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -61,7 +64,9 @@ def dictionaries(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY_B
     span = 1 << 30
     share = F.create_map(*[F.lit(x) for lang, n in sorted(count.items()) for x in (lang, min(span, 2 * span * sample // n + 1))])
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(span)) < share[F.col("lang")])
-    texts = drawn.select("lang", "id", F.substring("text", 1, EXCERPT).alias("text")).orderBy(F.xxhash64("id"), "id", "text").limit(2 * sample * len(count) + 1000).collect()
+    places = F.greatest(F.length("text") - excerpt, F.lit(0)) + 1
+    begin = F.pmod(F.xxhash64(F.lit("excerpt"), "id"), places).cast("int") + 1
+    texts = drawn.select("lang", "id", F.substring(F.col("text"), begin, F.lit(excerpt)).alias("text")).orderBy(F.xxhash64("id"), "id", "text").limit(2 * sample * len(count) + 1000).collect()
     out: dict[str, bytes] = {}
     for lang in sorted(count):
         seen = dict.fromkeys(r["text"] for r in texts if r["lang"] == lang)

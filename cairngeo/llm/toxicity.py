@@ -1,7 +1,8 @@
 """Severity of toxic language by cumulative-link ordinal regression on sparse text features.
 
 The features of a document are the distinct words of its whole text and their first four and five bytes, hashed
-to buckets. Buckets that tell toxic from other labelled documents are kept (``width`` of them at most). Labels say
+to buckets. Buckets that tell toxic from other labelled documents and occur in ``least`` toxic ones are kept (``width`` of
+them at most). Labels say
 toxic or not; the toxic documents that are learned from are graded 1 to ``grades`` by how many kept features they
 have (equal shares), all others are grade 0. The model is P(grade <= k) = sigmoid(t_k - w.x) with thresholds t_0 <
 t_1 < ... and one weight vector for all of them. A document's severity is its expected grade, the sum of
@@ -32,6 +33,7 @@ from .words import lowered, slices, words
 SAMPLE = 20_000
 WIDTH = 2048
 GRADES = 3
+LEAST = 5  # toxic documents of the sample that a feature must be in, however large the sample
 MIN_LIFT = 2.0  # log of how much likelier a feature is in toxic documents
 BUCKETS = 1 << 20
 STEMS = (4, 5)  # bytes
@@ -95,7 +97,7 @@ def fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, width: int, grad
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, width: int = WIDTH, grades: int = GRADES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, width: int = WIDTH, least: int = LEAST, grades: int = GRADES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
 ) -> dict[str, np.ndarray] | None:
     marked = (
         labels.where(trainable(F.col(id_col)) & F.col(label_col).isNotNull())
@@ -127,7 +129,7 @@ def train(
         taken.select("text", "y").mapInArrow(counts, "bucket long, clean long, toxic long")
         .groupBy("bucket")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .where(F.col("toxic") >= max(5, bad // 200))
+        .where(F.col("toxic") >= least)
         .select("bucket", lift.alias("lift"), (F.col("toxic") * lift).alias("weight"))
         .where(F.col("lift") > MIN_LIFT)
         .orderBy(F.desc("weight"), "bucket")

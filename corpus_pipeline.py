@@ -31,10 +31,14 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return cleaned if length is None else cleaned.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(length))
 
 
+#: Pairs of this similarity are near-duplicates; one shares no band with a chance of 7e-6 where no other way finds it.
+NEAR_PERCENT, NEAR_BANDS = 80, 30
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, from a similarity of 0.8 on."""
     configure(spark)
-    return near_dedup.deduplicated(docs)
+    return near_dedup.deduplicated(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

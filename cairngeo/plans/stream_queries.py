@@ -28,7 +28,8 @@ def _finish(started) -> None:
     "T1_live_trains",
     sql(
         f"""SELECT train, announcement_id, lon, lat, station_name, origin, destination, delay, operator, {STAMP.format('time')} AS time, {CLASSES}
-            FROM train_rows QUALIFY row_number() OVER (PARTITION BY train ORDER BY time DESC, announcement_id) = 1""",
+            FROM train_rows WHERE time > (SELECT max(time) FROM train_rows) - INTERVAL 7 DAY
+            QUALIFY row_number() OVER (PARTITION BY train ORDER BY time DESC, announcement_id) = 1""",
         "train_rows",
     ),
 )
@@ -36,7 +37,7 @@ def t1(spark, d):
     arriving = _stream(spark, d, "events").selectExpr(*views.ANNOUNCEMENT_COLUMNS)
     stations = feeds.advertised_stations(views.stations(spark, d))
     started, table = live.live_trains(
-        arriving, stations, landing.new_folder(spark, "trains"), landing.new_folder(spark, "trains-state"), available_now=True, expiry=None
+        arriving, stations, landing.new_folder(spark, "trains"), landing.new_folder(spark, "trains-state"), available_now=True
     )
     _finish(started)
     return table.read().withColumn("time", stamp("time"))
@@ -54,25 +55,48 @@ def t1b(spark, d):
     arriving = _stream(spark, d, "events").selectExpr(*views.ANNOUNCEMENT_COLUMNS)
     stations = feeds.advertised_stations(views.stations(spark, d))
     started, table = live.live_trains(
-        arriving, stations, landing.new_folder(spark, "trains"), landing.new_folder(spark, "trains-state"), available_now=True, expiry=None
+        arriving, stations, landing.new_folder(spark, "trains"), landing.new_folder(spark, "trains-state"), available_now=True
     )
     _finish(started)
     now = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
     return live.current_trains(table, now).select("train", "announcement_id")
 
 
+@query(
+    "T1_train_horizons",
+    sql(
+        f"""SELECT {STAMP.format('window_start')} AS window_start, train, announcement_id, station_name, delay
+            FROM (
+              SELECT *, time_bucket(INTERVAL 5 MINUTE, time) - to_minutes(CAST(5 * k AS INT)) AS window_start
+              FROM train_rows, range(4) AS r(k)) x
+            WHERE window_start + INTERVAL 20 MINUTE <= (SELECT max(time) - INTERVAL 15 MINUTE FROM train_rows)
+            QUALIFY row_number() OVER (PARTITION BY window_start, train ORDER BY time DESC, announcement_id) = 1""",
+        "train_rows",
+    ),
+)
+def t1c(spark, d):
+    """Sliding horizons that the watermark has passed, each written once."""
+    arriving = _stream(spark, d, "events").selectExpr(*views.ANNOUNCEMENT_COLUMNS)
+    path = landing.new_folder(spark, "horizons")
+    stations = feeds.advertised_stations(views.stations(spark, d))
+    _finish(live.train_horizons(arriving, stations, path, landing.new_folder(spark, "horizons-state"), available_now=True))
+    rows = spark.read.parquet(path)
+    return rows.select(stamp("window_start"), "train", "announcement_id", "station_name", "delay")
+
+
 @query(
     "T2_live_weather",
     sql(
         f"""SELECT id, event_id, name, lon, lat, round(air_temp, 4) AS air_temp, wind_dir, precipitation, {STAMP.format('sample')} AS sample
-            FROM weather QUALIFY row_number() OVER (PARTITION BY id ORDER BY weather.sample DESC, event_id) = 1""",
+            FROM weather WHERE weather.sample > (SELECT max(w.sample) FROM weather w) - INTERVAL 7 DAY
+            QUALIFY row_number() OVER (PARTITION BY id ORDER BY weather.sample DESC, event_id) = 1""",
         "weather",
     ),
 )
 def t2(spark, d):
     arriving = _stream(spark, d, "events").selectExpr(*views.WEATHER_COLUMNS)
     started, table = live.live_weather(
-        arriving, landing.new_folder(spark, "weather"), landing.new_folder(spark, "weather-state"), tie="event_id", available_now=True, expiry=None
+        arriving, landing.new_folder(spark, "weather"), landing.new_folder(spark, "weather-state"), tie="event_id", available_now=True
     )
     _finish(started)
     shown = table.read().select("id", "event_id", "name", "lon", "lat", "air_temp", "wind_dir", "precipitation", "sample")
@@ -96,4 +120,4 @@ def t4(spark, d):
     )
     path = landing.new_folder(spark, "updates")
     _finish(live.watch_updates(arriving, path, landing.new_folder(spark, "updates-state"), available_now=True))
-    return live.sent_updates(spark, path).select("order_id", "title", stamp("updated"))
+    return live.sent_updates(spark, path, arriving.schema).select("order_id", "title", stamp("updated"))

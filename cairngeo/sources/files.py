@@ -51,6 +51,26 @@ def touch(spark: SparkSession, path: str) -> None:
     fs.create(where, True).close()
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file."""
+    fs, where = _file_system(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """All of a small file."""
+    fs, where = _file_system(spark, path)
+    opened = fs.open(where)
+    try:
+        return bytes(opened.readAllBytes())
+    finally:
+        opened.close()
+
+
 def delete_tree(spark: SparkSession, path: str) -> None:
     fs, where = _file_system(spark, path)
     fs.delete(where, True)

@@ -1,16 +1,13 @@
 """Feeds and deliveries kept current with Structured Streaming.
 
-Each stream reduces its rows to the newest per key within five-minute windows
-behind a watermark, so its state is bounded by the keys seen in that time, and
-folds every batch into a current table. Current tables lie in buckets of their
-key: a batch reads and writes the buckets its keys fall into, and drops keys
-there that were not seen for ``EXPIRY``. Folding is idempotent: a batch that is
-run again changes nothing.
+Each stream reduces its rows to the newest per key within windows behind a watermark, so its state is bounded by the keys
+seen in that time. A batch enters its own rows into the log of a current table, nothing else is rewritten; which row of a
+key is newest follows from its time and not from the batch, so a batch that is run again, or late, changes
+nothing, and no lookup and no state per key are needed. Keys not seen for ``EXPIRY`` leave the table.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,72 +16,37 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import feeds
+from ..operators.entrylog import MARKS, LatestLog, SentLog
 from ..operators.publish import Publisher
-from ..operators.versioned import VersionedTable
 from ..sources import files
 from ..sources.deliveries import order_of
 
 WATERMARK, WINDOW = "15 minutes", "5 minutes"
+HORIZON, HORIZON_STEP = "20 minutes", "5 minutes"
 FILES_PER_TRIGGER = 1000  # paces a stream, the rest follows in the next batch
-BUCKETS = 16
+PARTS = 16
 EXPIRY = "7 days"
 
 
-def newest_in_window(rows: DataFrame, key: str, time: str, tie: str) -> DataFrame:
-    """Last row per key and window, in update mode."""
+def newest_in_window(
+    rows: DataFrame, key: str, time: str, tie: str, width: str = WINDOW, step: str | None = None, keep_window: bool = False
+) -> DataFrame:
+    """Last row per key and window; windows follow one another, or begin every ``step``."""
     payload = [c for c in rows.columns if c != key]
     newest = F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), (-F.col(tie)).alias("first"))
     timed = rows.withColumn("_event", F.col(time).cast("timestamp")).withWatermark("_event", WATERMARK)
-    return (
-        timed.groupBy(F.window("_event", WINDOW), key)
-        .agg(F.max_by(F.struct(*payload), newest).alias("row"))
-        .select(key, "row.*")
-    )
-
-
-class BucketedTable:
-    """A current table in ``buckets`` versioned parts by a hash of the key."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
-
-    def part(self, number: int, spark: SparkSession | None = None) -> VersionedTable:
-        return VersionedTable(spark or self.spark, f"{self.path}/b{number:05d}", self.schema)
+    found = timed.groupBy(F.window("_event", width, step), key).agg(F.max_by(F.struct(*payload), newest).alias("row"))
+    shown = [F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end")] if keep_window else []
+    return found.select(*shown, key, "row.*")
 
-    def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def read(self) -> DataFrame:
-        """The newest version of every bucket."""
-        found = [f for n in range(self.buckets) if (f := self.part(n).newest())]
-        if not found:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*found)
-
-
-def fold(table: BucketedTable, time: str, tie: str, expiry: str | None = EXPIRY) -> Callable[[DataFrame, int], None]:
-    """Batch function that keeps the newest row per key in the buckets that the batch touches.
-
-    A key goes once its row is older than ``expiry`` before the newest row of its bucket.
-    """
+def enter(table: LatestLog) -> Callable[[DataFrame, int], None]:
+    """Batch function that enters the newest row per key of the batch."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        names, spark = table.schema.fieldNames(), batch.sparkSession
-        rows = batch.select(*names).withColumn("_bucket", table.bucket())
-        touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())  # BUCKETS at most
-        if not touched:
-            return
-        parts = [f for n in touched if (f := table.part(n, spark).newest())]
-        current = spark.read.schema(table.schema).parquet(*parts) if parts else spark.createDataFrame([], table.schema)
-        merged = feeds.latest(current.withColumn("_bucket", table.bucket()).unionByName(rows), table.key, time, tie)
-        if expiry is not None:
-            newest = merged.groupBy("_bucket").agg(F.max(time).alias("_newest"))
-            merged = merged.join(F.broadcast(newest), "_bucket").filter(F.col(time) > F.col("_newest") - F.expr(f"INTERVAL {expiry}"))
-        made = f"{table.path}/_batches/{uuid.uuid4().hex}"
-        merged.select("_bucket", *names).repartition("_bucket").write.partitionBy("_bucket").parquet(made)
-        for number in touched:  # each bucket is a rename of what the batch wrote for it
-            table.part(number, spark).adopt(f"{made}/_bucket={number}")
-        files.delete_tree(spark, made)
+        rows = feeds.latest(batch.select(*table.schema.fieldNames()), table.keys[0], table.time_col, table.tie)
+        table.spark = batch.sparkSession
+        table.upsert(rows)
 
     return run
 
@@ -104,15 +66,29 @@ def live_trains(
     checkpoint: str,
     available_now: bool = False,
     expiry: str | None = EXPIRY,
-) -> tuple[StreamingQuery, BucketedTable]:
+) -> tuple[StreamingQuery, LatestLog]:
     """Newest train row per train; ``stations`` is the static, advertised dimension."""
     rows = feeds.train_rows(announcements, stations)
     newest = newest_in_window(rows, "train", "time", "announcement_id")
-    table = BucketedTable(announcements.sparkSession, path, newest.schema, "train")
-    return _start(newest, fold(table, "time", "announcement_id", expiry), checkpoint, available_now), table
+    table = LatestLog(announcements.sparkSession, path, newest.schema, "train", "time", "announcement_id", expiry)
+    return _start(newest, enter(table), checkpoint, available_now), table
+
 
+def train_horizons(
+    announcements: DataFrame, stations: DataFrame, path: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Newest row per train of each horizon of 20 minutes, one beginning every 5, appended as Parquet.
+
+    A horizon is written once, when the watermark has passed its end; its state is dropped with it.
+    """
+    rows = feeds.train_rows(announcements, stations)
+    newest = newest_in_window(rows, "train", "time", "announcement_id", HORIZON, HORIZON_STEP, keep_window=True)
+    writer = newest.writeStream.outputMode("append").option("checkpointLocation", checkpoint).format("parquet").option("path", path)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
 
-def current_trains(table: BucketedTable, now: Column) -> DataFrame:
+
+def current_trains(table: LatestLog, now: Column) -> DataFrame:
     """Trains of the current table whose last announcement lies in the horizon."""
     return table.read().filter(feeds.in_horizon(F.col("time"), now))
 
@@ -124,11 +100,11 @@ def live_weather(
     tie: str = "sequence",
     available_now: bool = False,
     expiry: str | None = EXPIRY,
-) -> tuple[StreamingQuery, BucketedTable]:
+) -> tuple[StreamingQuery, LatestLog]:
     """Newest observation per weather point. ``tie`` is a number column that orders equal times."""
     newest = newest_in_window(feeds.weather_rows(points, (tie,)), "id", "sample", tie)
-    table = BucketedTable(points.sparkSession, path, newest.schema, "id")
-    return _start(newest, fold(table, "sample", tie, expiry), checkpoint, available_now), table
+    table = LatestLog(points.sparkSession, path, newest.schema, "id", "sample", tie, expiry)
+    return _start(newest, enter(table), checkpoint, available_now), table
 
 
 def watch_deliveries(publisher: Publisher, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -154,34 +130,37 @@ def watch_deliveries(publisher: Publisher, checkpoint: str, available_now: bool
     return _start(arrived, run, checkpoint, available_now, mode="append")
 
 
+UPDATE_KEY = ["order_id", "title", "updated"]
+
+
+def sent_log(spark: SparkSession, path: str, schema: T.StructType, **options) -> SentLog:
+    return SentLog(spark, path, schema, UPDATE_KEY, "order_id", PARTS, **options)
+
+
 def watch_updates(
     listings: DataFrame, path: str, checkpoint: str, seen_at: str = "seen_at", available_now: bool = False
 ) -> StreamingQuery:
-    """New or changed files of listing snapshots, each once, appended as Parquet.
+    """New or changed files of listing snapshots, each once.
 
-    What was sent is the table itself, in parts by a hash of the order: a batch is anti-joined with the parts it touches, so a file is sent once however long
-    it stays unchanged or how late a snapshot comes. A batch writes its own folder, which a repeated batch
-    replaces; it does not look into that folder.
+    What was sent is a log of batches with a summary each of the orders in it. A batch is anti-joined with the folders that may hold
+    its orders, and there with the parts these fall into, so a file is sent once however long it stays unchanged or
+    how late a snapshot comes. Folders of batches are folded, so their number stays bounded. A batch that is
+    repeated takes the place of its own folder.
     """
-    key = ["order_id", "title", "updated"]
+    log = sent_log(listings.sparkSession, path, listings.schema)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark, mine = batch.sparkSession, f"_batch={batch_id}"
-        batch = batch.withColumn("_part", F.pmod(F.xxhash64("order_id"), F.lit(BUCKETS)).cast("int"))
-        fresh = batch.groupBy(*key).agg(F.min(F.struct(seen_at, *[c for c in batch.columns if c not in (*key, seen_at)])).alias("row"))
-        fresh = fresh.select(*key, "row.*").select(*batch.columns)
-        earlier = [f"{path}/{n}" for n in files.children(spark, path) if n.startswith("_batch=") and n != mine]
-        if earlier:
-            touched = [r[0] for r in batch.select("_part").distinct().collect()]  # BUCKETS at most
-            stored = T.StructType([*batch.schema.fields, T.StructField("_batch", T.LongType())])
-            before = spark.read.schema(stored).option("basePath", path).parquet(*earlier).filter(F.col("_part").isin(touched))
-            same = [fresh[c].eqNullSafe(before[c]) for c in key]
-            fresh = fresh.join(before.select(*key), same, "left_anti")
-        fresh.write.mode("overwrite").partitionBy("_part").parquet(f"{path}/{mine}")
+        others = [c for c in batch.columns if c not in (*UPDATE_KEY, seen_at)]
+        first = batch.groupBy(*UPDATE_KEY).agg(F.min(F.struct(seen_at, *others)).alias("row"))
+        log.spark = batch.sparkSession
+        log.add(first.select(*UPDATE_KEY, "row.*").select(*batch.columns), batch_id)
 
     return _start(listings, run, checkpoint, available_now, mode="append", every="1 minute")
 
 
-def sent_updates(spark: SparkSession, path: str) -> DataFrame:
-    """What :func:`watch_updates` has sent."""
-    return spark.read.parquet(path).drop("_batch", "_part")
+def sent_updates(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """What :func:`watch_updates` has sent; the columns are those of the first folder unless they are given."""
+    if schema is None:
+        first = spark.read.parquet(f"{path}/{files.children(spark, path)[0]}").schema
+        schema = T.StructType([f for f in first.fields if f.name not in (*MARKS, "_part")])
+    return sent_log(spark, path, schema).read()

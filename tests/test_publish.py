@@ -274,37 +274,6 @@ def test_trains_over_several_batches(spark, tmp_path):
     assert {r.train for r in live.current_trains(table, now).collect()} == {"a"}
 
 
-def test_fold_twice_changes_nothing(spark, tmp_path):
-    schema = spark.createDataFrame([], "k string, t timestamp, n bigint, v string").schema
-    table = live.BucketedTable(spark, str(tmp_path / "t"), schema, "k")
-    batch = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "k string, n bigint, v string").withColumn(
-        "t", F.timestamp_seconds("n")
-    )
-    step = live.fold(table, "t", "n")
-    step(batch, 0)
-    step(batch, 0)
-    assert sorted((r.k, r.v) for r in table.read().collect()) == [("a", "x"), ("b", "y")]
-
-
-def test_a_batch_rewrites_its_buckets_only_and_forgets_old_keys(spark, tmp_path):
-    schema = spark.createDataFrame([], "k string, t timestamp, n bigint").schema
-    table = live.BucketedTable(spark, str(tmp_path / "t"), schema, "k", buckets=4)
-    step = live.fold(table, "t", "n", expiry="1 hour")
-
-    def batch(rows):
-        return spark.createDataFrame(rows, "k string, n bigint").withColumn("t", F.timestamp_seconds("n"))
-
-    step(batch([(f"k{i}", i) for i in range(40)]), 0)
-    before = {n: table.part(n).newest() for n in range(4)}
-    step(batch([("k1", 7200)]), 1)
-    after = {n: table.part(n).newest() for n in range(4)}
-    changed = [n for n in range(4) if before[n] != after[n]]
-    assert len(changed) == 1
-    assert [(r.k, r.n) for r in table.part(changed[0]).read().collect()] == [("k1", 7200)]
-    kept = {r.k for r in table.read().collect()}
-    assert kept < {f"k{i}" for i in range(40)} and "k1" in kept and len(kept) > 10
-
-
 def test_horizon(spark):
     now = F.lit("2024-01-01 12:00:00").cast("timestamp")
     rows = [("11:45:00", False), ("11:45:01", True), ("12:04:59", True), ("12:05:00", False)]

@@ -9,8 +9,8 @@ collections are flattened to one level. Coordinates are kept as x and y only.
 Everything but WKB reading and writing is a built-in expression. The longer ones
 are written as SQL text over column names (or other SQL snippets): parsing one
 text is far quicker than assembling the same tree call by call, and the texts
-also serve as the bodies of the SQL functions. WKB goes through Arrow, one call
-per batch, with numpy reading the coordinate runs.
+also serve as the bodies of the SQL functions. WKB goes through Arrow: a batch is read in
+step, level by level, and all its coordinates are gathered at once.
 """
 
 from __future__ import annotations
@@ -77,58 +77,192 @@ def strip_header(blob: Column) -> Column:
 # --- WKB, Arrow batches ------------------------------------------------------
 
 
-def _read_header(buf: memoryview, at: int) -> tuple[str, int, int, int]:
-    if len(buf) - at < 5:
-        raise ValueError("well-known binary too short")
-    order = {0: ">", 1: "<"}.get(buf[at])
-    if order is None:
-        raise ValueError(f"unknown byte order {buf[at]}")
-    (code,) = struct.unpack_from(order + "I", buf, at + 1)
-    at += 5 + (4 if code & 0x20000000 else 0)
-    iso, base = divmod(code & 0x0FFFFFFF, 1000)
-    has_z = bool(code & 0x80000000) or iso in (1, 3)
-    has_m = bool(code & 0x40000000) or iso in (2, 3)
-    if base not in TYPE_NAMES:
-        raise ValueError(f"unknown geometry type {base}")
-    return order, base, 2 + has_z + has_m, at
-
-
-def _read_run(buf: memoryview, at: int, order: str, dims: int, count: int):
-    run = np.frombuffer(buf, dtype=order + "f8", count=count * dims, offset=at)
-    return run.reshape(count, dims)[:, :2], at + 8 * count * dims
-
-
-def _read_parts(buf: memoryview, at: int, parts: list, member: int, kind: str | None) -> tuple[int, int]:
-    """Append (member, kind, rings) for the geometry at ``at``; return its type and end."""
-    order, base, dims, at = _read_header(buf, at)
-    name = kind or TYPE_NAMES[base]
-    if base == 1:
-        run, at = _read_run(buf, at, order, dims, 1)
-        if not np.isnan(run).any():
-            parts.append((member, name, [run]))
-    elif base == 2:
-        (count,) = struct.unpack_from(order + "I", buf, at)
-        run, at = _read_run(buf, at + 4, order, dims, count)
-        parts.append((member, name, [run]))
-    elif base == 3:
-        (count,) = struct.unpack_from(order + "I", buf, at)
-        at += 4
-        rings = []
-        for _ in range(count):
-            (size,) = struct.unpack_from(order + "I", buf, at)
-            run, at = _read_run(buf, at + 4, order, dims, size)
-            rings.append(run)
-        parts.append((member, name, rings))
-    else:
-        (count,) = struct.unpack_from(order + "I", buf, at)
-        at += 4
-        for _ in range(count):
-            if base == 7:
-                here = parts[-1][0] + 1 if parts else 0
-                _, at = _read_parts(buf, at, parts, here, None)
-            else:
-                _, at = _read_parts(buf, at, parts, member, name)
-    return base, at
+class _Bytes:
+    """The blobs of an Arrow batch as one run of bytes; values are read at many places at once."""
+
+    def __init__(self, blobs: pa.Array):
+        if not pa.types.is_large_binary(blobs.type):
+            blobs = blobs.cast(pa.large_binary())
+        self.null = ~blobs.is_valid().to_numpy(zero_copy_only=False)
+        bounds = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
+        data = blobs.buffers()[2]
+        held = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+        self.begin, self.end = bounds[:-1] - bounds[0], bounds[1:] - bounds[0]
+        self.data = np.concatenate([held, np.zeros(24, np.uint8)])  # a view of whole words at any place stays inside
+
+    def check(self, at: np.ndarray, size: np.ndarray | int, end: np.ndarray) -> None:
+        if (at + size > end).any():
+            raise ValueError("well-known binary too short")
+
+    def words(self, at: np.ndarray, kind: str) -> np.ndarray:
+        """Little-endian numbers of four or eight bytes at any places."""
+        size = np.dtype(kind).itemsize
+        out = np.empty(len(at), kind)
+        for shift in range(size):
+            here = at % size == shift
+            if here.any():
+                view = np.frombuffer(self.data, kind, (len(self.data) - shift) // size, shift)
+                out[here] = view[at[here] // size]
+        return out
+
+    def numbers(self, at: np.ndarray, swapped: np.ndarray, kind: str) -> np.ndarray:
+        """Numbers at any places, those of ``swapped`` in the other byte order."""
+        out = self.words(at, kind)
+        return np.where(swapped, out.byteswap(), out) if swapped.any() else out
+
+
+class _Levels:
+    """Parts and runs of vertices of a batch, in the order in which they are met."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []  # geometry, member, kind, runs
+        self.runs: list[tuple[np.ndarray, ...]] = []  # geometry, place, vertices, bytes a vertex, swapped
+
+    @staticmethod
+    def _in_order(found: list[tuple[np.ndarray, ...]], width: int) -> list[np.ndarray]:
+        """One array per column, geometry by geometry; a step adds one row of a geometry at most."""
+        if not found:
+            return [np.zeros(0, np.int64)] * width
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        return [c[order] for c in columns]
+
+    def ordered(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        return self._in_order(self.parts, 4), self._in_order(self.runs, 5)
+
+
+def _headers(data: _Bytes, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(swapped, type code, bytes a vertex, place behind the header) of the geometries at these places."""
+    data.check(at, 5, end)
+    order = data.data[at]
+    if (order > 1).any():
+        raise ValueError(f"unknown byte order {order[order > 1][0]}")
+    swapped = order == 0
+    code = data.numbers(at + 1, swapped, "<u4").astype(np.int64)
+    iso, base = np.divmod(code & 0x0FFFFFFF, 1000)
+    has_z = (code & 0x80000000 != 0) | (iso == 1) | (iso == 3)
+    has_m = (code & 0x40000000 != 0) | (iso == 2) | (iso == 3)
+    unknown = (base < 1) | (base > 7)
+    if unknown.any():
+        raise ValueError(f"unknown geometry type {base[unknown][0]}")
+    return swapped, base, 8 * (2 + has_z.astype(np.int64) + has_m), at + 5 + 4 * (code & 0x20000000 != 0)
+
+
+def _walk(data: _Bytes) -> tuple[np.ndarray, _Levels]:
+    """(type code of each blob, levels): every blob is read in step, a header or a ring of each at a time.
+
+    Every blob has a place, a stack of how many geometries are left in what holds it, and the rings left of its polygon.
+    The number of steps is that of the headers and rings of the longest blob, whatever the number of blobs.
+    """
+    count, levels = len(data.begin), _Levels()
+    place, top = data.begin.copy(), np.zeros(count, np.int64)
+    depth, last = np.zeros(count, np.int64), np.full(count, -1)  # last: member of the last part
+    left: list[np.ndarray] = []  # per depth, geometries left of a container
+    multi, member = np.zeros(count, np.int64), np.zeros(count, np.int64)  # the Multi type around a shape, its member
+    multi_depth = np.zeros(count, np.int64)
+    rings, swapped, width = np.zeros(count, np.int64), np.zeros(count, bool), np.zeros(count, np.int64)
+    active = np.flatnonzero(~data.null)
+    while len(active):
+        done = []
+        ringed = active[rings[active] > 0]
+        if len(ringed):  # the next ring of polygons
+            at = place[ringed]
+            data.check(at, 4, data.end[ringed])
+            size = data.numbers(at, swapped[ringed], "<u4").astype(np.int64)
+            data.check(at + 4, size * width[ringed], data.end[ringed])
+            levels.runs.append((ringed, at + 4, size, width[ringed], swapped[ringed]))
+            place[ringed] = at + 4 + size * width[ringed]
+            rings[ringed] -= 1
+            done.append(ringed[rings[ringed] == 0])
+        fresh = np.setdiff1d(active, ringed, assume_unique=True)
+        if len(fresh):
+            flip, base, bytes_, at = _headers(data, place[fresh], data.end[fresh])
+            first = depth[fresh] == 0
+            top[fresh] = np.where(first & (top[fresh] == 0), base, top[fresh])
+            plain = multi[fresh] == 0
+            # a member of a collection gets the number behind that of the last part
+            inside = plain & ~first
+            member[fresh[inside]] = last[fresh[inside]] + 1
+            kind = np.where(plain, base, multi[fresh])
+
+            point = base == 1
+            if point.any():
+                g, where = fresh[point], at[point]
+                data.check(where, bytes_[point], data.end[g])
+                xy = [data.numbers(where + k, flip[point], "<f8") for k in (0, 8)]
+                there = ~(np.isnan(xy[0]) | np.isnan(xy[1]))
+                levels.parts.append((g[there], member[g[there]], kind[point][there], np.ones(there.sum(), np.int64)))
+                levels.runs.append((g[there], where[there], np.ones(there.sum(), np.int64), bytes_[point][there], flip[point][there]))
+                last[g[there]] = member[g[there]]
+                place[g] = where + bytes_[point]
+                done.append(g)
+            many = ~point
+            if many.any():
+                g, where, of = fresh[many], at[many], base[many]
+                data.check(where, 4, data.end[g])
+                size = data.numbers(where, flip[many], "<u4").astype(np.int64)
+                place[g] = where + 4
+                line, area, holds = of == 2, of == 3, of >= 4
+                if line.any():
+                    n, bytes_of = size[line], bytes_[many][line]
+                    data.check(where[line] + 4, n * bytes_of, data.end[g[line]])
+                    levels.runs.append((g[line], where[line] + 4, n, bytes_of, flip[many][line]))
+                    place[g[line]] += n * bytes_of
+                    done.append(g[line])
+                if area.any():
+                    data.check(where[area] + 4, 4 * size[area], data.end[g[area]])
+                    rings[g[area]], swapped[g[area]], width[g[area]] = size[area], flip[many][area], bytes_[many][area]
+                    done.append(g[area][size[area] == 0])
+                shape = line | area
+                runs_of = np.where(line, 1, size)
+                levels.parts.append((g[shape], member[g[shape]], kind[many][shape], runs_of[shape]))
+                last[g[shape]] = member[g[shape]]
+                if holds.any():
+                    g, size, of = g[holds], size[holds], of[holds]
+                    data.check(place[g], 5 * size, data.end[g])
+                    depth[g] += 1
+                    while len(left) < depth[g].max():
+                        left.append(np.zeros(count, np.int64))
+                    for level in np.unique(depth[g]):
+                        here = depth[g] == level
+                        left[level - 1][g[here]] = size[here]
+                    outer = (of < 7) & (multi[g] == 0)
+                    multi[g[outer]], multi_depth[g[outer]] = of[outer], depth[g[outer]]
+                    empty = g[size == 0]
+                    depth[empty] -= 1
+                    closed = empty[(multi[empty] > 0) & (multi_depth[empty] > depth[empty])]
+                    multi[closed] = 0
+                    done.append(empty)
+        # a shape that is read counts for what holds it, and so on outwards
+        ended = np.concatenate(done) if done else np.zeros(0, np.int64)
+        over = [ended[depth[ended] == 0]]
+        rising = ended[depth[ended] > 0]
+        while len(rising):
+            for level in np.unique(depth[rising]):
+                left[level - 1][rising[depth[rising] == level]] -= 1
+            rising = rising[_left_of(left, depth, rising) == 0]
+            depth[rising] -= 1
+            closed = rising[(multi[rising] > 0) & (multi_depth[rising] > depth[rising])]
+            multi[closed] = 0
+            over.append(rising[depth[rising] == 0])
+            rising = rising[depth[rising] > 0]
+        active = np.setdiff1d(active, np.concatenate(over), assume_unique=True)
+    return top, levels
+
+
+def _left_of(left: list[np.ndarray], depth: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(rows), np.int64)
+    for level in np.unique(depth[rows]):
+        here = depth[rows] == level
+        out[here] = left[level - 1][rows[here]]
+    return out
+
+
+def _coordinates(data: _Bytes, at: np.ndarray, size: np.ndarray, width: np.ndarray, swapped: np.ndarray) -> np.ndarray:
+    """x and y of all vertices of all runs, in one gather."""
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    places, flip = np.repeat(at, size) + within * np.repeat(width, size), np.repeat(swapped, size)
+    return np.column_stack([data.numbers(places + k, flip, "<f8") for k in (0, 8)])
 
 
 def _offsets(sizes) -> pa.Array:
@@ -175,23 +309,12 @@ def decode_batch(blobs: pa.Array) -> pa.Array:
     if xy is not None:
         ones, names = np.ones(len(xy), np.int64), ["Point"] * len(xy)
         return _nested(names, np.zeros(len(xy), bool), ones, np.zeros(len(xy), np.int32), names, ones, ones, xy)
-    types, null, part_sizes = [], [], []
-    members, kinds, ring_sizes, vertex_sizes, runs = [], [], [], [], []
-    for scalar in blobs:
-        buf = scalar.as_buffer()
-        found: list = []
-        base = None if buf is None else _read_parts(memoryview(buf), 0, found, 0, None)[0]
-        types.append(TYPE_NAMES.get(base))
-        null.append(buf is None)
-        part_sizes.append(len(found))
-        for member, kind, rings in found:
-            members.append(member)
-            kinds.append(kind)
-            ring_sizes.append(len(rings))
-            vertex_sizes.extend(len(run) for run in rings)
-            runs.extend(rings)
-    xy = np.concatenate(runs).astype("f8") if runs else np.empty((0, 2))
-    return _nested(types, null, part_sizes, members, kinds, ring_sizes, vertex_sizes, xy)
+    data = _Bytes(blobs)
+    top, levels = _walk(data)
+    (of, members, kinds, ring_sizes), (_, at, size, width, swapped) = levels.ordered()
+    names = np.array([None, *TYPE_NAMES.values()], dtype=object)
+    part_sizes = np.bincount(of, minlength=len(blobs)) if len(of) else np.zeros(len(blobs), np.int64)
+    return _nested(names[top], data.null, part_sizes, members.astype(np.int32), names[kinds], ring_sizes, size, _coordinates(data, at, size, width, swapped))
 
 
 class _Columns:

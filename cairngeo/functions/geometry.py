@@ -74,6 +74,17 @@ def strip_header(blob: Column) -> Column:
     )
 
 
+def without_header(blob: bytes | None) -> bytes | None:
+    """The same for one blob at hand."""
+    if not blob:
+        return None
+    if len(blob) < 8:
+        raise ValueError("geometry blob shorter than 8 bytes")
+    if blob[:2] != b"GP":
+        return blob
+    return blob[8 + ENVELOPE_BYTES.get(blob[3] >> 1 & 7, 0) :]
+
+
 # --- WKB, Arrow batches ------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ from ..functions.sql import register_functions
 from ..operators import deliveries, export, feeds, layers, ledger, publish
 from ..operators import tiles as tile_ops
 from ..operators.entrylog import EntryLog
-from ..sources import archives
+from ..sources import archives, gpkg
 from ..sources import deliveries as readers
 from ..sources import feeds as feed_readers
 from . import landing, views
@@ -53,7 +53,8 @@ def _staged(spark, d, rows_per_archive=landing.ROWS_PER_ARCHIVE):
        FROM customer GROUP BY ALL""",
 )
 def s4(spark, d):
-    found = archives.source_layers(_staged(spark, d))
+    members = archives.zip_members(readers.scan_orders(spark, landing.land_archives(spark, d)))
+    found = archives.catalogue(members)  # no feature is unpacked
     shown = F.array_join(F.transform("columns", lambda c: F.concat(c["name"], F.lit(":"), c["type"])), ", ")
     return found.select(
         "order_id",
@@ -93,6 +94,26 @@ def s3(spark, d):
     )
 
 
+@query(
+    "S3_data_source",
+    sql(
+        "SELECT 'o1' AS order_id, 'points_' || (fid // 300) || '.zip' AS zip_name, fid AS source_row, c_name, c_acctbal, c_mktsegment, x, y"
+        " FROM point_layer WHERE fid % 4 = 1 AND fid >= 200 AND fid // 300 <> 2",
+        "point_layer",
+    ),
+)
+def s3c(spark, d):
+    """One layer as a data source, in ranges of 40 features, with filters that leave out archives and rows."""
+    root, folder = landing.land_archives(spark, d, 300), landing.new_folder(spark, "catalogue")
+    archives.catalogue(archives.zip_members(readers.scan_orders(spark, root))).write.parquet(folder)
+    gpkg.register(spark)
+    read = spark.read.format("gpkg").option("layer", "points_o1").option("rowsPerTask", 40).load(folder)
+    names = [f"points_{k}.zip" for k in range(views.table(spark, d, "customer").count() // 300 + 1) if k != 2]
+    rows = read.filter(F.col("zip_name").isin(names) & (F.col("source_row") >= 200))
+    rows = rows.withColumn("geom", G.parse_wkb("geom_wkb")).withColumns(G.envelope("geom"))
+    return rows.selectExpr("order_id", "zip_name", "source_row", "c_name", "c_acctbal", "c_mktsegment", "xmin AS x", "ymin AS y")
+
+
 @query(
     "O3_source_page",
     sql(

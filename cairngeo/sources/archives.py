@@ -16,6 +16,7 @@ import tempfile
 import zipfile
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import PurePosixPath
 from urllib.parse import quote, unquote, urlparse
 
@@ -101,8 +102,6 @@ def unpack(members: DataFrame, folder: str) -> DataFrame:
     nothing behind but its Parquet files; a task that is lost or run twice does no harm. A member that cannot
     be read gives a row with an error; other failures of a read let the task fail and run again.
     """
-    arrow = to_arrow_schema(schemas.EXTRACTED)
-
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for member in batch.to_pylist():
@@ -111,12 +110,9 @@ def unpack(members: DataFrame, folder: str) -> DataFrame:
                     path = os.path.join(scratch, "member.gpkg")
                     try:
                         base["source_hash"] = _copy_member(member["path"], member["inner_path"], path)
-                        for rows in _contents(path, base):
-                            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                    except (zipfile.BadZipFile, zlib.error, EOFError) as error:
-                        yield pa.RecordBatch.from_pylist([{**base, "kind": "layer", "error": f"cannot unpack: {error}"}], schema=arrow)
-                    except sqlite3.Error as error:
-                        yield pa.RecordBatch.from_pylist([{**base, "kind": "layer", "error": f"cannot read: {error}"}], schema=arrow)
+                        yield from _contents(path, base)
+                    except MEMBER_ERRORS as error:
+                        yield pa.RecordBatch.from_pylist([{**base, "kind": "layer", "error": _told(error)}], schema=_STORED)
 
     wanted = members.filter(F.col("extension") == ".gpkg").select("order_id", "zip_name", "path", "inner_path")
     found = wanted.repartition("path", "inner_path").mapInArrow(extract, schemas.EXTRACTED)
@@ -124,6 +120,40 @@ def unpack(members: DataFrame, folder: str) -> DataFrame:
     return members.sparkSession.read.schema(schemas.EXTRACTED).parquet(folder)
 
 
+MEMBER_ERRORS = (zipfile.BadZipFile, zlib.error, EOFError, sqlite3.Error)  # of the member itself, not of a read
+
+
+def _told(error: Exception) -> str:
+    return f"cannot {'read' if isinstance(error, sqlite3.Error) else 'unpack'}: {error}"
+
+
+def catalogue(members: DataFrame) -> DataFrame:
+    """Catalogue of the feature layers in archive members, as :func:`source_layers` gives it, without unpacking features.
+
+    A member is taken through its task's scratch space; only the layers' descriptions leave it. A member that cannot be
+    read gives a row with an error. ``path`` is the archive, as the ``gpkg`` data source needs it.
+    """
+    shape = T.StructType([*schemas.CATALOGUE.fields, T.StructField("path", T.StringType())])
+    arrow = to_arrow_schema(shape)
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for member in batch.to_pylist():
+                base = dict(member)
+                with tempfile.TemporaryDirectory() as scratch:
+                    path = os.path.join(scratch, "member.gpkg")
+                    try:
+                        base["source_hash"] = _copy_member(member["path"], member["inner_path"], path)
+                        with _opened(path) as db:
+                            found = list(_layers(db, base))
+                    except MEMBER_ERRORS as error:
+                        found = [{**base, "error": _told(error)}]
+                yield pa.RecordBatch.from_pylist(found, schema=arrow)
+
+    wanted = members.filter(F.col("extension") == ".gpkg").select("order_id", "zip_name", "path", "inner_path")
+    return wanted.repartition("path", "inner_path").mapInArrow(described, shape)
+
+
 def _copy_member(archive: str, inner: str, target: str) -> str:
     digest = hashlib.sha256()
     with _open(archive) as raw, zipfile.ZipFile(raw) as opened, opened.open(inner) as source, open(target, "wb") as out:
@@ -140,54 +170,84 @@ def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-def _value(value) -> dict | None:
-    """A SQLite value under its storage class."""
-    if value is None:
-        return None
-    return {{int: "i", float: "d", str: "s", bytes: "b"}[type(value)]: value}
+_CLASSES = {int: "i", float: "d", str: "s", bytes: "b"}  # storage classes of SQLite values
+_STORED = to_arrow_schema(schemas.EXTRACTED)
 
 
-def _contents(path: str, base: dict) -> Iterator[list[dict]]:
-    """A row for each feature layer, followed by the rows of its features in row-number order."""
+def _stored_values(rows: list[tuple], width: int) -> pa.ListArray:
+    """The attribute values of features, each under its storage class, as one Arrow column."""
+    flat = [v for row in rows for v in row[2 : 2 + width]]
+    kind = _STORED.field("values").type.value_type
+    fields = [pa.array([v if type(v) is of else None for v in flat], kind.field(name).type) for of, name in _CLASSES.items()]
+    there = pa.array([v is None for v in flat], pa.bool_())
+    values = pa.StructArray.from_arrays(fields, names=list(_CLASSES.values()), mask=there)
+    return pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, width) if width else [0] * (len(rows) + 1), pa.int32()), values)
+
+
+def _feature_batch(rows: list[tuple], width: int, number: int, base: dict, layer: str) -> pa.RecordBatch:
+    """Features (rowid, blob, values ...) as rows of the schema ``EXTRACTED``, column by column."""
+    same = {**base, "kind": "feature", "layer_name": layer}
+    made = {
+        "row_no": pa.array(range(number + 1, number + 1 + len(rows)), pa.int64()),
+        "source_row": pa.array([row[0] for row in rows], pa.int64()),
+        "blob": pa.array([row[1] or None for row in rows], pa.binary()),
+        "values": _stored_values(rows, width),
+    }
+    columns = [
+        made[f.name] if f.name in made else pa.repeat(pa.scalar(same[f.name], f.type), len(rows)) if f.name in same else pa.nulls(len(rows), f.type)
+        for f in _STORED
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_STORED)
+
+
+@contextmanager
+def _opened(path: str) -> Iterator[sqlite3.Connection]:
     db = sqlite3.connect(f"file:{quote(path)}?mode=ro&immutable=1", uri=True)
     try:
-        layers = db.execute(
-            "SELECT c.table_name, g.column_name, g.geometry_type_name, g.srs_id, c.min_x, c.min_y, c.max_x, c.max_y"
-            " FROM gpkg_contents c LEFT JOIN gpkg_geometry_columns g ON g.table_name = c.table_name"
-            " WHERE c.data_type = 'features' ORDER BY c.table_name"
-        ).fetchall()
-        for name, geometry, kind, srid, *stored in layers:
-            layer = {**base, "kind": "layer", "layer_name": name}
-            if geometry is None:
-                yield [{**layer, "error": f"no geometry column in {name}"}]
+        yield db
+    finally:
+        db.close()
+
+
+def _layers(db: sqlite3.Connection, base: dict) -> Iterator[dict]:
+    """A catalogue row for each feature layer; no feature is read but for their count."""
+    layers = db.execute(
+        "SELECT c.table_name, g.column_name, g.geometry_type_name, g.srs_id, c.min_x, c.min_y, c.max_x, c.max_y"
+        " FROM gpkg_contents c LEFT JOIN gpkg_geometry_columns g ON g.table_name = c.table_name"
+        " WHERE c.data_type = 'features' ORDER BY c.table_name"
+    ).fetchall()
+    for name, geometry, kind, srid, *stored in layers:
+        layer = {**base, "layer_name": name}
+        if geometry is None:
+            yield {**layer, "error": f"no geometry column in {name}"}
+            continue
+        columns = [
+            {"name": c[1], "type": c[2]}
+            for c in db.execute(f"PRAGMA table_info({_quoted(name)})")
+            if c[1] != geometry and c[1].lower() != "fid"
+        ]
+        count = db.execute(f"SELECT count(*) FROM {_quoted(name)}").fetchone()[0]
+        bounds = dict(zip(("min_x", "min_y", "max_x", "max_y"), stored, strict=True))
+        known = {"geometry_column": geometry, "geometry_type": kind, "srid": srid, "feature_count": count, "columns": columns}
+        yield {**layer, **known, **bounds}
+
+
+def _feature_query(layer: str, geometry: str, columns: list[dict], where: str = "") -> str:
+    picked = ", ".join(_quoted(n) for n in [geometry, *(c["name"] for c in columns)])
+    return f"SELECT rowid, {picked} FROM {_quoted(layer)} {where} ORDER BY rowid"
+
+
+def _contents(path: str, base: dict) -> Iterator[pa.RecordBatch]:
+    """A row for each feature layer, followed by the rows of its features in row-number order."""
+    with _opened(path) as db:
+        for layer in _layers(db, base):
+            yield pa.RecordBatch.from_pylist([{**layer, "kind": "layer"}], schema=_STORED)
+            if layer.get("error"):
                 continue
-            columns = [
-                {"name": c[1], "type": c[2]}
-                for c in db.execute(f"PRAGMA table_info({_quoted(name)})")
-                if c[1] != geometry and c[1].lower() != "fid"
-            ]
-            count = db.execute(f"SELECT count(*) FROM {_quoted(name)}").fetchone()[0]
-            bounds = dict(zip(("min_x", "min_y", "max_x", "max_y"), stored, strict=True))
-            known = {"geometry_column": geometry, "geometry_type": kind, "srid": srid, "feature_count": count, "columns": columns}
-            yield [{**layer, **known, **bounds}]
-            picked = ", ".join(_quoted(n) for n in [geometry, *(c["name"] for c in columns)])
-            cursor, number = db.execute(f"SELECT rowid, {picked} FROM {_quoted(name)} ORDER BY rowid"), 0
+            cursor, number = db.execute(_feature_query(layer["layer_name"], layer["geometry_column"], layer["columns"])), 0
             while rows := cursor.fetchmany(ROWS_PER_BATCH):
-                yield [
-                    {
-                        **base,
-                        "kind": "feature",
-                        "layer_name": name,
-                        "row_no": number + i,
-                        "source_row": row[0],
-                        "blob": row[1] or None,
-                        "values": [_value(v) for v in row[2:]],
-                    }
-                    for i, row in enumerate(rows, 1)
-                ]
+                yield _feature_batch(rows, len(layer["columns"]), number, base, layer["layer_name"])
                 number += len(rows)
-    finally:
-        db.close()
 
 
 def source_layers(extracted: DataFrame) -> DataFrame:

@@ -326,6 +326,60 @@ def published_profile(spark: SparkSession, database: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, columns string, geometry_type string, srid int, row_count bigint")
 
 
+def load_folders(spark: SparkSession, table: str) -> list[str]:
+    """Folders of a published table's loads, from the catalogue: a name per load."""
+    state = spark._jsparkSession.sessionState()
+    found = state.catalog().listPartitions(state.sqlParser().parseTableIdentifier(table), spark.sparkContext._jvm.scala.Option.empty()).iterator()
+    out = []
+    while found.hasNext():
+        out.append(found.next().location().toString())
+    return out
+
+
+V1_SOURCES = "spark.sql.sources.useV1SourceList"
+
+
+def from_footers(spark: SparkSession, table: str) -> DataFrame:
+    """The rows of a published table through the Parquet reader that answers counts, minima and maxima from file footers.
+
+    For whole tables; with a filter or a grouping it reads the columns like any other. Row counts and column statistics of a
+    footer are exact, so the answers are those of a scan.
+    """
+    folders = load_folders(spark, table)
+    schema = T.StructType([f for f in spark.table(table).schema.fields if f.name != "_load"])
+    if not folders:
+        return spark.createDataFrame([], schema)
+    before = spark.conf.get(V1_SOURCES)
+    spark.conf.set(V1_SOURCES, ",".join(name for name in before.split(",") if name.strip() != "parquet"))
+    try:
+        return spark.read.schema(schema).parquet(*folders)
+    finally:
+        spark.conf.set(V1_SOURCES, before)
+
+
+def table_count(spark: SparkSession, table: str) -> DataFrame:
+    """:func:`match_count` of a whole published table; no column is read."""
+    counted = match_count(from_footers(spark, table))
+    return counted.select(F.coalesce("total_count", F.lit(0)).alias("total_count"))  # files without rows tell no count
+
+
+def table_extent(spark: SparkSession, table: str) -> DataFrame:
+    """:func:`extent` of a whole published table; no column is read."""
+    return extent(from_footers(spark, table))
+
+
+def published_stats(spark: SparkSession, database: str, name: str) -> DataFrame:
+    """:func:`table_stats` of a published table: count and extent from footers, the first feature's order and load time
+    from three narrow columns."""
+    table = f"`{database}`.`{name}`"
+    whole = from_footers(spark, table).agg(F.count(F.lit(1)).alias("feature_count"), *extent_aggregates())
+    whole = whole.withColumn("feature_count", F.coalesce("feature_count", F.lit(0)))
+    first = spark.table(table).agg(F.min_by("_source_order", "fid").alias("source_order"), F.min_by("_loaded_at", "fid").alias("loaded_at"))
+    columns = ", ".join(c for c in spark.table(table).columns if c not in STORAGE)
+    both = whole.join(F.broadcast(first), F.lit(True))  # a row each
+    return both.select(F.lit(name).alias("table_name"), "*", F.lit(columns).alias("columns"))
+
+
 def layer_catalogue(spark: SparkSession, database: str) -> dict[str, DataFrame]:
     """Public layers of a database by name."""
     names = sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)

@@ -139,11 +139,9 @@ def publish_layer(
     rows = prepared(df, source_srid, target_srid).withColumns(
         {"_source_order": F.lit(order_id).cast("string"), "_loaded_at": F.current_timestamp()}
     )
-    shape = ["geom", "geom_wkb", "srid", *layers.ENVELOPE, "cell", *layers.BOOKKEEPING]
-    plain = [c for c in rows.columns if c not in ("fid", *shape)]
-    rows.select("fid", *plain, *[c for c in shape if c != "cell"]).write.parquet(staged_at)
+    rows.write.parquet(staged_at)
     staged = cells.with_feature_cell(spark.read.parquet(staged_at), target_srid)
-    staged = staged.select("fid", *plain, *[layers.cell_column(F.col(c), target_srid) if c == "cell" else c for c in shape])
+    staged = staged.select(*[layers.cell_column(F.col(c), target_srid) if c == "cell" else f"`{c}`" for c in _column_order(staged.schema)])
     found = _statistics(staged)
     load, folder = load_key(order_id, layer_name), f"{home}/load-{uuid.uuid4().hex}"
     if known and if_exists == "append":
@@ -170,6 +168,18 @@ def publish_layer(
     return shown.withColumn("bbox", layers.box_text())
 
 
+def _column_order(schema: T.StructType) -> list[str]:
+    """fid, attributes, storage and bookkeeping columns; nested ones last of all.
+
+    The reader that answers from footers takes a column's place among the fields for its place in the file, which
+    holds as far as no nested column stands before it.
+    """
+    shape = ["geom_wkb", "srid", *layers.ENVELOPE, "cell", *layers.BOOKKEEPING, "geom"]
+    names = ["fid", *[f.name for f in schema.fields if f.name not in ("fid", *shape)], *shape]
+    nested = {f.name for f in schema.fields if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))}
+    return [n for n in names if n not in nested] + [n for n in names if n in nested]
+
+
 # Rows from which a layer is cut into files by range; below it is one file.
 ROWS_PER_FILE = 250_000
 
@@ -270,13 +280,9 @@ def _forget_folders(spark: SparkSession, table: str, home: str) -> None:
     idle = [n for n in there if n.startswith(("load-", "table-", "staged-"))]
     if len(idle) < 3:  # one load and the table's own folder
         return
-    where = spark._jsparkSession.sessionState().catalog()
-    identifier = spark._jsparkSession.sessionState().sqlParser().parseTableIdentifier(table)
-    empty = spark.sparkContext._jvm.scala.Option.empty()
-    used = {files.name_of(where.getTableMetadata(identifier).location().toString())}
-    parts = where.listPartitions(identifier, empty).iterator()
-    while parts.hasNext():
-        used.add(files.name_of(parts.next().location().toString()))
+    state = spark._jsparkSession.sessionState()
+    own = state.catalog().getTableMetadata(state.sqlParser().parseTableIdentifier(table)).location().toString()
+    used = {files.name_of(folder) for folder in [own, *layers.load_folders(spark, table)]}
     for n in idle:
         mark = f"{home}/.idle-{n}"
         if n in used:

@@ -218,6 +218,28 @@ def f28(spark, d):
     return points.scene(views.points(spark, d)).select("point_id", *[F.round(c, 6).alias(c) for c in "rgb"])
 
 
+def _laid_out(spark, d):
+    folder = landing.new_folder(spark, "points")
+    points.write_points(views.points(spark, d).drop("point_id").withColumn("tile", F.col("tile").cast("string")), folder)
+    return feed_readers.read_laid_out_points(spark, folder)
+
+
+@query("S11_points_of_tiles", sql("SELECT CAST(tile AS VARCHAR) AS tile, node_key, x, y, z FROM points WHERE tile % 7 = 3", "points"))
+def s11b(spark, d):
+    """Points of some tiles, out of the folders that hold them."""
+    tiles = views.points(spark, d).filter("tile % 7 = 3").select("tile").distinct()
+    return points.of_tiles(_laid_out(spark, d), tiles).select("tile", "node_key", "x", "y", "z")
+
+
+@query(
+    "O7_coarse_folders",
+    sql("SELECT CAST(tile AS VARCHAR) AS tile, node_key, depth, count(*) AS points FROM points WHERE depth <= 3 GROUP BY ALL", "points"),
+)
+def o7b(spark, d):
+    """Coarse nodes of a point table laid out by depth: only their folders are read."""
+    return points.coarse_nodes(_laid_out(spark, d))
+
+
 @query(
     "O7_coarse_nodes",
     sql("SELECT tile, node_key, depth, count(*) AS points FROM points WHERE depth <= 3 GROUP BY ALL ORDER BY depth, tile, node_key", "points"),

@@ -267,6 +267,39 @@ def k2(spark, d):
     return layers.bbox_filter(_published(spark, d, crs.SWEREF), BOX).selectExpr("c_name", "xmin AS x", "ymin AS y")
 
 
+@query("A1_count_from_footers", sql("SELECT count(*) AS total_count FROM box_layer", "box_layer"))
+def a1f(spark, d):
+    """The count of a whole published layer, from the footers of its files."""
+    return layers.table_count(spark, f"{_published_boxes(spark, d)}.boxes")
+
+
+@query("A2_extent_from_footers", sql("SELECT min(xmin) AS minx, min(ymin) AS miny, max(xmax) AS maxx, max(ymax) AS maxy FROM box_layer", "box_layer"))
+def a2f(spark, d):
+    """The extent of a whole published layer, from the footers of its files."""
+    return layers.table_extent(spark, f"{_published_boxes(spark, d)}.boxes")
+
+
+@query(
+    "A21_published_stats",
+    sql(
+        """SELECT 'boxes' AS table_name, count(*) AS feature_count, min(xmin) AS minx, min(ymin) AS miny, max(xmax) AS maxx, max(ymax) AS maxy,
+                  'o7' AS source_order, true AS loaded, 'fid, source_fid, s_name, _source_order, _loaded_at' AS columns FROM box_layer""",
+        "box_layer",
+    ),
+)
+def a21p(spark, d):
+    """Statistics of a published layer; of its columns only the first feature's order and load time are read."""
+    found = layers.published_stats(spark, _published_boxes(spark, d), "boxes")
+    return found.withColumn("loaded", F.col("loaded_at").isNotNull()).drop("loaded_at")
+
+
+def _published_boxes(spark, d) -> str:
+    name = _database(spark)
+    source = views.box_layer(spark, d).select(F.col("fid").alias("source_fid"), "geom", "s_name")
+    publish.publish_layer(source, "boxes", name, crs.SWEREF, ["source_fid"], target_srid=crs.SWEREF, order_id="o7")
+    return name
+
+
 CELL_BOXES = (BOX, (310000.0, 6210000.0, 310500.0, 6290000.0), (-1e9, -1e9, 1e9, 1e9), (555000.0, 6900000.0, 556000.0, 6901000.0))
 
 
@@ -281,9 +314,7 @@ CELL_BOXES = (BOX, (310000.0, 6210000.0, 310500.0, 6290000.0), (-1e9, -1e9, 1e9,
 )
 def k2b(spark, d):
     """Boxes of several sizes by the ranges of layout cells that Parquet skips row groups with."""
-    name = _database(spark)
-    source = views.box_layer(spark, d).select(F.col("fid").alias("source_fid"), "geom", "s_name")
-    publish.publish_layer(source, "boxes", name, crs.SWEREF, ["source_fid"], target_srid=crs.SWEREF)
+    name = _published_boxes(spark, d)
     found = [layers.bbox_filter(spark.table(f"{name}.boxes"), b).select(F.lit(k).alias("k"), "s_name", *layers.ENVELOPE) for k, b in enumerate(CELL_BOXES)]
     return functools.reduce(DataFrame.unionByName, found)
 
@@ -607,10 +638,8 @@ def s3b(spark, d):
 @query("F18_file_hash", "SELECT 'o' || (c_custkey % 4) AS order_id, 'names_' || (c_custkey // 10000) || '.txt' AS file_name, sha256(string_agg(c_name, chr(10) ORDER BY c_custkey)) AS source_hash FROM customer GROUP BY 1, 2")
 def f18b(spark, d):
     """SHA-256 of the bytes of landed files."""
-    root = landing.land_names(spark, d)
-    files = readers.scan_orders(spark, root)
-    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
-    return files.join(whole, "path").select("order_id", "file_name", F.sha2("content", 256).alias("source_hash"))
+    found = archives.file_hashes(readers.scan_orders(spark, landing.land_names(spark, d)))
+    return found.select("order_id", "file_name", "source_hash")
 
 
 @query(

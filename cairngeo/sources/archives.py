@@ -91,6 +91,28 @@ def zip_members(files: DataFrame) -> DataFrame:
     return archives.repartition("path").mapInPandas(list_archives, schemas.MEMBER)
 
 
+def file_hashes(files: DataFrame) -> DataFrame:
+    """The files of a delivery scan with ``source_hash``, the SHA-256 of their bytes.
+
+    A file is read in pieces of ``CHUNK`` bytes by one task, from any file system Arrow knows, so its size has no bound
+    (a column of contents ends at 2 GB).
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                digest = hashlib.sha256()
+                with _open(path) as source:
+                    while chunk := source.read(CHUNK):
+                        digest.update(chunk)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "source_hash"])
+
+    shape = T.StructType([*files.schema.fields, T.StructField("source_hash", T.StringType())])
+    return files.repartition("path").mapInArrow(hashed, shape)
+
+
 # --- unpacking ---------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .. import schemas
 
@@ -29,6 +30,12 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.POINTS).parquet(path)
 
 
+def read_laid_out_points(spark: SparkSession, path: str) -> DataFrame:
+    """Point tables as ``points.write_points`` lays them out, with ``depth`` and ``tile_part``."""
+    folders = [T.StructField("depth", T.IntegerType()), T.StructField("tile_part", T.IntegerType())]
+    return spark.read.schema(T.StructType([*schemas.POINTS.fields, *folders])).parquet(path)
+
+
 def layer(spark: SparkSession, name: str, database: str) -> DataFrame:
     """A published layer."""
     return spark.table(f"`{database}`.`{name}`")

@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 
 from cairngeo.functions import cells, crs
 from cairngeo.functions import geometry as G
-from cairngeo.operators import layers, publish
+from cairngeo.operators import layers, points, publish
 from cairngeo.operators.entrylog import EntryLog
-from cairngeo.sources import files
+from cairngeo.sources import archives, files
+from cairngeo.sources import deliveries as readers
+from cairngeo.sources import feeds as feed_readers
 
 from test_publish import COLUMNS, archive, make, report_rows, rows
 
 # --- loads ------------------------------------------------------------------------------
 
 
-def points(spark, first, count, label):
+def some_points(spark, first, count, label):
     df = spark.range(first, first + count).select(F.col("id").alias("source_fid"), F.lit(label).alias("label"))
     return df.withColumn("geom", G.point(F.col("source_fid") * 10.0 + 400000.0, F.lit(6500000.0)))
 
@@ -34,7 +36,7 @@ def database(spark, tmp_path):
 
 
 def load(spark, database, first, count, label, mode="append", **options):
-    return publish.publish_layer(points(spark, first, count, label), "t", database, crs.SWEREF, ["source_fid"], target_srid=crs.SWEREF, if_exists=mode, **options).first()
+    return publish.publish_layer(some_points(spark, first, count, label), "t", database, crs.SWEREF, ["source_fid"], target_srid=crs.SWEREF, if_exists=mode, **options).first()
 
 
 def held(spark, database):
@@ -68,10 +70,10 @@ def test_a_load_replaces_its_own_rows(spark, database):
 def test_an_append_keeps_to_the_table(spark, database):
     load(spark, database, 0, 3, "a", order_id="o1")
     with pytest.raises(ValueError, match="system 3006"):
-        publish.publish_layer(points(spark, 0, 1, "b"), "t", database, crs.SWEREF, ["source_fid"], if_exists="append", order_id="o2")
+        publish.publish_layer(some_points(spark, 0, 1, "b"), "t", database, crs.SWEREF, ["source_fid"], if_exists="append", order_id="o2")
     with pytest.raises(Exception, match="label"):
-        publish.publish_layer(points(spark, 0, 1, "b").drop("label"), "t", database, crs.SWEREF, ["source_fid"], target_srid=crs.SWEREF, if_exists="append", order_id="o2")
-    wide = points(spark, 0, 1, "b").withColumns({"source_fid": F.col("source_fid").cast("int"), "more": F.lit(1)})
+        publish.publish_layer(some_points(spark, 0, 1, "b").drop("label"), "t", database, crs.SWEREF, ["source_fid"], target_srid=crs.SWEREF, if_exists="append", order_id="o2")
+    wide = some_points(spark, 0, 1, "b").withColumns({"source_fid": F.col("source_fid").cast("int"), "more": F.lit(1)})
     publish.publish_layer(wide, "t", database, crs.SWEREF, ["source_fid"], target_srid=crs.SWEREF, if_exists="append", order_id="o2")
     assert held(spark, database) == [("o1", "a", 3, 1, 3), ("o2", "b", 1, 4, 4)]
 
@@ -102,7 +104,7 @@ def test_a_lost_append_is_repeated_without_double_rows(spark, database, monkeypa
 
 def test_a_replacement_that_is_lost_leaves_the_old_table_or_the_new(spark, database, monkeypatch):
     load(spark, database, 0, 3, "a", order_id="o1")
-    other = points(spark, 0, 2, "b").withColumn("more", F.lit(1))
+    other = some_points(spark, 0, 2, "b").withColumn("more", F.lit(1))
 
     def replace():
         publish.publish_layer(other, "t", database, crs.SWEREF, ["source_fid"], target_srid=crs.SWEREF, order_id="o1")
@@ -314,3 +316,58 @@ def test_box_filter_asks_parquet_for_cell_ranges(spark, database, monkeypatch):
     # without a cell column, or with one that is no layout cell, only the envelope is compared
     for plain in (spark.table(f"{database}.grid").drop("cell"), spark.table(f"{database}.grid").withColumn("cell", F.lit(0))):
         assert layers.bbox_filter(plain, box).count() == 12
+
+
+# --- answers from footers, point folders, hashes of files ----------------------------------------
+
+
+def test_count_and_extent_come_from_footers(spark, database):
+    shapes = [(5, 3.0, 4.0, 9.0, 8.0), (6, -2.0, 5.0, 1.0, 30.0)]
+    df = spark.createDataFrame(shapes, "source_fid long, xmin double, ymin double, xmax double, ymax double")
+    df = df.select("source_fid", F.array("xmin").alias("nested"), G.box(*[F.col(c) for c in layers.ENVELOPE]).alias("geom"), F.lit("x").alias("plain"))
+    for order in ("o1", "o2"):
+        publish.publish_layer(df, "t", database, crs.SWEREF, ["source_fid"], target_srid=crs.SWEREF, if_exists="append", order_id=order)
+    table = f"{database}.t"
+    counted, extent = layers.table_count(spark, table), layers.table_extent(spark, table)
+    assert counted.first()[0] == 4 and tuple(extent.first()) == (-2.0, 4.0, 9.0, 30.0)
+    for one, told in ((counted, "COUNT(*)"), (extent, "MIN(xmin)")):
+        plan = one._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert re.search(rf"PushedAggregation: \[.*{re.escape(told)}", plan), plan
+        assert "ReadSchema" not in plan or not re.search(r"ReadSchema: struct<.*geom", plan)
+    stats = layers.published_stats(spark, database, "t").first()
+    assert (stats.feature_count, stats.minx, stats.source_order) == (4, -2.0, "o1")
+    assert tuple(layers.extent(layers.bbox_filter(spark.table(table), (-5, 0, 2, 40))).first()) == (-2.0, 5.0, 1.0, 30.0)
+    publish.publish_layer(df.limit(0), "none", database, crs.SWEREF, ["source_fid"], target_srid=crs.SWEREF)
+    assert layers.table_count(spark, f"{database}.none").first()[0] == 0
+    assert tuple(layers.table_extent(spark, f"{database}.none").first()) == (None,) * 4
+
+
+def test_points_are_read_from_the_folders_asked_for(spark, tmp_path):
+    path = str(tmp_path / "points")
+    made = spark.range(4000).selectExpr(
+        "cast(id % 20 AS string) AS tile", "concat(id % 6, '-0-0-', id % 3) AS node_key", "id * 1D AS x", "1D AS y", "2D AS z",
+        "cast(NULL AS int) AS red", "cast(NULL AS int) AS green", "cast(NULL AS int) AS blue", "cast(NULL AS int) AS intensity",
+    )
+    points.write_points(made, path)
+    read = feed_readers.read_laid_out_points(spark, path)
+    coarse = points.coarse_nodes(read)
+    assert [tuple(r) for r in coarse.collect()] == [tuple(r) for r in points.coarse_nodes(made).collect()]
+    plan = coarse._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*depth#\d+ <= 3", plan)
+    chosen = spark.createDataFrame([("3",), ("17",), ("3",)], "tile string")
+    few = points.of_tiles(read, chosen.filter("tile <> 'x'"))
+    assert few.count() == 400
+    files_read = few.select(F.input_file_name()).distinct().count()
+    assert files_read < read.select(F.input_file_name()).distinct().count() / 4
+    assert points.of_tiles(made, chosen).count() == 400
+
+
+def test_file_hashes_in_pieces(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    os.makedirs(tmp_path / "in" / "o1")
+    content = {"a.bin": bytes(range(256)) * 99_000, "b c.txt": b"y", "ä.txt": b"x"}
+    for name, data in content.items():
+        (tmp_path / "in" / "o1" / name).write_bytes(data)
+    found = archives.file_hashes(readers.scan_orders(spark, str(tmp_path / "in"))).collect()
+    assert {r.file_name: r.source_hash for r in found} == {n: hashlib.sha256(d).hexdigest() for n, d in content.items()}

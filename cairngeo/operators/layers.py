@@ -357,10 +357,15 @@ def from_footers(spark: SparkSession, table: str) -> DataFrame:
         spark.conf.set(V1_SOURCES, before)
 
 
+def _told_count(count: str, last: str) -> Column:
+    """A count from footers; files without any row tell none, though the column is never null for Spark."""
+    return F.when(F.col(last).isNull(), F.lit(0).cast("bigint")).otherwise(F.col(count))
+
+
 def table_count(spark: SparkSession, table: str) -> DataFrame:
     """:func:`match_count` of a whole published table; no column is read."""
-    counted = match_count(from_footers(spark, table))
-    return counted.select(F.coalesce("total_count", F.lit(0)).alias("total_count"))  # files without rows tell no count
+    found = from_footers(spark, table).agg(F.count(F.lit(1)).alias("n"), F.max("fid").alias("last"))
+    return found.select(_told_count("n", "last").alias("total_count"))
 
 
 def table_extent(spark: SparkSession, table: str) -> DataFrame:
@@ -372,8 +377,8 @@ def published_stats(spark: SparkSession, database: str, name: str) -> DataFrame:
     """:func:`table_stats` of a published table: count and extent from footers, the first feature's order and load time
     from three narrow columns."""
     table = f"`{database}`.`{name}`"
-    whole = from_footers(spark, table).agg(F.count(F.lit(1)).alias("feature_count"), *extent_aggregates())
-    whole = whole.withColumn("feature_count", F.coalesce("feature_count", F.lit(0)))
+    whole = from_footers(spark, table).agg(F.count(F.lit(1)).alias("feature_count"), *extent_aggregates(), F.max("fid").alias("last"))
+    whole = whole.withColumn("feature_count", _told_count("feature_count", "last")).drop("last")
     first = spark.table(table).agg(F.min_by("_source_order", "fid").alias("source_order"), F.min_by("_loaded_at", "fid").alias("loaded_at"))
     columns = ", ".join(c for c in spark.table(table).columns if c not in STORAGE)
     both = whole.join(F.broadcast(first), F.lit(True))  # a row each

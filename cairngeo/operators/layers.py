@@ -72,12 +72,18 @@ def in_system(df: DataFrame, source: int, target: int) -> DataFrame:
 # --- filters ---------------------------------------------------------------------
 
 
-CELL_SYSTEM = "cells.srid"  # metadata of a published layer's cell column: the system of its grid
+CELL_COMMENT = "layout cell in system "  # and its number: comment of a published layer's cell column
 
 
 def cell_column(cell: Column, srid: int) -> Column:
-    """The layout column under its name, marked with the system of its grid."""
-    return cell.alias("cell", metadata={CELL_SYSTEM: srid})
+    """The layout column under its name, with the system of its grid as a comment."""
+    return cell.alias("cell", metadata={"comment": f"{CELL_COMMENT}{srid}"})
+
+
+def cell_system(df: DataFrame) -> int | None:
+    """The system of a published layer's layout cells; nothing for other DataFrames."""
+    told = df.schema["cell"].metadata.get("comment", "") if "cell" in df.columns else ""
+    return int(told.removeprefix(CELL_COMMENT)) if told.startswith(CELL_COMMENT) else None
 
 
 def bbox_filter(df: DataFrame, box: Box | str) -> DataFrame:
@@ -88,7 +94,7 @@ def bbox_filter(df: DataFrame, box: Box | str) -> DataFrame:
     """
     b = parse_box(box) if isinstance(box, str) else box
     meets = F.expr(G.boxes_overlap_sql(envelope_columns(), literal_box(b)))
-    srid = df.schema["cell"].metadata.get(CELL_SYSTEM) if "cell" in df.columns else None
+    srid = cell_system(df)
     if srid is not None:
         meets = meets & cells.in_ranges(F.col("cell"), cells.box_ranges(b, srid))
     return df.filter(meets)

@@ -145,19 +145,12 @@ def publish_layer(
     found = _statistics(staged)
     load, folder = load_key(order_id, layer_name), f"{home}/load-{uuid.uuid4().hex}"
     if known and if_exists == "append":
-        facts = _certain_facts(spark, table)
-        if facts.get(layers.FACT_SRID, str(target_srid)) != str(target_srid):
-            raise ValueError(f"table {name} is in system {facts[layers.FACT_SRID]}, not {target_srid}")
-        old = _statistics(spark.table(table).filter(F.col("_load") == load))
-        last = int(facts[layers.FACT_LAST])
-        kinds = {k: layers.kind_counts(facts).get(k, 0) - old.kinds.get(k, 0) + found.kinds.get(k, 0) for k in {*layers.kind_counts(facts), *found.kinds}}
-        count = int(facts[layers.FACT_COUNT]) - old.count + found.count
+        last = _last_fid(spark, table, name, target_srid)
         wanted = [f for f in spark.table(table).schema.fields if f.name != "_load"]
         typed = [staged[f.name].cast(f.dataType).alias(f.name, metadata=f.metadata) for f in wanted]
         _set_facts(spark, table, {layers.FACT_LAST: last + found.last_fid, layers.FACT_UNSURE: "true"})
         _write_laid_out(staged.select(*typed).withColumn("fid", F.col("fid") + last), found.count, folder)
-        _point_at(spark, table, load, folder)
-        _set_facts(spark, table, _facts(count, kinds, target_srid, last + found.last_fid))
+        _add_load(spark, table, load, folder, found, last, target_srid)
     else:
         _write_laid_out(staged, found.count, folder)
         facts = _facts(found.count, found.kinds, target_srid, found.last_fid)
@@ -180,6 +173,27 @@ def _column_order(schema: T.StructType) -> list[str]:
     return [n for n in names if n not in nested] + [n for n in names if n in nested]
 
 
+def _last_fid(spark: SparkSession, table: str, name: str, srid: int) -> int:
+    """The last fid that a table gave, if it is in this system."""
+    facts = _certain_facts(spark, table)
+    if facts.get(layers.FACT_SRID, str(srid)) != str(srid):
+        raise ValueError(f"table {name} is in system {facts[layers.FACT_SRID]}, not {srid}")
+    return int(facts[layers.FACT_LAST])
+
+
+def _add_load(spark: SparkSession, table: str, load: str, folder: str, found: Statistics, last: int, srid: int) -> None:
+    """Point a load of a table at its folder and tell the table's facts; its fids begin after ``last``."""
+    facts = layers.table_facts(spark, table)
+    there = not spark.sql(f"SHOW PARTITIONS {table} PARTITION (_load = {_quoted(load)})").isEmpty()
+    old = _statistics(spark.table(table).filter(F.col("_load") == load)) if there else Statistics(0, {}, 0, (None,) * 4)
+    counted = layers.kind_counts(facts)
+    kinds = {k: counted.get(k, 0) - old.kinds.get(k, 0) + found.kinds.get(k, 0) for k in {*counted, *found.kinds}}
+    given = max(int(facts[layers.FACT_LAST]), last + found.last_fid)
+    _set_facts(spark, table, {layers.FACT_LAST: given, layers.FACT_UNSURE: "true"})
+    _point_at(spark, table, load, folder, there)
+    _set_facts(spark, table, _facts(int(facts[layers.FACT_COUNT]) - old.count + found.count, kinds, srid, given))
+
+
 # Rows from which a layer is cut into files by range; below it is one file.
 ROWS_PER_FILE = 250_000
 
@@ -194,12 +208,23 @@ class Statistics:
 
 def _statistics(rows: DataFrame) -> Statistics:
     """Count, features of each geometry type, last fid and extent of a layer's rows."""
+    return _statistics_by(rows.withColumn("_n", F.lit(0)), "_n").get(0, Statistics(0, {}, 0, (None,) * 4))
+
+
+def _statistics_by(rows: DataFrame, key: str) -> dict[object, Statistics]:
+    """The same for each value of a column that tells a bounded number of loads apart."""
     kind = F.col("geom")["type"].alias("kind")
-    found = rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.max("fid").alias("last"), *layers.extent_aggregates()).collect()  # a row per type
+    found = rows.groupBy(key, kind).agg(F.count(F.lit(1)).alias("n"), F.max("fid").alias("last"), *layers.extent_aggregates())
     ends = [(min, "minx"), (min, "miny"), (max, "maxx"), (max, "maxy")]
-    box = tuple(pick((r[c] for r in found if r[c] is not None), default=None) for pick, c in ends)
-    kinds = {r["kind"]: r["n"] for r in found if r["kind"] is not None}
-    return Statistics(sum(r["n"] for r in found), kinds, max((r["last"] for r in found), default=0), box)
+    per: dict[object, list] = {}
+    for row in found.collect():  # a row per load and type
+        per.setdefault(row[key], []).append(row)
+    out = {}
+    for load, own in per.items():
+        box = tuple(pick((r[c] for r in own if r[c] is not None), default=None) for pick, c in ends)
+        kinds = {r["kind"]: r["n"] for r in own if r["kind"] is not None}
+        out[load] = Statistics(sum(r["n"] for r in own), kinds, max(r["last"] for r in own), box)
+    return out
 
 
 def _write_laid_out(rows: DataFrame, count: int, folder: str) -> None:
@@ -234,13 +259,15 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _point_at(spark: SparkSession, table: str, load: str, folder: str) -> None:
+def _comment(field: T.StructField) -> str:
+    told = field.metadata.get("comment")
+    return f" COMMENT {_quoted(told)}" if told else ""
+
+
+def _point_at(spark: SparkSession, table: str, load: str, folder: str, there: bool) -> None:
     """Let a load of a table be the rows of a folder: one change of the catalogue."""
     part = f"PARTITION (_load = {_quoted(load)})"
-    if spark.sql(f"SHOW PARTITIONS {table} {part}").isEmpty():
-        spark.sql(f"ALTER TABLE {table} ADD {part} LOCATION {_quoted(folder)}")
-    else:
-        spark.sql(f"ALTER TABLE {table} {part} SET LOCATION {_quoted(folder)}")
+    spark.sql(f"ALTER TABLE {table} {part} SET LOCATION {_quoted(folder)}" if there else f"ALTER TABLE {table} ADD {part} LOCATION {_quoted(folder)}")
     spark.catalog.refreshTable(table)
 
 
@@ -250,10 +277,13 @@ def _swap_in(spark: SparkSession, database: str, name: str, schema: T.StructType
     spark.sql(f"DROP TABLE IF EXISTS `{database}`.`{new}`")
     # The table's own folder stays empty, each load has its own.
     root = f"{folder.rsplit('/', 1)[0]}/table-{uuid.uuid4().hex}"
-    empty = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("_load", T.StringType())]))
-    empty.write.format("parquet").partitionBy("_load").option("path", root).saveAsTable(f"`{database}`.`{new}`")
-    _point_at(spark, f"`{database}`.`{new}`", load, folder)
-    _set_facts(spark, f"`{database}`.`{new}`", facts)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}{_comment(f)}" for f in schema.fields)
+    told = ", ".join(f"'{k}' = '{v}'" for k, v in facts.items())
+    spark.sql(
+        f"CREATE TABLE `{database}`.`{new}` ({columns}, _load STRING) USING parquet PARTITIONED BY (_load)"
+        f" LOCATION {_quoted(root)} TBLPROPERTIES ({told})"
+    )
+    spark.sql(f"ALTER TABLE `{database}`.`{new}` ADD PARTITION (_load = {_quoted(load)}) LOCATION {_quoted(folder)}")
     if known:
         spark.sql(f"ALTER TABLE `{database}`.`{name}` RENAME TO `{database}`.`_old_{name}`")
     _finish_swap(spark, database, name)
@@ -306,6 +336,94 @@ def drop_load(spark: SparkSession, database: str, name: str, load: str) -> None:
     _set_facts(spark, table, _facts(int(facts[layers.FACT_COUNT]) - old.count, kinds, int(facts[layers.FACT_SRID]), int(facts[layers.FACT_LAST])))
 
 
+# --- many layers of one shape ----------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Target:
+    """Where the rows of an order's layer go."""
+
+    order_id: str
+    layer_name: str
+    table: str
+
+    @property
+    def load(self) -> str:
+        return load_key(self.order_id, self.layer_name)
+
+
+def publish_together(
+    features: DataFrame, targets: list[Target], database: str, source_srid: int, target_srid: int = crs.WGS84, if_exists: str = "replace"
+) -> list[Statistics | Exception]:
+    """Write the layers of many orders, alike in columns and system, in one go: as many jobs as for a single layer.
+
+    ``features`` has the rows of all targets with ``order_id``, ``layer_name`` and a serial ``fid`` in each. Decoding,
+    statistics and layout are one job each over all of them; each layer then gets its folder and its place in the
+    catalogue as by :func:`publish_layer`. What comes back is for each target what was loaded, or why it was not. A target
+    needs rows, and as many targets as there are must fit a driver's list.
+    """
+    spark = features.sparkSession
+    base = spark.catalog.getDatabase(database).locationUri.rstrip("/")
+    work = f"{base}/together-{uuid.uuid4().hex}"
+    last: list[int] = []
+    given: dict[str, int] = {}
+    for t in targets:
+        _finish_swap(spark, database, t.table)
+        known = spark.catalog.tableExists(f"{database}.{t.table}")
+        if known and if_exists == "append" and t.table not in given:
+            given[t.table] = _last_fid(spark, f"`{database}`.`{t.table}`", t.table, target_srid)
+    numbers = spark.createDataFrame([(n, t.order_id, t.layer_name) for n, t in enumerate(targets)], "_n int, order_id string, layer_name string")
+    mine = features.join(F.broadcast(numbers), ledger_ops.KEY)  # a row per target
+    rows = prepared(mine, source_srid, target_srid).withColumnsRenamed({"order_id": "_source_order"}).drop("layer_name")
+    rows.withColumn("_loaded_at", F.current_timestamp()).write.parquet(f"{work}/staged")
+    staged = cells.with_feature_cell(spark.read.parquet(f"{work}/staged"), target_srid)
+    names = [c for c in _column_order(staged.schema) if c != "_n"]
+    staged = staged.select("_n", *[layers.cell_column(F.col(c), target_srid) if c == "cell" else f"`{c}`" for c in names])
+    found = _statistics_by(staged, "_n")
+    for n, t in enumerate(targets):  # loads of one table count on from one another
+        last.append(given.get(t.table, 0))
+        if if_exists == "append":
+            given[t.table] = last[-1] + (found[n].last_fid if n in found else 0)
+    offsets = spark.createDataFrame(list(enumerate(last)), "_n int, _before bigint")
+    placed = staged.join(F.broadcast(offsets), "_n").withColumn("fid", F.col("fid") + F.col("_before")).drop("_before")
+    parts = -(-sum(s.count for s in found.values()) // ROWS_PER_FILE)
+    dealt = placed.repartitionByRange(parts, "_n", "cell", "fid") if parts > 1 else placed.coalesce(1)
+    dealt.sortWithinPartitions("_n", "cell", "fid").write.partitionBy("_n").parquet(f"{work}/laid_out")
+    schema = T.StructType([f for f in placed.schema.fields if f.name != "_n"])
+    outcomes: list[Statistics | Exception] = []
+    for n, t in enumerate(targets):
+        try:
+            outcomes.append(_place(spark, database, t, f"{work}/laid_out/_n={n}", schema, found[n], last[n], target_srid, if_exists))
+        except Exception as error:  # one layer does not stop the rest
+            outcomes.append(error)
+    files.delete_tree(spark, work)
+    return outcomes
+
+
+def _place(
+    spark: SparkSession, database: str, target: Target, written: str, schema: T.StructType, found: Statistics, last: int, srid: int, if_exists: str
+) -> Statistics:
+    """Give a written layer its folder below its table, and the table the folder."""
+    table = f"`{database}`.`{target.table}`"
+    known = spark.catalog.tableExists(f"{database}.{target.table}")
+    if known and if_exists == "fail":
+        raise ValueError(f"table {target.table} already exists")
+    if known and if_exists == "append":
+        there = T.StructType([f for f in spark.table(table).schema.fields if f.name != "_load"])
+        if [(f.name, f.dataType) for f in there.fields] != [(f.name, f.dataType) for f in schema.fields]:
+            raise ValueError(f"table {target.table} has other columns")
+    home = f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/{target.table}"
+    folder = f"{home}/load-{uuid.uuid4().hex}"
+    files.move(spark, written, folder)
+    if known and if_exists == "append":
+        _add_load(spark, table, target.load, folder, found, last, srid)
+    else:
+        facts = _facts(found.count, found.kinds, srid, last + found.last_fid)
+        _swap_in(spark, database, target.table, schema, target.load, folder, facts, known)
+    _forget_folders(spark, table, home)
+    return found
+
+
 # --- orders ------------------------------------------------------------------------------
 
 
@@ -324,6 +442,7 @@ class Publisher:
     target_srid: int = crs.WGS84
     location: str = field(default="")
     layers_at_once: int = 4
+    layers_per_job: int = 500
 
     def __post_init__(self) -> None:
         self.location = (self.location or shared_dir(self.spark)).rstrip("/")
@@ -399,6 +518,7 @@ class Publisher:
         count = F.count_distinct(F.struct("zip_name", "inner_path"))
         mixed = F.sha2(F.concat_ws("-", count, *pieces), 256)
         columns = F.to_json("columns")
+        features = F.sum("feature_count") if "feature_count" in catalogue.columns else F.lit(None).cast("bigint")
         return (
             catalogue.filter(F.col("error").isNull())
             .groupBy("order_id", "layer_name")
@@ -407,6 +527,7 @@ class Publisher:
                 F.min(F.element_at(F.split("inner_path", "/"), -1)).alias("source_file"),
                 F.min("srid").alias("srid"),
                 F.max_by("columns", columns).alias("columns"),
+                features.alias("feature_count"),
                 ((F.min(columns) == F.max(columns)) & (F.min("srid") == F.max("srid"))).alias("uniform"),
             )
         )
@@ -431,8 +552,9 @@ class Publisher:
         ``table_name`` puts the layers in that table, else a table has its layer's name.
         With ``if_exists="append"`` layers add to a table, with ``fail`` an existing table is
         an error. ``layer_names`` are resolved by :func:`layers.resolved_names`. The driver
-        walks over the names of the due layers; each layer is one Spark job over its own
-        files, and enters the ledger as soon as its table is done.
+        walks over the names of the due layers. Layers alike in columns and system are published together, up to
+        ``layers_per_job`` in one job; others, and those of a group that fails, one by one, ``layers_at_once`` at a
+        time. They enter the ledger as soon as their tables are done.
         """
         if if_exists not in MODES:
             raise ValueError(f"if_exists is one of {', '.join(MODES)}")
@@ -465,6 +587,8 @@ class Publisher:
         for one in due.orderBy("order_id", "layer_name").toLocalIterator():
             by_table.setdefault(table_name or text.clean_name(one["layer_name"]), []).append(one)
 
+        outcomes += self._publish_alike(contents, by_table, if_exists)
+
         def publish_table(table: str) -> list:
             if len(by_table[table]) > 1 and if_exists == "replace":
                 warnings.warn(f"{table} is in {len(by_table[table])} layers, the last one stays", stacklevel=2)
@@ -523,6 +647,58 @@ class Publisher:
         """All orders, only the layers that are new or whose bytes changed."""
         return self.publish_orders()
 
+    def _publish_alike(self, contents: DataFrame, by_table: dict[str, list], if_exists: str) -> list[tuple]:
+        """Publish the layers that others are like, take them out of ``by_table``, return their report rows.
+
+        Layers that replace one another in a table are left, as are those without features. What cannot be published
+        together is left too, to be tried by itself.
+        """
+        alike: dict[str, list] = {}
+        for table, ones in by_table.items():
+            if if_exists != "append" and len(ones) > 1:
+                continue
+            for one in ones:
+                if one["uniform"] and one["feature_count"]:
+                    alike.setdefault(repr((one["columns"], one["srid"])), []).append((table, one))
+        outcomes = []
+        for group in alike.values():
+            for cut in range(0, len(group), self.layers_per_job):
+                some = group[cut : cut + self.layers_per_job]
+                if len(some) > 1:
+                    outcomes += self._publish_some(contents, some, by_table, if_exists)
+        return outcomes
+
+    def _publish_some(self, contents: DataFrame, some: list, by_table: dict[str, list], if_exists: str) -> list[tuple]:
+        started = time.time()
+        targets = [Target(one["order_id"], one["layer_name"], table) for table, one in some]
+        orders, names = [sorted({one[c] for _, one in some}) for c in ledger_ops.KEY]
+        try:
+            mine = contents.filter(F.col("order_id").isin(orders) & F.col("layer_name").isin(names))
+            features = archives.read_layer(mine, some[0][1]["columns"]).drop("zip_name", "inner_path", "source_row")
+            loaded = publish_together(features, targets, self.database, some[0][1]["srid"], self.target_srid, if_exists)
+        except Exception as error:  # one of them may be at fault: they are tried one by one
+            warnings.warn(f"{len(some)} layers could not be published together: {str(error)[:200]}", stacklevel=2)
+            return []
+        done = [(table, one, stats) for (table, one), stats in zip(some, loaded, strict=True) if not isinstance(stats, Exception)]
+        if done:
+            rows = [
+                (one["order_id"], one["source_file"], one["source_hash"], table, one["layer_name"], stats.count, *stats.box) for table, one, stats in done
+            ]
+            shape = "order_id string, source_file string, source_hash string, table_name string, layer_name string, feature_count bigint, minx double, miny double, maxx double, maxy double"
+            new = self.spark.createDataFrame(rows, shape).withColumns({"bbox": layers.box_text(), "loaded_at": F.current_timestamp()})
+            try:
+                with self._ledger_lock:
+                    self.ledger.upsert(new)
+            except Exception as error:
+                seconds = (time.time() - started) / len(some)
+                for table, one, _ in done:
+                    by_table[table].remove(one)
+                return [(one["order_id"], table, one["layer_name"], 0, seconds, "failed", str(error)) for table, one, _ in done]
+        seconds = (time.time() - started) / len(some)
+        for table, one, _ in done:
+            by_table[table].remove(one)
+        return [(one["order_id"], table, one["layer_name"], stats.count, seconds, "ok", None) for table, one, stats in done]
+
     def _publish_one(self, contents: DataFrame, one, table: str, if_exists: str) -> tuple:
         """Publish one layer, enter it in the ledger, return its report row."""
         order_id, layer, started = one["order_id"], one["layer_name"], time.time()

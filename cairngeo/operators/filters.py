@@ -6,7 +6,9 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from . import publish
 from .layers import attr_filter
 
 
@@ -45,3 +47,20 @@ def compile_graph(graph: str | dict, source: Callable[[str], DataFrame]) -> dict
         for node_id, node in nodes.items()
         if node["name"] == "DatabaseNode"
     }
+
+
+def orders_in(layer: DataFrame, order_column: str = "_source_order") -> Callable[[str], DataFrame]:
+    """The source of a graph over one layer: the features that came with an order; an order without any gives none."""
+    return lambda order_id: layer.filter(F.col(order_column) == order_id)
+
+
+def run_graph(
+    graph: str | dict, source: Callable[[str], DataFrame], database: str, source_srid: int, order_by: list[str], **options
+) -> dict[str, DataFrame]:
+    """Publish what reaches each table of a graph as a layer of that name; gives count, extent and bbox of each.
+
+    ``order_by`` numbers the features; ``options`` are those of :func:`publish.publish_layer`.
+    """
+    outputs = compile_graph(graph, source)
+    kept = {name: df.drop("fid", "srid", "cell", "_load", "xmin", "ymin", "xmax", "ymax", "_source_order", "_loaded_at") for name, df in outputs.items()}
+    return {name: publish.publish_layer(df, name, database, source_srid, order_by, **options) for name, df in kept.items()}

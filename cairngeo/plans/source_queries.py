@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import crs
 from ..functions import geometry as G
 from ..functions.sql import register_functions
-from ..operators import deliveries, export, feeds, layers, ledger, publish
+from ..operators import deliveries, export, feeds, filters, layers, ledger, publish
 from ..operators import tiles as tile_ops
 from ..operators.entrylog import EntryLog
 from ..sources import archives, gpkg
@@ -319,6 +319,38 @@ def k2b(spark, d):
     return functools.reduce(DataFrame.unionByName, found)
 
 
+def _graph(*orders: str) -> dict:
+    """Orders into a filter on the balance, that into one on the segment, and both filters into a table each."""
+
+    def node(name, data, *feeding):
+        return {"name": name, "data": data, "inputs": {"input_1": {"connections": [{"node": n} for n in feeding]}} if feeding else {}}
+
+    nodes = {f"o{k}": node("OrderNode", {"orderId": order}) for k, order in enumerate(orders)}
+    nodes["rich"] = node("FilterNode", {"field": "c_acctbal", "operator": ">", "value": "0"}, *nodes)
+    nodes["some"] = node("FilterNode", {"field": "c_mktsegment", "operator": "contains", "value": "M"}, "rich")
+    nodes["one"] = node("DatabaseNode", {"connectionName": "rich"}, "rich")
+    nodes["two"] = node("DatabaseNode", {"connectionName": "rich_m"}, "some")
+    return {"drawflow": {"Home": {"data": nodes}}}
+
+
+@query(
+    "P6_run_graph",
+    sql(
+        """SELECT t.name, row_number() OVER (PARTITION BY t.name ORDER BY p.fid) AS fid, p.fid AS source_fid, c_name, x, y
+           FROM point_layer p, (VALUES ('rich', ''), ('rich_m', 'M')) AS t(name, part)
+           WHERE c_acctbal > 0 AND contains(c_mktsegment, t.part) AND _source_order IN ('o3', 'o17', 'o249')""",
+        "point_layer",
+    ),
+)
+def p6b(spark, d):
+    """A graph of three named orders run to the end: what reaches its tables is published."""
+    name = _database(spark)
+    source = filters.orders_in(views.point_layer(spark, d).withColumn("source_fid", F.col("fid")))
+    filters.run_graph(_graph("o3", "o17", "o249", "gone"), source, name, crs.SWEREF, ["source_fid"], target_srid=crs.SWEREF)
+    found = [spark.table(f"{name}.{t}").selectExpr(f"'{t}' AS name", "fid", "source_fid", "c_name", "xmin AS x", "ymin AS y") for t in ("rich", "rich_m")]
+    return found[0].unionByName(found[1])
+
+
 @query("U1_append_layer", sql("SELECT c_name, CASE WHEN c_mktsegment < 'F' THEN row_number() OVER (PARTITION BY c_mktsegment < 'F' ORDER BY fid) ELSE (SELECT count(*) FROM point_layer WHERE c_mktsegment < 'F') + row_number() OVER (PARTITION BY c_mktsegment < 'F' ORDER BY fid) END AS fid FROM point_layer", "point_layer"))
 def u1(spark, d):
     name = _database(spark)

@@ -1,12 +1,16 @@
 """Repeated passages by hashing of units: sentences, lines or paragraphs.
 
 A text is cut into units. Paragraphs lie between blank lines, lines between line breaks; a sentence is the part of a line
-up to its full stop, question or exclamation mark, which finds passages that begin and end within a line as well. A
-unit is normalised (A-Z in lower case, runs of white space as one space) and hashed to 128 bits; digests are grouped
-over all documents, with a partial step before the shuffle. The earliest ranked occurrence (smallest id, then smallest
-offset) of a unit stays, others are repeats. Repeats that follow one another without a gap are a passage; a
-passage of at least ``min_words`` words is removed, shorter ones are chance or a common phrase and stay. The offsets
-of what is removed are those of the original text.
+up to its full stop, question or exclamation mark (of any of the scripts in ``STOPS``), which finds passages that begin
+and end within a line as well. A unit is normalised (A-Z in lower case, runs of white space as one space) and hashed to
+128 bits; digests are grouped over all documents, with a partial step before the shuffle. The earliest ranked occurrence
+(smallest id, then smallest offset) of a unit stays, others are repeats. Repeats that follow one another without a
+gap are a passage; a passage of at least ``min_words`` words is removed, shorter ones are chance or a common phrase and
+stay. In scripts that are written without spaces (``UNSPACED``) every character counts as a word, as do the runs between
+white space elsewhere. The offsets of what is removed are those of the original text.
+
+A digest that makes up a thousandth of all units or more is met by a broadcast of its first occurrence (there are fewer than
+two thousand such digests), so that no task gets all its occurrences; the others are met by a shuffle.
 
 Defined results: null text stays null, empty text empty; rows without an id come after all others; rows that
 repeat an id are ranked by a hash of their text, equal rows with one id are one occurrence and keep or lose their units
@@ -28,7 +32,15 @@ from .tables import chunks, fresh, written
 
 MIN_WORDS = 25
 
-_SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
+# Full stops, question and exclamation marks of the scripts; scripts that are written without spaces
+# (Thai to Khmer, kana, Chinese characters).
+STOPS = ".!?。｡．！？।॥۔؟።፧၊။។"
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+
+HEAVY = 1000  # a digest is frequent from this part of all units on
+
+_SENTENCE = re.compile(f"[^{STOPS}\n]+[{STOPS}]*")
+_UNSPACED = re.compile(f"[{UNSPACED}]")
 _LINE = re.compile(r"[^\n]+")
 _PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]*\S[^\n]*)*")
 _FOLDED = str.maketrans({**{chr(c): chr(c + 32) for c in range(65, 91)}, **dict.fromkeys("\t\n\r\x0b\x0c", " ")})
@@ -41,7 +53,9 @@ def units(text: str, kind: str) -> list[tuple[int, int, int, bytes]]:
     for found in UNITS[kind].finditer(text):
         parts = list(filter(None, found.group().translate(_FOLDED).split(" ")))
         if parts:
-            out.append((*found.span(), len(parts), xxhash.xxh3_128_digest(" ".join(parts))))
+            own = " ".join(parts)
+            wide = 0 if own.isascii() else len(_UNSPACED.findall(own))
+            out.append((*found.span(), max(len(parts), wide), xxhash.xxh3_128_digest(own)))
     return out
 
 
@@ -66,10 +80,15 @@ def occurrences(docs: DataFrame, kind: str = "sentence", id_col: str = "doc_id",
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """The occurrences that are not the first of their digest."""
+    """The occurrences that are not the first of their digest; ``found`` is a written table."""
     rank = F.struct(F.col("id").isNull().alias("unnamed"), "id", "print", "number")
-    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    return found.join(first, "digest").where(rank != F.col("first")).drop("first")
+    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = written(first)
+    frequent = F.col("n") >= max(2, found.count() // HEAVY)
+    heavy = F.broadcast(first.where(frequent).select("digest", "first"))  # fewer than twice HEAVY rows
+    rest = found.join(F.broadcast(first.where(frequent).select("digest")), "digest", "left_anti")
+    met = found.join(heavy, "digest").unionByName(rest.join(first.where(~frequent).select("digest", "first"), "digest"))
+    return met.where(rank != F.col("first")).drop("first")
 
 
 def passages(own: list[tuple[int, int, int, bytes]], repeated: list[int], min_words: int) -> list[dict[str, int]]:

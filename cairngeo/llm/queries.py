@@ -149,16 +149,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+_STOPS, _UNSPACED = passage_dedup.STOPS, passage_dedup.UNSPACED
 PASSAGES_SQL = f"""
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(text, '[^.!?\\n]+[.!?]*|[.!?\\n]+') AS tokens FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(text, '[^{_STOPS}\\n]+[{_STOPS}]*|[{_STOPS}\\n]+') AS tokens FROM documents),
 parts AS (SELECT r, doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM docs),
 placed AS (
   SELECT *, CAST(sum(len(token)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS stop,
-    CASE WHEN regexp_full_match(token, '[.!?\\n]+') THEN '' ELSE translate(trim(regexp_replace(token, '[ \\t\\r\\x0B\\x0C]+', ' ', 'g')),
+    CASE WHEN regexp_full_match(token, '[{_STOPS}\\n]+') THEN '' ELSE translate(trim(regexp_replace(token, '[ \\t\\r\\x0B\\x0C]+', ' ', 'g')),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS unit
   FROM parts
 ), units AS (
-  SELECT *, row_number() OVER (PARTITION BY r ORDER BY i) AS number, len(string_split(unit, ' ')) AS words,
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY i) AS number, greatest(len(string_split(unit, ' ')), len(regexp_extract_all(unit, '[{_UNSPACED}]'))) AS words,
     row_number() OVER (PARTITION BY unit ORDER BY doc_id, i) > 1 AS again FROM placed WHERE unit <> ''
 ), runs AS (
   SELECT r, min(stop - len(token)) AS a, max(stop) AS b

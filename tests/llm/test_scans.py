@@ -16,7 +16,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairngeo.llm import filter_audit, periodic, queries, secrets
+from cairngeo.llm import filter_audit, passage_dedup, periodic, queries, secrets
 from scripts.check import rows_of
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -292,3 +292,30 @@ def test_equals_its_sql(spark, name):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet')")
     result = db.execute(queries.ORACLES[name])
     assert (columns, rows) == rows_of([c[0] for c in result.description], result.fetchall())
+
+
+# --- passages in other scripts, and a frequent unit ---------------------------------------
+
+
+def test_passages_of_scripts_without_spaces_and_with_other_stops(make):
+    chinese = "".join(chr(0x4E00 + i * 7 % 5000) for i in range(120))
+    hindi = " ".join(f"शब्द{i}" for i in range(14)) + "। " + " ".join(f"वाक्य{i}" for i in range(14)) + "।"
+    rows = [(i, f"own{i} line\n{chinese}\nmore{i} words. {hindi} end{i}", "zh", "s") for i in range(3)]
+    found = {r["doc_id"]: r for r in passage_dedup.drop_repeats(make(rows)).collect()}
+    assert found[0]["removed"] == []
+    for i in (1, 2):
+        assert chinese not in found[i]["text"] and "शब्द3" not in found[i]["text"]
+        assert f"own{i} line" in found[i]["text"] and f"end{i}" in found[i]["text"]
+    short = [(i, f"own{i}\n{chinese[:20]}\nmore{i}", "zh", "s") for i in range(3)]
+    assert all(r["removed"] == [] for r in passage_dedup.drop_repeats(make(short)).collect())
+
+
+def test_a_frequent_unit_and_rare_ones_lose_their_later_occurrences(spark, make, monkeypatch):
+    sentence = " ".join(f"often{i}" for i in range(30)) + "."
+    twice = " ".join(f"twice{i}" for i in range(30)) + "."
+    rows = [(i, f"own{i} {i}. {sentence}" + (f" {twice}" if i in (50, 90) else ""), "en", "s") for i in range(120)]
+    monkeypatch.setattr(passage_dedup, "HEAVY", 4)
+    docs = make([*rows, (None, f"{sentence}", "en", "s")])
+    found = passage_dedup.drop_repeats(docs).collect()
+    assert sum("often3" in r["text"] for r in found) == 1 and "often3" in next(r["text"] for r in found if r["doc_id"] == 0)
+    assert [r["doc_id"] for r in found if "twice3" in r["text"]] == [50]

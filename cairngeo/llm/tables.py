@@ -4,27 +4,49 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from ..sources import files
 
 # Texts are handed to the vectorised code in pieces of about this many bytes (one longer text is a piece of its own).
 CHUNK_BYTES = 4 << 20
 
 
+# Folders of the tables written since the innermost `passing_tables` began.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, and still there when an executor is lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{uuid.uuid4().hex}"
+    if (folders := _passing.get()) is not None:
+        folders.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete the tables that are written within, at the end; what is to last is taken out of the list or written after it."""
+    folders: list[str] = []
+    token = _passing.set(folders)
+    try:
+        yield folders
+    finally:
+        _passing.reset(token)
+        for folder in folders:
+            files.delete_tree(spark, folder)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, made longer until none is a column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairngeo.llm import decontamination, line_dedup, near_dedup, packing, quality
-from cairngeo.llm.tables import written
+from cairngeo.llm.tables import passing_tables, written
 from cairngeo.session import configure
+from cairngeo.sources import files
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,10 +67,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over the whole table."""
+    """All stages, one after the other, over the whole table.
+
+    Once a stage's documents are written, the tables that it made on the way and its own input are deleted. The last
+    stage's input and tables stay, as its rows are made when they are asked for.
+    """
     configure(spark)
     sf_dir = sf_dir.rstrip("/")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with passing_tables(spark) as folders:
+            docs = written(stage(spark, docs, sf_dir))
+            kept = folders.pop()  # the last one written
+        if before is not None:
+            files.delete_tree(spark, before)
+        before = kept
     return STAGES[-1][1](spark, docs, sf_dir)

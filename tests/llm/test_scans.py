@@ -17,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairngeo.llm import filter_audit, passage_dedup, periodic, queries, secrets
+from cairngeo.sources import files
 from scripts.check import rows_of
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -319,3 +320,21 @@ def test_a_frequent_unit_and_rare_ones_lose_their_later_occurrences(spark, make,
     found = passage_dedup.drop_repeats(docs).collect()
     assert sum("often3" in r["text"] for r in found) == 1 and "often3" in next(r["text"] for r in found if r["doc_id"] == 0)
     assert [r["doc_id"] for r in found if "twice3" in r["text"]] == [50]
+
+
+def test_passing_tables_are_deleted_and_lasting_ones_stay(spark):
+    from cairngeo.llm.tables import passing_tables, written
+
+    def folder(df):
+        return df.inputFiles()[0].rsplit("/", 1)[0]
+
+    with passing_tables(spark) as folders:
+        passing = folder(written(spark.range(3)))
+        lasting = written(spark.range(5))
+        folders.pop()
+    assert lasting.count() == 5 and not files.exists(spark, passing)
+    with pytest.raises(RuntimeError), passing_tables(spark):
+        lost = folder(written(spark.range(3)))
+        raise RuntimeError
+    assert not files.exists(spark, lost)
+    assert files.exists(spark, folder(written(spark.range(2))))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .licence_texts import FULL_TEXTS
-from .tables import chunks, text_buffer, written
+from .tables import chunks, fresh, text_buffer, written
 from .words import lowered, slices, word_hashes, words
 
 THRESHOLD = 0.75
@@ -232,6 +232,9 @@ def _frequencies(docs: DataFrame, templates: dict[str, list[str]], text_col: str
     return count.get(-1, 0), {int(w): count.get(i, 0) for i, w in enumerate(own)}
 
 
+RESULT = ("path", "whole_text", "licence", "cosine", "start", "end", "licence_file", "spans", "licence_source", "from_path")
+
+
 def own_licences(
     files: DataFrame,
     templates: dict[str, list[str]] = TEMPLATES,
@@ -242,7 +245,11 @@ def own_licences(
     full: dict[str, str] = FULL,
     full_threshold: float = FULL_THRESHOLD,
 ) -> DataFrame:
-    """Per file: ``keep``, path, licence, cosine, start, end (bytes of the original text), licence_file, spans (all matches)."""
+    """Per file: ``keep``, path, licence, cosine, start, end (bytes of the original text), licence_file, spans (all matches).
+
+    A kept column of one of these names, or of those that :func:`inherited` adds, is replaced.
+    """
+    keep = tuple(c for c in keep if c.lower() not in RESULT)
     context = files.sparkSession.sparkContext
     whole = {name: [text] for name, text in full.items()}
     texts, found = _frequencies(files, {"": [t for part in (templates, whole) for of in part.values() for t in of]}, text_col)
@@ -268,25 +275,26 @@ def _folder(path):
 
 def inherited(found: DataFrame) -> DataFrame:
     """The files with source (``own``, ``inherited`` or null) and from_path, the licence file that gave the licence."""
-    files = found.withColumn("folder", _folder(F.col("path")))
+    folder, near = fresh(found, "folder", "near")
+    files = found.withColumn(folder, _folder(F.col("path")))
     best = F.struct((-F.col("cosine")).alias("c"), "path", "licence")
-    given = files.where(F.col("licence_file") & F.col("path").isNotNull()).groupBy("folder").agg(F.min(best).alias("given"))
-    given = given.select(F.col("folder").alias("above"), F.col("given.licence").alias("their"), F.col("given.path").alias("from_path"))
-    folders = files.where(F.col("folder").isNotNull() & F.col("licence").isNull()).select("folder").distinct()
-    parts = F.split("folder", "/")
+    given = files.where(F.col("licence_file") & F.col("path").isNotNull()).groupBy(F.col(folder).alias("above")).agg(F.min(best).alias("given"))
+    given = given.select("above", F.col("given.licence").alias("their"), F.col("given.path").alias("from_path"))
+    folders = files.where(F.col(folder).isNotNull() & F.col("licence").isNull()).select(F.col(folder).alias("below")).distinct()
+    parts = F.split("below", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     nearest = (
-        folders.select("folder", F.explode(F.array_distinct(above)).alias("above"))
+        folders.select("below", F.explode(F.array_distinct(above)).alias("above"))
         .join(given, "above")
-        .groupBy("folder")
-        .agg(F.max_by(F.struct("their", "from_path"), F.length("above")).alias("near"))
+        .groupBy(F.col("below").alias(folder))
+        .agg(F.max_by(F.struct("their", "from_path"), F.length("above")).alias(near))
     )
-    joined = files.join(nearest, "folder", "left")
-    mine, theirs = F.col("licence").isNotNull(), F.col("near").isNotNull()
+    joined = files.join(nearest, folder, "left")
+    mine, theirs = F.col("licence").isNotNull(), F.col(near).isNotNull()
     return joined.select(
-        *[F.coalesce("licence", "near.their").alias(c) if c == "licence" else F.col(c) for c in found.columns],
+        *[F.coalesce("licence", f"{near}.their").alias(c) if c == "licence" else F.col(f"`{c}`") for c in found.columns],
         F.when(mine, "own").when(theirs, "inherited").alias("licence_source"),
-        F.when(~mine & theirs, F.col("near.from_path")).alias("from_path"),
+        F.when(~mine & theirs, F.col(f"{near}.from_path")).alias("from_path"),
     )
 
 

@@ -16,7 +16,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairngeo.llm import filter_audit, passage_dedup, periodic, queries, secrets
+from cairngeo.llm import filter_audit, language, licences, line_dedup, near_dedup, passage_dedup, periodic, queries, secrets
 from cairngeo.sources import files
 from scripts.check import rows_of
 
@@ -338,3 +338,57 @@ def test_passing_tables_are_deleted_and_lasting_ones_stay(spark):
         raise RuntimeError
     assert not files.exists(spark, lost)
     assert files.exists(spark, folder(written(spark.range(2))))
+
+
+# --- earlier operators on cases that had no test ---------------------------------------------
+
+
+def test_licences_with_clashing_columns(spark):
+    rows = [("a/LICENSE", "Released under the MIT License.", "n", "f", "old", 1.0, 3), ("a/b/x.txt", "nothing to see", "n2", "f2", "old", 2.0, 4)]
+    files_ = spark.createDataFrame(rows, "path string, text string, near string, folder string, licence string, cosine double, above int")
+    found = {r["path"]: r for r in licences.licences(files_, keep=("near", "folder", "licence", "cosine", "above")).collect()}
+    assert (found["a/b/x.txt"]["licence"], found["a/b/x.txt"]["from_path"]) == ("MIT", "a/LICENSE")
+    assert [(found[p]["near"], found[p]["folder"], found[p]["above"]) for p in ("a/LICENSE", "a/b/x.txt")] == [("n", "f", 3), ("n2", "f2", 4)]
+
+
+def test_equal_licences_in_one_folder_and_equal_languages(spark, make):
+    mit = "Released under the MIT License."
+    rows = [("a/COPYING", mit), ("a/LICENSE", mit), ("a/x.txt", "nothing to see"), ("a/x.txt", "nothing to see")]
+    found = [r for r in licences.licences(spark.createDataFrame(rows, "path string, text string")).collect() if r["path"] == "a/x.txt"]
+    assert [(r["licence"], r["from_path"]) for r in found] == [("MIT", "a/COPYING")] * 2
+    same = [(1, "uno dos tres", "es", "s"), (2, "uno dos tres", "pt", "s"), (3, "uno dos tres", "es", "s"), (4, "uno dos tres", "pt", "s")]
+    assert {r["lang_pred"] for r in language.with_language(make(same)).collect()} == {"es"}  # ties go to what sorts first
+
+
+def test_texts_of_very_many_lines(make):
+    shared = "\n".join(f"shared line number {i} of many" for i in range(3000))
+    rows = [(i, f"own {i}\n{shared}\nend {i}", "en", f"s{i}") for i in range(4)]
+    lines = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(make(rows), min_sites=3).collect()}
+    assert lines == {i: f"own {i}\nend {i}" for i in range(4)}
+    kept = {r["doc_id"]: r for r in passage_dedup.drop_repeats(make(rows), kind="line").collect()}
+    assert kept[0]["text"] == rows[0][1] and all("shared line" not in kept[i]["text"] for i in (1, 2, 3))
+
+
+def test_a_large_bucket_of_copies_below_the_bar(make):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(150):  # every pair shares a lot, hardly any 85 %
+        words = list(base)
+        for k in rng.sample(range(120), 3):
+            words[k] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            a, b = top(i), top(j)
+            root[max(a, b)] = min(a, b)
+    found = near_dedup.near_duplicates(make([(i, t, "en", "s") for i, t in enumerate(texts)])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: top(i) for i in range(len(texts))}

@@ -10,7 +10,8 @@ Everything but WKB reading and writing is a built-in expression. The longer ones
 are written as SQL text over column names (or other SQL snippets): parsing one
 text is far quicker than assembling the same tree call by call, and the texts
 also serve as the bodies of the SQL functions. WKB goes through Arrow: a batch is read in
-step, level by level, and all its coordinates are gathered at once.
+step, level by level, and all its coordinates are gathered at once; it is written
+as one list of heads, counts and vertices.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -328,69 +330,106 @@ def decode_batch(blobs: pa.Array) -> pa.Array:
     return _nested(names[top], data.null, part_sizes, members.astype(np.int32), names[kinds], ring_sizes, size, _coordinates(data, at, size, width, swapped))
 
 
-class _Columns:
-    """The nested levels of an Arrow geometry array as offsets over flat arrays."""
-
-    def __init__(self, geoms: pa.Array):
-        parts = geoms.field("parts")
-        rings = parts.values.field("rings")
-        runs = rings.values
-        vertices = runs.values
-        self.parts, self.rings, self.runs = (a.offsets.to_numpy() for a in (parts, rings, runs))
-        self.members = parts.values.field("member").to_numpy(zero_copy_only=False)
-        self.kinds = parts.values.field("kind")
-        self.xy = np.column_stack([vertices.field(k).to_numpy(zero_copy_only=False) for k in "xy"]).astype("<f8")
-
-    def run(self, k: int) -> np.ndarray:
-        return self.xy[self.runs[k] : self.runs[k + 1]]
-
-    def shape(self, base: int, part: int) -> bytes:
-        """Point, line or polygon of one part."""
-        head = struct.pack("<BI", 1, base)
-        first, last = self.rings[part], self.rings[part + 1]
-        if base == 1:
-            return head + self.run(first).tobytes()
-        lines = [struct.pack("<I", len(self.run(k))) + self.run(k).tobytes() for k in range(first, last)]
-        return head + (lines[0] if base == 2 else struct.pack("<I", last - first) + b"".join(lines))
-
-    def whole(self, kind: str, first: int, last: int) -> bytes:
-        """Geometry of the parts from ``first`` up to ``last``."""
-        base = TYPE_CODES[kind]
-        if base == 7:
-            cuts = [first, *(k for k in range(first + 1, last) if self.members[k] != self.members[k - 1]), last]
-            spans = [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
-            body = b"".join(self.whole(self.kinds[a].as_py(), a, b) for a, b in spans)
-            return struct.pack("<BII", 1, 7, len(spans)) + body
-        if base >= 4:
-            return struct.pack("<BII", 1, base, last - first) + b"".join(
-                self.shape(base - 3, k) for k in range(first, last)
-            )
-        if first == last:
-            empty = struct.pack("<dd", np.nan, np.nan) if base == 1 else struct.pack("<I", 0)
-            return struct.pack("<BI", 1, base) + empty
-        return self.shape(base, first)
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    """Where each of a row of lists begins in their flat values."""
+    return np.cumsum(sizes) - sizes
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """(sizes, values) of an Arrow list array; the values of rows that are null are left out."""
+    offsets, there = lists.offsets.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
+    sizes = np.where(there, np.diff(offsets), 0)
+    if there.all() and sizes.sum() == offsets[-1] - offsets[0]:
+        return sizes, lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+    places = np.repeat(offsets[:-1] - _starts(sizes), sizes) + np.arange(sizes.sum())
+    return sizes, lists.values.take(pa.array(places))
+
+
+def _codes(names: pa.Array) -> np.ndarray:
+    """Type codes of names, 0 for none."""
+    coded = names.dictionary_encode()
+    table = np.array([*(TYPE_CODES.get(n, 0) for n in coded.dictionary.to_pylist()), 0], np.int64)
+    return table[np.asarray(pa.compute.fill_null(coded.indices, len(table) - 1))]
 
 
 def encode_batch(geoms: pa.Array) -> pa.Array:
-    """Arrow geometry array to little-endian 2D well-known binary."""
-    columns, count = _Columns(geoms), len(geoms)
-    types = geoms.field("type")
-    single = count and not geoms.null_count and all((np.diff(a) == 1).all() for a in (columns.parts, columns.rings, columns.runs))
-    if single and types.unique().to_pylist() == ["Point"]:
-        first = columns.runs[columns.rings[columns.parts[0]]]
-        data = np.empty((count, POINT_BYTES), np.uint8)
-        data[:, :5] = POINT_HEAD
-        data[:, 5:] = np.ascontiguousarray(columns.xy[first : first + count]).view(np.uint8)
-        offsets = np.arange(count + 1, dtype=np.int32) * POINT_BYTES
-        return pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-    valid = geoms.is_valid().to_pylist()
-    return pa.array(
-        [
-            columns.whole(kind, columns.parts[i], columns.parts[i + 1]) if valid[i] and kind else None
-            for i, kind in enumerate(types.to_pylist())
-        ],
-        pa.binary(),
+    """Arrow geometry array to little-endian 2D well-known binary.
+
+    The bytes of a batch are heads, counts and vertices. All of these are rows of one list, put in order by geometry, part and ring;
+    running sums of their sizes are their places, and each sort is written at once.
+    """
+    count = len(geoms)
+    top = np.where(geoms.is_valid().to_numpy(zero_copy_only=False), _codes(geoms.field("type")), 0)
+    part_sizes, parts = _flat(geoms.field("parts"))
+    there = top > 0
+    if (part_sizes[~there] > 0).any():  # parts without a type belong to no geometry
+        keep = np.repeat(there, part_sizes)
+        parts, part_sizes = parts.filter(pa.array(keep)), np.where(there, part_sizes, 0)
+    ring_sizes, rings = _flat(parts.field("rings"))
+    vertex_sizes, vertices = _flat(rings)
+    xy = np.column_stack([vertices.field(k).to_numpy(zero_copy_only=False) for k in "xy"]).astype("<f8")
+    owner = np.repeat(np.arange(count), part_sizes)
+    kinds, members = _codes(parts.field("kind")), parts.field("member").to_numpy(zero_copy_only=False)
+
+    # what a part is within its geometry: a shape by itself, one of a Multi type, or in a member of a collection
+    in_collection = top[owner] == 7
+    whole = np.where(in_collection, kinds, top[owner])  # the type around the shape
+    shape = np.where(whole >= 4, whole - 3, whole)
+    opens = np.ones(len(owner), bool)  # a part that begins a member
+    opens[1:] = (owner[1:] != owner[:-1]) | (members[1:] != members[:-1])
+    group = np.cumsum(opens) - 1
+    first = np.flatnonzero(opens)
+    group_sizes = np.bincount(group, minlength=len(first)) if len(owner) else np.zeros(0, np.int64)
+    shown = (whole >= 4) | opens  # of a shape by itself only the first part
+    ring_owner = np.repeat(np.arange(len(owner)), ring_sizes)
+    ring_first = np.arange(len(ring_owner)) == _starts(ring_sizes)[ring_owner]
+    ring_shown = shown[ring_owner] & ((shape[ring_owner] == 3) | ring_first)
+
+    # rows: geometry, part (-1 before the first), level, then head code, count (-1: none), vertices' ring (-1: none)
+    held = np.flatnonzero(top >= 4)
+    bare = np.flatnonzero((top > 0) & (top < 4) & (part_sizes == 0))
+    multis = first[in_collection[first] & (whole[first] >= 4)]
+    shapes, lines = np.flatnonzero(shown), np.flatnonzero(ring_shown)
+    members_of = np.where(top[held] == 7, np.bincount(owner[first], minlength=count)[held], part_sizes[held])
+    none = lambda of: np.full(len(of), -1)
+    rows = [
+        (held, none(held), 0, top[held], members_of, none(held)),
+        (bare, none(bare), 0, top[bare], np.where(top[bare] == 1, -1, 0), np.where(top[bare] == 1, -2, -1)),
+        (owner[multis], multis, 0, whole[multis], group_sizes[group[multis]], none(multis)),
+        (owner[shapes], shapes, 1, shape[shapes], np.where(shape[shapes] == 3, ring_sizes[shapes], -1), none(shapes)),
+        (owner[ring_owner[lines]], ring_owner[lines], 2, np.zeros(len(lines), np.int64), np.where(shape[ring_owner[lines]] == 1, -1, vertex_sizes[lines]), lines),
+    ]
+    of, part, level, code, number, run = (
+        np.concatenate([np.broadcast_to(row[k], row[0].shape) for row in rows]).astype(np.int64) for k in range(6)
     )
+    run_size = np.where(run >= 0, vertex_sizes[np.maximum(run, 0)] if len(vertex_sizes) else 0, np.where(run == -2, 1, 0))
+    size = 5 * (code > 0) + 4 * (number >= 0) + 16 * run_size
+    order = np.lexsort((np.maximum(run, 0), level, part, of))
+    at = np.empty(len(order), np.int64)
+    at[order] = _starts(size[order])
+
+    out = np.zeros(int(size.sum()), np.uint8)
+    heads = code > 0
+    out[at[heads]], out[at[heads] + 1] = 1, code[heads]
+    after = at + 5 * heads
+    counted = number >= 0
+    out[after[counted][:, None] + np.arange(4)] = number[counted].astype("<u4").view(np.uint8).reshape(-1, 4)
+    after = after + 4 * counted
+    runs = np.flatnonzero(run >= 0)
+    runs = runs[np.argsort(run[runs], kind="stable")]
+    taken = np.repeat(np.where(ring_shown, np.arange(len(ring_owner)), -1), vertex_sizes) >= 0
+    within = np.arange(run_size[runs].sum()) - np.repeat(_starts(run_size[runs]), run_size[runs])
+    places = np.repeat(after[runs], run_size[runs]) + 16 * within
+    out[places[:, None] + np.arange(16)] = np.ascontiguousarray(xy[taken]).view(np.uint8).reshape(-1, 16)
+    empty = after[run == -2]
+    out[empty[:, None] + np.arange(16)] = np.full((len(empty), 2), np.nan).astype("<f8").view(np.uint8).reshape(-1, 16)
+
+    offsets = np.zeros(count + 1, np.int64)
+    np.cumsum(np.bincount(of, size, count), out=offsets[1:])
+    if offsets[-1] > np.iinfo(np.int32).max:
+        raise ValueError("a batch of geometries beyond 2 GB")
+    valid = pa.py_buffer(np.packbits(there, bitorder="little"))
+    return pa.Array.from_buffers(pa.binary(), count, [valid, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
 
 
 @F.arrow_udf(GEOM_TYPE)

@@ -150,13 +150,15 @@ def publish_layer(
         typed = [staged[f.name].cast(f.dataType).alias(f.name, metadata=f.metadata) for f in wanted]
         _set_facts(spark, table, {layers.FACT_LAST: last + found.last_fid, layers.FACT_UNSURE: "true"})
         _write_laid_out(staged.select(*typed).withColumn("fid", F.col("fid") + last), found.count, folder)
-        _add_load(spark, table, load, folder, found, last, target_srid)
+        replaced = _add_load(spark, table, load, folder, found, last, target_srid)
     else:
         _write_laid_out(staged, found.count, folder)
         facts = _facts(found.count, found.kinds, target_srid, found.last_fid)
         _swap_in(spark, database, name, spark.read.parquet(folder).schema, load, folder, facts, known)
+        replaced = known
     files.delete_tree(spark, staged_at)
-    _forget_folders(spark, table, home)
+    if replaced:
+        _forget_folders(spark, table, home)
     shown = spark.createDataFrame([(found.count, *found.box)], "feature_count bigint, minx double, miny double, maxx double, maxy double")
     return shown.withColumn("bbox", layers.box_text())
 
@@ -181,8 +183,11 @@ def _last_fid(spark: SparkSession, table: str, name: str, srid: int) -> int:
     return int(facts[layers.FACT_LAST])
 
 
-def _add_load(spark: SparkSession, table: str, load: str, folder: str, found: Statistics, last: int, srid: int) -> None:
-    """Point a load of a table at its folder and tell the table's facts; its fids begin after ``last``."""
+def _add_load(spark: SparkSession, table: str, load: str, folder: str, found: Statistics, last: int, srid: int) -> bool:
+    """Point a load of a table at its folder and tell the table's facts; its fids begin after ``last``.
+
+    Says whether the load had a folder before.
+    """
     facts = layers.table_facts(spark, table)
     there = not spark.sql(f"SHOW PARTITIONS {table} PARTITION (_load = {_quoted(load)})").isEmpty()
     old = _statistics(spark.table(table).filter(F.col("_load") == load)) if there else Statistics(0, {}, 0, (None,) * 4)
@@ -192,6 +197,7 @@ def _add_load(spark: SparkSession, table: str, load: str, folder: str, found: St
     _set_facts(spark, table, {layers.FACT_LAST: given, layers.FACT_UNSURE: "true"})
     _point_at(spark, table, load, folder, there)
     _set_facts(spark, table, _facts(int(facts[layers.FACT_COUNT]) - old.count + found.count, kinds, srid, given))
+    return there
 
 
 # Rows from which a layer is cut into files by range; below it is one file.
@@ -364,7 +370,20 @@ def publish_together(
     """
     spark = features.sparkSession
     base = spark.catalog.getDatabase(database).locationUri.rstrip("/")
+    for name in files.children(spark, base):  # of runs that were lost
+        if name.startswith("together-") and files.age_of(spark, f"{base}/{name}") > KEPT_SECONDS:
+            files.delete_tree(spark, f"{base}/{name}")
     work = f"{base}/together-{uuid.uuid4().hex}"
+    try:
+        return _together(features, targets, database, source_srid, target_srid, if_exists, work)
+    finally:
+        files.delete_tree(spark, work)
+
+
+def _together(
+    features: DataFrame, targets: list[Target], database: str, source_srid: int, target_srid: int, if_exists: str, work: str
+) -> list[Statistics | Exception]:
+    spark = features.sparkSession
     last: list[int] = []
     given: dict[str, int] = {}
     for t in targets:
@@ -391,19 +410,24 @@ def publish_together(
     dealt.sortWithinPartitions("_n", "cell", "fid").write.partitionBy("_n").parquet(f"{work}/laid_out")
     schema = T.StructType([f for f in placed.schema.fields if f.name != "_n"])
     outcomes: list[Statistics | Exception] = []
+    replaced = set()
     for n, t in enumerate(targets):
         try:
-            outcomes.append(_place(spark, database, t, f"{work}/laid_out/_n={n}", schema, found[n], last[n], target_srid, if_exists))
+            if _place(spark, database, t, f"{work}/laid_out/_n={n}", schema, found[n], last[n], target_srid, if_exists):
+                replaced.add(t.table)
+            outcomes.append(found[n])
         except Exception as error:  # one layer does not stop the rest
             outcomes.append(error)
-    files.delete_tree(spark, work)
+    base = spark.catalog.getDatabase(database).locationUri.rstrip("/")
+    for table in sorted(replaced):
+        _forget_folders(spark, f"`{database}`.`{table}`", f"{base}/{table}")
     return outcomes
 
 
 def _place(
     spark: SparkSession, database: str, target: Target, written: str, schema: T.StructType, found: Statistics, last: int, srid: int, if_exists: str
-) -> Statistics:
-    """Give a written layer its folder below its table, and the table the folder."""
+) -> bool:
+    """Give a written layer its folder below its table, and the table the folder; says whether one is out of use now."""
     table = f"`{database}`.`{target.table}`"
     known = spark.catalog.tableExists(f"{database}.{target.table}")
     if known and if_exists == "fail":
@@ -416,12 +440,9 @@ def _place(
     folder = f"{home}/load-{uuid.uuid4().hex}"
     files.move(spark, written, folder)
     if known and if_exists == "append":
-        _add_load(spark, table, target.load, folder, found, last, srid)
-    else:
-        facts = _facts(found.count, found.kinds, srid, last + found.last_fid)
-        _swap_in(spark, database, target.table, schema, target.load, folder, facts, known)
-    _forget_folders(spark, table, home)
-    return found
+        return _add_load(spark, table, target.load, folder, found, last, srid)
+    _swap_in(spark, database, target.table, schema, target.load, folder, _facts(found.count, found.kinds, srid, last + found.last_fid), known)
+    return known
 
 
 # --- orders ------------------------------------------------------------------------------
@@ -673,7 +694,9 @@ class Publisher:
         targets = [Target(one["order_id"], one["layer_name"], table) for table, one in some]
         orders, names = [sorted({one[c] for _, one in some}) for c in ledger_ops.KEY]
         try:
+            keys = self.spark.createDataFrame([(t.order_id, t.layer_name) for t in targets], "order_id string, layer_name string")
             mine = contents.filter(F.col("order_id").isin(orders) & F.col("layer_name").isin(names))
+            mine = mine.join(F.broadcast(keys), ledger_ops.KEY, "left_semi")  # layers_per_job rows at most
             features = archives.read_layer(mine, some[0][1]["columns"]).drop("zip_name", "inner_path", "source_row")
             loaded = publish_together(features, targets, self.database, some[0][1]["srid"], self.target_srid, if_exists)
         except Exception as error:  # one of them may be at fault: they are tried one by one

@@ -280,7 +280,7 @@ def source_layers(extracted: DataFrame) -> DataFrame:
 # Columns that a read or published layer has besides its attributes.
 STORAGE = frozenset(
     "order_id layer_name zip_name inner_path source_row fid geom geom_wkb srid cell"
-    " xmin ymin xmax ymax _source_order _loaded_at _load _part _row _before".split()
+    " xmin ymin xmax ymax _source_order _loaded_at _load _n _part _row _before".split()
 )
 
 

@@ -152,8 +152,12 @@ def watch_updates(
     def run(batch: DataFrame, batch_id: int) -> None:
         others = [c for c in batch.columns if c not in (*UPDATE_KEY, seen_at)]
         first = batch.groupBy(*UPDATE_KEY).agg(F.min(F.struct(seen_at, *others)).alias("row"))
+        rows = first.select(*UPDATE_KEY, "row.*").select(*batch.columns).persist()  # used for the summary, the parts and the rows
         log.spark = batch.sparkSession
-        log.add(first.select(*UPDATE_KEY, "row.*").select(*batch.columns), batch_id)
+        try:
+            log.add(rows, batch_id)
+        finally:
+            rows.unpersist()
 
     return _start(listings, run, checkpoint, available_now, mode="append", every="1 minute")
 

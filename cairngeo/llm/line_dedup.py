@@ -25,7 +25,7 @@ SIGMAS = 5.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = " \t\r\x0b\x0c"
 
-_ROW, _PRINT, _SITE, _HASH = "row", "print", "site", "hash"
+_ROW, _PRINT, _SITE, _HASH, _AT = "row", "print", "site", "hash", "at"
 
 
 def normalised(line: Column) -> Column:
@@ -86,33 +86,39 @@ def drop_boilerplate(
     key = [F.col(id_col).alias(_ROW), F.xxhash64(F.col(text_col)).alias(_PRINT)]
     occurrences = written(
         docs.where(F.col(text_col).isNotNull())
-        .select(*key, F.col(site_col).cast("string").alias(_SITE), F.explode(_lines(F.col(text_col))).alias("line"))
-        .select(_ROW, _PRINT, _SITE, normalised(F.col("line")).alias("own"))
+        .select(*key, F.col(site_col).cast("string").alias(_SITE), _lines(F.col(text_col)).alias("lines"))
+        .select(_ROW, _PRINT, _SITE, F.posexplode("lines").alias(_AT, "line"))  # the print is made before, once a text
+        .select(_ROW, _PRINT, _SITE, _AT, normalised(F.col("line")).alias("own"))
         .where("own <> ''")
-        .select(_ROW, _PRINT, _SITE, _hash(F.col("own")).alias(_HASH))
+        .select(_ROW, _PRINT, _SITE, _AT, _hash(F.col("own")).alias(_HASH))
     )
     bad = written(boilerplate(occurrences.select(_SITE, _HASH), min_sites))
-    of, by, found, left = fresh(docs, "hit_of", "hit_by", "hit_hashes", "hit_left")
+    of, by, found, left = fresh(docs, "hit_of", "hit_by", "hit_lines", "hit_left")
     hits = (
         occurrences.join(bad, _HASH, "left_semi")
         .groupBy(F.col(_ROW).alias(of), F.col(_PRINT).alias(by))
-        .agg(F.collect_set(_HASH).alias(found))
+        .agg(F.array_sort(F.collect_set(_AT)).alias(found))
     )
     text = F.col(text_col)
     joined = docs.join(hits, (F.xxhash64(text) == F.col(by)) & F.col(id_col).eqNullSafe(F.col(of)), "left")
 
-    def stays(line: Column) -> Column:
-        return ~F.array_contains(F.col(found), _hash(normalised(line)))  # no blank line was hashed
+    def between(lines: Column) -> Column:
+        """The lines between the hits, as many stretches as there are hits and one more: linear in the lines."""
+        hits = F.col(found)
+        ends = F.concat(hits, F.array(F.size(lines)))
+        start = lambda k: F.when(k == 0, 0).otherwise(F.get(hits, k - 1) + 1)
+        return F.flatten(F.transform(ends, lambda end, k: F.slice(lines, start(k) + 1, end - start(k))))
 
     # Texts without such a line are passed through as they are.
-    kept, hit = F.filter(_lines(text), stays), F.col(found).isNotNull()
+    kept = F.element_at(F.transform(F.array(_lines(text)), between), 1)
+    hit = F.col(found).isNotNull()
     clean = F.when(hit, F.array_join(F.col(left), "\n")).otherwise(text)
     extra = []
     if counts:
         filled = F.size(F.filter(_lines(text), lambda x: F.btrim(x, F.lit(BLANK)) != ""))
         extra = [
             F.coalesce(filled, F.lit(0)).alias(counts[0]),
-            F.when(hit, F.size(_lines(text)) - F.size(left)).otherwise(0).alias(counts[1]),
+            F.when(hit, F.size(found)).otherwise(0).alias(counts[1]),
         ]
     marked = joined.withColumn(left, F.when(hit, kept))
     return marked.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns], *extra)

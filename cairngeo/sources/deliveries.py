@@ -11,6 +11,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import text
@@ -67,10 +68,27 @@ def _json(spark: SparkSession, root: str, name: str, schema, order_ids: Iterable
     return read.withColumn("_order", order_of(F.col("_metadata.file_path"), base))
 
 
+def _documents(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
+    """As ``_json``, from whole texts: a value kept as text (here coordinates) is cut from memory.
+
+    Spark's reader of multi-line files goes back to the file for each such value.
+    """
+    base, roots = files.qualified(spark, root), _roots(spark, root)
+    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(roots)
+    value = F.regexp_replace("value", r"^\ufeff", "")
+    many = F.regexp_like(value, F.lit(r"^\s*\["))
+    order = order_of(F.col("_metadata.file_path"), base).alias("_order")
+    texts = read.select(order, value.alias("value"), many.alias("many"))
+    one = F.from_json("value", schema)
+    return texts.select("_order", F.explode(F.when(F.col("many"), F.from_json("value", T.ArrayType(schema))).otherwise(F.array(one))).alias("document")).select(
+        "_order", "document.*"
+    )
+
+
 def read_delivery_stats(spark: SparkSession, root: str) -> DataFrame:
     """order_id, filename, statistics (table, objects), geometry; a file named twice keeps the last."""
     feature = (
-        _json(spark, root, "uttag.json", schemas.DELIVERY_STATS)
+        _documents(spark, root, "uttag.json", schemas.DELIVERY_STATS)
         .select(F.col("_order").alias("order_id"), F.posexplode("features").alias("pos", "feature"))
         .filter(F.length("feature.properties.filnamn") > 0)
     )

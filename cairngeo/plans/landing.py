@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..session import shared_dir
+from ..session import shared_dir, spread
 from . import views
 
 ROWS_PER_ARCHIVE = 20_000
@@ -67,6 +67,9 @@ def put_archive(path: str, layer: str, rows: list[tuple], columns: list[tuple[st
 def write_gpkg(path: str, layer: str, rows: list[tuple], columns: list[tuple[str, str]], kind: str, extent) -> None:
     """A GeoPackage with one layer; ``rows`` hold fid, geometry blob and the attributes."""
     with sqlite3.connect(path) as db:
+        # a scratch file: its task makes it again if it is lost, so no journal and no wait for the disk
+        db.execute("PRAGMA journal_mode = OFF")
+        db.execute("PRAGMA synchronous = OFF")
         db.execute(
             "CREATE TABLE gpkg_contents (table_name TEXT, data_type TEXT, min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE)"
         )
@@ -113,7 +116,7 @@ def put_orders(points: DataFrame, root: str, rows_per_archive: int = ROWS_PER_AR
         put_archive(path, f"points_{order}", data, columns, f"data/points_{order}_sverige.gpkg", {"readme.txt": "points"})
         return pd.DataFrame({"done": [1]})
 
-    rows.groupBy("order_id", "archive").applyInPandas(write, "done int").count()
+    spread(rows, "order_id", "archive").groupBy("order_id", "archive").applyInPandas(write, "done int").count()
 
 
 def land_odd_names(spark: SparkSession, sf_dir: str) -> str:
@@ -140,7 +143,7 @@ def land_odd_names(spark: SparkSession, sf_dir: str) -> str:
         put_archive(f"{root}/{order}/odd_{archive}.zip", "odd", data, columns, "odd.gpkg")
         return pd.DataFrame({"done": [1]})
 
-    rows.groupBy("order", "archive").applyInPandas(write, "done int").count()
+    spread(rows, "order", "archive").groupBy("order", "archive").applyInPandas(write, "done int").count()
     return root
 
 

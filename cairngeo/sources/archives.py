@@ -30,6 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .. import schemas
 from ..functions import geometry as G
 from ..functions import text
+from ..session import spread
 
 CHUNK = 8 << 20
 ROWS_PER_BATCH = 10_000
@@ -64,15 +65,16 @@ def zip_members(files: DataFrame) -> DataFrame:
 
     def list_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[dict] = []
             for archive in batch.itertuples(index=False):
                 try:
                     with _open(archive.path) as raw, zipfile.ZipFile(raw) as opened:
                         members = [i for i in opened.infolist() if not i.is_dir()]
                 except zipfile.BadZipFile as error:
                     broken = {"order_id": archive.order_id, "path": archive.path, "zip_name": archive.file_name}
-                    yield _frame([{**broken, "error": f"cannot read: {error}"}], schemas.MEMBER)
+                    rows.append({**broken, "error": f"cannot read: {error}"})
                     continue
-                rows = [
+                rows += [
                     {
                         "order_id": archive.order_id,
                         "path": archive.path,
@@ -85,10 +87,13 @@ def zip_members(files: DataFrame) -> DataFrame:
                     }
                     for position, member in enumerate(members)
                 ]
-                yield _frame(rows, schemas.MEMBER)
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield _frame(rows, schemas.MEMBER)
+                    rows = []
+            yield _frame(rows, schemas.MEMBER)
 
     archives = files.filter(F.lower("file_name").endswith(".zip")).select("order_id", "path", "file_name")
-    return archives.repartition("path").mapInPandas(list_archives, schemas.MEMBER)
+    return spread(archives, "path").mapInPandas(list_archives, schemas.MEMBER)
 
 
 def file_hashes(files: DataFrame) -> DataFrame:
@@ -110,7 +115,7 @@ def file_hashes(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "source_hash"])
 
     shape = T.StructType([*files.schema.fields, T.StructField("source_hash", T.StringType())])
-    return files.repartition("path").mapInArrow(hashed, shape)
+    return spread(files, "path").mapInArrow(hashed, shape)
 
 
 # --- unpacking ---------------------------------------------------------------------
@@ -137,7 +142,7 @@ def unpack(members: DataFrame, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_pylist([{**base, "kind": "layer", "error": _told(error)}], schema=_STORED)
 
     wanted = members.filter(F.col("extension") == ".gpkg").select("order_id", "zip_name", "path", "inner_path")
-    found = wanted.repartition("path", "inner_path").mapInArrow(extract, schemas.EXTRACTED)
+    found = spread(wanted, "path", "inner_path").mapInArrow(extract, schemas.EXTRACTED)
     found.write.partitionBy("kind", "order_id").parquet(folder)
     return members.sparkSession.read.schema(schemas.EXTRACTED).parquet(folder)
 
@@ -173,7 +178,7 @@ def catalogue(members: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(found, schema=arrow)
 
     wanted = members.filter(F.col("extension") == ".gpkg").select("order_id", "zip_name", "path", "inner_path")
-    return wanted.repartition("path", "inner_path").mapInArrow(described, shape)
+    return spread(wanted, "path", "inner_path").mapInArrow(described, shape)
 
 
 def _copy_member(archive: str, inner: str, target: str) -> str:

@@ -6,7 +6,8 @@
     roads = spark.read.format("gpkg").option("layer", "roads").load(folder)
 
 The catalogue is made on the cluster and lies as Parquet; planning reads from it the rows of the layer, no archive. Each file
-of the layer is read by as many tasks as it has ranges of ``rowsPerTask`` features. Filters on ``order_id``, ``zip_name`` and
+of the layer is read by as many tasks as it has ranges of ``rowsPerTask`` features; where that makes more than ``mostTasks``,
+a task takes several ranges that follow one another. Filters on ``order_id``, ``zip_name`` and
 ``inner_path`` leave files out before a task is made, filters on ``source_row`` narrow what SQLite reads; Spark
 asks a data source for that where ``spark.sql.python.filterPushdown.enabled`` is set, as ``register`` does.
 
@@ -47,6 +48,7 @@ from ..functions import geometry as G
 from . import archives
 
 ROWS_PER_TASK = 500_000
+MOST_TASKS = 1000
 FILE = ("order_id", "zip_name", "inner_path")
 
 
@@ -58,11 +60,9 @@ def register(spark: SparkSession) -> None:
 
 @dataclass
 class Rows(InputPartition):
-    """A range of row positions of one layer in one member."""
+    """Ranges of row positions of one layer: (file, first, last) each, in members of any number."""
 
-    file: dict
-    first: int
-    last: int
+    ranges: list[tuple[dict, int, int]]
     bounds: list[tuple[str, int]]
 
 
@@ -98,12 +98,12 @@ class GeoPackageLayer(DataSource):
         return T.StructType([*fixed, *archives.layer_fields(self.files()[0]["columns"])])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return GeoPackageReader(self.files(), schema, int(self.options.get("rowspertask", ROWS_PER_TASK)))
+        return GeoPackageReader(self.files(), schema, int(self.options.get("rowspertask", ROWS_PER_TASK)), int(self.options.get("mosttasks", MOST_TASKS)))
 
 
 class GeoPackageReader(DataSourceReader):
-    def __init__(self, files: list[dict], schema: T.StructType, rows_per_task: int):
-        self.files, self.shape, self.rows_per_task = files, schema, rows_per_task
+    def __init__(self, files: list[dict], schema: T.StructType, rows_per_task: int, most_tasks: int):
+        self.files, self.shape, self.rows_per_task, self.most_tasks = files, schema, rows_per_task, most_tasks
         self.bounds: list[tuple[str, int]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -120,17 +120,33 @@ class GeoPackageReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         step = self.rows_per_task
-        return [Rows(f, first, min(first + step, f["feature_count"]), self.bounds) for f in self.files for first in range(0, f["feature_count"], step)]
+        ranges = [(f, first, min(first + step, f["feature_count"])) for f in self.files for first in range(0, f["feature_count"], step)]
+        each = math.ceil(len(ranges) / self.most_tasks)
+        return [Rows(ranges[k : k + each], self.bounds) for k in range(0, len(ranges), each or 1)]
+
+    def __getstate__(self) -> dict:
+        """What every task gets: its files are in its partition, so the list of all of them stays with the planner."""
+        return {**self.__dict__, "files": []}
 
     def read(self, partition: Rows | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # what Spark reads where there are no partitions
             return
-        file, shape = partition.file, to_arrow_schema(self.shape)
+        joined: list[tuple[dict, int, int]] = []
+        for file, first, last in partition.ranges:
+            if joined and joined[-1][0] == file and joined[-1][2] == first:
+                joined[-1] = (file, joined[-1][1], last)
+            else:
+                joined.append((file, first, last))
+        for file, first, last in joined:
+            yield from self._range(file, first, last, partition.bounds)
+
+    def _range(self, file: dict, first: int, last: int, bounds: list[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
+        shape = to_arrow_schema(self.shape)
         table = archives._quoted(file["layer_name"])
         # positions count all rows of the file, so that tasks share them out alike with and without bounds
-        mine = f"rowid IN (SELECT rowid FROM {table} ORDER BY rowid LIMIT {partition.last - partition.first} OFFSET {partition.first})"
-        conditions = [f"rowid {sign} {int(value)}" for sign, value in partition.bounds]
-        if (partition.first, partition.last) != (0, file["feature_count"]):
+        mine = f"rowid IN (SELECT rowid FROM {table} ORDER BY rowid LIMIT {last - first} OFFSET {first})"
+        conditions = [f"rowid {sign} {int(value)}" for sign, value in bounds]
+        if (first, last) != (0, file["feature_count"]):
             conditions.append(mine)
         where = "WHERE " + " AND ".join(conditions) if conditions else ""
         with tempfile.TemporaryDirectory() as scratch:

@@ -68,6 +68,23 @@ def _json(spark: SparkSession, root: str, name: str, schema, order_ids: Iterable
     return read.withColumn("_order", order_of(F.col("_metadata.file_path"), base))
 
 
+_UNREADABLE = r'"[^"\\\ufffd]*+(?:\\.[^"\\\ufffd]*+)*+\ufffd[^"\\]*+(?:\\.[^"\\]*+)*+"(?!\s*:)'  # a value with bytes that are no UTF-8
+
+
+def _decoded(value: str) -> Column:
+    """Text of a JSON document in the encodings that Spark's own reader tells from its first bytes; values it cannot read are null."""
+    raw = F.col(value).cast("binary")
+    start = F.hex(F.substring(raw, 1, 4))
+    return (
+        F.when(start.isin("0000FEFF", "FFFE0000"), F.decode(raw, "UTF-32"))
+        .when(start.startswith("FEFF") | start.startswith("FFFE"), F.decode(raw, "UTF-16"))
+        .when(start.startswith("00"), F.decode(raw, "UTF-16BE"))
+        .when(start.like("__00%"), F.decode(raw, "UTF-16LE"))
+        .when(F.is_valid_utf8(value), F.col(value))
+        .otherwise(F.regexp_replace(value, _UNREADABLE, "null"))
+    )
+
+
 def _documents(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
     """As ``_json``, from whole texts: a value kept as text (here coordinates) is cut from memory.
 
@@ -75,7 +92,7 @@ def _documents(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
     """
     base, roots = files.qualified(spark, root), _roots(spark, root)
     read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(roots)
-    value = F.regexp_replace("value", r"^\ufeff", "")
+    value = F.regexp_replace(_decoded("value"), r"^\ufeff", "")
     many = F.regexp_like(value, F.lit(r"^\s*\["))
     order = order_of(F.col("_metadata.file_path"), base).alias("_order")
     texts = read.select(order, value.alias("value"), many.alias("many"))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import pickle
+import zipfile
+
 from pyspark.sql import functions as F
 
+from cairngeo import schemas
 from cairngeo.functions import geometry as G
 from cairngeo.operators import spatial
+from cairngeo.sources import archives, deliveries, gpkg
 from test_crowded import boxes, cluster, meeting
+from test_publish import COLUMNS, archive, rows
 
 
 def test_plain_sides_are_met_without_geometries(spark):
-    a, b = cluster(3, 300, (0, 0), (40, 40)), cluster(4, 200, (0, 0), (0, 0))
+    a, b = cluster(3, 300, (0, 0), (40, 40)), cluster(4, 200, (0, 0), (2, 2))
     left, right = boxes(spark, a), boxes(spark, b)
     found = spatial.candidates(left, right)
     assert found and all(c not in pairs.columns for pairs in found for c in ("left_geom", "right_geom"))
@@ -51,3 +57,78 @@ def test_certain_answers_for_convex_shapes_are_the_exact_ones(spark):
     assert all(r.quick is None or r.quick == r.exact for r in told)
     known = {n: sum(r.quick is not None for r in told if r.name == n) / sum(r.name == n for r in told) for n in SHAPES}
     assert all((known[n] > 0.6) == (n in ("diamond", "clockwise", "triangle", "hexagon")) for n in SHAPES), known
+
+
+def test_archives_are_listed_by_all_tasks(spark, tmp_path):
+    for k in range(60):
+        with zipfile.ZipFile(tmp_path / f"a{k}.zip", "w") as out:
+            out.writestr("x.gpkg", "x")
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    files = spark.createDataFrame([("o", f"{tmp_path}/{n}.zip", f"{n}.zip") for n in [*(f"a{k}" for k in range(60)), "bad"]], "order_id string, path string, file_name string")
+    members = archives.zip_members(files)
+    assert members.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    found = members.collect()
+    assert sorted((r.zip_name, r.entry) for r in found if r.error is None) == sorted((f"a{k}.zip", 0) for k in range(60))
+    assert [r.zip_name for r in found if r.error] == ["bad.zip"]
+
+
+def _feature(name, coordinates, objects="3"):
+    shape = f'"geometry": {{"type": "Polygon", "coordinates": {coordinates}}}'
+    return f'{{"properties": {{"filnamn": "{name}", "statistik": [{{"tabellnamn": "t", "antalObjekt": {objects}}}]}}, {shape}}}'
+
+
+def test_delivery_documents_of_all_kinds_read_as_before(spark, tmp_path):
+    def document(*features):
+        return f'{{"features": [{", ".join(features)}]}}'
+
+    ring = "[[[1e3, 2.50], [3, 4.000000000000000001], [5.0E0, -0.0]]]"
+    plain = document(_feature("a", ring), _feature("å", "[]"), _feature("c", "[1, 2]"), _feature("c", ring, '"few"'))
+    texts = {
+        "plain": plain.encode(),
+        "bom": b"\xef\xbb\xbf" + plain.encode(),
+        "utf16": plain.encode("utf-16"),
+        "utf16be": plain.encode("utf-16-be"),
+        "utf16le": plain.encode("utf-16-le"),
+        "many": f" \n[{plain}, {document(_feature('d', ring))}]".encode(),
+        "cut": plain[:60].encode(),
+        "latin": plain.encode("latin-1"),
+        "empty": b"",
+        "rest": (plain + " x").encode(),
+        "null": b"null",
+        "_under": plain.encode(),
+    }
+    for name, content in texts.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "uttag.json").write_bytes(content)
+    old = deliveries._json(spark, str(tmp_path), "uttag.json", schemas.DELIVERY_STATS)
+    new = deliveries._documents(spark, str(tmp_path), "uttag.json", schemas.DELIVERY_STATS)
+    exploded = [df.select("_order", F.posexplode("features").alias("pos", "f")) for df in (old, new)]
+    rings = F.from_json("f.geometry.coordinates", schemas.RINGS).alias("rings")
+    told = [df.select("_order", "pos", "f.properties", "f.geometry.type", rings).collect() for df in exploded]
+    wide = ("utf16", "utf16be", "utf16le")  # the old reader cut their coordinates at wrong places and lost them
+    known = [sorted(str(r) for r in rows_of if r._order not in wide) for rows_of in told]
+    assert known[0] == known[1] and {r._order for r in told[1]} >= {"plain", "bom", "many", "_under"}
+    assert all(sorted(str(r[1:]) for r in told[1] if r._order == n) == sorted(str(r[1:]) for r in told[1] if r._order == "plain") for n in wide)
+    read = deliveries.read_delivery_stats(spark, str(tmp_path))
+    assert "FileScan json" not in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_of_the_data_source_carry_their_own_files_only(spark):
+    files = [{"order_id": "o", "zip_name": f"z{k}", "inner_path": "m", "feature_count": 75, "columns": []} for k in range(3000)]
+    reader = gpkg.GeoPackageReader(files, None, 40, 100)
+    tasks = reader.partitions()
+    assert len(tasks) == 100 and sum(len(t.ranges) for t in tasks) == 6000
+    assert [r[0]["zip_name"] for t in tasks for r in t.ranges] == [f"z{k // 2}" for k in range(6000)]
+    assert len(pickle.dumps(reader)) < 2000 and len(reader.files) == 3000
+
+
+def test_ranges_of_one_task_read_all_rows_once(spark, tmp_path):
+    for name, first, count in (("a.zip", 10, 30), ("b.zip", 1, 5)):
+        archive(str(tmp_path / "in"), "one", name, [("x/roads.gpkg", "Roads-1", rows(first, count), COLUMNS)])
+    folder = str(tmp_path / "catalogue")
+    archives.catalogue(archives.zip_members(deliveries.scan_orders(spark, str(tmp_path / "in")))).write.parquet(folder)
+    gpkg.register(spark)
+    read = spark.read.format("gpkg").options(layer="Roads-1", rowsPerTask=4, mostTasks=3).load(folder)
+    assert read.rdd.getNumPartitions() == 3
+    assert sorted(r.source_row for r in read.collect()) == sorted([*range(10, 40), *range(1, 6)])
+    assert sorted(r.source_row for r in read.filter("source_row > 12 AND source_row < 30").collect()) == [*range(13, 30)]
